@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajmill.llm.common import partitions, text_or_empty
+from trajmill.llm.common import partitions, range_of, text_or_empty
 
 WIDTH = 128
 _ONES, _KEEP, _LANE = 0x0001000100010001, 0x7FFF7FFF7FFF7FFF, 0x7FFF
@@ -87,18 +87,6 @@ def as_string(fingerprint: Column) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(F.element_at(fingerprint, i + 1)), 16, "0") for i in range(_LONGS + 1)]))
 
 
-def range_of(key: Column, bounds: list, kind: str) -> Column:
-    """How many of the sorted `bounds` are at most `key`; looks at about 2 * sqrt(len(bounds)) of them."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, round(len(bounds) ** 0.5))
-    chunks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    among = lambda items: F.aggregate(items, F.lit(0), lambda acc, b: acc + (b <= key).cast("int"))
-    lit = lambda items: F.array(*[F.lit(b).cast(kind) for b in items])
-    chunk = among(lit([c[0] for c in chunks]))
-    return F.when(chunk == 0, 0).otherwise((chunk - 1) * step + among(F.element_at(F.array(*[lit(c) for c in chunks]), F.greatest(chunk, F.lit(1)))))
-
-
 def with_next(docs: DataFrame, id_col: str, carried: list[str], prepare=lambda df: df) -> DataFrame:
     """docs with next_<c> for each of `carried`: the value in the next row by id (after the last row: the first).
 

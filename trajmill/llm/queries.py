@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajmill.llm import fingerprints, kdshards
+from trajmill.llm import fingerprints, kdshards, mixing
 from trajmill.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op7_kdshards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
