@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajmill.llm import fingerprints, kdshards, mixing
+from trajmill.llm import fingerprints, kdshards, mixing, simhash
 from trajmill.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_kdshards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshards.shard_documents(table(spark, sf_dir, "documents"))
 
