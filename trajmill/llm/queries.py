@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajmill.llm import fingerprints, kdshards, mixing, simhash
+from trajmill.llm import bpe, fingerprints, kdshards, mixing, simhash
 from trajmill.llm.common import table
 
 
@@ -22,6 +22,12 @@ def op7_kdshards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digest_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
