@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words whose encodings a Python worker keeps; older ones are encoded again when they come back.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 _ROWS_AT_ONCE = 512
 _NEVER = 1 << 40
 #: Separators for str.split() that Unicode's White_Space lacks.
@@ -179,6 +179,8 @@ class WordTokenizer:
                 found[c] = x
             elif c[0] == " ":
                 found[c] = (struct.pack("<I", self.special[c[1:]]), c[1:])
+            elif c.isascii() and c.isalpha():
+                cut[c] = [c.lower()]
             else:
                 cut[c] = [p for p, _ in self.pieces(self.normalize(c))]
         ids = self.bpe.encode({p for pieces in cut.values() for p in pieces})
