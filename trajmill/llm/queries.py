@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajmill.llm import bpe, fingerprints, kdshards, langid, maxscore, mixing, simhash
+from trajmill.llm import bpe, fingerprints, htmltext, kdshards, langid, maxscore, mixing, simhash
 from trajmill.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_kdshards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshards.shard_documents(table(spark, sf_dir, "documents"))
 
