@@ -1,15 +1,61 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of the training-data operators: language ID, near-duplicates, mixing, tokens."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from trajmill.llm import bpe, langid, mixing, simhash
+from trajmill.llm.common import written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document is used once more if the mix takes at least this share of it beyond its whole uses.
+PART = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language was found: those without a letter or a text go. lang is the language found."""
+    found = langid.identify_documents(docs, keep=[c for c in COLUMNS if c != "lang"])
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id (of rows that share it, one)."""
+    found = simhash.near_duplicates(docs)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    rows = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    single = docs.join(kept.join(rows.where("n = 1"), "doc_id").select("doc_id"), "doc_id", "left_semi")
+    repeated = docs.join(kept.join(rows.where("n > 1"), "doc_id").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("r"))
+    return single.select(*COLUMNS).unionByName(repeated.select("doc_id", "r.*").select(*COLUMNS))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: its whole uses, and once more for a further PART of it.
+
+    Documents without words stay once: the mix has no say in them."""
+    found = mixing.mix_documents(docs).groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(1 - PART))).cast("int")
+    uses = written(found.select("doc_id", times.alias("__times")).where("__times > 0"))
+    df = docs.join(uses, docs["doc_id"].eqNullSafe(uses["doc_id"])).drop(uses["doc_id"])
+    return df.withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens, and digests of its tokens and of the text they decode to."""
+    return bpe.digest_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language ID", language), ("SimHash near-dedup", near_duplicates), ("mixing sources", mix), ("BPE tokens", tokens)]
+#: No SQL states language models or BPE; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over documents, each written and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs)
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajmill.llm import bpe, fingerprints, htmltext, kdshards, langid, maxscore, mixing, ngramtrie, simhash
+from trajmill.llm import bpe, fingerprints, htmltext, kdshards, langid, licenses, maxscore, mixing, ngramtrie, simhash
 from trajmill.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_ngramtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramtrie.score_documents(table(spark, sf_dir, "documents"))
 
