@@ -7,7 +7,8 @@ Sums commute and have inverses, hence the order of paragraphs does not matter, `
 without the rest of the text, and texts with the same paragraphs have the same fingerprint. As the lanes are sums of
 random signs, the cosine of two fingerprints estimates the share of common pieces (error about WIDTH ** -0.5).
 
-Four lanes lie in one long, 16 bits apart, with a free bit that takes the carry and is cleared after each addition.
+Four lanes lie in one long, 16 bits apart. Additions leave out the lanes' top bits, which are added without carry, so no
+lane runs into the next one and no long overflows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from trajmill.llm.common import partitions, range_of, text_or_empty
 
 WIDTH = 128
 _ONES, _KEEP, _LANE = 0x0001000100010001, 0x7FFF7FFF7FFF7FFF, 0x7FFF
+_TOP, _BELOW = 0x4000400040004000, 0x3FFF3FFF3FFF3FFF
 _LONGS = WIDTH // 4
 #: Ends of clauses, besides the ends of lines.
 CLAUSE_END = "[.!?,;:|]+"
@@ -37,7 +39,11 @@ def _hashed(items: Column) -> Column:
 
 
 def _sum_bits(hashes: Column, shift: int) -> Column:
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: (acc + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(_ONES))).bitwiseAND(F.lit(_KEEP)))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: (acc.bitwiseAND(F.lit(_BELOW)) + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(_ONES))).bitwiseXOR(acc.bitwiseAND(F.lit(_TOP))))
+
+
+def _lanes_added(a: Column, b: Column) -> Column:
+    return (a.bitwiseAND(F.lit(_BELOW)) + b.bitwiseAND(F.lit(_BELOW))).bitwiseXOR(a.bitwiseXOR(b).bitwiseAND(F.lit(_TOP)))
 
 
 def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
@@ -50,13 +56,13 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
 
 def insert(fingerprint: Column, other: Column) -> Column:
     """The fingerprint of the union of two multisets of paragraphs."""
-    return F.zip_with(fingerprint, other, lambda a, b: (a + b).bitwiseAND(F.lit(_KEEP)))
+    return F.zip_with(fingerprint, other, _lanes_added)
 
 
 def delete(fingerprint: Column, other: Column) -> Column:
     """What is left after taking `other`'s paragraphs out; the inverse of `insert`."""
     complement = lambda b: F.bitwise_not(b).bitwiseAND(F.lit(_KEEP))
-    return F.zip_with(fingerprint, other, lambda a, b: ((a + complement(b)).bitwiseAND(F.lit(_KEEP)) + F.lit(_ONES)).bitwiseAND(F.lit(_KEEP)))
+    return F.zip_with(fingerprint, other, lambda a, b: _lanes_added(_lanes_added(a, complement(b)), F.lit(_ONES)))
 
 
 def lanes(fingerprint: Column) -> Column:
