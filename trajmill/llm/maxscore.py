@@ -101,13 +101,14 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     deal = lambda blocks: F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     candidates = rows.select("vec_id", "x", deal(c_blocks).alias("c"), each(q_blocks).alias("q"))
-    asked = rows.where(is_query).select("vec_id", "x", "row", deal(q_blocks).alias("q"), each(c_blocks).alias("c"))
+    # other names than the candidates': Spark takes equal columns of one table's two sides for one
+    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("x").alias("asked"), F.col("row").alias("line"), deal(q_blocks).alias("q"), each(c_blocks).alias("c"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
             shard = Shard(left["vec_id"].to_numpy(), _matrix(left["x"], width))
-            asking, ids, lines = _matrix(right["x"], width), right["vec_id"].to_numpy(), right["row"].to_numpy()
+            asking, ids, lines = _matrix(right["asked"], width), right["query_id"].to_numpy(), right["line"].to_numpy()
             for i in range(len(ids)):
                 found, score = shard.top(ids[i], asking[:, i], k)
                 out.append((np.full(len(found), ids[i]), np.full(len(found), lines[i]), found, score))
