@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from trajmill.functions.text import terms
 
 
-def postings(corpus: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, term, tf, dl): a term's count in a document and the document's length."""
+def postings(corpus: DataFrame, doc: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf, dl): a term's count in a document and the document's length; of the terms in `only`, if given."""
     words = corpus.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("__t"))
     long = words.select("doc", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
+    if only is not None:
+        long = long.join(only, "term", "left_semi")
     return long.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
@@ -28,13 +30,12 @@ def term_statistics(posts: DataFrame, n_docs: int) -> DataFrame:
 def bm25(corpus: DataFrame, queries: DataFrame, doc: str, text: str, query: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, rank, doc, score): the k best documents with a score above 0; of equal scores the larger doc comes first.
 
-    Terms of a query count as often as they occur in it. Only terms that some query has are kept of the postings, and the
+    Terms of a query count as often as they occur in it. Words that no query has are dropped before they are counted, and the
     contributions are summed before they are ranked, so what is shuffled is one row a (query, document) with a common term.
     """
     n, avgdl = corpus_statistics(corpus, text).first()
     asked = queries.select(F.col(query).alias("query"), F.explode(terms(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    posts = postings(corpus, doc, text)
-    posts = posts.join(asked.select("term").distinct(), "term", "left_semi")
+    posts = postings(corpus, doc, text, asked.select("term").distinct())
     idf = term_statistics(posts, n)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / (avgdl or 1.0))
     weighed = posts.join(idf, "term").select("term", "doc", (F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("w"))
