@@ -1,0 +1,63 @@
+"""Queries over literal trajectories, for operators whose inputs the driver's tables don't have (tool calls, identifiers)."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trajmill.functions import generated, text
+from trajmill.operators import components as co
+from trajmill.operators import grounding, messages, rules
+from trajmill.plans.registry import query
+from trajmill.sources.readers import ROLLOUT
+
+
+def _step(i: str, tool: str, result: object, said: str = "", **arguments: object) -> list[dict]:
+    reply = result if isinstance(result, str) else json.dumps(result)
+    return [{"role": "assistant", "content": said, "tool_calls": [{"id": i, "name": tool, "arguments": json.dumps(arguments)}]}, {"role": "tool", "id": i, "content": reply}]
+
+
+_TRAJECTORIES = {
+    "made_up": [{"role": "user", "content": "hello, I need help"}, *_step("c1", "get_user_details", "Error: user jane_roe_77 not found", "Please provide your user id.", user_id="jane_roe_77"), *_step("c2", "transfer_to_human_agents", "ok", summary="x")],
+    "grounded": [{"role": "user", "content": "I am sam_poe_12"}, *_step("d1", "get_user_details", {"user_id": "sam_poe_12", "reservations": ["AB12CD"]}, user_id="sam_poe_12"), *_step("d2", "get_reservation_details", {"reservation_id": "AB12CD", "created_at": "2024-05-01T10:00:00", "flights": [{"date": "2024-05-20"}]}, reservation_id="AB12CD"), *_step("d3", "cancel_reservation", "{}", reservation_id="AB12CD")],
+    "blind": [{"role": "user", "content": "cancel ZX98YW"}, *_step("e1", "cancel_reservation", "{}", reservation_id="ZX98YW")],
+}
+
+
+def _rows(spark: SparkSession) -> DataFrame:
+    lines = spark.createDataFrame([(json.dumps({"task_id": k, "messages": m}),) for k, m in _TRAJECTORIES.items()], "line string")
+    parsed = lines.select(F.from_json("line", ROLLOUT).alias("r")).select("r.task_id", "r.messages")
+    return messages.exploded(parsed, ["task_id"])
+
+
+@query("slot_grounding", """SELECT * FROM (VALUES ('made_up', 'ungrounded_user_id', 'jane_roe_77', 3e0), ('made_up', 'ask_identifier_and_call_tool_same_turn', 'jane_roe_77', 2e0),
+('made_up', 'transfer_after_ungrounded_slot_error', 'jane_roe_77', 2.5e0)) t(task_id, component, value, severity)""")
+def slot_grounding(spark, d):
+    return grounding.issues(_rows(spark), ["task_id"]).select("task_id", "component", "value", "severity")
+
+
+@query("rule_components", """SELECT * FROM (VALUES ('made_up', -7.5e0, 'argument_hallucination,ask_identifier_and_call_tool_same_turn,ask_then_tool_same_turn,premature_deferral,slot_grounding_error,transfer_after_ungrounded_slot_error,ungrounded_user_id'),
+('grounded', -2e0, 'premature_write,temporal_policy_error'), ('blind', -1e0, 'incomplete_evidence,premature_write')) t(task_id, score, risk_tags)""")
+def rule_components(spark, d):
+    rows = _rows(spark)
+    tasks = spark.createDataFrame([], "task_id string, task_text string, expected array<string>, communicate array<string>")
+    facts = rules.facts(rows, tasks, ["task_id"])
+    found = rules.components(facts, ["task_id"], F.lit("2024-05-15 15:00:00").cast("timestamp_ntz"), grounding.components(rows, ["task_id"]))
+    return co.scored(found).select("task_id", "score", F.array_join("risk_tags", ",").alias("risk_tags"))
+
+
+@query("flexible_answer", """SELECT * FROM (VALUES (1, 42e0, 'hash'), (2, 18e0, 'boxed'), (3, 5e0, 'phrase'), (4, 9e0, 'last_number'), (5, NULL, 'none')) t(id, value, rule)""")
+def flexible_answer(spark, d):
+    raw = ["so #### 42", "\\boxed{ 18 }", "The answer is **5**", "it makes 3 and then 9 dollars", "none here"]
+    df = spark.createDataFrame(list(enumerate(raw, 1)), "id int, t string")
+    return df.select("id", text.flexible_answer(F.col("t")).alias("a")).select("id", "a.value", "a.rule")
+
+
+@query("generated_calls", """SELECT * FROM (VALUES (1, 'a', '{"x":1}', false), (2, 'b', '{"z":2}', false), (3, NULL, NULL, true)) t(id, name, arguments, parse_failed)""")
+def generated_calls(spark, d):
+    raw = ['<tool_call>{"name": "a", "arguments": {"x": 1}}</tool_call>', 'I call {"function": {"name": "b", "params": "{\\"z\\": 2}"}}', '{"name": oops}']
+    df = spark.createDataFrame(list(enumerate(raw, 1)), "id int, t string").select("id", generated.generated_calls("t").alias("g"))
+    first = F.get("g.calls", F.lit(0))
+    return df.select("id", first["name"].alias("name"), first["arguments"].alias("arguments"), F.col("g.parse_failed").alias("parse_failed"))
