@@ -16,17 +16,22 @@ import hashlib
 import json
 import struct
 from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 #: Words whose encodings a Python worker keeps; older ones are encoded again when they come back.
-KEPT_WORDS = 300_000
-_ROWS_AT_ONCE = 512
+KEPT_WORDS = 200_000
+#: Verdicts on pairs of tokens that it keeps.
+KEPT_PAIRS = 250_000
+_ROWS_AT_ONCE = 1024
 _NEVER = 1 << 40
 #: Separators for str.split() that Unicode's White_Space lacks.
 _ODD = regex.compile("[\x1c-\x1f]")
+#: Letters whose lower case depends on their neighbours, or is more than a letter.
+_ODD_CASE = regex.compile("[\u03a3\u0130]")
 _WHITE = regex.compile(r"\p{White_Space}+")
 
 
@@ -91,50 +96,49 @@ class Bpe:
                     i += 1
                 else:
                     j += 1
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > KEPT_PAIRS:
                 self.pairs.clear()
             self.pairs[a, b] = ok
         return ok
 
-    def _state(self, word: str, n: int, states: list[str], suffix: str) -> str | None:
-        """The last token of the encoding of the first n symbols; states[i] is that of the first i."""
-        vocab, pairs = self.vocab, self.pairs
-        if n <= self.longest and (token := word[:n] + suffix) in vocab and self.alone(token):
-            return token
-        for start in range(max(1, n - self.longest), n):
-            token = word[start:n] + suffix
-            if token in vocab and (before := states[start]) is not None:
-                if (ok := pairs.get((before, token))) is None:
-                    ok = self.compatible(before, token)
-                if ok:
-                    return token
-        return None
-
-    def encode(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """The ids of every word (in the alphabet of the vocabulary); symbols that the vocabulary lacks are left out."""
-        done: dict[str, list[int]] = {}
+    def encode(self, words: Iterable[str]) -> dict[str, list[str]]:
+        """The tokens of every word (in the alphabet of the vocabulary); symbols that the vocabulary lacks are left out."""
+        vocab, pairs, longest, alone, compatible = self.vocab, self.pairs, self.longest, self.alone, self.compatible
+
+        def last(word: str, n: int, suffix: str) -> str | None:
+            """The last token of the encoding of the first n symbols; states[i] is that of the first i."""
+            if n <= longest and (token := word[:n] + suffix) in vocab and alone(token):
+                return token
+            for start in range(max(1, n - longest), n):
+                if (token := word[start:n] + suffix) in vocab and (before := states[start]) is not None:
+                    if (ok := pairs.get((before, token))) is None:
+                        ok = compatible(before, token)
+                    if ok:
+                        return token
+            return None
+
+        done: dict[str, list[str]] = {}
         states: list[str | None] = [None]
-        before = ""
+        previous = ""
         for word in sorted(set(words)):
-            shared = 0
-            for a, b in zip(word[:-1], before[: len(states) - 1], strict=False):
-                if a != b:
-                    break
+            size, shared = len(word), 0
+            most = min(size - 1, len(states) - 1)
+            while shared < most and word[shared] == previous[shared]:
                 shared += 1
             del states[shared + 1 :]
-            for n in range(shared + 1, len(word)):
-                states.append(self._state(word, n, states, ""))
-            before = word
-            ids, n, token = [], len(word), self._state(word, len(word), states, self.end) if word else None
-            if word and token is None:
-                known = [s for s in (*word[:-1], word[-1] + self.end) if s in self.vocab]
-                ids = [self.vocab[t] for t in self.merged(known)][::-1]
-                n = 0
+            for n in range(shared + 1, size):
+                states.append(last(word, n, ""))
+            previous = word
+            token = last(word, size, self.end) if word else None
+            if token is None:
+                done[word] = self.merged([s for s in (*word[:-1], word[-1] + self.end) if s in vocab]) if word else []
+                continue
+            tokens, n = [token], size - len(token) + len(self.end)
             while n:
-                ids.append(self.vocab[token])
-                n -= len(token.removesuffix(self.end)) if n == len(word) else len(token)
-                token = states[n]
-            done[word] = ids[::-1]
+                tokens.append(token := states[n])
+                n -= len(token)
+            tokens.reverse()
+            done[word] = tokens
         return done
 
 
@@ -149,12 +153,15 @@ class WordTokenizer:
         whole = Tokenizer.from_file(path)
         self.normalize, self.pieces = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         self.bpe = Bpe(data["model"]["vocab"], data["model"]["merges"], data["model"]["end_of_word_suffix"])
-        self.token = {i: t for t, i in data["model"]["vocab"].items()}
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
-        self.token |= {i: t for t, i in self.special.items()}
+        ids = data["model"]["vocab"] | self.special
+        self.token = {i: t for t, i in ids.items()}
+        self.packed = {t: struct.pack("<I", i) for t, i in ids.items()}
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.new: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the other bytes follow from 256 on, in order
+        self.bytes = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+        self.new: dict[str, str] = {}
+        self.old: dict[str, str] = {}
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens with a space between them: the file names no decoder."""
@@ -170,34 +177,57 @@ class WordTokenizer:
             return out + self.chunks(text[at:])
         return [c for c in _WHITE.split(text) if c] if _ODD.search(text) else text.split()
 
-    def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, str]]:
-        """Every chunk's ids (little-endian, 32 bits each) and decoded text."""
-        found = {}
+    def _letters(self, word: str) -> str | None:
+        """The one piece of a word of letters, in the vocabulary's alphabet of bytes; None if it needs the library's rules."""
+        if word.isascii():
+            return word.lower()
+        if is_normalized("NFC", word) and not _ODD_CASE.search(word):
+            return word.lower().encode().decode("latin-1").translate(self.bytes)
+        return None
+
+    def learn(self, chunks: set[str]) -> dict[str, str]:
+        """Every chunk's tokens, with a space between them (no token holds one)."""
+        found: dict[str, str] = {}
+        whole: list[tuple[str, str]] = []
         cut: dict[str, list[str]] = {}
+        new, old = self.new, self.old
         for c in chunks:
-            if (x := self.new.get(c) or self.old.get(c)) is not None:
+            if (x := new.get(c)) is not None or (x := old.get(c)) is not None:
                 found[c] = x
+            elif c.isalpha():
+                whole.append((c, self._letters(c)))
             elif c[0] == " ":
-                found[c] = (struct.pack("<I", self.special[c[1:]]), c[1:])
-            elif c.isascii() and c.isalpha():
-                cut[c] = [c.lower()]
+                found[c] = c[1:]
+            elif c[-1] in ".,;:!?" and c[:-1].isalpha():
+                cut[c] = [self._letters(c[:-1]), c[-1]]
             else:
                 cut[c] = [p for p, _ in self.pieces(self.normalize(c))]
-        ids = self.bpe.encode({p for pieces in cut.values() for p in pieces})
+        for i in [i for i, (_, p) in enumerate(whole) if p is None]:
+            c = whole[i][0]
+            cut[c] = [p for p, _ in self.pieces(self.normalize(c))]
+        for c, pieces in cut.items():
+            if pieces and pieces[0] is None:
+                cut[c] = [p for p, _ in self.pieces(self.normalize(c))]
+        words = {p for _, p in whole if p is not None}
+        words.update(p for pieces in cut.values() for p in pieces)
+        tokens = self.bpe.encode(words)
+        for c, p in whole:
+            if p is not None:
+                found[c] = new[c] = " ".join(tokens[p])
         for c, pieces in cut.items():
-            own = [i for p in pieces for i in ids[p]]
-            found[c] = self.new[c] = (struct.pack(f"<{len(own)}I", *own), self.decode(own))
-            if len(self.new) > KEPT_WORDS:
-                self.old, self.new = self.new, {}
+            found[c] = new[c] = " ".join([t for p in pieces for t in tokens[p]])
+        if len(new) > KEPT_WORDS:
+            self.old, self.new = new, {}
         return found
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """The ids and the decoded text of every text."""
+        """The ids (little-endian, 32 bits each) and the decoded text of every text."""
         cut = [self.chunks(t) for t in texts]
         known = self.learn({c for chunks in cut for c in chunks})
+        packed = self.packed
         for chunks in cut:
-            both = [known[c] for c in chunks]
-            yield b"".join([b for b, _ in both]), " ".join([t for _, t in both if t])
+            decoded = " ".join([x for c in chunks if (x := known[c])])
+            yield b"".join([packed[t] for t in decoded.split(" ")]) if decoded else b"", decoded
 
 
 _LOADED: dict[str, WordTokenizer] = {}
