@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajmill.llm import bpe, langid, mixing, simhash
@@ -24,13 +24,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id (of rows that share it, one)."""
+    """Of each group of near-duplicates the document with the smallest doc_id (of rows that share it, one); rows without a
+    doc_id go, as nothing names them."""
     found = simhash.near_duplicates(docs, distance=DISTANCE, shingle=SHINGLE)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
-    single = docs.join(kept.join(rows.where("n = 1"), "doc_id").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(kept.join(rows.where("n > 1"), "doc_id").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("r"))
-    return single.select(*COLUMNS).unionByName(repeated.select("doc_id", "r.*").select(*COLUMNS))
+    # a merge join at every size: texts move once, and the rows of a doc_id are together for the window
+    own = docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(*[c for c in COLUMNS if c != "doc_id"])
+    return own.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = mixing.mix_documents(docs).groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(1 - PART))).cast("int")
     uses = written(found.select("doc_id", times.alias("__times")).where("__times > 0"))
-    df = docs.join(uses, docs["doc_id"].eqNullSafe(uses["doc_id"])).drop(uses["doc_id"])
+    df = docs.join(uses.hint("merge"), docs["doc_id"].eqNullSafe(uses["doc_id"])).drop(uses["doc_id"])
     return df.withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*COLUMNS)
 
 
