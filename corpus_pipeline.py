@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajmill.llm import bpe, langid, mixing, simhash
+from trajmill.llm import bpe, jaccard, langid, mixing
 from trajmill.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,8 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id (of rows that share it, one); rows without a
     doc_id go, as nothing names them."""
-    found = simhash.near_duplicates(docs, distance=DISTANCE, shingle=SHINGLE)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    rows = written(docs.select("doc_id", jaccard.node().alias("node")))
+    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    kept = firsts.join(jaccard.near_duplicates(docs), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     # a merge join at every size: texts move once, and the rows of a doc_id are together for the window
     own = docs.join(kept.hint("merge"), "doc_id", "left_semi")
     order = Window.partitionBy("doc_id").orderBy(*[c for c in COLUMNS if c != "doc_id"])
