@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajmill.llm import bpe, jaccard, langid, mixing
@@ -12,8 +12,7 @@ from trajmill.llm.common import written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is used once more if the mix takes at least this share of it beyond its whole uses.
 PART = 0.5
-#: Texts whose five-word shingles have a similarity of 0.8 or more differ by at most 8 bits of the SimHash of their word
-#: pairs in 97 of 100 cases (in 4 of 100 by at most 4 bits); of unrelated texts 2.5 in 10**10 pairs do.
+#: The stage's former SimHash links, by which tests/llm/test_pipeline.py knows its copies; the stage links by llm/jaccard.py.
 SHINGLE, DISTANCE = 2, 8
 
 
@@ -24,15 +23,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id (of rows that share it, one); rows without a
-    doc_id go, as nothing names them."""
-    rows = written(docs.select("doc_id", jaccard.node().alias("node")))
-    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    kept = firsts.join(jaccard.near_duplicates(docs), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    # a merge join at every size: texts move once, and the rows of a doc_id are together for the window
-    own = docs.join(kept.hint("merge"), "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[c for c in COLUMNS if c != "doc_id"])
-    return own.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*COLUMNS)
+    """Of each group of near-duplicates one row, that with the smallest doc_id, if any has one; rows that share a doc_id or
+    have none are told apart by their texts."""
+    own = docs.withColumn("node", jaccard.node()).withColumn("row", F.xxhash64("node", *[c for c in COLUMNS if c != "text"]))
+    rows = written(own.select("node", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("of")))
+    firsts = rows.groupBy("node").agg(F.min("of").alias("of"))
+    kept = firsts.join(jaccard.near_duplicates(docs), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("of").alias("of")).select("of.row")
+    # a merge join at every size: texts move once, and rows that are equal in everything are together
+    return own.join(kept.hint("merge"), "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

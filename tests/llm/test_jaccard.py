@@ -47,3 +47,11 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, block):
     docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(own)], COLUMNS)
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(brute(own)))
+
+
+def test_null_and_shared_ids_lose_no_text(spark):
+    a, b, c, d = ["".join(f" {k}{i}" for i in range(30)) for k in "abcd"]
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (None, d), (3, c)]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], COLUMNS)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted([(0, a), (0, b), (1, c), (1, d)])
