@@ -20,33 +20,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 COVERAGE = 0.8
-_WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
+#: A point after a digit and before a letter ends a sentence ("version 3.The").
+_WORD = re.compile(r"[^\W_]+(?:(?:[\-']|\.(?!(?<=\d\.)[^\W\d_]))[^\W_]+)*")
 
 # Wordings of public licenses and of the notices that name them.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
+        "Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "under the MIT License",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
+        "GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "GNU General Public License, version 2",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "GNU Lesser General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "GNU Lesser General Public License, version 2.1",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "GNU Affero General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.",
+        "CC BY-NC 4.0",
+        "Creative Commons Attribution-NonCommercial 4.0 International",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-4.0": [
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Licensed under CC BY 4.0.",
+        "CC BY 4.0",
+        "Creative Commons Attribution 4.0 International",
+    ],
+    "CC-BY-SA-4.0": [
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Licensed under CC BY-SA 4.0.",
+        "CC BY-SA 4.0",
+        "Creative Commons Attribution-ShareAlike 4.0 International",
+    ],
+    "CC0-1.0": ["CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "BSD-2-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
 }
+#: Notices of at most so many words have no word to spare: they are found word for word.
+SHORT = 16
+#: What tells licenses apart in longer wordings: where a template has these words, a match has them, side by side.
+NAMES = ["apache license version 2.0", "gnu general public license", "gnu lesser general public license", "gnu affero general public license", "version 2", "version 2.1", "version 3", "mozilla public license v 2.0"]
 
 
 def words_of(text: str) -> list[str]:
@@ -101,6 +147,11 @@ class Template:
         self.counts = Counter(self.words)
         #: Words make up more than this many of the template's: a match holds one of them.
         self.spare = len(self.words) - -(-len(self.words) * coverage // 1)
+        self.short = len(self.words) <= SHORT
+        if self.short:
+            self.spare = 0
+        named = [n.split() for n in NAMES]
+        self.names = [(i, len(n)) for n in named for i in range(len(self.words)) if self.words[i : i + len(n)] == n]
         self.signs = self._enough(sorted(self.counts, key=lambda w: (-len(w), w)))
 
     def _enough(self, words: list[str]) -> list[str]:
@@ -117,6 +168,10 @@ class Template:
         if sum(n for w, n in self.counts.items() if w in places) < len(self.words) - self.spare:
             return []
         centres = sorted({p for w in self._enough(sorted(self.counts, key=lambda w: (len(places.get(w, ())), w))) for p in places.get(w, ())})
+        if self.short:
+            rare = min(self.counts, key=lambda w: (len(places[w]), w))
+            begins = sorted({p - i for p in places[rare] for i, w in enumerate(self.words) if w == rare and p >= i})
+            return [(1.0, p, p + len(self.words)) for p in begins if text[p : p + len(self.words)] == self.words]
         found, reach, until = [], len(self.words) + int(self.spare) + 2, -1
         for c in centres:
             if c <= until:
@@ -129,7 +184,9 @@ class Template:
                     pairs.pop()
                 else:
                     pairs.pop(0)
-            if len(pairs) >= len(self.words) - self.spare:
+            at = dict(pairs)
+            named = all(i in at and at.get(i + k) == at[i] + k for i, n in self.names for k in range(n))
+            if named and len(pairs) >= len(self.words) - self.spare:
                 found.append((len(pairs) / len(self.words), start + pairs[0][1], start + pairs[-1][1] + 1))
                 until = start + pairs[-1][1]
         return sorted(found, key=lambda x: (-x[0], x[1]))
