@@ -43,6 +43,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.out = ["html"], [-1], [False]
+        self.named: list[int] = []  # elements that class or id would take out
         self.events: list[tuple[int, str | None]] = []  # (element, text), or None for a break
         stack, at = [0], 0
         open_: dict[str, int] = {"html": 1}
@@ -65,6 +66,8 @@ class Page:
             self.tag.append(name)
             self.parent.append(stack[-1])
             self.out.append(self.out[stack[-1]] or self._is_out(name, m[3] or "", open_))
+            if not self.out[node] and self._is_named(name, m[3] or ""):
+                self.named.append(node)
             if name in _BLOCK or name == "br":
                 self.events.append((node, None))
             if name in _RAW:
@@ -117,18 +120,34 @@ class Page:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in _OUT_ROLES or _HIDDEN.search(found.get("style", "")):
             return True
-        if name in ("html", "body", "article", "main"):
+        return False
+
+    def _is_named(self, name: str, attributes: str) -> bool:
+        if name in ("html", "body", "article", "main") or not attributes.strip():
             return False
+        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         return any(_OUT_NAMES.search(unescape(found[k])) for k in ("class", "id") if k in found)
 
     def forms_out(self) -> None:
-        """A form is out, unless the article is in it."""
+        """A form, and what class or id name so, is out, unless the article is in it; a name takes out no element with most
+        of the page's text outside links either."""
         holds = set()
         for i, name in enumerate(self.tag):
             if name in ("article", "main", "h1"):
                 while i >= 0 and i not in holds:
                     holds.add(i)
                     i = self.parent[i]
+        if self.named:
+            linked, chars = [False] * len(self.tag), [0] * len(self.tag)
+            for i in range(1, len(self.tag)):
+                linked[i] = linked[self.parent[i]] or self.tag[i] == "a"
+            for i, text in self.events:
+                if text is not None and not self.out[i] and not linked[i]:
+                    chars[i] += len(" ".join(text.split()))
+            for i in range(len(self.tag) - 1, 0, -1):
+                chars[self.parent[i]] += chars[i]
+            for i in self.named:
+                self.out[i] |= i not in holds and 2 * chars[i] <= chars[0]
         for i, name in enumerate(self.tag):
             self.out[i] |= (name == "form" and i not in holds) or (i > 0 and self.out[self.parent[i]])
 
@@ -171,7 +190,9 @@ class Page:
         while (i := self.parent[i]) >= 0:
             path.append(i)
         if roots := [i for i in path if self.tag[i] in ("article", "main")]:
-            chosen = {roots[0]}
+            threshold = min(dense[i] for i in path if self.tag[i] not in ("html", "body"))
+            alike = (i for i in range(n) if self.tag[i] == self.tag[roots[0]] == "article" and self.parent[i] == self.parent[roots[0]])
+            chosen = {roots[0]} | {i for i in alike if dense[i] >= threshold}
         else:
             threshold = min([dense[i] for i in path if self.tag[i] not in ("html", "body")] or [0.0])
             best = list(range(n))  # the element of the largest sum in each subtree
