@@ -40,9 +40,9 @@ def texts():
     return out + [" ".join([*hot[:k], "x", *hot[k + 1 :]]) for k in range(100)]
 
 
-@pytest.mark.parametrize("block", [64, 3])
-def test_components_are_those_of_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+@pytest.mark.parametrize("partners", [3, 1])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, partners):
+    monkeypatch.setattr(jaccard, "PARTNERS", partners)
     own = texts()
     docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(own)], COLUMNS)
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()

@@ -17,10 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else (in tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a new local one if all of Spark
+    runs in this process, else an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trajmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trajmill-"))
     return context.getCheckpointDir()
 
 
@@ -28,7 +32,23 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends here, and a lost executor costs no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote, wherever Spark's file systems keep it."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes written() tables that nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "written_at", None):
+            remove(table.sparkSession, path)
 
 
 def text_or_empty(name: str = "text") -> Column:

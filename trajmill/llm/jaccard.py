@@ -1,13 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, by prefix filtering.
-
-Two sets with a similarity of 0.8 or more share a token among the first |A| - ceil(0.8 |A|) + 1 of each, in any order of
-all tokens; so texts that share no such token are never looked at, and no pair is lost. Tokens that a sample of the texts
-shows often come last in the order, which only keeps the groups of a token small. Every candidate pair is verified on the
-sets of the whole texts.
-
-Equal texts are one node. Of the texts of a token, first each is compared with its neighbour and with the first of its
-block, in order of size; then all pairs of sizes that allow it whose ends the links found so far do not connect. What is
-left out is connected already, so components are those of all links. Texts and shingles are told apart by 64-bit hashes.
+"""Operator 3 with a verified similarity: near-duplicates whose sets of word shingles have a Jaccard similarity of 0.8.
+
+SimHash proposes and whole texts decide. Fingerprints of word pairs within DISTANCE bits (`simhash.link`) are the first
+candidates. SimHash alone can't reach a similarity of 0.8 (such texts differ by 10 bits and more, where signatures no longer
+tell texts apart), so prefix filtering finds the rest: two sets with a similarity of 0.8 or more share a token among the
+first |A| - ceil(0.8 |A|) + 1 of each, in any order of all tokens. Tokens that a sample of the texts shows often come last
+in the order, which only keeps the groups of a token small.
+
+Equal texts are one node. First each text of a token is compared with a few others, in an order of the token's own, and
+with what SimHash proposes; then all pairs whose ends the links found so far do not connect. What is left out is connected
+already, so components are those of all links. Before texts are fetched, pairs are dropped that can't be similar: a text's
+bitmap holds the parity of its tokens in each of 256 bins, and sets whose bitmaps differ in d bits differ in d tokens or
+more. Texts and shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,16 +22,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajmill.llm.common import partitions, written
+from trajmill.llm import simhash
+from trajmill.llm.common import partitions, release, written
 from trajmill.llm.simhash import components
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
-BLOCK = 64
+#: SimHash's own candidates: shingles of so many words, fingerprints within so many bits.
+PAIRS, DISTANCE = 2, 4
+#: With how many texts of a token each is compared at first.
+PARTNERS = 3
 #: Texts looked at for frequent tokens, in how many of them a token is frequent, and how many such tokens are kept.
 _SAMPLE, _OFTEN, _MOST = 20_000, 3, 200_000
 _AT_ONCE = 1 << 20
+_WORDS = 4  # of 64 bits in a bitmap
+BITMAP = [f"b{i}" for i in range(_WORDS)]
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -55,38 +64,50 @@ def node(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def frequent(texts: DataFrame) -> np.ndarray:
-    """Sorted tokens that are frequent in a sample of the texts, chosen by the texts' hashes."""
-    share = max(1, texts.count() // _SAMPLE)
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """The parity of the number of tokens in each of 64 * _WORDS bins."""
+    bins = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % (64 * _WORDS), minlength=64 * _WORDS) & 1
+    return np.packbits(bins.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def frequent(docs: DataFrame) -> np.ndarray:
+    """Sorted tokens that are frequent in a sample of the texts (columns node and text), chosen by the texts' hashes."""
+    share = max(1, docs.count() // _SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t or b"").view(np.int64))], ["token"])
 
-    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("text").mapInArrow(run, "token bigint")
+    sample = docs.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).dropDuplicates(["node"]).select("text").mapInArrow(run, "token bigint")
     found = sample.groupBy("token").count().where(f"count >= {_OFTEN}").orderBy(F.desc("count"), "token").limit(_MOST).collect()
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
-def prefixes(texts: DataFrame, often: np.ndarray) -> DataFrame:
-    """(token, size, node): the tokens of every text's prefix."""
+def prepared(docs: DataFrame) -> DataFrame:
+    """A written table with a row for each distinct text: node, text, fp (SimHash), size (tokens), bitmap and prefix."""
+    own = docs.select(node().alias("node"), "text")
+    often = frequent(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, sizes, counts = [], [], []
+            prints, sizes, maps, prefixes = [], [], [], []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
-                own = shingles(t or b"")
-                common = often[np.searchsorted(often[:-1], own)] == own if len(often) else np.zeros(len(own), bool)
-                n = len(own) + (-len(own) * NUMERATOR) // DENOMINATOR + 1
-                tokens.append(np.concatenate([own[~common], own[common]])[:n])
-                sizes.append(len(own))
-                counts.append(n)
-            if tokens:
-                columns = np.concatenate(tokens).view(np.int64), np.repeat(sizes, counts), np.repeat(np.asarray(batch.column(0)), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "size", "node"])
-
-    return texts.select("node", "text").mapInArrow(run, "token bigint, size bigint, node bigint")
+                tokens = shingles(t or b"")
+                common = often[np.searchsorted(often[:-1], tokens)] == tokens if len(often) else np.zeros(len(tokens), bool)
+                n = len(tokens) + (-len(tokens) * NUMERATOR) // DENOMINATOR + 1
+                prefixes.append(np.concatenate([tokens[~common], tokens[common]])[:n].view(np.int64))
+                prints.append(simhash.simhash(t or b"", PAIRS))
+                sizes.append(len(tokens))
+                maps.append(bitmap(tokens))
+            if sizes:
+                ends = pa.array(np.append(0, np.cumsum([len(x) for x in prefixes])), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes)))
+                columns = [batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *[pa.array(c) for c in np.ascontiguousarray(np.array(maps).T)], lists]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "text", "fp", "size", *BITMAP, "prefix"])
+
+    # a task sends on one of a text's copies only
+    return written(own.dropDuplicates(["node"]).mapInArrow(run, f"node bigint, text string, fp bigint, size bigint, {', '.join(f'{b} bigint' for b in BITMAP)}, prefix array<bigint>"))
 
 
 def _by_token(rows: DataFrame, work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -120,31 +141,39 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
-def neighbours(token: np.ndarray, size: np.ndarray, name: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """kind 0: pairs (a, b) of each text with the one before and the first of its block; kind 1: rows (token, node, size)
-    of tokens with several texts."""
+def partners(token: np.ndarray, size: np.ndarray, name: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """kind 0: pairs (a, b) of each text with the PARTNERS before it, in an order that differs from token to token; kind 1:
+    rows (token, node, size) of tokens with several texts."""
     first = np.append(True, token[1:] != token[:-1])
     begins = np.flatnonzero(first)
     counts = np.diff(begins, append=len(token))
-    place = np.arange(len(token)) - np.repeat(begins, counts)
     many = np.repeat(counts > 1, counts)
-    yield _batch(1, token[many], name[many], size[many])
-    at = np.flatnonzero(place > 0)
-    other = np.concatenate([at - 1, at - np.maximum(place[at] % BLOCK, 1)])
-    at = np.concatenate([at, at])
-    fits = DENOMINATOR * size[other] >= NUMERATOR * size[at]
-    a, b = _pairs(name[at[fits]], name[other[fits]])
+    token, size, name = token[many], size[many], name[many]
+    yield _batch(1, token, name, size)
+    with np.errstate(over="ignore"):
+        order = np.lexsort(((name ^ token) * np.int64(-7046029254386353131), token))
+    token, size, name = token[order], size[order], name[order]
+    found = []
+    for d in range(1, PARTNERS + 1):
+        at = np.flatnonzero(token[d:] == token[:-d])
+        fits = DENOMINATOR * np.minimum(size[at], size[at + d]) >= NUMERATOR * np.maximum(size[at], size[at + d])
+        found.append((name[at[fits]], name[at[fits] + d]))
+    a, b = _pairs(*[np.concatenate(x) for x in zip(*found, strict=True)])
     yield _batch(0, a, b, np.zeros(len(a), np.int64))
 
 
-def across(token: np.ndarray, size: np.ndarray, name: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """kind 0: all pairs of texts of one token whose sizes allow a link and whose roots differ."""
+def across(token: np.ndarray, size: np.ndarray, name: np.ndarray, root: np.ndarray, *maps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """kind 0: all pairs of texts of one token whose sizes and bitmaps allow a link and whose roots differ."""
     ends = np.flatnonzero(np.append(token[1:] != token[:-1], True))
     left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(token))  # rows of the token after this one
+    maps = [m.view(np.uint64) for m in maps]
     a, b, held, d, at = [], [], 0, 1, np.flatnonzero(left > 0)
     while len(at) or held:
         at = at[DENOMINATOR * size[at] >= NUMERATOR * size[at + d]] if len(at) else at  # sizes grow with d
         apart = at[root[at] != root[at + d]] if len(at) else at
+        if len(apart):
+            differ = sum(np.bitwise_count(m[apart] ^ m[apart + d]).astype(np.int64) for m in maps)
+            apart = apart[differ * (DENOMINATOR + NUMERATOR) <= (DENOMINATOR - NUMERATOR) * (size[apart] + size[apart + d])]
         a.append(name[apart])
         b.append(name[apart + d] if len(apart) else name[:0])
         held += len(apart)
@@ -156,9 +185,18 @@ def across(token: np.ndarray, size: np.ndarray, name: np.ndarray, root: np.ndarr
             a, b, held = [], [], 0
 
 
+def possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sizes and bitmaps allow a link."""
+    one = texts.select(F.col("node").alias("a"), F.col("size").alias("n"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(BITMAP)])
+    two = texts.select(F.col("node").alias("b"), F.col("size").alias("m"), *[F.col(c).alias(f"y{i}") for i, c in enumerate(BITMAP)])
+    both = pairs.distinct().join(one.hint("merge"), "a").join(two.hint("merge"), "b")
+    differ = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(_WORDS))
+    return both.where(f"{DENOMINATOR} * least(n, m) >= {NUMERATOR} * greatest(n, m) and {DENOMINATOR + NUMERATOR} * ({differ}) <= {DENOMINATOR - NUMERATOR} * (n + m)").select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose texts are similar."""
-    pairs = written(pairs.distinct())
+    """A written table of those of the distinct pairs (a, b) of nodes whose texts are similar."""
+    pairs = written(pairs)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     own = written(texts.join(ends.hint("merge"), "node", "left_semi").select("node", "text"))
     one = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
@@ -174,17 +212,35 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(similar(shingles(x or b""), sets))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    links = written(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
+    release(pairs, own)
+    return links
+
+
+def proposed(texts: DataFrame) -> DataFrame:
+    """SimHash's candidates: of texts of one fingerprint each with the least, and the least of linked fingerprints."""
+    least = written(texts.groupBy("fp").agg(F.min("node").alias("least")))
+    linked = simhash.link(least, DISTANCE).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    alike = texts.select("fp", "node").join(least, "fp").where("node != least")
+    pairs = linked.select("x", "y").union(alike.select("node", "least")).toDF("x", "y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(node, root): every text that has a similar one, with the least node of those it reaches over links."""
-    # one row for a text; a task sends on one of its copies only
-    texts = written(docs.select(node().alias("node"), "text").dropDuplicates(["node"]))
-    found = written(_by_token(prefixes(texts, frequent(texts)), neighbours, "kind int, a bigint, b bigint, size bigint"))
-    links = written(verified(found.where("kind = 0").select("a", "b"), texts))
+    """(node, root): every text that has a similar one, with the least node of those it reaches over links.
+
+    A null text is empty; empty texts are one node, and a text of fewer words than a shingle has all its words as the only
+    one. Only column `text` is looked at; repeated rows are one node. No rows: no rows."""
+    texts = prepared(docs)
+    schema = "kind int, a bigint, b bigint, size bigint"
+    found = written(_by_token(texts.select(F.explode("prefix").alias("token"), "size", "node"), partners, schema))
+    links = verified(possible(proposed(texts).union(found.where("kind = 0").select("a", "b")), texts), texts)
     roots = components(links)
     rows = found.where("kind = 1").select(F.col("a").alias("token"), "size", F.col("b").alias("node"))
-    rows = rows.join(roots, "node", "left").select("token", "size", "node", F.coalesce("root", "node").alias("root"))
-    more = _by_token(rows, across, "kind int, a bigint, b bigint, size bigint").select("a", "b")
-    return components(links.union(verified(more, texts)))
+    known = texts.select("node", *BITMAP).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *BITMAP)
+    rows = rows.join(known.hint("merge"), "node").select("token", "size", "node", "root", *BITMAP)
+    more = verified(_by_token(rows, across, schema).select("a", "b").distinct(), texts)
+    release(found, roots, texts)
+    result = components(links.union(more))
+    release(links, more)
+    return result

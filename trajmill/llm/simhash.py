@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajmill.llm.common import partitions, written
+from trajmill.llm.common import partitions, release, written
 
 BITS = 64
 RUN = 2048
@@ -32,6 +32,10 @@ DISTANCE = 4
 _SHINGLES_AT_ONCE = 1 << 18
 #: Estimated seconds: to shuffle and sort a signature row; to verify a candidate pair.
 _ROW_S, _PAIR_S = 2e-6, 2e-7
+#: Signatures of a fingerprint: plans with more are taken only if every plan has more.
+MOST_MASKS = 4096
+#: A node's links are dealt to so many tasks.
+_SALTS = 8
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -124,13 +128,15 @@ def thresholds(n: int, together: np.ndarray, groups: list[list[int]], distance:
 
 
 def plan(n: int, together: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
-    """The partitions that are looked at, each with its threshold."""
+    """The partitions that are looked at, each with its threshold; of plans of one cost that with the fewest signatures."""
     options = []
     for m in range(1, distance + 3):
         groups = correlated_groups(n, together, m)
         cost, chosen = thresholds(n, together, groups, distance)
-        options.append((cost, [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]))
-    return min(options, key=lambda x: x[0])[1]
+        parts = [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]
+        size = sum(comb(len(g), t) for g, t in parts)
+        options.append((max(size, MOST_MASKS), cost, size, parts))
+    return min(options, key=lambda x: x[:3])[3]
 
 
 def masks(partitions_: list[tuple[list[int], int]]) -> np.ndarray:
@@ -214,21 +220,26 @@ def compare(signed: DataFrame, distance: int, limit: int | None) -> DataFrame:
             if limit is not None:
                 ends = np.flatnonzero(np.append(key[1:] != key[:-1], True))
                 sizes = np.diff(ends, prepend=-1)
-                hot = np.repeat(sizes > limit, sizes)
+                hot = np.repeat((sizes > limit) | (key[ends] == passing), sizes)
                 if hot.any():
                     yield out(1, key[hot], fp[hot])
                     key, fp = key[~hot], fp[~hot]
             if len(key):
                 yield out(0, *_links(key, fp, distance))
 
-        keys, prints, held = [], [], 0
+        keys, prints, held, passing = [], [], 0, None  # passing: a hot key, part of whose rows has gone out
         for batch in batches:
             keys.append(np.asarray(batch.column(0)).view(np.uint64))
             prints.append(np.asarray(batch.column(1)).view(np.uint64))
             held += len(keys[-1])
-            if held < 500_000 or keys[0][0] == keys[-1][-1]:
+            if held < 500_000 or (keys[0][0] == keys[-1][-1] and limit is None):  # without a limit a key has two runs at most
                 continue
             key, fp = np.concatenate(keys), np.concatenate(prints)
+            if key[0] == key[-1]:
+                passing = key[0]
+                yield out(1, key, fp)
+                keys, prints, held = [], [], 0
+                continue
             cut = int(np.flatnonzero(key != key[-1])[-1]) + 1  # the last key may go on
             yield from work(key[:cut], fp[:cut])
             keys, prints, held = [key[cut:]], [fp[cut:]], len(key) - cut
@@ -242,6 +253,8 @@ def compare(signed: DataFrame, distance: int, limit: int | None) -> DataFrame:
 def link(prints: DataFrame, distance: int = DISTANCE, run: int = RUN) -> DataFrame:
     """Edges (a, b) that connect exactly what links of distinct fingerprints (column fp) within the distance connect."""
     n, together = bit_statistics(prints)
+    if n < 2:
+        return prints.sparkSession.createDataFrame([], "a bigint, b bigint")
     kept = masks(plan(n, together, distance))
     found = written(compare(signatures(prints, kept), distance, run))
     hot = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
@@ -261,7 +274,8 @@ def components(edges: DataFrame) -> DataFrame:
     def stars(e: DataFrame, large: bool) -> DataFrame:
         sides = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        both = sides.join(least, "u")
+        # a hub's links meet its least neighbour in several tasks
+        both = sides.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(_SALTS))).join(least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long")))), ["u", "salt"])
         moved = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else both.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         return moved.where("u != v").distinct()
 
@@ -271,9 +285,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v").distinct())
     was, is_ = None, state(now)
     while is_[0] and is_ != was:
-        now = written(stars(stars(now, True), False))
+        old, now = now, written(stars(stars(now, True), False))
+        release(old)
         was, is_ = is_, state(now)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots.written_at = now.written_at
+    return roots
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, run: int = RUN) -> DataFrame:
