@@ -12,8 +12,6 @@ from trajmill.llm.common import written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is used once more if the mix takes at least this share of it beyond its whole uses.
 PART = 0.5
-#: The stage's former SimHash links, by which tests/llm/test_pipeline.py knows its copies; the stage links by llm/jaccard.py.
-SHINGLE, DISTANCE = 2, 8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row, that with the smallest doc_id, if any has one; rows that share a doc_id or
-    have none are told apart by their texts."""
+    have none are told apart by their texts. SimHash (operator 3) proposes, five-word similarity decides: `llm/jaccard.py`."""
     own = docs.withColumn("node", jaccard.node()).withColumn("row", F.xxhash64("node", *[c for c in COLUMNS if c != "text"]))
     rows = written(own.select("node", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("of")))
     firsts = rows.groupBy("node").agg(F.min("of").alias("of"))
