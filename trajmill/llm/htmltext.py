@@ -2,10 +2,14 @@
 
 A node's density is its characters per tag, raised where few of them are in links and lowered where many are. A node's
 density sum adds up its children's densities (and that of text directly in it). The node with the largest sum is the heart
-of the article; the least density on the path from it to the body is the threshold: subtrees that reach it are looked
-through for their own largest sum, and those nodes, with all below them, are the content. Where the heart lies in an
-<article> or <main>, that element is the content instead. Elements that say what they are (navigation, forms, adverts,
-notices, comments and so on, by tag, role, class or id) are taken out before.
+of the article and content as a whole. The threshold is the least density on the path from the heart up to the body, menus
+and all, between those of a few plain words and of a plain sentence. Subtrees beside that path, inside the heart's wrappers, are content if they
+reach the threshold, and so are the short paragraphs and headings without links next to them; subtrees beside the wrapper,
+directly in the body, also need a density sum of RIVAL times the heart's.
+
+No tag makes a node content: <article> and <main> are wrappers like any other. Elements that say that they are not
+(navigation, forms, adverts, notices, comments and so on, by tag, role, class or id) are taken out before the heart is
+sought, but for names that would take out most of the page's plain text.
 """
 
 from __future__ import annotations
@@ -35,14 +39,26 @@ _OUT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|sidebar|side-?bar|rail|ad|ads|adv|advert\w*|adsense|adslot|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|notification|"
     r"popup|modal|overlay|newsletter|subscri\w+|signup|sign-up|login|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|pager|comments?|commentlist|comment-\w+|respond|replies|"
     r"disqus\w*|widget\w*|toolbar|masthead|site-header|page-header|site-footer|page-footer|footer|copyright|skip-link|search-?\w*|outbrain|taboola)(?:$|[\s_\d-])", re.I)
+#: Blocks that may be short, and stay with content beside them if they have no link.
+_TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption", "hr", "br"}
+#: The threshold is held between the densities of so many plain characters; the share of the heart's density sum that makes a block beside its wrapper another article.
+PLAIN, RIVAL = (15, 40), 0.25
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """The composite density of an element; share: of the page's characters that are in links."""
+    if not chars:
+        return 0.0
+    base = log(chars / max(chars - link_chars, 1) * link_chars + share * chars + e)
+    return chars / max(tags, 1) * log(max(chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1), 1.0)) / log(base + 1)
+
+
 class Page:
     """A page's elements in document order, and its text in order with the breaks between blocks."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.out = ["html"], [-1], [False]
+        self.tag, self.parent, self.out, self.raw = ["html"], [-1], [False], [False]
         self.named: list[int] = []  # elements that class or id would take out
         self.events: list[tuple[int, str | None]] = []  # (element, text), or None for a break
         stack, at = [0], 0
@@ -65,6 +81,7 @@ class Page:
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1])
+            self.raw.append(self.raw[stack[-1]] or name in _RAW or name == "head")
             self.out.append(self.out[stack[-1]] or self._is_out(name, m[3] or "", open_))
             if not self.out[node] and self._is_named(name, m[3] or ""):
                 self.named.append(node)
@@ -129,11 +146,11 @@ class Page:
         return any(_OUT_NAMES.search(unescape(found[k])) for k in ("class", "id") if k in found)
 
     def forms_out(self) -> None:
-        """A form, and what class or id name so, is out, unless the article is in it; a name takes out no element with most
-        of the page's text outside links either."""
+        """A form, and what class or id name so, is out, unless the article is in it. Where no tag says where the article is,
+        a name takes out no element with most of the page's text outside links either."""
         holds = set()
         for i, name in enumerate(self.tag):
-            if name in ("article", "main", "h1"):
+            if name in ("article", "main", "h1") and not self.out[i]:
                 while i >= 0 and i not in holds:
                     holds.add(i)
                     i = self.parent[i]
@@ -147,73 +164,87 @@ class Page:
             for i in range(len(self.tag) - 1, 0, -1):
                 chars[self.parent[i]] += chars[i]
             for i in self.named:
-                self.out[i] |= i not in holds and 2 * chars[i] <= chars[0]
+                self.out[i] |= i not in holds and (bool(holds) or 2 * chars[i] <= chars[0])
         for i, name in enumerate(self.tag):
             self.out[i] |= (name == "form" and i not in holds) or (i > 0 and self.out[self.parent[i]])
 
-    def densities(self) -> tuple[list[float], list[float]]:
-        """The density and the density sum of every element; those that are out count for nothing."""
+    def densities(self, out: list[bool]) -> tuple[list[float], list[float], list[int]]:
+        """The density, the density sum and the characters in links of every element; those that are out count for nothing."""
         n = len(self.tag)
         chars, tags, link_chars, link_tags, own, linked = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
         for i in range(1, n):
             linked[i] = linked[self.parent[i]] or self.tag[i] == "a"
         for i, text in self.events:
-            if text is not None and not self.out[i]:
+            if text is not None and not out[i]:
                 own[i] += len(" ".join(text.split()))
         for i in range(n - 1, -1, -1):
             chars[i] += own[i]
             link_chars[i] += own[i] if linked[i] else 0
-            if i and not self.out[i]:
-                for counts, more in ((chars, 0), (tags, 1), (link_chars, 0), (link_tags, self.tag[i] == "a")):
-                    counts[self.parent[i]] += counts[i] + more
+            if i and not out[i]:
+                up = self.parent[i]
+                chars[up] += chars[i]
+                tags[up] += tags[i] + 1
+                link_chars[up] += link_chars[i]
+                link_tags[up] += link_tags[i] + (self.tag[i] == "a")
         share = link_chars[0] / max(chars[0], 1)
-
-        def density(c: int, t: int, lc: int, lt: int) -> float:
-            if not c:
-                return 0.0
-            base = log(c / max(c - lc, 1) * lc + share * c + e)
-            return c / max(t, 1) * log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / log(base + 1)
-
-        dense = [0.0 if self.out[i] else density(chars[i], tags[i], link_chars[i], link_tags[i]) for i in range(n)]
-        sums = [0.0 if linked[i] or self.out[i] else density(own[i], 1, 0, 0) for i in range(n)]
+        dense = [0.0 if out[i] else density(chars[i], tags[i], link_chars[i], link_tags[i], share) for i in range(n)]
+        sums = [0.0 if linked[i] or out[i] else density(own[i], 1, 0, 0, share) for i in range(n)]
         for i in range(1, n):
             sums[self.parent[i]] += dense[i]
-        return dense, sums
+        return dense, sums, link_chars
 
-    def content(self) -> list[bool]:
-        """Which elements belong to the article."""
-        self.forms_out()
+    def content(self) -> tuple[list[bool], set[int]]:
+        """Which elements belong to the article, and others of which only the text directly in them does."""
         n = len(self.tag)
-        dense, sums = self.densities()
+        whole = self.densities(self.raw)[0]
+        self.forms_out()
+        dense, sums, link_chars = self.densities(self.out)
         heart = max(range(n), key=lambda i: (sums[i], -i))
-        path, i = [heart], heart
-        while (i := self.parent[i]) >= 0:
-            path.append(i)
-        if roots := [i for i in path if self.tag[i] in ("article", "main")]:
-            threshold = min(dense[i] for i in path if self.tag[i] not in ("html", "body"))
-            alike = (i for i in range(n) if self.tag[i] == self.tag[roots[0]] == "article" and self.parent[i] == self.parent[roots[0]])
-            chosen = {roots[0]} | {i for i in alike if dense[i] >= threshold}
-        else:
-            threshold = min([dense[i] for i in path if self.tag[i] not in ("html", "body")] or [0.0])
-            best = list(range(n))  # the element of the largest sum in each subtree
-            for i in range(n - 1, 0, -1):
-                if (sums[best[i]], -best[i]) > (sums[best[self.parent[i]]], -best[self.parent[i]]):
-                    best[self.parent[i]] = best[i]
-            chosen = {heart} | {best[i] for i in range(n) if dense[i] >= threshold > 0 and self.tag[i] not in ("html", "body", "a")}
+        path = [heart]
+        while self.parent[path[-1]] >= 0:
+            path.append(self.parent[path[-1]])
+        few, many = (density(n, 1, 0, 0, 0.0) for n in PLAIN)
+        threshold = max(few, min(many, *(whole[i] for i in path)))
+        page = [i for i in path if self.tag[i] in ("html", "body")]
+        children: dict[int, list[int]] = {i: [] for i in path}
+        for i in range(1, n):
+            if self.parent[i] in children and not self.out[i]:
+                children[self.parent[i]].append(i)
+        chosen, own, on_path = set() if heart in page else {heart}, {i for i in path if i not in page or i == heart}, set(path)
+        best = list(range(n))  # the element of the largest sum in each subtree
+        for i in range(n - 1, 0, -1):
+            if (sums[best[i]], -best[i]) > (sums[best[self.parent[i]]], -best[self.parent[i]]):
+                best[self.parent[i]] = best[i]
+        open_ = {}  # subtrees below the threshold, with the element on the path that they are beside
+        for up in path if heart in page else path[1:]:
+            beside = [i for i in children[up] if i not in on_path]
+            rival = RIVAL * sums[heart] if up in page and up != heart else 0.0
+            near = {i for i in beside if dense[i] >= threshold and sums[best[i]] >= rival}
+            chosen |= near
+            if not rival:
+                if near or up != heart or heart in page:
+                    chosen.update(i for i in beside if self.tag[i] in _TEXTUAL and not link_chars[i])
+                open_.update((i, up) for i in beside if i not in chosen)
+        for i in range(1, n):  # parts of them may reach it
+            if (up := open_.get(self.parent[i])) is not None and not self.out[i]:
+                if dense[i] >= threshold and self.tag[i] != "a":
+                    chosen.add(i)
+                else:
+                    open_[i] = up
         kept = [False] * n
         for i in range(n):
             kept[i] = not self.out[i] and (i in chosen or (i > 0 and kept[self.parent[i]]))
-        return kept
+        return kept, own
 
     def text(self) -> str:
-        kept = self.content()
+        kept, own = self.content()
         blocks, run = [], []
         for i, text in [*self.events, (0, None)]:
             if text is None:
                 if block := " ".join("".join(run).split()):
                     blocks.append(block)
                 run = []
-            elif kept[i]:
+            elif kept[i] or i in own:
                 run.append(text)
         return "\n".join(blocks)
 
@@ -226,8 +257,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row's main text.
 
     Blocks are joined by one line feed, white space inside a block is one space, character references are decoded. A null
-    or empty page has an empty text; so has one without text. Pages cut short end where they end. Rows that share a page_id
-    have a result each. Other columns are ignored. No rows: no rows.
+    or empty page has an empty text; so has one without text. Pages cut short end where they end. Of elements of one density
+    sum the first is the heart. Rows that share a page_id have a result each. Other columns are ignored. No rows: no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
