@@ -260,6 +260,27 @@ def test_shards(spark, odd, empty):
     assert len(few) == len(ODD) and all(0 <= r.shard < 24 for r in few)
 
 
+def test_equal_texts_stay_together(spark):
+    """Against brute force: of 80 groups none is parted but the one heavier than a shard; sizes stay near equal."""
+    rng = np.random.default_rng(14)
+    rows = [(i, f"text {i} " * int(rng.integers(3, 30)), ["en", "de", None][i % 3], None) for i in range(4000)]
+    rows += [(10_000 + g, f"copy {g} " * 20, ["en", "de"][c % 2], None) for g in range(80) for c in range(int(rng.integers(2, 40)))]
+    rows += [(20_000, "hot text " * 20, "en", None)] * 2500
+    rows += [(30_000 + i, t, None, None) for i, t in enumerate([None, None, "", ""])]
+    got = kdshards.shard_documents(documents(spark, rows), 12).collect()
+    by_size = Counter()
+    for r in got:
+        by_size[r.shard] += r["size"]
+    assert sum(by_size.values()) == sum(len((t or "").encode()) + 8 for _, t, *_ in rows) and len(got) == len(rows)
+    mean = sum(by_size.values()) / 12
+    assert all(abs(n - mean) <= 0.12 * mean for n in by_size.values())
+    where = {}
+    for r in got:
+        where.setdefault((r.text_crc32, r["size"]), set()).add(r.shard)
+    parted = {k for k, x in where.items() if len(x) > 1}
+    assert parted <= {(zlib.crc32(("hot text " * 20).encode()), 9 * 20 + 8)}
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 

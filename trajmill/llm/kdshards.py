@@ -2,9 +2,10 @@
 
 A node that is to hold k shards is split at the weighted quantile floor(k/2)/k along its widest dimension (the one whose
 range, as a share of the whole table's, is largest). Weights are bytes. The quantile is found by distributed histograms:
-each pass counts the bytes of every node's remaining range in BINS equal bins, and only those counts (at most
-BINS * shards rows) reach the driver. Rows with one value are ordered by the text's checksum, then by row, so copies of a
-text are parted only where a split runs through a group heavier than the tolerance.
+each pass counts the bytes of every node's remaining range in equal bins, and only those counts (at most MOST_BINS rows for
+up to MOST_BINS / 16 shards) reach the driver. Rows with one value are ordered by the text's checksum. Where a split would
+run through a group of equal texts, it goes to the group's nearer end; only if that costs the smaller side more than GROUP
+of each of its shards (a group about as heavy as a shard) is the group parted, in order of its rows.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 
 from trajmill.llm.common import written
 
-BINS = 1024
-#: Share of a shard's target bytes that a split may be off.
-TOLERANCE = 0.002
+BINS, MOST_BINS = 1024, 1 << 18
+#: Share of a shard's target bytes that a split may be off; the same to keep a group of equal texts whole.
+TOLERANCE, GROUP = 0.002, 0.05
 
 
 @dataclass
@@ -76,8 +77,9 @@ def _choose(nodes: list[dict], rows: DataFrame, shards: int) -> None:
     active = [n for n in nodes if n["open"]]
     while active:
         of = {n["first"]: n for n in active}
+        count = max(16, min(BINS, MOST_BINS // len(active)))
         for n in active:
-            n["width"] = (n["hi"] - n["lo"]) // BINS + 1
+            n["width"] = (n["hi"] - n["lo"]) // count + 1
         param = lambda f, default=-1: F.get(_longs([f(of[i]) if i in of else default for i in range(shards)]), F.col("at").cast("int"))
         values = F.array(*[F.col(d).cast("long") for d in active[0]["dims"]], F.col("crc"), F.col("row"))
         dims = len(active[0]["dims"])
@@ -97,8 +99,10 @@ def _choose(nodes: list[dict], rows: DataFrame, shards: int) -> None:
                 if n["done"] + s <= n["want"]:
                     n["done"] += s
                     continue
-                if s <= n["slack"] or least == most and len(n["cuts"]) == 2:  # the nearer end of this bin will do
-                    takes = n["want"] - n["done"] > s / 2
+                takes = n["want"] - n["done"] > s / 2
+                off = min(n["want"] - n["done"], n["done"] + s - n["want"])
+                level = len(n["cuts"])
+                if s <= n["slack"] or least == most and (level == 2 or level == 1 and off <= n["whole"]):  # the nearer end of this bin will do
                     n["cuts"].append(most if takes else least - 1)
                     n["open"] = False
                 elif least == most:
@@ -132,7 +136,7 @@ def tree(rows: DataFrame, dims: list[str], shards: int) -> Node:
                 continue
             n.dim = max(dims, key=lambda d: (r[f"max_{d}"] - r[f"min_{d}"]) / max(1, total[f"max_{d}"] - total[f"min_{d}"]))
             ranges = [(r[f"min_{k}"], r[f"max_{k}"]) for k in ("crc", "row")]
-            nodes.append({"node": n, "first": n.first, "dims": dims, "dim": dims.index(n.dim), "want": r["bytes"] * (n.shards // 2) / n.shards, "done": 0, "slack": slack, "open": True, "cuts": [], "lo": r[f"min_{n.dim}"], "hi": r[f"max_{n.dim}"], "ranges": ranges})
+            nodes.append({"node": n, "first": n.first, "dims": dims, "dim": dims.index(n.dim), "want": r["bytes"] * (n.shards // 2) / n.shards, "done": 0, "slack": slack, "whole": slack / TOLERANCE * GROUP * (n.shards // 2), "open": True, "cuts": [], "lo": r[f"min_{n.dim}"], "hi": r[f"max_{n.dim}"], "ranges": ranges})
         _choose(nodes, at, shards)
         front = []
         for n in nodes:
@@ -162,15 +166,18 @@ def metadata(docs: DataFrame, dims: list[str]) -> DataFrame:
     docs = docs.withColumn("__bytes", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     docs = docs.withColumn("__size", F.octet_length("__bytes").cast("long") + 8).withColumn("__crc", F.crc32("__bytes"))
     kinds = dict(docs.dtypes)
-    codes = [(F.col(f"__{d}") if d in ("size", "crc") else code(d, kinds[d])).alias(f"dim_{d}") for d in dims]
+    docs = docs.withColumn("__chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    codes = [(F.col(f"__{d}") if d in ("size", "crc", "chars") else code(d, kinds[d])).alias(f"dim_{d}") for d in dims]
     return written(docs.select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("crc"), F.monotonically_increasing_id().alias("row"), *codes))
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("lang", "size", "crc")) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("size", "chars", "crc")) -> DataFrame:
     """Every row's shard and slot by the law `bytes`.
 
     Size: UTF-8 bytes of the text (null: none) plus 8. Sizes of shards differ from the mean by about TOLERANCE for each
-    level of the tree, or by a document where one is larger than that. Repeated rows count as often as they occur; a null
+    level of the tree, by a document where one is larger than that, and by up to GROUP where a split meets a group of equal
+    texts. Equal texts share a shard, unless their group is so heavy that no split beside it would do; as dims are
+    properties of the text alone, other columns do not part them. Repeated rows count as often as they occur; a null
     in a dimension counts as its least value. Fewer rows than shards leave shards empty; no rows: no rows. A column of
     documents that is not named in dims plays no part.
     """
