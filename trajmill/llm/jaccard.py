@@ -7,10 +7,12 @@ first |A| - ceil(0.8 |A|) + 1 of each, in any order of all tokens. Tokens that a
 in the order, which only keeps the groups of a token small.
 
 Equal texts are one node. First each text of a token is compared with a few others, in an order of the token's own, and
-with what SimHash proposes; then all pairs whose ends the links found so far do not connect. What is left out is connected
-already, so components are those of all links. Before texts are fetched, pairs are dropped that can't be similar: a text's
-bitmap holds the parity of its tokens in each of 256 bins, and sets whose bitmaps differ in d bits differ in d tokens or
-more. Texts and shingles are told apart by 64-bit hashes.
+with what SimHash proposes; of these candidates each text's likeliest is verified. Then all pairs follow whose ends the
+links found so far do not connect. What is left out is connected already, so components are those of all links. Before texts
+are fetched, pairs are dropped that can't be similar: a text's bitmap holds the parity of its tokens in each of 256 bins,
+and sets whose bitmaps differ in d bits differ in d tokens or more. Texts and shingles are told apart by 64-bit hashes.
+
+Texts themselves move only where a candidate pair needs them; the rest works on a text's prefix, size and bitmap.
 """
 
 from __future__ import annotations
@@ -38,6 +40,10 @@ _SAMPLE, _OFTEN, _MOST = 20_000, 3, 200_000
 _AT_ONCE = 1 << 20
 _WORDS = 4  # of 64 bits in a bitmap
 BITMAP = [f"b{i}" for i in range(_WORDS)]
+#: Words of the bitmap that go with a token's rows.
+_LIGHT = 2
+#: Up to so many names of texts (8 bytes each) are sent to the texts; more are joined.
+_SENT = 1_000_000
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -85,9 +91,8 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """A written table with a row for each distinct text: node, text, fp (SimHash), size (tokens), bitmap and prefix."""
-    own = docs.select(node().alias("node"), "text")
-    often = frequent(own)
+    """A written table with a row for each distinct text (columns node and text): node, fp (SimHash), size (tokens), bitmap and prefix."""
+    often = frequent(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,11 +108,10 @@ def prepared(docs: DataFrame) -> DataFrame:
             if sizes:
                 ends = pa.array(np.append(0, np.cumsum([len(x) for x in prefixes])), pa.int32())
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes)))
-                columns = [batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *[pa.array(c) for c in np.ascontiguousarray(np.array(maps).T)], lists]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "text", "fp", "size", *BITMAP, "prefix"])
+                columns = [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *[pa.array(c) for c in np.ascontiguousarray(np.array(maps).T)], lists]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "size", *BITMAP, "prefix"])
 
-    # a task sends on one of a text's copies only
-    return written(own.dropDuplicates(["node"]).mapInArrow(run, f"node bigint, text string, fp bigint, size bigint, {', '.join(f'{b} bigint' for b in BITMAP)}, prefix array<bigint>"))
+    return written(docs.mapInArrow(run, f"node bigint, fp bigint, size bigint, {', '.join(f'{b} bigint' for b in BITMAP)}, prefix array<bigint>").dropDuplicates(["node"]))
 
 
 def _by_token(rows: DataFrame, work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -149,6 +153,10 @@ def partners(token: np.ndarray, size: np.ndarray, name: np.ndarray) -> Iterator[
     counts = np.diff(begins, append=len(token))
     many = np.repeat(counts > 1, counts)
     token, size, name = token[many], size[many], name[many]
+    # rows come in order of size: if the next sizes don't allow a link, none does
+    after = (token[1:] == token[:-1]) & (DENOMINATOR * size[:-1] >= NUMERATOR * size[1:])
+    some = np.append(after, False) | np.append(False, after) if len(token) else many[:0]
+    token, size, name = token[some], size[some], name[some]
     yield _batch(1, token, name, size)
     with np.errstate(over="ignore"):
         order = np.lexsort(((name ^ token) * np.int64(-7046029254386353131), token))
@@ -186,19 +194,27 @@ def across(token: np.ndarray, size: np.ndarray, name: np.ndarray, root: np.ndarr
 
 
 def possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sizes and bitmaps allow a link."""
+    """Those of the pairs (a, b) of nodes whose sizes and bitmaps allow a link, with the bits that differ."""
     one = texts.select(F.col("node").alias("a"), F.col("size").alias("n"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(BITMAP)])
     two = texts.select(F.col("node").alias("b"), F.col("size").alias("m"), *[F.col(c).alias(f"y{i}") for i, c in enumerate(BITMAP)])
     both = pairs.distinct().join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-    differ = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(_WORDS))
-    return both.where(f"{DENOMINATOR} * least(n, m) >= {NUMERATOR} * greatest(n, m) and {DENOMINATOR + NUMERATOR} * ({differ}) <= {DENOMINATOR - NUMERATOR} * (n + m)").select("a", "b")
+    both = both.withColumn("differ", F.expr(" + ".join(f"bit_count(x{i} ^ y{i})" for i in range(_WORDS))))
+    return both.where(f"{DENOMINATOR} * least(n, m) >= {NUMERATOR} * greatest(n, m) and {DENOMINATOR + NUMERATOR} * differ <= {DENOMINATOR - NUMERATOR} * (n + m)").select("a", "b", "differ")
+
+
+def likeliest(pairs: DataFrame) -> DataFrame:
+    """Of every text's pairs (a, b, differ) that of the fewest differing bits."""
+    ends = pairs.select(F.col("a").alias("x"), F.struct("differ", F.col("b").alias("y")).alias("to")).union(pairs.select(F.col("b").alias("x"), F.struct("differ", F.col("a").alias("y")).alias("to")))
+    best = ends.groupBy("x").agg(F.min("to").alias("to"))
+    return best.select(F.least("x", "to.y").alias("a"), F.greatest("x", "to.y").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """A written table of those of the distinct pairs (a, b) of nodes whose texts are similar."""
-    pairs = written(pairs)
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    own = written(texts.join(ends.hint("merge"), "node", "left_semi").select("node", "text"))
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """A written table of those of the distinct pairs (a, b) of nodes whose texts (in docs: node, text) are similar."""
+    pairs = written(pairs.select("a", "b"))
+    ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    few = ends.count() <= _SENT
+    own = written(docs.join(F.broadcast(ends) if few else ends.hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
     one = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
     both = one.join(own.select(F.col("node").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
 
@@ -213,7 +229,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links = written(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
-    release(pairs, own)
+    release(pairs, ends, own)
     return links
 
 
@@ -231,15 +247,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A null text is empty; empty texts are one node, and a text of fewer words than a shingle has all its words as the only
     one. Only column `text` is looked at; repeated rows are one node. No rows: no rows."""
+    docs = docs.select(node().alias("node"), "text")
     texts = prepared(docs)
     schema = "kind int, a bigint, b bigint, size bigint"
     found = written(_by_token(texts.select(F.explode("prefix").alias("token"), "size", "node"), partners, schema))
-    links = verified(possible(proposed(texts).union(found.where("kind = 0").select("a", "b")), texts), texts)
+    links = verified(likeliest(possible(proposed(texts).union(found.where("kind = 0").select("a", "b")), texts)), docs)
     roots = components(links)
     rows = found.where("kind = 1").select(F.col("a").alias("token"), "size", F.col("b").alias("node"))
-    known = texts.select("node", *BITMAP).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *BITMAP)
-    rows = rows.join(known.hint("merge"), "node").select("token", "size", "node", "root", *BITMAP)
-    more = verified(_by_token(rows, across, schema).select("a", "b").distinct(), texts)
+    known = texts.select("node", *BITMAP[:_LIGHT]).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *BITMAP[:_LIGHT])
+    rows = rows.join(known.hint("merge"), "node").select("token", "size", "node", "root", *BITMAP[:_LIGHT])
+    more = verified(possible(_by_token(rows, across, schema).select("a", "b"), texts), docs)
     release(found, roots, texts)
     result = components(links.union(more))
     release(links, more)
