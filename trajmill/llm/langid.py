@@ -25,9 +25,10 @@ SMOOTH = 0.5
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 3, 1
 _CHARS_AT_ONCE = 1 << 20
-#: Longer documents are weighed by runs of words, so many at most.
-_UNITS = 100_000
-_STEPS, _CLOSE = 25, 1e-3
+#: From so many rows on, equal words are held as one with their number.
+_ROWS = 1 << 16
+#: EM ends when no proportion moves by more.
+_CLOSE = 1e-4
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -40,13 +41,12 @@ def _letters() -> np.ndarray:
 
 
 def trigrams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bin of each letter's trigram, where words start among them), for stretches of a text; only a word longer than a
-    stretch is cut."""
+    """(bin of each letter's trigram, where words start among them), for stretches of a text that end with a word."""
     at = 0
     while at < len(text):
         end = min(len(text), at + _CHARS_AT_ONCE)
-        while at < end < len(text) and text[end].isalpha() and end > at + _CHARS_AT_ONCE // 2:
-            end -= 1
+        while end < len(text) and text[end].isalpha():
+            end += 1
         code = np.frombuffer(text[at:end].lower().encode("utf-32-le", "replace"), np.uint32)
         at = end
         letter = _letters()[code]
@@ -97,40 +97,48 @@ def model(counts: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
     return langs, table
 
 
-def proportions(like: np.ndarray) -> tuple[np.ndarray, float]:
-    """EM on the log likelihoods of units in languages: (proportions, log likelihood)."""
+def proportions(like: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
+    """EM on the log likelihoods of words in languages, each word so many times: (proportions, log likelihood)."""
     top = like.max(1)
     p = np.exp(like - top[:, None])
+    total = times.sum()
     share = np.full(like.shape[1], 1 / like.shape[1])
-    for _ in range(_STEPS):
+    while True:
         weight = p * share
-        new = (weight / weight.sum(1)[:, None]).mean(0)
+        new = times @ (weight / weight.sum(1)[:, None]) / total
         moved = np.abs(new - share).max()
         share = new
         if moved < _CLOSE:
-            break
-    return share, float(np.log(np.maximum(p @ share, 1e-300)).sum() + top.sum())
+            return share, float(times @ (np.log(np.maximum(p @ share, 1e-300)) + top))
 
 
-def identify(text: str, table: np.ndarray) -> dict[int, float]:
-    """The languages (by index) of a text with their proportions, the largest first; empty if it has no letter."""
-    parts = []
+def words(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the log likelihood of each word in each language, how often it occurs); equal rows are made one in long texts."""
+    like, times = np.zeros((0, table.shape[1])), np.zeros(0)
     for bins, starts in trigrams(text):
-        parts.append(np.add.reduceat(table[bins].astype(np.float64), starts, axis=0))
-    if not parts or not table.shape[1]:
+        like = np.concatenate([like, np.add.reduceat(table[bins].astype(np.float64), starts, axis=0)])
+        times = np.append(times, np.ones(len(starts)))
+        if len(like) > _ROWS:
+            like, at = np.unique(like, axis=0, return_inverse=True)
+            times = np.bincount(at.ravel(), times)
+    return like, times
+
+
+def identify(text: str, table: np.ndarray) -> dict[int, float]:
+    """The languages (by index) of a text with their proportions, the largest first, of equal ones the lower index first;
+    empty if the text has no letter."""
+    like, times = words(text, table)
+    if not len(like) or not table.shape[1]:
         return {}
-    like = np.concatenate(parts)
-    if len(like) > _UNITS:
-        like = np.add.reduceat(like, np.arange(0, len(like), -(-len(like) // _UNITS)), axis=0)
-    total = like.sum(0)
+    total = times @ like
     best, value = [int(total.argmax())], float(total.max())
-    chosen, cost = {best[0]: 1.0}, PENALTY * log(len(like) + 1)
-    if like.shape[1] == 1 or like.max(1).sum() - value <= cost:  # no mixture can pay for a second language
+    chosen, cost = {best[0]: 1.0}, PENALTY * log(times.sum() + 1)
+    if like.shape[1] == 1 or times @ like.max(1) - value <= cost:  # no mixture can pay for a second language
         return chosen
-    order = [int(i) for i in np.argsort(-proportions(like)[0], kind="stable")]
+    order = [int(i) for i in np.argsort(-proportions(like, times)[0], kind="stable")]
     while len(best) < len(order):
         best.append(next(i for i in order if i not in best))
-        share, new = proportions(like[:, best])
+        share, new = proportions(like[:, best], times)
         if new - value <= cost:
             break
         value, chosen = new, dict(sorted(zip(best, share.tolist(), strict=True), key=lambda x: (-x[1], x[0])))
@@ -159,7 +167,8 @@ def identify_documents(docs: DataFrame, keep: list[str] | None = None) -> DataFr
 
     Learned from text and non-null lang of the rows whose crc32(doc_id) leaves another remainder than HELD_OUT; a
     prediction sees the text alone. Null texts, texts without a letter, and any text if nothing can be learned: `und` with
-    score 0. Rows that share a doc_id have a result each. No rows: no rows.
+    score 0. Of languages of one proportion (or likelihood) the first by code point is predicted. Every word of a text
+    counts, however long it is. Rows that share a doc_id have a result each. Other columns are ignored. No rows: no rows.
     """
     langs, table = model(count(docs.where(~F.coalesce(held_out(), F.lit(False)))))
     named = docs.select(*(keep or ["doc_id"]), F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").alias("__text"))

@@ -6,7 +6,8 @@ pass over the source) of the source's shuffled documents, laid end to end and cu
 the golden-ratio sequence spread evenly, so any stretch of the mix has every source within a few blocks of its weight.
 
 Ranks and positions are running sums per source. They are computed in buckets (of slot numbers, or of the hash that
-shuffles) with the buckets' offsets added, so a source with a third of all rows is spread over many tasks.
+shuffles) with the buckets' offsets added, so a source with a third of all rows is spread over many tasks; so are rows that
+share a doc_id, or have none, by their texts.
 """
 
 from __future__ import annotations
@@ -75,20 +76,21 @@ def schedule(spark, sources: list[dict], block: int = BLOCK) -> DataFrame:
 def token_blocks(rows: DataFrame, buckets: int, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The pieces of the sources' blocks: s, block, row, and words from `begin` up to `end` of the document.
 
-    rows: s, doc_id, row, size. Documents are shuffled by a hash of doc_id (ties: row)."""
-    df = rows.where("size > 0").withColumn("__h", F.xxhash64(F.lit(seed), "doc_id"))
+    rows: s, doc_id, digest, row, size. Documents are shuffled by a hash of doc_id and text; of rows equal in both, which one
+    comes first makes no difference to the result."""
+    df = rows.where("size > 0").withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "digest"))
     bits = max(0, (buckets - 1).bit_length())
     df = df.withColumn("__bucket", F.shiftright("__h", 64 - bits) if bits else F.lit(0).cast("long"))
-    df = running(df, ["s"], "__bucket", ["__h", "row"], F.col("size"), "__start")
+    df = running(df, ["s"], "__bucket", ["__h", "doc_id", "digest", "size", "row"], F.col("size"), "__start")
     df = df.withColumn("block", F.explode(F.expr(f"sequence(__start div {block}, (__start + size - 1) div {block})")))
     begin = F.greatest(F.lit(0).cast("long"), F.col("block") * block - F.col("__start"))
     return df.select("s", "block", "row", begin.alias("begin"), F.least(F.col("size"), (F.col("block") + 1) * block - F.col("__start")).alias("end"))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """A written table of doc_id, source, row number and size in words (a null text has none)."""
+    """A written table of doc_id, source, row number, size in words (a null text has none) and the text's digest."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return written(docs.select("doc_id", "source", F.monotonically_increasing_id().alias("row"), size.alias("size")))
+    return written(docs.select("doc_id", "source", F.monotonically_increasing_id().alias("row"), size.alias("size"), F.xxhash64("text").alias("digest")))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +113,9 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Data
     """Every document's size, its source's size and target, and `taken`: the words that the mix takes of it, with repeats.
 
     Every row has one result, also rows that share a doc_id, rows without words (taken 0) and those of a null source.
-    A source's taken words differ from its target by a few blocks; no document is taken more than twice. No rows: no rows.
+    A source's taken words differ from its target by a few blocks; no document is taken more than twice. The result depends
+    on the rows alone: it is the same from run to run and for any order or partitioning of them. Other columns are ignored.
+    No rows: no rows.
     """
     pieces, rows = mix(docs, block, seed)
     taken = pieces.groupBy("row").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
