@@ -2,15 +2,20 @@
 
 A vector's components are the weights of its terms. Candidates lie in blocks (shards), term by term, each term with the
 largest and the smallest weight of the block. For a query these bound what a term can add. Taking terms from the largest
-bound down, the essential ones are those without which the others' bounds could still reach the query's threshold (its
-k-th best score so far): only they are traversed for all candidates of the block. The others are probed, in groups, for
-the candidates whose score so far plus the remaining bounds is competitive. Blocks' top k are merged by a window.
-
-Queries and candidates meet block by block: a task holds one block of each, whose sizes do not depend on the table.
+bound down, the essential ones are those without which the others' bounds could still reach the query's threshold: only
+they are traversed for all candidates of the block. The others are probed, in groups, for the candidates whose score so far
+plus the remaining bounds is competitive. Blocks' top k are merged by a window.
+
+A query's threshold is its k-th best score with the SEEDS longest vectors of the whole table: it is found once, before the
+blocks, and goes with the query to all of them; a block whose bounds don't reach it is passed over. Every candidate is
+shuffled once, to its block; the queries are repeated, once a block, and stream past it: a task holds one block of
+candidates, whose size does not depend on the table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,10 +26,10 @@ from trajmill.llm.common import partitions, written
 K = 5
 EVERY = 50
 SCALE = 256
-#: Components in a block of candidates, and queries in a block.
-_BLOCK, _LEAST_ROWS, _QUERIES = 1 << 20, 256, 512
+#: Components in a block of candidates.
+_BLOCK, _LEAST_ROWS = 1 << 20, 256
 _PROBE = 8
-_SEEDS = 64
+SEEDS = 256
 
 
 def usable(vector: Column) -> Column:
@@ -36,12 +41,13 @@ def integers(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """One row a term, one column a vector; shorter vectors end in zeros."""
-    whole = column.combine_chunks()
-    sizes = np.asarray(whole.value_lengths())
+    sizes = np.asarray(column.value_lengths())
     out = np.zeros((len(sizes), width), np.int64)
-    values = np.asarray(whole.flatten())
+    if not len(sizes) or not width:
+        return out.T
+    values = np.asarray(column.flatten())
     if (sizes == width).all():
         return np.ascontiguousarray(values.reshape(-1, width).T)
     out[np.arange(width) < sizes[:, None]] = values
@@ -55,16 +61,14 @@ class Shard:
         order = np.argsort(ids, kind="stable")  # of equal scores the smaller id is found first
         self.ids, self.terms = ids[order], np.ascontiguousarray(terms[:, order])
         self.high, self.low = self.terms.max(1, initial=0), self.terms.min(1, initial=0)
-        self.seeds = np.argsort(-(self.terms.astype(np.float64) ** 2).sum(0), kind="stable")[:_SEEDS]
 
-    def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best candidates but `own`, ties to the smaller id."""
+    def top(self, own: int, query: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best candidates but `own`, ties to the smaller id; of those below `floor` none is needed."""
         bound = np.where(query > 0, query * self.high, query * self.low)
+        if floor is not None and bound.sum() < floor:
+            return self.ids[:0], self.ids[:0]
         order = np.argsort(-bound, kind="stable")
         left = np.append(np.cumsum(bound[order][::-1])[::-1][1:], 0)  # after each term, what the following can add
-        seeds = self.seeds[self.ids[self.seeds] != own]
-        scores = query @ self.terms[:, seeds]
-        floor = np.partition(scores, -k)[-k] if len(seeds) >= k else None
         essential = len(order) if floor is None else int(np.argmax(left < floor)) + 1 if (left < floor).any() else len(order)
         score = np.zeros(len(self.ids), np.int64)
         for j in order[:essential]:
@@ -78,10 +82,32 @@ class Shard:
             score = score + query[group] @ self.terms[np.ix_(group, at)]
             if len(score) >= k:
                 floor = max(floor, np.partition(score, -k)[-k] + min(0, int((query * np.where(query > 0, self.low, self.high))[order[i + _PROBE :]].sum())))
+        if floor is not None:
+            at, score = at[score >= floor], score[score >= floor]
         best = np.lexsort((self.ids[at], -score))[:k]
         return self.ids[at[best]], score[best]
 
 
+def with_threshold(asked: DataFrame, seeds: list[tuple[int, list[int]]], width: int, k: int) -> DataFrame:
+    """Queries (vec_id, x, row) with `floor`: the k-th best score among the seeds but the query's own; null if they are fewer."""
+    ids = np.array([i for i, _ in seeds], np.int64)
+    terms = _matrix(pa.array([x for _, x in seeds], pa.list_(pa.int64())), width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.asarray(batch.column(0))
+            scores = _matrix(batch.column(1), width).T @ terms
+            floors = []
+            for i, mine in zip(own, scores, strict=True):
+                mine = mine[ids != i]
+                floors.append(int(np.partition(mine, -k)[-k]) if len(mine) >= k else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors, pa.int64())], ["vec_id", "x", "row", "floor"])
+
+    return asked.select("vec_id", "x", "row").mapInArrow(run, "vec_id bigint, x array<bigint>, row bigint, floor bigint")
+
+
 def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each row whose vec_id is divisible by `every`.
 
@@ -89,34 +115,41 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     no candidate. Rows that share a vec_id are candidates (and queries) each. Vectors of several lengths are compared over
     the shorter one. An empty vector scores 0 with all. Other columns are ignored. No queries or candidates: no rows.
     """
+    spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = written(rows.select("vec_id", integers(F.col("embedding")).alias("x"), F.monotonically_increasing_id().alias("row")))
     is_query = F.col("vec_id") % every == 0
-    n, queries, width = rows.agg(F.count("*"), F.count_if(is_query), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
-    tasks = 2 * partitions(vectors.sparkSession)
-    q_blocks = max(1, -(-queries // _QUERIES))
-    by_tasks = max(1, min(-(-tasks // q_blocks), n // _LEAST_ROWS))
-    c_blocks = max(1, -(-n * max(1, width) // _BLOCK), by_tasks)
-    # each side is dealt to blocks by its row number's hash, and repeated for every block of the other side
-    deal = lambda blocks: F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
-    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    candidates = rows.select("vec_id", "x", deal(c_blocks).alias("c"), each(q_blocks).alias("q"))
-    # other names than the candidates': Spark takes equal columns of one table's two sides for one
-    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("x").alias("asked"), F.col("row").alias("line"), deal(q_blocks).alias("q"), each(c_blocks).alias("c"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
-        if left.num_rows and right.num_rows:
-            shard = Shard(left["vec_id"].to_numpy(), _matrix(left["x"], width))
-            asking, ids, lines = _matrix(right["asked"], width), right["query_id"].to_numpy(), right["line"].to_numpy()
-            for i in range(len(ids)):
-                found, score = shard.top(ids[i], asking[:, i], k)
-                out.append((np.full(len(found), ids[i]), np.full(len(found), lines[i]), found, score))
-        names = ["query_id", "row", "vec_id", "score"]
-        return pa.table({name: np.concatenate([x[j] for x in out]).astype(np.int64) if out else pa.array([], pa.int64()) for j, name in enumerate(names)})
-
-    kinds = "query_id bigint, row bigint, vec_id bigint, score bigint"
-    found = candidates.groupBy("c", "q").cogroup(asked.groupBy("c", "q")).applyInArrow(run, kinds)
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    length = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v.cast("double") * v)
+    seeds = [(r.vec_id, list(r.x)) for r in rows.orderBy(length.desc(), "vec_id", "row").limit(SEEDS).collect()]
+    blocks = max(1, -(-n * max(1, width) // _BLOCK), min(2 * partitions(spark), n // _LEAST_ROWS))
+    asked = with_threshold(rows.where(is_query), seeds, width, k)
+    candidates = rows.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), "vec_id", "x", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("floor"))
+    repeated = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "vec_id", "x", "row", "floor")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, shard = None, [], None
+        for batch in batches:
+            at, side, ids = (np.asarray(batch.column(i)) for i in range(3))
+            cuts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (side[1:] != side[:-1]))) if len(at) else []
+            for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                if at[a] != block:
+                    block, held, shard = at[a], [], None
+                if side[a] == 0:
+                    held.append((ids[a:b], _matrix(batch.column(3).slice(a, b - a), width)))
+                    continue
+                if held:
+                    shard, held = Shard(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held], axis=1)), []
+                if shard is None:
+                    continue
+                asking, out = _matrix(batch.column(3).slice(a, b - a), width), []
+                for j, (line, floor) in enumerate(zip(batch.column(4).slice(a, b - a).to_pylist(), batch.column(5).slice(a, b - a).to_pylist(), strict=True)):
+                    found, score = shard.top(ids[a + j], asking[:, j], k, floor)
+                    out.append((np.full(len(found), ids[a + j]), np.full(len(found), line), found, score))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["query_id", "row", "vec_id", "score"])
+
+    dealt = candidates.union(repeated).repartition(blocks, "block").sortWithinPartitions("block", "side")
+    found = dealt.mapInArrow(run, "query_id bigint, row bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
