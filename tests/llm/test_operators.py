@@ -210,33 +210,87 @@ def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, u in ((1, 10), (1000, 5000), (4000, 4096), (5000, 1 << 40), (3000, 1 << 64), (0, 100)):
         keys = np.unique(rng.integers(0, u, n, dtype=np.uint64))
-        low, parts, words, zeros = ngramtrie.encode(keys, u)
+        own = ngramtrie.Sequence(len(keys), *ngramtrie.encode(keys, u))
         asked = np.concatenate([keys, rng.integers(0, u, 500, dtype=np.uint64)])
         at = {int(k): i for i, k in enumerate(keys)}
-        assert ngramtrie.Sequence(len(keys), low, parts, words, zeros).find(asked).tolist() == [at.get(int(k), -1) for k in asked]
+        assert own.find(asked).tolist() == [at.get(int(k), -1) for k in asked]
+        assert np.array_equal(own.access(np.arange(len(keys))), keys)
+        begin, end = len(keys) // 3, len(keys) // 2
+        assert own.find(keys, begin, end).tolist() == [i if begin <= i < end else -1 for i in range(len(keys))]
+    pointers = np.sort(rng.integers(0, 300, 2000)).astype(np.uint64)  # with repeats
+    assert np.array_equal(ngramtrie.Sequence(2000, *ngramtrie.encode(pointers, 301)).access(np.arange(2000)), pointers)
 
 
-@pytest.mark.parametrize("shard_keys", [ngramtrie.SHARD_KEYS, 50])
-def test_language_model(spark, empty, monkeypatch, shard_keys):
-    monkeypatch.setattr(ngramtrie, "SHARD_KEYS", shard_keys)
+def test_words_of_the_language_model():
+    texts = ["A b\tC", None, "", "  x  ", "é É\x0b\x1cz a\x0cb\r\n", "\x00 q"]
+    import pyarrow as pa
+    from xxhash import xxh64_intdigest
+
+    words, counts = ngramtrie.hashes_of(pa.array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and words.tolist() == [xxh64_intdigest(w) for x in want for w in x]
+
+
+@pytest.fixture(scope="module")
+def spoken():
     rng = np.random.default_rng(2)
-    rows = ODD + [(100 + i, " ".join(f"W{x}" for x in rng.zipf(1.5, 60) % 50)) for i in range(60)]
-    got = ngramtrie.score_documents(documents(spark, rows)).collect()
+    return ODD + [(100 + i, " ".join(f"W{x}" for x in rng.zipf(1.5, 60) % 50)) for i in range(60)] + [(300 + i, "hot pair of words " * 9) for i in range(40)]
+
+
+@pytest.mark.parametrize("shard_keys", [ngramtrie.SHARD_KEYS, 2000, 60])
+def test_language_model(spark, empty, spoken, monkeypatch, shard_keys):
+    """Every level against counts in plain Python, with one shard, several, and contexts that several shards share."""
+    monkeypatch.setattr(ngramtrie, "SHARD_KEYS", shard_keys)
+    got = ngramtrie.score_documents(documents(spark, spoken)).collect()
     out = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 1
-    texts = [(k, [None, *(t or "").encode().lower().split(), None]) for k, t in rows]
-    ones, twos = Counter(), Counter()
+    texts = [(k, [None, *(t or "").encode().lower().split(), None]) for k, t in spoken]
+    ones, twos, threes, after = Counter(), Counter(), Counter(), Counter()
     for k, x in texts:
         if not out(k):
             ones.update(x[1:])
             twos.update(zip(x, x[1:]))
-    n, v, prior = sum(ones.values()), len(ones), got[0].prior
+            threes.update(zip(x, x[1:], x[2:]))
+            after.update(zip(x, x[1:-1]))
+    n, v = sum(ones.values()), len(ones)
+    k2, k3 = got[0].priors
     p1 = lambda w: (ones[w] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda u, w: (twos[u, w] + k2 * p1(w)) / (ones[u] + k2)
+    p3 = lambda u, x, w: (threes[u, x, w] + k3 * p2(x, w)) / (after[u, x] + k3)
     want = sorted((str(k), out(k), len(x) - 1, sum(ones[w] > 0 for w in x[1:]), round(sum(math.log10(p1(w)) for w in x[1:]), 4)) for k, x in texts)
     assert want == sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got)
-    exact = {k: sum(math.log10((twos[u, w] + prior * p1(w)) / (ones[u] + prior) if ones[u] else p1(w)) for u, w in zip(x, x[1:])) for k, x in texts if k not in (7,)}
-    assert all(abs(r.score - exact[r.doc_id]) < 0.02 * r.n_tokens for r in got if r.doc_id in exact) and {r.train_tokens for r in got} == {n}
+    exact = {k: math.log10(p2(None, x[1])) + sum(math.log10(p3(*y)) for y in zip(x, x[1:], x[2:])) for k, x in texts if k != 7}
+    assert all(abs(r.score - exact[r.doc_id]) < 0.03 * r.n_tokens for r in got if r.doc_id in exact) and {r.train_tokens for r in got} == {n}
+
+    def loo(k, counts, of, lower):
+        return sum(c * math.log((c - 1 + k * lower(g)) / (of(g) - 1 + k)) for g, c in counts.items())
+
+    for k, *args in ((k2, twos, lambda g: ones[g[0]], lambda g: p1(g[1])), (k3, threes, lambda g: after[g[:2]], lambda g: p2(*g[1:]))):
+        assert loo(k, *args) >= max(loo(x, *args) for x in ngramtrie.GRID) - 0.01 * n  # the third level sees probabilities in 8 bits
+
+
+def test_language_model_levels(spark, spoken, monkeypatch):
+    """Every trained pair and triple is in the trie, nothing else is, and no shard holds more than its share of a frequent context."""
+    monkeypatch.setattr(ngramtrie, "SHARD_KEYS", 300)
+    docs = documents(spark, spoken).select("doc_id", F.col("text").alias("__text"))
+    tokens = ngramtrie.tokenized(docs)
+    model = ngramtrie.train(tokens)
+    grams = lambda n: {y for _, t in spoken for x in [["", *(t or "").encode().lower().split(), ""]] for y in zip(*[x[i:] for i in range(n)])}
+    assert (model.words.n, int(model.pairs.offsets[-1]), int(model.triples.offsets[-1])) == (len(grams(1)), len(grams(2)), len(grams(3)))
+    contexts = np.arange(model.words.n).repeat(model.words.n)
+    index, rank, *_ = model.pairs.find(contexts, np.tile(np.arange(model.words.n), model.words.n)) if model.words.n < 3000 else (np.arange(1),) * 2
+    if model.words.n < 3000:
+        hit = np.flatnonzero(index >= 0)
+        assert np.array_equal(index[hit], np.arange(len(hit)))  # in order of context and word, over all shards
+        same = contexts[hit]
+        assert all((rank[hit][same == c] == np.arange((same == c).sum())).all() for c in np.unique(same))
+    assert len(model.pairs.metas) > 5 and max(m["n"] for m in model.pairs.metas.values()) < 0.5 * model.pairs.offsets[-1]
+
+
+def test_language_model_of_nothing(spark, empty):
     assert ngramtrie.score_documents(empty).count() == 0
     assert ngramtrie.score_documents(documents(spark, [(3, None)])).count() == 1
+    got = ngramtrie.score_documents(documents(spark, [(3, None), (8, "a"), (9, ""), (10, "b a a")])).collect()  # some held out
+    assert len(got) == 4 and all(r.score <= 0 and r.base_score <= 0 for r in got)
 
 
 # --- 7 ---------------------------------------------------------------------------------------------------------------
@@ -333,6 +387,89 @@ def test_languages(spark, odd, empty):
     assert langid.identify_documents(documents(spark, [(1, "text", None, None)])).first().lang_pred == "und"
 
 
+def brute_languages(text, langs, counts):
+    """Words one by one, in plain Python: the penalised set of languages with proportions by EM."""
+    import re
+
+    def logs(word):
+        bins = [int(b) for found, _ in langid.trigrams(word) for b in found]
+        return [sum(math.log((counts[k][b] + langid.SMOOTH) / (counts[k].sum() + langid.SMOOTH * langid.BINS)) for b in bins) for k in langs]
+
+    like = [logs(w) for w in re.findall(r"[^\W\d_]+", text)]
+    if not like:
+        return {}
+
+    def em(cols):
+        share = [1 / len(cols)] * len(cols)
+        while True:
+            new = [0.0] * len(cols)
+            for row in like:
+                top = max(row[c] for c in cols)
+                p = [s * math.exp(row[c] - top) for s, c in zip(share, cols)]
+                for i, x in enumerate(p):
+                    new[i] += x / sum(p) / len(like)
+            moved, share = max(abs(a - b) for a, b in zip(share, new)), new
+            if moved < langid._CLOSE:
+                return share, sum(max(r[c] for c in cols) + math.log(sum(s * math.exp(r[c] - max(r[c] for c in cols)) for s, c in zip(share, cols))) for r in like)
+
+    total = [sum(r[c] for r in like) for c in range(len(langs))]
+    best = [max(range(len(langs)), key=lambda c: (total[c], -c))]
+    value, chosen, cost = total[best[0]], {best[0]: 1.0}, langid.PENALTY * math.log(len(like) + 1)
+    share, _ = em(list(range(len(langs))))
+    order = sorted(range(len(langs)), key=lambda c: (-share[c], c))
+    while len(best) < len(langs):
+        best = [*best, next(c for c in order if c not in best)]
+        share, new = em(best)
+        if new - value <= cost:
+            break
+        value, chosen = new, dict(zip(best, share))
+    return chosen
+
+
+WORDS = {"aa": ["bala", "dara", "kana", "the", "lal"], "bb": ["ströx", "grümp", "the", "flüch", "knöd"], "cc": ["bala", "zizi", "the", "wuwu", "dara"]}
+
+
+@pytest.fixture(scope="module")
+def trained():
+    rng = np.random.default_rng(19)
+    counts = {k: sum((np.bincount(b, minlength=langid.BINS) for b, _ in langid.trigrams(" ".join(rng.choice(w, 3000)))), np.zeros(langid.BINS, np.int64)) for k, w in WORDS.items()}
+    langs, table = langid.model(counts)
+    return langs, table, counts
+
+
+def test_mixtures_by_brute_force(trained):
+    langs, table, counts = trained
+    rng = np.random.default_rng(20)
+    several = 0
+    for i in range(60):
+        parts = [" ".join(rng.choice(WORDS[k], int(rng.integers(1, 40)))) for k in rng.choice(langs, int(rng.integers(1, 4)))]
+        text = (" 12; ").join(parts)
+        got, want = langid.identify(text, table), brute_languages(text, langs, counts)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-3 for k in want)
+        several += len(got) > 1
+    assert several > 10
+
+
+def test_em_changes_the_answer(trained):
+    """Most words are of one language, but the few of the other are so unlike it that the plain sum of likelihoods prefers the other."""
+    langs, table, _ = trained
+    text = "bala dara kana lal " * 9 + "ströx grümp flüch knöd " * 8
+    like, times = langid.words(text, table)
+    assert langs[int((times @ like).argmax())] != langs[next(iter(langid.identify(text, table)))]
+
+
+def test_long_texts_and_ties(trained, monkeypatch):
+    langs, table, _ = trained
+    text = " ".join(np.random.default_rng(3).choice([*WORDS["aa"], "ströx"], 5000))
+    whole = langid.identify(text, table)
+    monkeypatch.setattr(langid, "_ROWS", 50)
+    monkeypatch.setattr(langid, "_CHARS_AT_ONCE", 64)
+    again = langid.identify(text, table)
+    assert whole.keys() == again.keys() and all(abs(whole[k] - again[k]) < 1e-9 for k in whole)
+    assert np.array_equal(langid.words("b" * 500, table)[1], [1])  # a word longer than a stretch is one word
+    assert langid.identify("the the", np.zeros((langid.BINS, 3), np.float32)) == {0: 1.0}
+
+
 # --- 10 --------------------------------------------------------------------------------------------------------------
 
 
@@ -344,7 +481,9 @@ def test_targets():
 
 def test_mix(spark, odd, empty):
     rng = np.random.default_rng(10)
-    rows = [(i, "w " * int(rng.integers(0, 300)), "en", ["hot", "hot", "b", None][i % 4]) for i in range(2000)] + [(7, "a b c", "en", "b"), (7, "a b c", "en", "b"), (8, None, "en", "hot")]
+    rows = [(i, "w " * int(rng.integers(0, 300)), "en", ["hot", "hot", "b", None][i % 4]) for i in range(2000)]
+    rows += [(None, f"none {i} " * (i % 9), "en", "hot") for i in range(60)] + [(5000, f"shared {i} " * (i % 7), "en", "b") for i in range(60)]
+    rows += [(7, "a b c", "en", "b"), (7, "a b c", "en", "b"), (8, None, "en", "hot")]
     docs = documents(spark, rows)
     got = mixing.mix_documents(docs).collect()
     assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r["size"] for r in got)
@@ -355,6 +494,32 @@ def test_mix(spark, odd, empty):
         target[r.source] = r.target
     assert all(r.source_size == size[r.source] for r in got)
     assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 4 * mixing.BLOCK for s in target)
-    again = mixing.mix_documents(docs.repartition(3)).groupBy("source").agg(F.sum("taken").alias("t")).collect()
-    assert all(abs(r.t - taken[r.source]) <= 4 * mixing.BLOCK for r in again)
+    rows_of = lambda df: Counter(tuple(r) for r in mixing.mix_documents(df).collect())
+    assert Counter(tuple(r) for r in got) == rows_of(docs.repartition(3)) == rows_of(docs.orderBy(F.desc("doc_id"), "size"))
     assert mixing.mix_documents(odd).count() == len(ODD) and mixing.mix_documents(empty).count() == 0
+
+
+def test_mix_by_brute_force(spark):
+    """The schedule slot by slot, in plain Python: golden-ratio points through the cumulative weights, blocks in turn."""
+    rng = np.random.default_rng(21)
+    rows = [(i, "w " * int(rng.integers(0, 400)), "en", ["a", "b", None, "a"][i % 4]) for i in range(300)]
+    docs = documents(spark, rows)
+    got = {r.doc_id: r for r in mixing.mix_documents(docs).collect()}
+    names = ["a", "b", None]
+    total = {s: sum(len(t.split()) for _, t, _, x in rows if x == s) for s in names}
+    target = mixing.source_targets(list(total.items()))
+    hashes = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id", F.xxhash64("text"))).collect()}
+    lanes = {s: [k for h, k in sorted((hashes[k], k) for k, t, _, x in rows if x == s) for _ in rows[k][1].split()] for s in names}  # a word's document
+    taken, rank, whole = Counter(), Counter(), sum(target.values())
+    for t in range(round(whole / mixing.BLOCK)):
+        point, at, s = ((t + 1) * mixing._GOLDEN) % mixing._SCALE, 0.0, None
+        for s in names:
+            at += target[s]
+            if s == names[-1] or point < round(at / whole * mixing._SCALE):
+                break
+        blocks = -(-total[s] // mixing.BLOCK)
+        if blocks and rank[s] < mixing.MOST * blocks:
+            b = rank[s] % blocks
+            taken.update(lanes[s][b * mixing.BLOCK : (b + 1) * mixing.BLOCK])
+        rank[s] += 1
+    assert {k: r.taken for k, r in got.items()} == {k: taken[k] for k, *_ in rows}

@@ -1,88 +1,94 @@
-"""A bigram language model in an Elias-Fano trie.
-
-The first level holds the words (sorted 64-bit hashes; a word's id is its rank) with their counts, the second the words
-seen after each of them, as the monotone sequence context * V + word. A level is cut into shards by ranges of its keys;
-each shard is an Elias-Fano sequence (low bits packed, high bits in unary) in flat files that every scoring process maps
-into memory, so what it holds grows with the pages it touches and not with the model. A pair is looked up by the
-successor of its key within its context's stretch: two selects give the bucket of the high bits, a binary search over the
-low bits the position.
-
-p1(w) = (c(w) + 1/2) / (N + (V + 1)/2);  p(w | u) = (c(u, w) + K p1(w)) / (c(u) + K). K is the value of GRID that gives
-the training text the best leave-one-out likelihood. Of pairs that were seen log10 p is kept, in 8 bits; the others are
-computed from c(u) and p1.
-
-Counting, merging and encoding are Spark stages; a shard has about SHARD_KEYS keys, so their number grows with the text.
+"""A trigram language model in an Elias-Fano trie.
+
+The first level holds the words (sorted 64-bit hashes; a word's id is its rank), the second the words seen after each word,
+the third the words seen after each pair. Below the first, a level has for each context (an entry of the level above, by
+its rank) a range of entries, in order of their last word. Where the ranges begin is a monotone sequence of pointers; the
+last words are made monotone by adding to each range what the ranges before it end with. Both are Elias-Fano sequences (low
+bits packed, high bits in unary). In the third level a last word is not named by its id but by its rank among the
+successors of the word before it, which is smaller: (u, v, w) is stored under (u, v) as w's rank after v.
+
+An entry is found by the successor of its word relative to its context: the pointers give the range and the entry before
+it what was added; two selects give the bucket of the high bits, a binary search over the low bits the position.
+
+p1(w) = (c(w) + 1/2) / (N + (V + 1)/2);  p(w | x) = (c(x w) + K p(w | x')) / (c(x) + K), x' without the first word of x.
+K of a level is the value of GRID that gives the training text the best leave-one-out likelihood. Of each entry log10 p is
+kept and, above the last level, log10 of what its context leaves to the lower level, K / (c(x) + K), in 8 bits each.
+
+Levels are cut into shards by ranges of (context, word) that hold about SHARD_KEYS tokens, whose bounds come from the counts
+of the level above; a frequent context is cut into several. So their number grows with the text and their size does not.
+A shard is a few flat files in the shared folder that every scoring process maps into memory: what it holds grows with the
+pages it touches. Counting and encoding are Spark stages; tokens are hashed once and kept as a table.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from math import log10
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajmill.llm.common import shared_folder, written
+from trajmill.llm.common import partitions, remove, shared_folder, written
 
 FOLDS, HELD_OUT = 5, 1
 SHARD_KEYS = 2_000_000
 #: Candidates for K.
-GRID = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0, 65536.0, 1e6, 1e9)
+GRID = (0.25, 1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0, 65536.0, 1e6, 1e9)
 CODES = 256
+#: Shards that a process keeps open.
+OPEN_SHARDS = 256
 _TOKENS_AT_ONCE = 1_000_000
+_BYTES_AT_ONCE = 8 << 20
 #: The hash that stands for the end of a text (and for what precedes its first word).
 END = 0
-_BYTE_LANES = 8
+#: The levels' counts are summed up in so many pieces a shard, from which the next level's bounds are taken.
+_MARKS = 16
+_FOLD = 4_000_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-# --- sorted keys with counts, as they are shuffled -------------------------------------------------------------------
+# --- integers as they are shuffled -----------------------------------------------------------------------------------
 
 
-def _packed(values: np.ndarray) -> bytes:
+def _packed(values: np.ndarray, kind: type = np.uint64) -> bytes:
+    """Compressed, with the values' bytes in lanes."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, _BYTE_LANES).T).tobytes())
+    lanes = np.ascontiguousarray(values.astype(kind, copy=False)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(lanes).tobytes())
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def _unpacked(data: bytes, kind: type = np.uint64) -> np.ndarray:
     import zstandard
 
-    lanes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(_BYTE_LANES, -1)
-    return np.ascontiguousarray(lanes.T).view(np.uint64).ravel()
-
-
-def _as_rows(shards: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """Sorted distinct keys, a row for each shard: deltas and counts with their bytes in lanes, compressed."""
-    starts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(keys) else np.array([], np.int64)
-    rows = []
-    for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True):
-        rows.append((int(shards[a]), _packed(np.diff(keys[a:b], prepend=np.uint64(0))), _packed(counts[a:b].astype(np.uint64))))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "keys", "counts"])
+    lanes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(lanes.T).view(kind).ravel()
 
 
-def _merged(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    all_keys = np.concatenate([np.cumsum(_unpacked(k), dtype=np.uint64) for k in keys])
-    all_counts = np.concatenate([_unpacked(c) for c in counts]).astype(np.int64)
-    order = np.argsort(all_keys, kind="stable")
-    all_keys, all_counts = all_keys[order], all_counts[order]
-    starts = np.flatnonzero(np.append(True, all_keys[1:] != all_keys[:-1]))
-    return all_keys[starts], np.add.reduceat(all_counts, starts)
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of each run of equal values."""
+    if not len(values):
+        return []
+    edges = np.flatnonzero(np.append(True, values[1:] != values[:-1])).tolist()
+    return list(zip(edges, [*edges[1:], len(values)], strict=True))
 
 
 # --- Elias-Fano ------------------------------------------------------------------------------------------------------
 
 
 def encode(keys: np.ndarray, universe: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """(low bits, packed low parts, high words, zeros before each block of 8 high words) of sorted distinct keys below universe."""
+    """(low bits, packed low parts, high words, zeros before each block of 8 high words) of sorted keys below universe."""
     n = len(keys)
     low = max(0, (universe // max(n, 1)).bit_length() - 1)
     parts = np.zeros((n * low + 7) // 8 + 9, np.uint8)
@@ -113,7 +119,7 @@ def select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Sequence:
-    """One shard's keys."""
+    """A monotone sequence."""
 
     n: int
     low: int
@@ -121,17 +127,25 @@ class Sequence:
     words: np.ndarray
     zeros: np.ndarray
 
-    def select0(self, k: np.ndarray) -> np.ndarray:
-        """The place of the k-th (from 0) zero of the high bits."""
-        block = np.searchsorted(self.zeros, k, "right") - 1
-        rest = k - self.zeros[block]
-        words = ~self.words.reshape(-1, 8)[block]
-        before = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        word = (before <= rest[:, None]).sum(1)
+    def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
+        block = np.searchsorted(before, k, "right") - 1
+        rest = k - before[block]
+        words = self.words.reshape(-1, 8)[block]
+        words = ~words if flip else words
+        counts = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        word = (counts <= rest[:, None]).sum(1)
         line = np.arange(len(k))
-        rest = rest - np.where(word > 0, before[line, word - 1], 0)
+        rest = rest - np.where(word > 0, counts[line, word - 1], 0)
         return block * 512 + word * 64 + select_in_word(words[line, word], rest)
 
+    def select0(self, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th (from 0) zero of the high bits."""
+        return self._select(k, self.zeros, True)
+
+    def select1(self, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th (from 0) one of the high bits."""
+        return self._select(k, np.arange(len(self.zeros)) * 512 - self.zeros, False)
+
     def low_part(self, i: np.ndarray) -> np.ndarray:
         bit = i * self.low
         at, out = bit >> 3, np.zeros(len(i), np.uint64)
@@ -141,13 +155,20 @@ class Sequence:
             out |= np.where(shift >= 0, byte << np.maximum(shift, 0).astype(np.uint64), byte >> np.maximum(-shift, 0).astype(np.uint64))
         return out & np.uint64((1 << self.low) - 1)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The position of each key, or -1."""
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values."""
+        return ((self.select1(i) - i).astype(np.uint64) << np.uint64(self.low)) | self.low_part(i)
+
+    def find(self, keys: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> np.ndarray:
+        """The position of each key between begin and end, or -1."""
         high = (keys >> np.uint64(self.low)).astype(np.int64)
+        known = high < len(self.words) * 64 - self.n - 1
+        high = np.where(known, high, 0)
         first = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) + 1, 0) - high
         last = self.select0(high) - high
+        lo, last = np.maximum(first, begin), np.where(known, np.minimum(last, self.n if end is None else end), 0)
         want = keys & np.uint64((1 << self.low) - 1)
-        lo, hi = first.copy(), last.copy()
+        hi = last.copy()
         todo = np.flatnonzero(lo < hi)
         while len(todo):
             mid = (lo[todo] + hi[todo]) >> 1
@@ -162,7 +183,7 @@ class Sequence:
         return out
 
 
-# --- levels in files -------------------------------------------------------------------------------------------------
+# --- files -----------------------------------------------------------------------------------------------------------
 
 
 def _put(folder: str, name: str, array: np.ndarray) -> None:
@@ -190,258 +211,536 @@ def _get(folder: str, name: str, kind: type) -> np.ndarray:
         return np.frombuffer(f.read(), kind)
 
 
+def _put_sequence(folder: str, name: str, keys: np.ndarray, universe: int) -> int:
+    low, parts, words, zeros = encode(keys, universe)
+    for part, array in (("low", parts), ("high", words), ("zeros", zeros)):
+        _put(folder, f"{name}.{part}", array)
+    return low
+
+
+def _get_sequence(folder: str, name: str, n: int, low: int) -> Sequence:
+    return Sequence(n, low, _get(folder, f"{name}.low", np.uint8), _get(folder, f"{name}.high", np.uint64), np.asarray(_get(folder, f"{name}.zeros", np.int64)))
+
+
+class Shards:
+    """What levels have in common: shards that are opened when they are needed, the latest OPEN_SHARDS of which stay open."""
+
+    folder: str
+
+    def shard(self, s: int) -> tuple:
+        if s not in self.open:
+            self.open[s] = self.load(s)
+            if len(self.open) > OPEN_SHARDS:
+                self.open.popitem(last=False)
+        self.open.move_to_end(s)
+        return self.open[s]
+
+    def __getstate__(self):
+        return {**self.__dict__, "open": OrderedDict()}
+
+
 @dataclass
-class Level:
-    """A level's shards: shard s has the keys from bounds[s] up to bounds[s + 1]; offsets[s] is its first key's index."""
+class Words(Shards):
+    """The first level: shard s has the hashes from bounds[s] up to bounds[s + 1]; offsets[s] is its first word's id."""
 
     folder: str
     bounds: list[int]
     metas: dict[int, tuple[int, int]]  # shard: (n, low)
-    payload: type
-    offsets: list[int] = field(default_factory=list)
+    open: OrderedDict = field(default_factory=OrderedDict)
 
     def __post_init__(self):
-        self.offsets = np.append(0, np.cumsum([self.metas.get(s, (0, 0))[0] for s in range(len(self.bounds))])).tolist()
-        self.loaded: dict[int, tuple[Sequence, np.ndarray]] = {}
+        self.offsets = np.append(0, np.cumsum([self.metas.get(s, (0, 0))[0] for s in range(len(self.bounds))]))
 
     @property
     def n(self) -> int:
-        return self.offsets[-1]
-
-    def shard(self, s: int) -> tuple[Sequence, np.ndarray]:
-        if s not in self.loaded:
-            n, low = self.metas[s]
-            get = lambda name, kind: _get(self.folder, f"{s}.{name}", kind)
-            self.loaded[s] = Sequence(n, low, get("low", np.uint8), get("high", np.uint64), np.asarray(get("zeros", np.int64))), get("payload", self.payload)
-        return self.loaded[s]
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index in the level or -1, payload or 0) of each key."""
-        index, payload = np.full(len(keys), -1, np.int64), np.zeros(len(keys), self.payload)
-        order = np.argsort(keys)  # neighbours in the files are looked up one after the other
-        ends = np.searchsorted(keys[order], np.array(self.bounds[1:], np.uint64)).tolist() + [len(keys)]
+        return int(self.offsets[-1])
+
+    def load(self, s: int) -> tuple[Sequence, np.ndarray]:
+        return _get_sequence(self.folder, f"{s}", *self.metas[s]), _get(self.folder, f"{s}.counts", np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id or -1, count) of each hash."""
+        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        order = np.argsort(hashes)
+        ends = [*np.searchsorted(hashes[order], np.array(self.bounds[1:], np.uint64)).tolist(), len(hashes)]
         start = 0
         for s, end in enumerate(ends):
             if end > start and s in self.metas:
                 at = order[start:end]
                 sequence, values = self.shard(s)
-                found = sequence.find(keys[at] - np.uint64(self.bounds[s]))
+                found = sequence.find(hashes[at] - np.uint64(self.bounds[s]))
                 hit = found >= 0
-                index[at[hit]] = found[hit] + self.offsets[s]
-                payload[at[hit]] = values[found[hit]]
+                ids[at[hit]] = found[hit] + self.offsets[s]
+                counts[at[hit]] = values[found[hit]]
             start = end
-        return index, payload
-
-    def __getstate__(self):
-        return {**self.__dict__, "loaded": {}}
+        return ids, counts
 
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        shard, out = np.searchsorted(self.offsets, ids, "right") - 1, np.zeros(len(ids), np.int64)
+        for s in np.unique(shard):
+            at = shard == s
+            out[at] = self.shard(int(s))[1][ids[at] - self.offsets[s]]
+        return out
 
-def _save(folder: str, shard: int, keys: np.ndarray, universe: int, payload: np.ndarray) -> tuple[int, int]:
-    low, parts, words, zeros = encode(keys, universe)
-    for name, array in (("low", parts), ("high", words), ("zeros", zeros), ("payload", payload)):
-        _put(folder, f"{shard}.{name}", array)
-    return len(keys), low
 
+@dataclass
+class Grams(Shards):
+    """A level below the first: shard s has the entries from (context, word) bounds[s] up to bounds[s + 1].
 
-# --- counting and scoring --------------------------------------------------------------------------------------------
+    metas: n, low and the pointers' low bits, number of contexts, entries of the first shard's context in shards before
+    (carry). Codes: log10 p and, if `inner`, log10 of what the entry as a context leaves to the lower level."""
 
+    folder: str
+    bounds: list[tuple[int, int]]
+    metas: dict[int, dict]
+    inner: bool
+    open: OrderedDict = field(default_factory=OrderedDict)
 
-def _hashes(words: list[bytes]) -> np.ndarray:
+    def __post_init__(self):
+        self.offsets = np.append(0, np.cumsum([self.metas[s]["n"] if s in self.metas else 0 for s in range(len(self.bounds))]))
+        self.starts = np.array(self.bounds, np.int64).reshape(-1, 2)
+
+    def load(self, s: int) -> tuple:
+        m = self.metas[s]
+        codes = [_get(self.folder, f"{s}.{name}", np.uint8) for name in (("p", "rest") if self.inner else ("p",))]
+        return _get_sequence(self.folder, f"{s}.words", m["n"], m["low"]), _get_sequence(self.folder, f"{s}.pointers", m["contexts"] + 1, m["pointer_low"]), *codes
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(index or -1, rank in the context, codes) of each pair of a context and a word."""
+        out = [np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64), *[np.zeros(len(context), np.uint8) for _ in range(1 + self.inner)]]
+        order = np.lexsort((word, context))
+        context, word = context[order], word[order]
+        shard = shards_of(context, word, self.starts)
+        for a, b in runs(shard):
+            s = int(shard[a])
+            if s not in self.metas:
+                continue
+            words, pointers, *codes = self.shard(s)
+            own = context[a:b] - self.starts[s, 0]
+            first = np.append(True, own[1:] != own[:-1])
+            distinct, back = own[first], np.cumsum(first) - 1
+            begin, end = pointers.access(distinct).astype(np.int64), pointers.access(distinct + 1).astype(np.int64)
+            base = np.where(begin > 0, words.access(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
+            some = np.flatnonzero((end > begin)[back])
+            at = words.find(base[back[some]] + word[a:b][some].astype(np.uint64), begin[back[some]], end[back[some]])
+            some, at = some[at >= 0], at[at >= 0]
+            to = order[a:b][some]
+            out[0][to] = at + self.offsets[s]
+            out[1][to] = at - begin[back[some]] + np.where(own[some] == 0, self.metas[s]["carry"], 0)
+            for i, c in enumerate(codes):
+                out[2 + i][to] = c[at]
+        return tuple(out)
+
+
+def shards_of(context: np.ndarray, word: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The last shard that starts at or before each (context, word)."""
+    s = np.searchsorted(starts[:, 0], context, "right") - 1
+    while len(back := np.flatnonzero((starts[s, 0] == context) & (starts[s, 1] > word))):
+        s[back] -= 1
+    return s
+
+
+# --- tokens ----------------------------------------------------------------------------------------------------------
+
+
+def hashes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the texts' words' hashes, one text after the other; the number of words of each): A-Z in lower case, ASCII white space."""
     from xxhash import xxh64_intdigest
 
-    return np.array([xxh64_intdigest(w) or 1 for w in words], np.uint64)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(pa.large_string())))
+    counts, coded = np.asarray(lists.value_lengths()).astype(np.int64), lists.flatten().dictionary_encode()
+    numbers = np.asarray(coded.indices)
+    found = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    real = np.array([bool(w) for w in found], bool)[numbers] if len(numbers) else np.zeros(0, bool)
+    table = np.array([(xxh64_intdigest(w) or 1) if w else END for w in found], np.uint64)
+    text = np.repeat(np.arange(len(counts)), counts)[real]
+    return (table[numbers[real]] if len(numbers) else np.zeros(0, np.uint64)), np.bincount(text, minlength=len(counts))
+
 
+def tokenized(docs: DataFrame) -> DataFrame:
+    """A written table of docs with `words`, the text's words as hashes, instead of the column __text."""
 
-def _stretches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[list[int], list[list[bytes]]]]:
-    """(row numbers, their words in lower case) for stretches of about _TOKENS_AT_ONCE tokens, with the batch they are of."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where = batch.schema.get_field_index("__text")
+            texts = batch.column(where)
+            sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+            part = (np.cumsum(sizes) - sizes) // _BYTES_AT_ONCE
+            for a, b in runs(part):
+                words, counts = hashes_of(texts.slice(a, b - a))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(words.view(np.int64)))
+                rest = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns) if i != where]
+                yield pa.RecordBatch.from_arrays([*rest, lists], [*[n for n in batch.schema.names if n != "__text"], "words"])
+
+    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__text")
+    return written(docs.mapInArrow(run, f"{rest}, words array<bigint>"))
+
+
+class Stretch:
+    """Some texts' tokens, each text's end among them: distinct words, pairs and triples, and which of them each token is."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.lengths = counts + 1
+        self.ends = np.cumsum(self.lengths) - 1
+        self.starts = self.ends - counts
+        tokens = np.zeros(len(words) + len(counts), np.uint64)
+        inside = np.ones(len(tokens), bool)
+        inside[self.ends] = False
+        tokens[inside] = words
+        self.number, self.hashes = pd.factorize(np.append(np.uint64(END), tokens))  # the end's number is 0
+        self.number = self.number[1:].astype(np.int64)
+        before = np.append(0, self.number[:-1])
+        before[self.starts] = 0
+        n = len(self.hashes)
+        self.pair, pairs = pd.factorize(before * n + self.number)
+        self.pair = self.pair.astype(np.int64)
+        self.pair_before, self.pair_word = pairs // n, pairs % n
+
+    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(the tokens that have two words before them, or the start and one; which triple each is; the triples' first and last pairs)."""
+        at = np.ones(len(self.number), bool)
+        at[self.starts] = False
+        at = np.flatnonzero(at)
+        n = len(self.pair_before)
+        which, triples = pd.factorize(self.pair[at - 1] * n + self.pair[at])
+        return at, which.astype(np.int64), triples // n, triples % n
+
+
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Stretch]]:
+    """Runs of rows with about _TOKENS_AT_ONCE tokens; the last column holds the words."""
     for batch in batches:
-        texts, rows, words, n = batch.column(batch.schema.get_field_index(column)).cast(pa.binary()), [], [], 0
-        for i in range(len(texts)):
-            rows.append(i)
-            words.append((texts[i].as_py() or b"").lower().split())
-            n += len(words[-1]) + 1
-            if n >= _TOKENS_AT_ONCE:
-                yield batch, rows, words
-                rows, words, n = [], [], 0
-        if rows:
-            yield batch, rows, words
+        lists = batch.column(batch.num_columns - 1)
+        counts = np.asarray(lists.value_lengths()).astype(np.int64)
+        part = np.cumsum(counts + 1) // _TOKENS_AT_ONCE
+        for a, b in runs(part):
+            yield batch.slice(a, b - a), Stretch(np.asarray(lists.slice(a, b - a).flatten()).view(np.uint64), counts[a:b])
 
 
-def _numbered(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of the distinct words, first END; the tokens as indexes of these, each text followed by END; texts' lengths)."""
-    numbers: dict[bytes, int] = {}
-    tokens: list[int] = []
-    for words in texts:
-        tokens += [numbers.setdefault(w, len(numbers) + 1) for w in words]
-        tokens.append(0)
-    return np.append(np.uint64(END), _hashes(list(numbers))), np.array(tokens, np.int64), np.array([len(w) + 1 for w in texts])
+# --- counting --------------------------------------------------------------------------------------------------------
 
+_COUNTED = "shard int, context binary, word binary, counts binary, lower binary"
 
-def _bounds(universe: int, keys: int) -> list[int]:
-    n = max(1, -(-keys // SHARD_KEYS))
-    return [universe * s // n for s in range(n)]
 
+def _rows(shard: np.ndarray, context: np.ndarray, word: np.ndarray, counts: np.ndarray, lower: np.ndarray | None) -> pa.RecordBatch:
+    """A row for each shard of entries in order of (context, word); lower: a code that goes with the entry."""
+    cells: list[list] = [[], [], [], [], []]
+    for a, b in runs(shard):
+        for cell, x in zip(cells, (int(shard[a]), _packed(np.diff(context[a:b], prepend=0)), _packed(word[a:b]), _packed(counts[a:b]), _packed(lower[a:b], np.uint8) if lower is not None else None), strict=True):
+            cell.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cells[1:]]], ["shard", "context", "word", "counts", "lower"])
 
-def _shards_of(keys: np.ndarray, bounds: list[int]) -> np.ndarray:
-    return np.searchsorted(np.array(bounds, np.uint64), keys, "right") - 1
 
+def _folded(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """The entries of all parts in order, equal ones added up."""
+    context, word, counts, lower = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((word, context))
+    context, word, lower = context[order], word[order], lower[order]
+    starts = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
+    return context[starts], word[starts], np.add.reduceat(counts[order], starts), lower[starts]
 
-def _counted(texts: DataFrame, keys_of: Callable[[list[list[bytes]]], np.ndarray], bounds: list[int]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, words in _stretches(batches, "text"):
-            keys, counts = keys_of(words)
-            yield _as_rows(_shards_of(keys, bounds), keys, counts)
 
-    return texts.select("text").mapInArrow(run, "shard int, keys binary, counts binary")
+def _by_shard(counted: DataFrame, build: Callable[..., dict], schema: str) -> DataFrame:
+    """build(shard, context, word, counts, lower) for every shard, whose rows are added up as they come."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, held = None, [], 0
+
+        def done() -> pa.RecordBatch:
+            row = build(now, *_folded(parts))
+            return pa.RecordBatch.from_pylist([{n: row[n] for n in names}], pa.schema([(n, kinds[n]) for n in names]))
 
-def words_level(texts: DataFrame, folder: str, tokens: int) -> tuple[Level, int, int]:
-    """(the first level, N, the number of texts)."""
+        kinds = {f.split()[0]: pa.list_(pa.float64()) if f.endswith("array<double>") else pa.list_(pa.int64()) if f.endswith("array<bigint>") else pa.int64() for f in schema.split(", ")}
+        for batch in batches:
+            for shard, *cells in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if shard != now:
+                    if parts:
+                        yield done()
+                    now, parts, held = shard, [], 0
+                word = _unpacked(cells[1]).view(np.int64)
+                lower = _unpacked(cells[3], np.uint8) if cells[3] is not None else np.zeros(len(word), np.uint8)
+                parts.append((np.cumsum(_unpacked(cells[0]).view(np.int64)), word, _unpacked(cells[2]).view(np.int64), lower))
+                held += len(word)
+                if held > _FOLD:
+                    parts = [_folded(parts)]
+                    held = len(parts[0][0]) if len(parts[0][0]) < _FOLD // 2 else 0  # not again for every row
+        if parts:
+            yield done()
+
+    return counted.repartition(partitions(counted.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+
+
+def _marks(index: np.ndarray, counts: np.ndarray) -> tuple[list[int], list[int]]:
+    """(the last of some entries, the tokens up to it since the one before), every SHARD_KEYS / _MARKS tokens; an entry with more stands alone."""
+    least, out, total = max(1, SHARD_KEYS // _MARKS), [], np.cumsum(counts)
+    at, before = 0, 0
+    heavy = np.flatnonzero(counts >= least).tolist()
+    while at < len(counts):
+        to = int(np.searchsorted(total, before + least))
+        while heavy and heavy[0] < at:
+            heavy.pop(0)
+        if heavy and at < heavy[0] <= to:
+            to = heavy[0] - 1
+        to = min(to, len(counts) - 1)
+        out.append((int(index[to]), int(total[to]) - before))
+        at, before = to + 1, int(total[to])
+    return [i for i, _ in out], [n for _, n in out]
+
+
+def bounds_of(marks: list[tuple[int, int]], words: Callable[[int], int]) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """(the first (context, word) of each shard, the tokens of contexts that several shards share). words: how many words may
+    follow a context."""
+    bounds, shared, filled = [(0, 0)], {}, 0
+    last = -1
+    for index, n in sorted(marks):
+        if filled and filled + n > SHARD_KEYS:
+            bounds.append((last + 1, 0))
+            filled = 0
+        filled += n
+        if n > SHARD_KEYS:  # one context, as lighter ones are grouped up to a smaller sum
+            if bounds[-1] != (index, 0):
+                bounds.append((index, 0))
+            size, parts = max(1, words(index)), -(-n // SHARD_KEYS)
+            bounds += sorted({(index, w) for i in range(1, parts) if (w := size * i // parts)})
+            shared[index] = n
+            bounds.append((index + 1, 0))
+            filled = 0
+        last = index
+    return [b for i, b in enumerate(bounds) if not i or b > bounds[i - 1]], shared
+
+
+def words_level(tokens: DataFrame, folder: str, n_tokens: int) -> tuple[Words, int, int, list[tuple[int, int]]]:
+    """(the first level, N, the number of texts, marks by id)."""
     universe = 1 << 64
-    bounds = _bounds(universe, tokens)
+    shards = max(1, -(-(n_tokens // 8) // SHARD_KEYS))
+    bounds = [universe * s // shards for s in range(shards)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, stretch in stretches(batches):
+            order = np.argsort(stretch.hashes)
+            hashes, counts = stretch.hashes[order], np.bincount(stretch.number, minlength=len(stretch.hashes))[order]
+            hashes, counts = hashes[counts > 0], counts[counts > 0]
+            shard = np.searchsorted(np.array(bounds, np.uint64), hashes, "right") - 1
+            yield _rows(shard, np.zeros(len(hashes), np.int64), (hashes - np.array(bounds, np.uint64)[shard]).view(np.int64), counts, None)
+
+    def build(shard: int, _: np.ndarray, word: np.ndarray, counts: np.ndarray, __: np.ndarray) -> dict:
+        keys = word.view(np.uint64)
+        order = np.argsort(keys, kind="stable")  # as unsigned numbers
+        keys, counts = keys[order], counts[order]
+        end = bounds[shard + 1] if shard + 1 < len(bounds) else universe
+        low = _put_sequence(folder, f"{shard}", keys, end - bounds[shard])
+        _put(folder, f"{shard}.counts", counts)
+        at, sums = _marks(np.arange(len(keys)), counts)
+        return {"shard": shard, "n": len(keys), "low": low, "tokens": int(counts.sum()), "texts": int(counts[0]) if bounds[shard] + int(keys[0]) == END else 0, "at": at, "sums": sums}
 
-    def keys_of(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        hashes, numbers, _ = _numbered(words)
-        counts = np.bincount(numbers, minlength=len(hashes))
-        order = np.argsort(hashes)
-        return hashes[order], counts[order]
+    built = _by_shard(tokens.select("words").mapInArrow(count, _COUNTED), build, "shard bigint, n bigint, low bigint, tokens bigint, texts bigint, at array<bigint>, sums array<bigint>").collect()
+    level = Words(folder, bounds, {r.shard: (r.n, r.low) for r in built})
+    marks = [(int(level.offsets[r.shard]) + i, n) for r in built for i, n in zip(r["at"], r["sums"], strict=True)]
+    return level, sum(r.tokens for r in built), sum(r.texts for r in built), marks
+
+
+def grams_level(counted: DataFrame, folder: str, bounds: list[tuple[int, int]], shared: dict[int, int], p_lower: Callable[[np.ndarray, np.ndarray], np.ndarray], contexts: int, inner: bool, least: Callable[[float], float], next_k: bool) -> tuple[Grams, float, list[tuple[int, int]]]:
+    """(a level below the first, its K, marks by index). p_lower(word, code): the lower level's probability of an entry's word."""
+    grid = np.array(GRID)
+
+    def totals(context: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The tokens after each entry's context."""
+        starts = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        sums = np.add.reduceat(counts, starts)
+        sums = np.array([shared.get(int(c), int(n)) for c, n in zip(context[starts], sums, strict=True)]) if shared else sums
+        return np.repeat(sums, np.diff(starts, append=len(context)))
+
+    def build(shard: int, context: np.ndarray, word: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> dict:
+        first = bounds[shard][0]
+        until = bounds[shard + 1] if shard + 1 < len(bounds) else (contexts, 0)
+        n_contexts = until[0] - first + (until[1] > 0)
+        starts = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        ends = np.append(starts[1:], len(context))
+        added = np.append(0, np.cumsum(word[ends - 1] + 1))
+        keys = (np.repeat(added[:-1], ends - starts) + word).astype(np.uint64)
+        low = _put_sequence(folder, f"{shard}.words", keys, int(added[-1]) + 1)
+        pointers = np.cumsum(np.bincount(context[starts] - first + 1, weights=ends - starts, minlength=n_contexts + 1)).astype(np.uint64)
+        pointer_low = _put_sequence(folder, f"{shard}.pointers", pointers, len(keys) + 1)
+        total, p = totals(context, counts), p_lower(word, lower)
+        _put(folder, f"{shard}.raw", np.frombuffer(_packed(counts) + b"", np.uint8))
+        _put(folder, f"{shard}.total", np.frombuffer(_packed(total), np.uint8))
+        _put(folder, f"{shard}.lower", np.frombuffer(_packed(p.astype(np.float32), np.float32), np.uint8))
+        fit = [float((counts * np.log((counts - 1 + k * p) / (total - 1 + k))).sum()) for k in grid]
+        at, sums = _marks(np.arange(len(keys)), counts) if inner else ([], [])
+        return {"shard": shard, "n": len(keys), "low": low, "pointer_low": pointer_low, "contexts": n_contexts, "first": int(ends[0] - starts[0]) if context[0] == first else 0, "last": int(ends[-1] - starts[-1]), "last_context": int(context[-1]), "at": at, "sums": sums, "fit": fit}
+
+    schema = "shard bigint, n bigint, low bigint, pointer_low bigint, contexts bigint, first bigint, last bigint, last_context bigint, at array<bigint>, sums array<bigint>, fit array<double>"
+    built = {r.shard: r.asDict() for r in _by_shard(counted, build, schema).collect()}
+    prior = float(GRID[int(np.argmax(np.sum([r["fit"] for r in built.values()], axis=0)))]) if built else 1.0
+    carry = 0
+    for s in range(len(bounds)):  # entries of the shard's first context in shards before it
+        carry = carry if bounds[s][1] else 0
+        if s in built:
+            built[s]["carry"] = carry
+            carry = built[s]["last"] + (carry if built[s]["last_context"] == bounds[s][0] else 0)
+    floor = least(prior)
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                counts, total = (_unpacked(_get(folder, f"{s}.{name}", np.uint8).tobytes()).astype(np.float64) for name in ("raw", "total"))
+                p = (counts + prior * _unpacked(_get(folder, f"{s}.lower", np.uint8).tobytes(), np.float32)) / (total + prior)
+                _put(folder, f"{s}.p", quantised(np.log10(p), floor))
+                if inner:
+                    _put(folder, f"{s}.raw2", np.frombuffer(_packed(counts.astype(np.uint64)), np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64())], ["shard"])
+
+    spark = counted.sparkSession
+    if built:
+        spark.createDataFrame([(s,) for s in built], "shard bigint").repartition(len(built), "shard").mapInArrow(codes, "shard bigint").count()
+    level = Grams(folder, bounds, built, False)
+    marks = [(int(level.offsets[s]) + i, n) for s, r in built.items() for i, n in zip(r["at"], r["sums"], strict=True)]
+    return level, prior, marks
 
-    def build(group: pa.Table) -> pa.Table:
-        shard = group["shard"][0].as_py()
-        keys, counts = _merged(group["keys"].to_pylist(), group["counts"].to_pylist())
-        end = bounds[shard + 1] if shard + 1 < len(bounds) else universe
-        n, low = _save(folder, shard, keys - np.uint64(bounds[shard]), end - bounds[shard], counts.astype(np.int64))
-        return pa.table({"shard": [shard], "n": [n], "low": [low], "tokens": [int(counts.sum())], "texts": [int(counts[keys == END].sum())]}, schema=pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("low", pa.int32()), ("tokens", pa.int64()), ("texts", pa.int64())]))
 
-    built = _counted(texts, keys_of, bounds).groupBy("shard").applyInArrow(build, "shard int, n bigint, low int, tokens bigint, texts bigint").collect()
-    level = Level(folder, bounds, {r.shard: (r.n, r.low) for r in built}, np.int64)
-    return level, sum(r.tokens for r in built), sum(r.texts for r in built)
+def quantised(logs: np.ndarray, least: float) -> np.ndarray:
+    return np.clip(np.rint((1 - logs / least) * (CODES - 1)), 0, CODES - 1).astype(np.uint8)
+
+
+def with_rests(spark: SparkSession, level: Grams, prior: float, least: float) -> Grams:
+    """The level with each entry's code of K / (c + K), which the K of the level below it decides."""
+    folder = level.folder
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                counts = _unpacked(_get(folder, f"{s}.raw2", np.uint8).tobytes()).astype(np.float64)
+                _put(folder, f"{s}.rest", quantised(np.log10(prior / (counts + prior)), least))
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64())], ["shard"])
+
+    if level.metas:
+        spark.createDataFrame([(s,) for s in level.metas], "shard bigint").repartition(len(level.metas), "shard").mapInArrow(run, "shard bigint").count()
+    return Grams(folder, level.bounds, level.metas, True)
+
+
+# --- the model -------------------------------------------------------------------------------------------------------
 
 
 @dataclass
 class Model:
-    words: Level
-    pairs: Level | None
+    words: Words
     tokens: int  # N
-    texts: int
-    prior: float  # K
-    least: float  # the log10 probability of code 0
+    pairs: Grams | None = None
+    triples: Grams | None = None
+    priors: tuple[float, ...] = ()  # K of pairs and of triples
+    least: float = -1.0  # the log10 of code 0
 
     def p1(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.tokens + 0.5 * (self.words.n + 1))
 
-    def context(self, counts: np.ndarray) -> np.ndarray:
-        return counts.astype(np.float64)
+    def logs(self, codes: np.ndarray) -> np.ndarray:
+        return self.least * (1 - codes / (CODES - 1))
+
+    def ids(self, s: Stretch) -> tuple[np.ndarray, np.ndarray]:
+        return self.words.find(s.hashes)
 
-    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    def find_pairs(self, s: Stretch, ids: np.ndarray) -> list[np.ndarray]:
+        """Index (or -1), rank and codes of the stretch's distinct pairs."""
+        u, w = ids[s.pair_before], ids[s.pair_word]
+        known = np.flatnonzero((u >= 0) & (w >= 0))
+        found = self.pairs.find(u[known], w[known])
+        out = [np.full(len(u), -1, np.int64), *[np.zeros(len(u), x.dtype) for x in found[1:]]]
+        for to, x in zip(out, found, strict=True):
+            to[known] = x
+        return out
+
+    def score(self, s: Stretch) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of every text."""
-        hashes, numbers, lengths = _numbered(texts)
-        ids, counts = self.words.find(hashes)
-        token_ids, token_counts = ids[numbers], counts[numbers].astype(np.float64)
-        p1 = self.p1(token_counts)
-        starts = np.append(0, np.cumsum(lengths)[:-1])
-        before = np.append(0, numbers[:-1])
-        before[starts] = 0
-        before_ids, before_counts = ids[before], counts[before].astype(np.float64)
-        out = np.log10(np.where(before_counts > 0, self.prior / (before_counts + self.prior), 1.0) * p1)
-        both = np.flatnonzero((before_ids >= 0) & (token_ids >= 0))
-        if self.pairs is not None and len(both):
-            keys = before_ids[both].astype(np.uint64) * np.uint64(self.words.n) + token_ids[both].astype(np.uint64)
-            distinct, back = np.unique(keys, return_inverse=True)
-            index, code = self.pairs.find(distinct)
-            seen = index[back] >= 0
-            out[both[seen]] = self.least * (1 - code[back[seen]] / (CODES - 1))
-        total = lambda x: np.add.reduceat(x, starts)
-        return lengths, total((token_counts > 0).astype(np.int64)), total(np.log10(p1)), total(out)
-
-
-def train(texts: DataFrame) -> Model:
-    """The model of column `text` (null: empty)."""
-    root = f"{shared_folder(texts.sparkSession)}/ngrams/{uuid.uuid4().hex}"
-    tokens = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
-    words, n, documents = words_level(texts, f"{root}/1", tokens // 8)
+        ids, counts = self.ids(s)
+        p1 = np.log10(self.p1(counts.astype(np.float64)))
+        base = p1[s.number]
+        if self.pairs is None:
+            out = base
+        else:
+            index, rank, p, rest = self.find_pairs(s, ids)
+            context = counts[s.pair_before].astype(np.float64)
+            two = np.where(index >= 0, self.logs(p), np.log10(np.where(context > 0, self.priors[0] / (context + self.priors[0]), 1.0)) + p1[s.pair_word])
+            at, which, first, last = s.triples()
+            three = two[last] + np.where(index[first] >= 0, self.logs(rest[first]), 0.0)
+            seen = np.flatnonzero((index[first] >= 0) & (index[last] >= 0))
+            found, _, code = self.triples.find(index[first[seen]], rank[last[seen]])
+            three[seen[found >= 0]] = self.logs(code[found >= 0])
+            out = two[s.pair]
+            out[at] = three[which]
+        total = lambda x: np.add.reduceat(x, s.starts) if len(s.starts) else x
+        return s.lengths, total((counts > 0)[s.number].astype(np.int64)), total(base), total(out)
+
+
+def train(tokens: DataFrame) -> Model:
+    """The model of a table with column `words`."""
+    spark = tokens.sparkSession
+    root = f"{shared_folder(spark)}/ngrams/{uuid.uuid4().hex}"
+    n_tokens = tokens.agg(F.coalesce(F.sum(F.size("words") + 1), F.lit(0))).first()[0]
+    words, n, _, marks = words_level(tokens, f"{root}/1", n_tokens)
     if not words.n:
-        return Model(words, None, 0, 0, 1.0, -1.0)
+        return Model(words, 0)
+    model = Model(words, n)
     v = words.n
-    universe = v * v
-    bounds = _bounds(universe, n)
-    known = Model(words, None, n, documents, 1.0, 0.0)
-
-    def keys_of(texts_: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        hashes, numbers, lengths = _numbered(texts_)
-        ids = known.words.find(hashes)[0].astype(np.uint64)
-        before = np.append(0, numbers[:-1])
-        before[np.append(0, np.cumsum(lengths)[:-1])] = 0
-        return np.unique(ids[before] * np.uint64(v) + ids[numbers], return_counts=True)
-
-    grid = np.array(GRID)
-
-    def parts(keys: np.ndarray, by_id: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """c(u) and p1(w) of the pairs' words."""
-        return by_id((keys // np.uint64(v)).astype(np.int64)).astype(np.float64), known.p1(by_id((keys % np.uint64(v)).astype(np.int64)))
 
-    def counts_by_id() -> Callable[[np.ndarray], np.ndarray]:
-        offsets = np.array(known.words.offsets)
+    def smallest(prior: float) -> float:
+        return -(log10(n + prior) + 1)
 
-        def get(ids: np.ndarray) -> np.ndarray:
-            shard, out = np.searchsorted(offsets, ids, "right") - 1, np.zeros(len(ids), np.int64)
-            for s in np.unique(shard):
-                at = shard == s
-                out[at] = known.words.shard(int(s))[1][ids[at] - offsets[s]]
-            return out
+    # pairs: contexts are words
+    bounds, shared = bounds_of(marks, lambda _: v)
+    starts = np.array(bounds, np.int64)
 
-        return get
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, s in stretches(batches):
+            ids, _ = model.ids(s)
+            u, w, counts = ids[s.pair_before], ids[s.pair_word], np.bincount(s.pair)
+            order = np.lexsort((w, u))
+            u, w = u[order], w[order]
+            yield _rows(shards_of(u, w, starts), u, w, counts[order], None)
 
-    def merge(group: pa.Table) -> pa.Table:
-        keys, counts = _merged(group["keys"].to_pylist(), group["counts"].to_pylist())
-        context, p1 = parts(keys, counts_by_id())
-        fit = [float((counts * np.log((counts - 1 + k * p1) / (context - 1 + k))).sum()) for k in grid]
-        shard = group["shard"][0].as_py()
-        return pa.table({"shard": pa.array([shard], pa.int32()), "keys": pa.array([_packed(np.diff(keys, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([_packed(counts.astype(np.uint64))], pa.binary()), "fit": pa.array([fit], pa.list_(pa.float64()))})
+    counted = tokens.select("words").mapInArrow(pairs_of, _COUNTED)
+    least = smallest(max(GRID))
+    pairs, prior, marks = grams_level(counted, f"{root}/2", bounds, shared, lambda w, _: model.p1(words.counts(w).astype(np.float64)), v, True, lambda _: least, True)
+    model = Model(words, n, pairs, None, (prior,), least)
 
-    merged = written(_counted(texts, keys_of, bounds).groupBy("shard").applyInArrow(merge, "shard int, keys binary, counts binary, fit array<double>"), "none")
-    fits = merged.select(F.posexplode("fit").alias("i", "fit")).groupBy("i").agg(F.sum("fit").alias("fit")).collect()
-    prior = float(GRID[max(fits, key=lambda r: (r.fit, r.i)).i])
-    least = -(log10(n + prior) + 1)
-    folder = f"{root}/2"
+    # triples: contexts are pairs, a word's name its rank among the successors of the word before it
+    bounds3, shared3 = bounds_of(marks, lambda _: v)
+    starts3 = np.array(bounds3, np.int64)
+    contexts = int(pairs.offsets[-1])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, counts = np.cumsum(_unpacked(row["keys"]), dtype=np.uint64), _unpacked(row["counts"]).astype(np.float64)
-                context, p1 = parts(keys, counts_by_id())
-                p = np.log10((counts + prior * p1) / (context + prior))
-                codes = np.clip(np.rint((1 - p / least) * (CODES - 1)), 0, CODES - 1).astype(np.uint8)
-                s = row["shard"]
-                end = bounds[s + 1] if s + 1 < len(bounds) else universe
-                size, low = _save(folder, s, keys - np.uint64(bounds[s]), end - bounds[s], codes)
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([size], pa.int64()), pa.array([low], pa.int32())], ["shard", "n", "low"])
+    def triples_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, s in stretches(batches):
+            index, rank, code, *_ = model.find_pairs(s, model.ids(s)[0])
+            _, which, first, last = s.triples()
+            u, w, counts = index[first], rank[last], np.bincount(which, minlength=len(first))
+            order = np.lexsort((w, u))
+            u, w = u[order], w[order]
+            yield _rows(shards_of(u, w, starts3), u, w, counts[order], code[last[order]])
 
-    built = merged.select("shard", "keys", "counts").mapInArrow(build, "shard int, n bigint, low int").collect()
-    return Model(words, Level(folder, bounds, {r.shard: (r.n, r.low) for r in built}, np.uint8), n, documents, prior, least)
+    counted = tokens.select("words").mapInArrow(triples_of, _COUNTED)
+    triples, prior3, _ = grams_level(counted, f"{root}/3", bounds3, shared3, lambda _, code: 10 ** model.logs(code), contexts, False, lambda _: least, False)
+    return Model(words, n, with_rests(spark, pairs, prior3, least), triples, (prior, prior3), least)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (with column __text) with n_tokens, n_known, base_score and score instead of the text."""
+def score(tokens: DataFrame, model: Model) -> DataFrame:
+    """A tokenized() table with n_tokens, n_known, base_score and score instead of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows, words in _stretches(batches, "__text"):
-            some = batch.slice(rows[0], len(rows))
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
-            found = [pa.array(x) for x in model.score(words)]
-            yield pa.RecordBatch.from_arrays([*[some.column(i) for i in keep], *found], [*[batch.schema.names[i] for i in keep], "n_tokens", "n_known", "base_score", "score"])
+        for batch, stretch in stretches(batches):
+            found = [pa.array(x) for x in model.score(stretch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*batch.schema.names[:-1], "n_tokens", "n_known", "base_score", "score"])
 
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__text")
-    return docs.mapInArrow(run, f"{rest}, n_tokens bigint, n_known bigint, base_score double, score double")
+    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name != "words")
+    return tokens.mapInArrow(run, f"{rest}, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and prior for every row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and priors for every row.
 
     The model learns from the rows whose crc32(doc_id) leaves another remainder than HELD_OUT and scores all. A null text
     is empty: one token, its end. Repeated rows count as often as they occur and have a result each; a null doc_id is not
-    held out. Other columns are ignored. Nothing to learn from: every token has probability 1. No rows: no rows.
+    held out. Other columns are ignored. Nothing to learn from: every token has the base's probability. No rows: no rows.
+    Words are told apart by 64-bit hashes.
     """
-    model = train(docs.where(~held_out()).select("text"))
-    named = docs.select("doc_id", held_out().alias("held_out"), F.col("text").alias("__text"))
-    return score(named, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.lit(model.prior).alias("prior"))
+    tokens = tokenized(docs.select("doc_id", held_out().alias("held_out"), F.col("text").alias("__text")))
+    model = train(tokens.where("not held_out"))
+    return score(tokens, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.array(*[F.lit(float(p)) for p in model.priors]).cast("array<double>").alias("priors"))
