@@ -470,9 +470,9 @@ def _by_shard(counted: DataFrame, build: Callable[..., dict], schema: str) -> Da
     return counted.repartition(partitions(counted.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
-def _marks(index: np.ndarray, counts: np.ndarray) -> tuple[list[int], list[int]]:
-    """(the last of some entries, the tokens up to it since the one before), every SHARD_KEYS / _MARKS tokens; an entry with more stands alone."""
-    least, out, total = max(1, SHARD_KEYS // _MARKS), [], np.cumsum(counts)
+def _marks(index: np.ndarray, counts: np.ndarray, least: int) -> tuple[list[int], list[int]]:
+    """(the last of some entries, the tokens up to it since the one before), every `least` tokens; an entry with more stands alone."""
+    out, total = [], np.cumsum(counts)
     at, before = 0, 0
     heavy = np.flatnonzero(counts >= least).tolist()
     while at < len(counts):
@@ -511,7 +511,7 @@ def bounds_of(marks: list[tuple[int, int]], words: Callable[[int], int]) -> tupl
 
 def words_level(tokens: DataFrame, folder: str, n_tokens: int) -> tuple[Words, int, int, list[tuple[int, int]]]:
     """(the first level, N, the number of texts, marks by id)."""
-    universe = 1 << 64
+    universe, least = 1 << 64, max(1, SHARD_KEYS // _MARKS)
     shards = max(1, -(-(n_tokens // 8) // SHARD_KEYS))
     bounds = [universe * s // shards for s in range(shards)]
 
@@ -530,7 +530,7 @@ def words_level(tokens: DataFrame, folder: str, n_tokens: int) -> tuple[Words, i
         end = bounds[shard + 1] if shard + 1 < len(bounds) else universe
         low = _put_sequence(folder, f"{shard}", keys, end - bounds[shard])
         _put(folder, f"{shard}.counts", counts)
-        at, sums = _marks(np.arange(len(keys)), counts)
+        at, sums = _marks(np.arange(len(keys)), counts, least)
         return {"shard": shard, "n": len(keys), "low": low, "tokens": int(counts.sum()), "texts": int(counts[0]) if bounds[shard] + int(keys[0]) == END else 0, "at": at, "sums": sums}
 
     built = _by_shard(tokens.select("words").mapInArrow(count, _COUNTED), build, "shard bigint, n bigint, low bigint, tokens bigint, texts bigint, at array<bigint>, sums array<bigint>").collect()
@@ -539,9 +539,9 @@ def words_level(tokens: DataFrame, folder: str, n_tokens: int) -> tuple[Words, i
     return level, sum(r.tokens for r in built), sum(r.texts for r in built), marks
 
 
-def grams_level(counted: DataFrame, folder: str, bounds: list[tuple[int, int]], shared: dict[int, int], p_lower: Callable[[np.ndarray, np.ndarray], np.ndarray], contexts: int, inner: bool, least: Callable[[float], float], next_k: bool) -> tuple[Grams, float, list[tuple[int, int]]]:
+def grams_level(counted: DataFrame, folder: str, bounds: list[tuple[int, int]], shared: dict[int, int], p_lower: Callable[[np.ndarray, np.ndarray], np.ndarray], contexts: int, inner: bool, floor: float) -> tuple[Grams, float, list[tuple[int, int]]]:
     """(a level below the first, its K, marks by index). p_lower(word, code): the lower level's probability of an entry's word."""
-    grid = np.array(GRID)
+    grid, least = np.array(GRID), max(1, SHARD_KEYS // _MARKS)
 
     def totals(context: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The tokens after each entry's context."""
@@ -562,11 +562,11 @@ def grams_level(counted: DataFrame, folder: str, bounds: list[tuple[int, int]],
         pointers = np.cumsum(np.bincount(context[starts] - first + 1, weights=ends - starts, minlength=n_contexts + 1)).astype(np.uint64)
         pointer_low = _put_sequence(folder, f"{shard}.pointers", pointers, len(keys) + 1)
         total, p = totals(context, counts), p_lower(word, lower)
-        _put(folder, f"{shard}.raw", np.frombuffer(_packed(counts) + b"", np.uint8))
-        _put(folder, f"{shard}.total", np.frombuffer(_packed(total), np.uint8))
-        _put(folder, f"{shard}.lower", np.frombuffer(_packed(p.astype(np.float32), np.float32), np.uint8))
+        _put(f"{folder}/raw", f"{shard}.counts", np.frombuffer(_packed(counts), np.uint8))
+        _put(f"{folder}/raw", f"{shard}.total", np.frombuffer(_packed(total), np.uint8))
+        _put(f"{folder}/raw", f"{shard}.lower", np.frombuffer(_packed(p.astype(np.float32), np.float32), np.uint8))
         fit = [float((counts * np.log((counts - 1 + k * p) / (total - 1 + k))).sum()) for k in grid]
-        at, sums = _marks(np.arange(len(keys)), counts) if inner else ([], [])
+        at, sums = _marks(np.arange(len(keys)), counts, least) if inner else ([], [])
         return {"shard": shard, "n": len(keys), "low": low, "pointer_low": pointer_low, "contexts": n_contexts, "first": int(ends[0] - starts[0]) if context[0] == first else 0, "last": int(ends[-1] - starts[-1]), "last_context": int(context[-1]), "at": at, "sums": sums, "fit": fit}
 
     schema = "shard bigint, n bigint, low bigint, pointer_low bigint, contexts bigint, first bigint, last bigint, last_context bigint, at array<bigint>, sums array<bigint>, fit array<double>"
@@ -578,16 +578,12 @@ def grams_level(counted: DataFrame, folder: str, bounds: list[tuple[int, int]],
         if s in built:
             built[s]["carry"] = carry
             carry = built[s]["last"] + (carry if built[s]["last_context"] == bounds[s][0] else 0)
-    floor = least(prior)
-
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                counts, total = (_unpacked(_get(folder, f"{s}.{name}", np.uint8).tobytes()).astype(np.float64) for name in ("raw", "total"))
-                p = (counts + prior * _unpacked(_get(folder, f"{s}.lower", np.uint8).tobytes(), np.float32)) / (total + prior)
+                counts, total = (_unpacked(_get(f"{folder}/raw", f"{s}.{name}", np.uint8).tobytes()).astype(np.float64) for name in ("counts", "total"))
+                p = (counts + prior * _unpacked(_get(f"{folder}/raw", f"{s}.lower", np.uint8).tobytes(), np.float32)) / (total + prior)
                 _put(folder, f"{s}.p", quantised(np.log10(p), floor))
-                if inner:
-                    _put(folder, f"{s}.raw2", np.frombuffer(_packed(counts.astype(np.uint64)), np.uint8))
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64())], ["shard"])
 
     spark = counted.sparkSession
@@ -609,7 +605,7 @@ def with_rests(spark: SparkSession, level: Grams, prior: float, least: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                counts = _unpacked(_get(folder, f"{s}.raw2", np.uint8).tobytes()).astype(np.float64)
+                counts = _unpacked(_get(f"{folder}/raw", f"{s}.counts", np.uint8).tobytes()).astype(np.float64)
                 _put(folder, f"{s}.rest", quantised(np.log10(prior / (counts + prior)), least))
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64())], ["shard"])
 
@@ -682,9 +678,7 @@ def train(tokens: DataFrame) -> Model:
     model = Model(words, n)
     v = words.n
 
-    def smallest(prior: float) -> float:
-        return -(log10(n + prior) + 1)
-
+    least = -(log10(n + max(GRID)) + 1)
     # pairs: contexts are words
     bounds, shared = bounds_of(marks, lambda _: v)
     starts = np.array(bounds, np.int64)
@@ -698,8 +692,7 @@ def train(tokens: DataFrame) -> Model:
             yield _rows(shards_of(u, w, starts), u, w, counts[order], None)
 
     counted = tokens.select("words").mapInArrow(pairs_of, _COUNTED)
-    least = smallest(max(GRID))
-    pairs, prior, marks = grams_level(counted, f"{root}/2", bounds, shared, lambda w, _: model.p1(words.counts(w).astype(np.float64)), v, True, lambda _: least, True)
+    pairs, prior, marks = grams_level(counted, f"{root}/2", bounds, shared, lambda w, _: model.p1(words.counts(w).astype(np.float64)), v, True, least)
     model = Model(words, n, pairs, None, (prior,), least)
 
     # triples: contexts are pairs, a word's name its rank among the successors of the word before it
@@ -717,8 +710,11 @@ def train(tokens: DataFrame) -> Model:
             yield _rows(shards_of(u, w, starts3), u, w, counts[order], code[last[order]])
 
     counted = tokens.select("words").mapInArrow(triples_of, _COUNTED)
-    triples, prior3, _ = grams_level(counted, f"{root}/3", bounds3, shared3, lambda _, code: 10 ** model.logs(code), contexts, False, lambda _: least, False)
-    return Model(words, n, with_rests(spark, pairs, prior3, least), triples, (prior, prior3), least)
+    triples, prior3, _ = grams_level(counted, f"{root}/3", bounds3, shared3, lambda _, code: 10 ** model.logs(code), contexts, False, least)
+    pairs = with_rests(spark, pairs, prior3, least)
+    for level in (2, 3):
+        remove(spark, f"{root}/{level}/raw")
+    return Model(words, n, pairs, triples, (prior, prior3), least)
 
 
 def score(tokens: DataFrame, model: Model) -> DataFrame:
