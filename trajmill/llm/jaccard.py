@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajmill.llm import simhash
-from trajmill.llm.common import partitions, release, written
+from trajmill.llm.common import partitions, release, slices, written
 from trajmill.llm.simhash import components
 
 SHINGLE = 5
@@ -95,7 +95,7 @@ def prepared(docs: DataFrame) -> DataFrame:
     often = frequent(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             prints, sizes, maps, prefixes = [], [], [], []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
                 tokens = shingles(t or b"")
@@ -220,7 +220,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         was, sets = None, None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             keep = []
             for x, b, y in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
                 if b != was:  # rows come sorted by b

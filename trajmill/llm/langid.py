@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajmill.llm.common import slices
+
 #: Trigrams are hashed to so many bins; the model has a row of them for each language.
 BINS = 1 << 15
 #: What a further language must add to the log likelihood, times log(words).
@@ -68,7 +70,7 @@ def count(docs: DataFrame, label: str = "lang") -> dict[str, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for bins, _ in trigrams(text):
                     if lang not in own:
@@ -145,20 +147,23 @@ def identify(text: str, table: np.ndarray) -> dict[int, float]:
     return chosen
 
 
-def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """docs with lang_pred, score and lang_set (the languages found, with their proportions)."""
+def predict(docs: DataFrame, langs: list[str], table: np.ndarray, text: str, drop: str | None = None) -> DataFrame:
+    """docs, without the column `drop`, with lang_pred, score and lang_set (the languages found, with their proportions)."""
+
+    where = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [identify(t or "", table) for t in batch.column(batch.schema.get_field_index("__text")).to_pylist()]
-            first = [next(iter(x.items()), None) for x in found]
-            pred = pa.array([langs[x[0]] if x else UNKNOWN for x in first], pa.string())
-            score = pa.array([min(1.0, x[1]) if x else 0.0 for x in first], pa.float64())
-            sets = pa.array([[(langs[i], p) for i, p in x.items()] for x in found], pa.map_(pa.string(), pa.float64()))
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pred, score, sets], [*[batch.schema.names[i] for i in keep], "lang_pred", "score", "lang_set"])
-
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__text")
+        for whole in batches:
+            for batch in slices(whole, where):
+                found = [identify(t or "", table) for t in batch.column(where).to_pylist()]
+                first = [next(iter(x.items()), None) for x in found]
+                pred = pa.array([langs[x[0]] if x else UNKNOWN for x in first], pa.string())
+                score = pa.array([min(1.0, x[1]) if x else 0.0 for x in first], pa.float64())
+                sets = pa.array([[(langs[i], p) for i, p in x.items()] for x in found], pa.map_(pa.string(), pa.float64()))
+                kept = [i for i, n in enumerate(batch.schema.names) if n != drop]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pred, score, sets], [*[batch.schema.names[i] for i in kept], "lang_pred", "score", "lang_set"])
+
+    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != drop)
     return docs.mapInArrow(run, f"{rest}, lang_pred string, score double, lang_set map<string,double>")
 
 
@@ -171,5 +176,7 @@ def identify_documents(docs: DataFrame, keep: list[str] | None = None) -> DataFr
     counts, however long it is. Rows that share a doc_id have a result each. Other columns are ignored. No rows: no rows.
     """
     langs, table = model(count(docs.where(~F.coalesce(held_out(), F.lit(False)))))
-    named = docs.select(*(keep or ["doc_id"]), F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").alias("__text"))
-    return predict(named, langs, table)
+    own, held = keep or ["doc_id"], F.coalesce(held_out(), F.lit(False)).alias("held_out")
+    if "text" in own:
+        return predict(docs.select(*own, held), langs, table, "text")
+    return predict(docs.select(*own, held, F.col("text").alias("__text")), langs, table, "__text", "__text")

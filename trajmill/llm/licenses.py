@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from trajmill.llm.common import slices
+
 COVERAGE = 0.8
 #: A point after a digit and before a letter ends a sentence ("version 3.The").
 _WORD = re.compile(r"[^\W_]+(?:(?:[\-']|\.(?!(?<=\d\.)[^\W\d_]))[^\W_]+)*")
@@ -226,7 +228,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [Template(name, text, coverage) for name, texts in named.items() for text in texts]
         kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("begin", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             found = [scan(t, own, coverage) if t else [] for t in batch.column(1).to_pylist()]
             best = [min(x, key=lambda m: (-m[1], m[2])) if x else (None, 0.0) for x in found]
             matches = pa.array([[dict(zip(("license", "coverage", "begin", "end"), m, strict=True)) for m in x] for x in found], kind)

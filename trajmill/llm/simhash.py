@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajmill.llm.common import partitions, release, written
+from trajmill.llm.common import partitions, release, slices, written
 
 BITS = 64
 RUN = 2048
@@ -62,7 +62,7 @@ def with_simhash(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and the signed 64-bit fingerprint `fp` of every row's text (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             prints = [simhash(t or b"", shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
