@@ -8,9 +8,9 @@ in the order, which only keeps the groups of a token small.
 
 Equal texts are one node. First each text of a token is compared with a few others, in an order of the token's own, and
 with what SimHash proposes; of these candidates each text's likeliest is verified. Then all pairs follow whose ends the
-links found so far do not connect. What is left out is connected already, so components are those of all links. Before texts
-are fetched, pairs are dropped that can't be similar: a text's bitmap holds the parity of its tokens in each of 256 bins,
-and sets whose bitmaps differ in d bits differ in d tokens or more. Texts and shingles are told apart by 64-bit hashes.
+links found so far do not connect, those candidates among them. What is left out is connected already, so components are
+those of all links. Before texts are fetched, pairs are dropped that can't be similar: a text's bitmap
+holds the parity of its tokens in each of 256 bins, and sets whose bitmaps differ in d bits differ in d tokens or more. Texts and shingles are told apart by 64-bit hashes.
 
 Texts themselves move only where a candidate pair needs them; the rest works on a text's prefix, size and bitmap.
 """
@@ -147,7 +147,7 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def partners(token: np.ndarray, size: np.ndarray, name: np.ndarray) -> Iterator[pa.RecordBatch]:
     """kind 0: pairs (a, b) of each text with the PARTNERS before it, in an order that differs from token to token; kind 1:
-    rows (token, node, size) of tokens with several texts."""
+    rows (token, node, size) of tokens with more texts, for which these are not all pairs."""
     first = np.append(True, token[1:] != token[:-1])
     begins = np.flatnonzero(first)
     counts = np.diff(begins, append=len(token))
@@ -157,7 +157,10 @@ def partners(token: np.ndarray, size: np.ndarray, name: np.ndarray) -> Iterator[
     after = (token[1:] == token[:-1]) & (DENOMINATOR * size[:-1] >= NUMERATOR * size[1:])
     some = np.append(after, False) | np.append(False, after) if len(token) else many[:0]
     token, size, name = token[some], size[some], name[some]
-    yield _batch(1, token, name, size)
+    begins = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    counts = np.diff(begins, append=len(token))
+    more = np.repeat(counts > PARTNERS + 1, counts)
+    yield _batch(1, token[more], name[more], size[more])
     with np.errstate(over="ignore"):
         order = np.lexsort(((name ^ token) * np.int64(-7046029254386353131), token))
     token, size, name = token[order], size[order], name[order]
@@ -251,13 +254,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = prepared(docs)
     schema = "kind int, a bigint, b bigint, size bigint"
     found = written(_by_token(texts.select(F.explode("prefix").alias("token"), "size", "node"), partners, schema))
-    links = verified(likeliest(possible(proposed(texts).union(found.where("kind = 0").select("a", "b")), texts)), docs)
+    first = written(possible(proposed(texts).union(found.where("kind = 0").select("a", "b")), texts))
+    links = verified(likeliest(first), docs)
     roots = components(links)
     rows = found.where("kind = 1").select(F.col("a").alias("token"), "size", F.col("b").alias("node"))
     known = texts.select("node", *BITMAP[:_LIGHT]).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *BITMAP[:_LIGHT])
     rows = rows.join(known.hint("merge"), "node").select("token", "size", "node", "root", *BITMAP[:_LIGHT])
-    more = verified(possible(_by_token(rows, across, schema).select("a", "b"), texts), docs)
-    release(found, roots, texts)
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    open_ = first.join(end("a"), "a", "left").join(end("b"), "b", "left").where("coalesce(a_root, a) != coalesce(b_root, b)").select("a", "b")
+    more = verified(possible(_by_token(rows, across, schema).select("a", "b").union(open_), texts), docs)
+    release(found, first, roots, texts)
     result = components(links.union(more))
     release(links, more)
     return result
