@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajmill.functions.stats import nearest_rank
-
 
 def collected(messages: DataFrame, conv: str, idx: str, fields: list[str]) -> DataFrame:
     """One row a conversation with its messages in order."""
@@ -48,13 +46,7 @@ def first_reason(checks: dict[str, Column]) -> Column:
 
 
 def profile(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Rows, mean, maximum, and nearest-rank p50 and p90 of `value` for each key."""
-    out = df.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.array_sort(F.collect_list(value)).alias("__v"))
-    return out.select(key, "n", "mean", "max", nearest_rank(F.col("__v"), 0.5).alias("p50"), nearest_rank(F.col("__v"), 0.9).alias("p90"))
-
-
-def profile_exact(df: DataFrame, key: str, value: str) -> DataFrame:
-    """profile() for keys too large to collect: ranks by a window over (key, value) counts."""
+    """Rows, mean, maximum, and nearest-rank p50 and p90 of `value` for each key: ranks by a window over (key, value) counts."""
     counts = df.groupBy(key, value).agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy(key).orderBy(value))
     total = F.sum("c").over(Window.partitionBy(key))

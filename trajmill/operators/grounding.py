@@ -172,3 +172,13 @@ def components(messages: DataFrame, key: list[str]) -> DataFrame:
     rows = bad.unionByName(good)
     ordered = F.array_sort(F.collect_list(F.struct("idx", "pos", "name", "value", "tags")))
     return rows.groupBy(*key).agg(F.transform(ordered, lambda c: F.struct(c["name"].alias("name"), c["value"].alias("value"), c["tags"].alias("tags"))).alias("components"))
+
+
+def target_grounding(messages: DataFrame, key: list[str]) -> DataFrame:
+    """(key, is_grounded, issue_count, issues): whether the calls of a trajectory's last message with calls stand on what came
+    before it. Trajectories without a call have no row."""
+    calls = calls_of(messages, key)
+    last = calls.groupBy(*key).agg(F.max("idx").alias("idx"))
+    bad = issues(messages, key).where(F.startswith("component", F.lit("ungrounded_"))).groupBy(*key, "idx").agg(F.array_sort(F.collect_list("component")).alias("issues"))
+    out = last.join(bad, [*key, "idx"], "left").withColumn("issues", F.coalesce("issues", F.array().cast("array<string>")))
+    return out.select(*key, (F.size("issues") == 0).alias("is_grounded"), F.size("issues").alias("issue_count"), "issues")

@@ -68,21 +68,39 @@ def preference_pairs(df: DataFrame, task: str, success: Column, order_success: l
     return best.join(named(worst, "rejected"), task)
 
 
+#: Ranges of a key into which ungrouped windows are dealt, so that no task has all rows.
+RANGES = 4096
+
+
+def _ranged(df: DataFrame, order: list, bucket: Column, value: Column, name: str) -> DataFrame:
+    """df with the sum of `value` over all rows before in `order`, whose first key `bucket` follows: sums of buckets, which are as
+    many as RANGES at most, and a window inside each."""
+    df = df.withColumns({"__bucket": bucket, "__v": value})
+    sums = df.groupBy("__bucket").agg(F.sum("__v").alias("__s"))
+    earlier = sums.select("__bucket", F.coalesce(F.sum("__s").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("__in", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
+    return df.join(earlier, "__bucket").withColumn(name, F.col("__before") + F.col("__in")).drop("__v", "__in", "__before", "__bucket")
+
+
 def stable_sample(df: DataFrame, id_col: str, ratio: float, seed: int, group: list | None = None) -> DataFrame:
     """Exactly int(n * ratio + 0.5) rows: those with the smallest first 16 hex digits of sha1(seed:id)."""
     df = df.withColumn("__h", F.substring(F.sha1(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), 1, 16))
-    keys = group or [F.lit(1)]
-    n = F.floor(F.count("*").over(Window.partitionBy(*keys)) * ratio + 0.5)
-    return ranked(df, keys, ["__h", id_col], "__n").withColumn("__k", n).where("__n <= __k").drop("__h", "__n", "__k")
+    if group:
+        n = F.floor(F.count("*").over(Window.partitionBy(*group)) * ratio + 0.5)
+        return ranked(df, group, ["__h", id_col], "__n").withColumn("__k", n).where("__n <= __k").drop("__h", "__n", "__k")
+    wanted = df.agg(F.floor(F.count("*") * ratio + 0.5).alias("__k"))
+    bucket = F.conv(F.substring("__h", 1, 3), 16, 10).cast("int")  # follows the digits' order
+    return _ranged(df, ["__h", id_col], bucket, F.lit(1), "__n").join(F.broadcast(wanted)).where("__n < __k").drop("__h", "__n", "__k")
 
 
 def greedy_tasks(df: DataFrame, task: str, tokens: str, ratio: float, least: int) -> DataFrame:
     """Tasks by falling maximum of tokens (ties: by id) until their rows reach max(least, round(rows * ratio))."""
     tasks = df.groupBy(task).agg(F.max(tokens).alias("most"), F.count("*").alias("n"))
-    want = tasks.agg(F.greatest(F.lit(least), F.bround(F.sum("n") * F.lit(ratio), 0)).alias("want"))
-    order = Window.orderBy(F.desc("most"), task).rowsBetween(Window.unboundedPreceding, -1)
-    before = tasks.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    return before.join(want).where("before < want").select(task)
+    want = tasks.agg(F.greatest(F.lit(least), F.bround(F.sum("n") * F.lit(ratio), 0)).alias("want"), F.max("most").alias("__high"), F.min("most").alias("__low"))
+    both = tasks.join(F.broadcast(want))  # one row
+    bucket = F.when(F.col("__high") == F.col("__low"), 0).otherwise(F.floor((F.col("__high") - F.col("most")) / (F.col("__high") - F.col("__low")) * (RANGES - 1))).cast("int")
+    return _ranged(both, [F.desc("most"), task], bucket, F.col("n"), "before").where("before < want").select(task)
 
 
 def copies(df: DataFrame, id_col: str, n: int, label: str = "repeat") -> DataFrame:
@@ -93,4 +111,9 @@ def copies(df: DataFrame, id_col: str, n: int, label: str = "repeat") -> DataFra
 
 def length_batches(df: DataFrame, length: str, tie: str, size: int, group: list | None = None) -> DataFrame:
     """Batches of `size` rows by length, within each group."""
-    return ranked(df, group or [F.lit(1)], [length, tie], "__n").withColumn("batch", F.floor((F.col("__n") - 1) / size)).drop("__n")
+    if group:
+        return ranked(df, group, [length, tie], "__n").withColumn("batch", F.floor((F.col("__n") - 1) / size)).drop("__n")
+    ends = df.agg(F.max(length).alias("__high"), F.min(length).alias("__low"))
+    bucket = F.when(F.col("__high") == F.col("__low"), 0).otherwise(F.floor((F.col(length) - F.col("__low")) / (F.col("__high") - F.col("__low")) * (RANGES - 1))).cast("int")
+    out = _ranged(df.join(F.broadcast(ends)), [length, tie], F.coalesce(bucket, F.lit(-1)), F.lit(1), "__n")
+    return out.withColumn("batch", F.floor(F.col("__n") / size)).drop("__n", "__high", "__low")

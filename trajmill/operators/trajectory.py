@@ -67,6 +67,18 @@ def next_after(value: Column, traj: str = "traj", idx: str = "idx") -> Column:
     return F.first(value, ignorenulls=True).over(_w(traj, idx).rowsBetween(1, Window.unboundedFollowing))
 
 
+def own_result(steps: DataFrame, results: DataFrame, traj: str, call_id: str, idx: str, content: str) -> DataFrame:
+    """steps (calls, with idx) with `content`, the reply of their id (the last of several), else the first reply after them.
+
+    results: traj, idx, reply_to, content. The second half is one window over calls and replies together, not a range join."""
+    by_id = results.where("reply_to != ''").groupBy(traj, F.col("reply_to").alias(call_id)).agg(F.max_by(content, idx).alias("__own"))
+    marks = results.select(traj, F.col(idx).alias("__at"), F.lit(0).alias("__call"), F.struct(F.col(content).alias("c")).alias("__reply")).unionByName(steps.select(traj, F.col(idx).alias("__at")).distinct().withColumn("__call", F.lit(1)).withColumn("__reply", F.lit(None).cast(f"struct<c:{dict(results.dtypes)[content]}>")))
+    after = F.first("__reply", ignorenulls=True).over(Window.partitionBy(traj).orderBy("__at").rangeBetween(1, Window.unboundedFollowing))
+    following = marks.withColumn("__next", after).where("__call = 1").select(traj, F.col("__at").alias(idx), "__next")
+    both = steps.join(by_id, [traj, call_id], "left").join(following, [traj, idx], "left")
+    return both.withColumn(content, F.coalesce("__own", F.col("__next.c"), F.lit(""))).drop("__own", "__next")
+
+
 def seen_before(value: Column, traj: str = "traj", idx: str = "idx") -> Column:
     """The sorted distinct values of the steps before."""
     return F.array_sort(F.collect_set(value).over(_w(traj, idx).rowsBetween(Window.unboundedPreceding, -1)))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trajmill.operators import datasets as ds
 from trajmill.operators import trajectory as tr
 from trajmill.plans.registry import query
-from trajmill.plans.surrogates import STEPS, read, steps
+from trajmill.functions import rewards
+from trajmill.plans.surrogates import AGENT_STEPS, STEPS, agent_steps, read, steps
 
 TAX = tr.Taxonomy(read=frozenset({"view", "click"}), write=frozenset({"purchase"}), escalation=frozenset({"error"}), think=frozenset({"signup"}))
 _W = "WINDOW w AS (PARTITION BY traj ORDER BY idx)"
@@ -80,29 +82,36 @@ def budget_trim(spark, d):
     return tr.trimmed_to_budget(m, "tok", 120, "role", "conv_id", "turn").groupBy("conv_id").agg(F.count("*").alias("kept"), F.min("turn").alias("first_turn"))
 
 
-_STEP = """b AS (SELECT *, tool || chr(31) || lower(coalesce(args, '')) AS sig, tool = 'signup' AS th, tool IN ('view', 'click') AS rd, tool = 'error' AS es, tool = 'purchase' AS wr, row_number() OVER w AS at,
+_STEP = """y AS (SELECT *, k % 10 = 0 AS ph, k % 10 <> 0 AND coalesce(list_contains(list(CASE WHEN NOT is_error THEN found END) OVER (PARTITION BY traj ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), k), false) AS ch FROM agent_steps),
+b AS (SELECT *, tool || chr(31) || lower(coalesce(args, '')) AS sig, tool = 'signup' AS th, tool IN ('view', 'click') AS rd, tool = 'error' AS es, tool = 'purchase' AS wr, row_number() OVER w AS rn,
     coalesce(lag(is_error) OVER w, false) AS pe, coalesce(lag(tool) OVER w = 'signup', false) AS pt, lead(tool) OVER w AS nx,
     coalesce(max(CASE WHEN tool IN ('view', 'click') THEN 1 ELSE 0 END) OVER (PARTITION BY traj ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS rb,
-    row_number() OVER (PARTITION BY traj, tool ORDER BY idx) = 1 AS first FROM steps WINDOW w AS (PARTITION BY traj ORDER BY idx)),
+    row_number() OVER (PARTITION BY traj, tool ORDER BY idx) = 1 AS first, coalesce(lead(ph) OVER w, false) AS nph FROM y WINDOW w AS (PARTITION BY traj ORDER BY idx)),
 c AS (SELECT *, CASE WHEN NOT th THEN sig END AS csig FROM b),
 e AS (SELECT *, NOT th AND (coalesce(csig = lag(csig, 1) OVER w, false) OR coalesce(csig = lag(csig, 2) OVER w, false) OR coalesce(csig = lag(csig, 3) OVER w, false)) AS red, lag(sig) OVER w = sig AS same FROM c WINDOW w AS (PARTITION BY traj ORDER BY idx)),
 f AS (SELECT *, coalesce(lead(red) OVER (PARTITION BY traj ORDER BY idx), false) AS nred FROM e),
 sc AS (SELECT traj, th, rd, tool,
     CASE WHEN red THEN -0.03e0 ELSE 0e0 END + CASE WHEN pe AND NOT th THEN CASE WHEN same THEN -0.04e0 ELSE 0.05e0 END ELSE 0e0 END + CASE WHEN es THEN CASE WHEN rb THEN -0.05e0 ELSE -0.1e0 END ELSE 0e0 END
-    + CASE WHEN rd AND first THEN 0.01e0 ELSE 0e0 END + CASE WHEN th AND NOT pt AND nx IS NOT NULL AND NOT nred THEN 0.01e0 ELSE 0e0 END AS s FROM f),
+    + CASE WHEN rd AND first THEN 0.01e0 ELSE 0e0 END + CASE WHEN th AND NOT pt AND nx IS NOT NULL AND NOT nred AND NOT nph THEN 0.01e0 ELSE 0e0 END
+    + CASE WHEN NOT th AND ph THEN CASE WHEN wr THEN -0.05e0 ELSE -0.03e0 END ELSE 0e0 END + CASE WHEN NOT th AND ch AND rn > 1 THEN CASE WHEN wr THEN 0.08e0 ELSE 0.04e0 END ELSE 0e0 END + CASE WHEN NOT th AND length(content) BETWEEN 1 AND 29 THEN -0.02e0 ELSE 0e0 END AS s FROM f),
 t AS (SELECT traj, avg(s) AS m, count(*) AS n, count(*) FILTER (th) AS thoughts, count(DISTINCT CASE WHEN rd THEN tool END) AS reads FROM sc GROUP BY 1)"""
 
 
-@query("process_score", f"""WITH {STEPS}, {_STEP} SELECT traj, round(greatest(-0.5e0, least(0.5e0, m + CASE WHEN thoughts = 0 AND n >= 3 THEN -0.05e0 ELSE 0e0 END + CASE WHEN reads >= 3 THEN 0.01e0 ELSE 0e0 END - 0.01e0 * greatest(0, n - 16))), 6) AS process_score FROM t""")
+@query("process_score", f"""WITH {AGENT_STEPS}, {_STEP} SELECT traj, round(greatest(-0.5e0, least(0.5e0, m + CASE WHEN thoughts = 0 AND n >= 3 THEN -0.05e0 ELSE 0e0 END + CASE WHEN reads >= 3 THEN 0.01e0 ELSE 0e0 END - 0.01e0 * greatest(0, n - 16))), 6) AS process_score FROM t""")
 def process_score(spark, d):
-    df = steps(spark, d).withColumns({"placeholder": F.lit(False), "chained": F.lit(False), "content": F.lit("")})
+    df = agent_steps(spark, d).withColumns({"params": rewards.text_parameters("args"), "entities": rewards.entity_strings("reply")})
+    seen = F.array_distinct(F.flatten(F.collect_list("entities").over(Window.partitionBy("traj").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))))
+    df = df.withColumn("seen", seen).withColumns({"placeholder": rewards.has_placeholder(F.col("params")), "chained": rewards.chained(F.col("params"), F.col("seen"))})
     return tr.process_scores(df, TAX).withColumn("process_score", F.round("process_score", 6))
 
 
-@query("prefix_samples", "SELECT conv_id || '_t_' || i AS id, i + 1 AS n_messages FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) WHERE role = 'assistant'")
+@query("prefix_samples", """WITH m AS (SELECT conv_id, role, row_number() OVER w - 1 AS i, string_agg(role || ':' || text, chr(30)) OVER w AS prefix FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id || '_t_' || i AS id, i + 1 AS n_messages, md5(prefix) AS digest, repeat('0', CAST(i AS BIGINT)) || '1' AS mask FROM m WHERE role = 'assistant'""")
 def prefix_samples(spark, d):
     convs = ds.collected(read(spark, d, "conversations"), "conv_id", "turn", ["role", "text"])
-    return ds.prefix_samples(convs, "conv_id").select("id", F.size("messages").cast("bigint").alias("n_messages"))
+    text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "\x1e")
+    mask = F.array_join(F.transform("loss_mask", lambda k: k.cast("int").cast("string")), "")
+    return ds.prefix_samples(convs, "conv_id").select("id", F.size("messages").cast("bigint").alias("n_messages"), F.md5(text).alias("digest"), mask.alias("mask"))
 
 
 @query("loss_mask_check", """WITH m AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
@@ -123,7 +132,7 @@ def reject_reasons(spark, d):
 SELECT role, n, round(mean, 6) AS mean, max, s[CAST(round_even((n - 1) * 0.5e0, 0) AS BIGINT) + 1] AS p50, s[CAST(round_even((n - 1) * 0.9e0, 0) AS BIGINT) + 1] AS p90 FROM l""")
 def sample_profile(spark, d):
     df = read(spark, d, "conversations").select("role", F.length("text").cast("bigint").alias("v"))
-    return ds.profile_exact(df, "role", "v").withColumn("mean", F.round("mean", 6))
+    return ds.profile(df, "role", "v").withColumn("mean", F.round("mean", 6))
 
 
 @query("interval_overlap_tokens", """SELECT conv_id, count(*) FILTER (len > 0 AND ((s < 200 AND s + len > 100) OR (s < 600 AND s + len > 500))) AS hits FROM (

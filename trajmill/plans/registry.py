@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from trajmill.plans import corpus, fixtures, groups, ordered, selecting  # noqa: E402, F401
+from trajmill.plans import corpus, groups, ordered, samples, selecting  # noqa: E402, F401

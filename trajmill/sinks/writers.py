@@ -47,8 +47,21 @@ def write_csv(parts: list[DataFrame], path: str, mode: str = "error") -> None:
     csv_cells(whole).write.mode(mode).option("header", True).csv(path)
 
 
+def write_rollouts(df: DataFrame, path: str, mode: str = "append") -> None:
+    """JSON lines in whatever order rows are done; order is no part of what is written."""
+    write_jsonl(df, path, mode=mode)
+
+
 def append_manifest(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("header", True).csv(path)
+    """Adds rows to a manifest: a folder of CSV parts without headers, and `_columns.csv`, written when the manifest is new."""
+    spark = df.sparkSession
+    names = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_columns.csv")
+    files = names.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(names):
+        with_header = files.create(names, False)
+        with_header.write(bytearray((",".join(df.columns) + "\n").encode()))
+        with_header.close()
+    csv_cells(df).write.mode("append").option("header", False).csv(path)
 
 
 def train_and_test(df: DataFrame, ordinal: str, n_test: int) -> tuple[DataFrame, DataFrame]:
@@ -58,6 +71,21 @@ def train_and_test(df: DataFrame, ordinal: str, n_test: int) -> tuple[DataFrame,
     return df.where(F.col(ordinal) >= n_test), df.where(F.col(ordinal) < n_test)
 
 
+def write_train_and_test(df: DataFrame, path: str, ordinal: str, n_test: int) -> None:
+    """train_and_test() as the Parquet tables `train` and `test` below path."""
+    for name, part in zip(("train", "test"), train_and_test(df, ordinal, n_test), strict=True):
+        part.write.parquet(f"{path}/{name}")
+
+
+def console(df: DataFrame, title: str, rows: int = 40) -> str:
+    """A summary's first rows as an aligned table, printed and returned."""
+    cells = [df.columns, *[["-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in df.limit(rows).collect()]]
+    widths = [max(len(r[i]) for r in cells) for i in range(len(df.columns))]
+    text = "\n".join([title, *["  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in cells]])
+    print(text)
+    return text
+
+
 def summary_json(df: DataFrame) -> str:
     """A summary of a few rows as JSON with sorted keys."""
     return json.dumps([json.loads(x) for x in df.toJSON().collect()], indent=2, sort_keys=True, ensure_ascii=False)

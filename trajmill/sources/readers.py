@@ -27,13 +27,68 @@ def lenient_jsonl(spark: SparkSession, path: str | list[str], schema: str = ROLL
 
 
 def strict_jsonl(spark: SparkSession, path: str | list[str], schema: str = ROLLOUT) -> DataFrame:
-    """As lenient_jsonl, but a malformed line raises with its file and text."""
+    """As lenient_jsonl, but a malformed line raises with its file and line number.
+
+    The input is read twice: once for a bad line (by columns that no row keeps), once for the result. Only a file with a bad line
+    is numbered, in one task that streams through it."""
     broken = "__broken"
     kind = T.StructType.fromDDL(schema).add(broken, T.StringType())
-    df = with_origin(spark.read.schema(kind).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).json(path)).cache()
-    if bad := df.where(F.col(broken).isNotNull()).select("file_path", broken).first():
-        raise ValueError(f"{bad['file_path']}: not JSON: {bad[broken][:200]}")
-    return df.drop(broken)
+    parsed = with_origin(spark.read.schema(kind).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).json(path))
+    if bad := parsed.select("file_path", *parsed.columns[:-1]).where(F.col(broken).isNotNull()).select("file_path", broken).first():
+        raise ValueError(f"{bad['file_path']}:{_line_number(spark, bad['file_path'], bad[broken])}: not JSON: {bad[broken][:200]}")
+    return lenient_jsonl(spark, path, schema)
+
+
+def _line_number(spark: SparkSession, file: str, line: str) -> int | None:
+    def number(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        n = 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                n += 1
+                if text.strip() == line.strip():
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    found = spark.read.text(file).coalesce(1).mapInArrow(number, "n bigint").agg(F.min("n")).first()
+    return found[0]
+
+
+def any_run(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The simulations of files that hold a results object or a bare list of simulations, with file_path and position."""
+    kind = T.StructType.fromDDL(f"s {SIMULATION}")["s"].dataType
+    text = with_origin(spark.read.text(paths, wholetext=True))
+    listed = F.from_json("value", T.ArrayType(kind))
+    inner = F.from_json("value", T.StructType.fromDDL(f"simulations array<{SIMULATION}>"))["simulations"]
+    rows = F.when(F.startswith(F.ltrim("value"), F.lit("[")), listed).otherwise(inner)
+    return text.select("file_path", F.posexplode(rows).alias("position", "s")).select("file_path", "position", "s.*")
+
+
+def qa_items(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """Questions and answers (ordinal, question, answer) of a JSON lines file or a Parquet table, the first n by order in the file."""
+    own = T.StructType.fromDDL("question string, answer string")
+    df = spark.read.parquet(path).select("question", "answer") if path.rstrip("/").endswith(".parquet") else spark.read.schema(own).option("mode", "FAILFAST").json(path)
+    df = df.withColumn("ordinal", F.monotonically_increasing_id()).select("ordinal", "question", "answer")
+    return df.orderBy("ordinal").limit(n) if n else df
+
+
+def dimension(df: DataFrame, key: str, ordinal: str, columns: list[str] | None = None) -> DataFrame:
+    """A keyed table as the join side: keys as text, of equal ones the last, null keys out."""
+    df = last_wins(df.where(F.col(key).isNotNull()).withColumn(key, F.col(key).cast("string")), key, ordinal)
+    return df.select(key, *(columns or [c for c in df.columns if c not in (key, ordinal)]))
+
+
+def named_paths(specs: list[str]) -> list[tuple[str, str]]:
+    """`name=path` arguments as pairs; a bare path is named by its file without the ending. Repeated names are an error."""
+    out = []
+    for spec in specs:
+        name, eq, path = spec.partition("=")
+        if not eq:
+            name, path = spec.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0], spec
+        if not name or not path or name in dict(out):
+            raise ValueError(f"not a new name=path: {spec}")
+        out.append((name, path))
+    return out
 
 
 def run_document(spark: SparkSession, path: str, folder: str | None = None, inline_first: bool = False) -> DataFrame:
