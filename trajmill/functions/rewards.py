@@ -110,7 +110,7 @@ def task_text(*maps: Column, lists: tuple[Column, ...] = ()) -> Column:
 
 
 def optional(value: Column, digits: int = 4, missing: str = "n/a") -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", value.cast("double")), F.lit(missing)) if digits >= 0 else F.coalesce(value.cast("string"), F.lit(missing))
+    return F.when(value.isNull(), missing).otherwise(F.format_string(f"%.{digits}f", value.cast("double")))
 
 
 def percent(value: Column, digits: int = 1, missing: str = "n/a") -> Column:

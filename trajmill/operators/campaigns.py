@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajmill.operators.datasets import missing_cells
 from trajmill.operators.groups import success_at_least
@@ -107,7 +108,7 @@ def completions(prompts: DataFrame, ask: Callable[[list[str]], list[list[str]]],
 
     `ask` is the connector to a model server: it gets prompts and returns their completions. The result should be written before
     it is used, as a plan that is run twice asks twice."""
-    schema = prompts.schema.add("n", "int").add("completion", "string")
+    schema = T.StructType([*prompts.schema.fields, T.StructField("n", T.IntegerType()), T.StructField("completion", T.StringType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajmill.operators.datasets import overlaps
 from trajmill.operators.messages import canonical_call
@@ -111,7 +112,7 @@ def unmarked(text: Column) -> Column:
 _WORD = re.compile(r"\S+")
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def word_offsets(text: pd.Series) -> pd.Series:
     """The default tokeniser: words, by their places in characters. Any Arrow function of this type may stand in for it."""
     return text.map(lambda t: [{"start": m.start(), "end": m.end()} for m in _WORD.finditer(t)] if t else [])

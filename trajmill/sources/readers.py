@@ -29,13 +29,14 @@ def lenient_jsonl(spark: SparkSession, path: str | list[str], schema: str = ROLL
 def strict_jsonl(spark: SparkSession, path: str | list[str], schema: str = ROLLOUT) -> DataFrame:
     """As lenient_jsonl, but a malformed line raises with its file and line number.
 
-    The input is read twice: once for a bad line (by columns that no row keeps), once for the result. Only a file with a bad line
-    is numbered, in one task that streams through it."""
+    The input is read twice: once for a bad line, once for the result. Only a file with a bad line is numbered, in one task that
+    streams through it."""
     broken = "__broken"
     kind = T.StructType.fromDDL(schema).add(broken, T.StringType())
-    parsed = with_origin(spark.read.schema(kind).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).json(path))
-    if bad := parsed.select("file_path", *parsed.columns[:-1]).where(F.col(broken).isNotNull()).select("file_path", broken).first():
-        raise ValueError(f"{bad['file_path']}:{_line_number(spark, bad['file_path'], bad[broken])}: not JSON: {bad[broken][:200]}")
+    lines = with_origin(spark.read.text(path)).where(F.trim("value") != "")
+    parsed = lines.withColumn("r", F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}))
+    if bad := parsed.where(F.col(f"r.{broken}").isNotNull()).select("file_path", "value").first():
+        raise ValueError(f"{bad['file_path']}:{_line_number(spark, bad['file_path'], bad['value'])}: not JSON: {bad['value'][:200]}")
     return lenient_jsonl(spark, path, schema)
 
 
