@@ -1,5 +1,7 @@
 """Licenses whose wordings differ by one word are told apart."""
 
+import random
+
 import pytest
 
 from trajmill.llm import licenses
@@ -18,3 +20,69 @@ NOTICE = "you can redistribute it and/or modify it under the terms of the GNU %s
 ])
 def test_names_count(text, want):
     assert {m[0] for m in licenses.scan("Some words before. " + text + " Some words after.", OWN, licenses.COVERAGE)} == want
+
+
+LONG = [t for t in OWN if not t.short]
+
+
+def best_coverage(template, region):
+    """The longest common subsequence by plain dynamic programming."""
+    row = [0] * (len(region) + 1)
+    for w in template.words:
+        last = 0
+        for j, x in enumerate(region, 1):
+            last, row[j] = row[j], last + 1 if w == x else max(row[j], row[j - 1])
+    return row[-1] / len(template.words)
+
+
+def edited(rng, words, share):
+    out = []
+    for w in words:
+        kind = rng.random()
+        if kind < share / 3:
+            continue
+        if kind < 2 * share / 3:
+            out.append(f"zz{rng.randint(0, 50)}")
+        elif kind < share:
+            out += [w, f"zz{rng.randint(0, 50)}"]
+        else:
+            out.append(w)
+    return out
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.19])
+def test_recall_of_edited_texts(share):
+    """Of wordings with edits, all that a brute-force alignment finds to be covered well enough, but for their names, are found."""
+    rng, due, got, extra = random.Random(3), 0, 0, 0
+    filler = [f"word{i}" for i in range(300)] + ["the", "of", "and", "software", "license", "any", "this"] * 20
+    for i in range(120):
+        t = LONG[i % len(LONG)]
+        region = edited(rng, t.words, share)
+        text = [rng.choice(filler) for _ in range(rng.randint(0, 200))] + region + [rng.choice(filler) for _ in range(rng.randint(0, 200))]
+        named = all(any(region[j : j + n] == t.words[a : a + n] for j in range(len(region))) for a, n in t.names)
+        hits = licenses.scan(" ".join(text), OWN, licenses.COVERAGE)
+        if named and best_coverage(t, region) >= licenses.COVERAGE + 0.01:
+            due += 1
+            got += any(h[0] == t.name for h in hits)
+        elif best_coverage(t, region) < licenses.COVERAGE - 0.05:
+            extra += any(h[0] == t.name and h[1] < licenses.COVERAGE for h in hits)
+    assert got >= 0.98 * due and due > 40 and not extra
+
+
+def test_copies_one_after_the_other():
+    for t in LONG:
+        assert [m[0] for m in licenses.scan(" ".join(t.words * 3), [t], licenses.COVERAGE)] == [t.name] * 3
+
+
+def test_common():
+    rng = random.Random(1)
+    for _ in range(100):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        pairs = licenses.common(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x < y and v < w for (x, v), (y, w) in zip(pairs, pairs[1:]))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        assert len(pairs) == row[-1]

@@ -2,11 +2,14 @@
 
 A text and a license template are sequences of words. Anchors are words that occur exactly once in both; the longest
 increasing subsequence of their places aligns them, and the gaps between neighbours are aligned in the same way. Where a
-gap has no anchor, equal words at its two ends are taken. Coverage is the share of the template's words that are aligned.
+gap has no anchor, equal words at its two ends are taken, and what is left of a small one is aligned by the longest common
+subsequence. Coverage is the share of the template's words that are aligned.
 
 A text may hold a template anywhere and several times, so the alignment runs in windows around places where the template
 may be: as a match misses at most a share 1 - COVERAGE of its words, it holds one of any words that together make up a
-larger share, and the rarest such words of the text give the windows.
+larger share, and the rarest such words of the text give the windows: the template's place around each, and a quarter of its length
+on either side, so that copies one after the other have a window each. Of matches that overlap that with more aligned words
+counts, of equal ones the first in the text, then by name.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "under the MIT License",
     ],
     "GPL-3.0": [
@@ -84,13 +88,22 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "BSD-2-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ],
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
 }
+#: Gaps with at most so many cells are aligned by the longest common subsequence.
+CELLS = 4096
+#: Words at the ends of a match that are further from the rest are not part of it.
+APART = 10
 #: Notices of at most so many words have no word to spare: they are found word for word.
 SHORT = 16
 #: What tells licenses apart in longer wordings: where a template has these words, a match has them, side by side.
@@ -118,6 +131,24 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence."""
+    longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            longest[i][j] = longest[i + 1][j + 1] + 1 if a[i] == b[j] else max(longest[i + 1][j], longest[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif longest[i + 1][j] >= longest[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Places (in a, in b) of aligned equal words, increasing in both."""
     done: list[tuple[int, int]] = []
@@ -136,6 +167,8 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         place = {w: i for i, w in enumerate(b[b0:b1], b0) if in_b[w] == 1}
         anchors = increasing([(i, place[w]) for i, w in enumerate(a[a0:a1], a0) if in_a[w] == 1 and w in place])
         if not anchors:
+            if (a1 - a0) * (b1 - b0) <= CELLS and in_a.keys() & in_b.keys():
+                done += [(a0 + i, b0 + j) for i, j in common(a[a0:a1], b[b0:b1])]
             continue
         done += anchors
         for (x0, y0), (x1, y1) in zip([(a0 - 1, b0 - 1), *anchors], [*anchors, (a1, b1)], strict=True):
@@ -165,32 +198,34 @@ class Template:
                 break
         return out
 
-    def hits(self, text: list[str], places: dict[str, list[int]], coverage: float) -> list[tuple[float, int, int]]:
-        """(coverage, begin, end) in words of matches that don't overlap, the best first."""
+    def hits(self, text: list[str], places: dict[str, list[int]], coverage: float) -> list[tuple[float, int, int, int]]:
+        """(coverage, begin, end, aligned words) in words of matches that don't overlap, the best first."""
         if sum(n for w, n in self.counts.items() if w in places) < len(self.words) - self.spare:
             return []
-        centres = sorted({p for w in self._enough(sorted(self.counts, key=lambda w: (len(places.get(w, ())), w))) for p in places.get(w, ())})
+        rare = self._enough(sorted(self.counts, key=lambda w: (len(places.get(w, ())), w)))
         if self.short:
-            rare = min(self.counts, key=lambda w: (len(places[w]), w))
-            begins = sorted({p - i for p in places[rare] for i, w in enumerate(self.words) if w == rare and p >= i})
-            return [(1.0, p, p + len(self.words)) for p in begins if text[p : p + len(self.words)] == self.words]
-        found, reach, until = [], len(self.words) + int(self.spare) + 2, -1
-        for c in centres:
-            if c <= until:
+            word = min(self.counts, key=lambda w: (len(places[w]), w))
+            begins = sorted({p - i for p in places[word] for i, w in enumerate(self.words) if w == word and p >= i})
+            return [(1.0, p, p + len(self.words), len(self.words)) for p in begins if text[p : p + len(self.words)] == self.words]
+        wanted, slack = set(rare), len(self.words) // 4 + 3
+        found, until, tried = [], 0, None
+        begins = sorted({max(0, p - i - slack) for i, w in enumerate(self.words) if w in wanted for p in places.get(w, ())})
+        for n, start in enumerate(begins):
+            if start < until - slack or (tried is not None and n + 1 < len(begins) and begins[n + 1] - tried < slack // 2):  # the next window shows as much
                 continue
-            start = max(0, c - reach, until + 1)
-            part = text[start : c + reach]
+            tried = start
+            first = max(start, until)
+            part = text[first : start + len(self.words) + 2 * slack]
             pairs = align(self.words, part)
-            while pairs and pairs[-1][1] - pairs[0][1] > 2 * len(self.words):  # far words that happen to be in order
-                if pairs[-1][1] - pairs[len(pairs) // 2][1] > pairs[len(pairs) // 2][1] - pairs[0][1]:
-                    pairs.pop()
-                else:
-                    pairs.pop(0)
+            while len(pairs) > 1 and pairs[1][1] - pairs[0][1] > APART:
+                pairs.pop(0)
+            while len(pairs) > 1 and pairs[-1][1] - pairs[-2][1] > APART:
+                pairs.pop()
             at = dict(pairs)
             named = all(i in at and at.get(i + k) == at[i] + k for i, n in self.names for k in range(n))
             if named and len(pairs) >= len(self.words) - self.spare:
-                found.append((len(pairs) / len(self.words), start + pairs[0][1], start + pairs[-1][1] + 1))
-                until = start + pairs[-1][1]
+                found.append((len(pairs) / len(self.words), first + pairs[0][1], first + pairs[-1][1] + 1, len(pairs)))
+                until = first + pairs[-1][1] + 1
         return sorted(found, key=lambda x: (-x[0], x[1]))
 
 
@@ -208,11 +243,11 @@ def scan(text: str, templates: list[Template], coverage: float) -> list[tuple[st
         if w in wanted:
             places.setdefault(w, []).append(i)
     found = [(t.name, *hit) for t in likely for hit in t.hits(words, places, coverage)]
-    found.sort(key=lambda x: (-(x[3] - x[2]) * x[1], x[2], x[0]))
+    found.sort(key=lambda x: (-x[4], x[2], x[0]))
     kept: list[tuple[str, float, int, int]] = []
-    for x in found:
+    for *x, _ in found:
         if all(x[3] <= y[2] or x[2] >= y[3] for y in kept):
-            kept.append(x)
+            kept.append(tuple(x))
     return sorted(kept, key=lambda x: x[2])
 
 
@@ -220,7 +255,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     """doc_id, license (of the largest coverage, the first of equals; null if none), coverage (0 if none), n_matches and
     matches (license, coverage, first word, word after the last) for every row's whole text.
 
-    A null or empty text has no match. Rows that share a doc_id have a result each. Other columns are ignored. No rows: no
+    A null or empty text has no match. Of licenses of one coverage the first in the text is named. Rows that share a doc_id have a result each. Other columns are ignored. No rows: no
     rows.
     """
     named = templates or TEMPLATES
