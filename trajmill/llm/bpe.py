@@ -155,17 +155,20 @@ class WordTokenizer:
         self.bpe = Bpe(data["model"]["vocab"], data["model"]["merges"], data["model"]["end_of_word_suffix"])
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
         ids = data["model"]["vocab"] | self.special
-        self.token = {i: t for t, i in ids.items()}
+        self.token = [""] * (max(ids.values(), default=-1) + 1)
+        for t, i in ids.items():
+            self.token[i] = t
         self.packed = {t: struct.pack("<I", i) for t, i in ids.items()}
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the other bytes follow from 256 on, in order
         self.bytes = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
-        self.new: dict[str, str] = {}
-        self.old: dict[str, str] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens with a space between them: the file names no decoder."""
-        return " ".join(self.token[i] for i in ids)
+        token = self.token
+        return " ".join([token[i] for i in ids])
 
     def chunks(self, text: str) -> list[str]:
         """What white space separates; a special token's text stands alone, marked by a space before it."""
@@ -185,9 +188,9 @@ class WordTokenizer:
             return word.lower().encode().decode("latin-1").translate(self.bytes)
         return None
 
-    def learn(self, chunks: set[str]) -> dict[str, str]:
-        """Every chunk's tokens, with a space between them (no token holds one)."""
-        found: dict[str, str] = {}
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Every chunk's ids (little-endian, 32 bits each)."""
+        found: dict[str, bytes] = {}
         whole: list[tuple[str, str]] = []
         cut: dict[str, list[str]] = {}
         new, old = self.new, self.old
@@ -197,7 +200,7 @@ class WordTokenizer:
             elif c.isalpha():
                 whole.append((c, self._letters(c)))
             elif c[0] == " ":
-                found[c] = c[1:]
+                found[c] = self.packed[c[1:]]
             elif c[-1] in ".,;:!?" and c[:-1].isalpha():
                 cut[c] = [self._letters(c[:-1]), c[-1]]
             else:
@@ -210,12 +213,12 @@ class WordTokenizer:
                 cut[c] = [p for p, _ in self.pieces(self.normalize(c))]
         words = {p for _, p in whole if p is not None}
         words.update(p for pieces in cut.values() for p in pieces)
-        tokens = self.bpe.encode(words)
+        tokens, packed = self.bpe.encode(words), self.packed
         for c, p in whole:
             if p is not None:
-                found[c] = new[c] = " ".join(tokens[p])
+                found[c] = new[c] = b"".join([packed[t] for t in tokens[p]])
         for c, pieces in cut.items():
-            found[c] = new[c] = " ".join([t for p in pieces for t in tokens[p]])
+            found[c] = new[c] = b"".join([packed[t] for p in pieces for t in tokens[p]])
         if len(new) > KEPT_WORDS:
             self.old, self.new = new, {}
         return found
@@ -224,10 +227,9 @@ class WordTokenizer:
         """The ids (little-endian, 32 bits each) and the decoded text of every text."""
         cut = [self.chunks(t) for t in texts]
         known = self.learn({c for chunks in cut for c in chunks})
-        packed = self.packed
         for chunks in cut:
-            decoded = " ".join([x for c in chunks if (x := known[c])])
-            yield b"".join([packed[t] for t in decoded.split(" ")]) if decoded else b"", decoded
+            ids = b"".join([known[c] for c in chunks])
+            yield ids, self.decode(memoryview(ids).cast("I"))
 
 
 _LOADED: dict[str, WordTokenizer] = {}
