@@ -44,7 +44,9 @@ def empty(spark):
 def test_fingerprints_edit_and_order(spark, odd, empty):
     got = fingerprints.fingerprint_documents(odd).collect()
     assert len(got) == len(ODD)
-    ordered = sorted(ODD, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    from xxhash import xxh64_intdigest
+
+    ordered = sorted(ODD, key=lambda r: (r[0] is None, r[0] or 0, xxh64_intdigest((r[1] or "").encode(), 42) >> 4))
     want = Counter()
     for i, (k, text) in enumerate(ordered):
         text, after = text or "", ordered[(i + 1) % len(ordered)][1] or ""
@@ -73,6 +75,52 @@ def test_fingerprint_lanes_never_overflow(spark):
     assert r.p == r.d and all(0 <= v < 2**63 for v in r.p)
 
 
+def brute_fingerprint(text):
+    """(the packed longs, the signed lanes) in plain Python: two 64-bit hashes a piece, ones counted bit by bit."""
+    import re
+
+    from xxhash import xxh64_intdigest
+
+    lines = text.split("\n") if text else []
+    clauses = [c.strip(" ") for c in re.split(r"[.!?,;:|]+|\n", text)]
+    pieces = [p.encode() for p in lines + ["\x01" + c for c in clauses if c]]
+    seed = xxh64_intdigest(struct.pack("<i", 1), 42)
+    hashes = [(xxh64_intdigest(p, 42), xxh64_intdigest(p, seed)) for p in pieces]
+    ones = [[sum(h[half] >> (16 * lane + k) & 1 for h in hashes) % 2**15 for lane in range(4)] for half in (0, 1) for k in range(16)]
+    n = len(pieces) % 2**15
+    signed = [(2 * x - n + 2**14) % 2**15 - 2**14 for row in ones for x in row]
+    return "".join(f"{sum(x << 16 * i for i, x in enumerate(row)):016x}" for row in ones) + f"{n:016x}", signed
+
+
+def brute_likeness(a, b):
+    (p, x), (q, y) = a, b
+    if p == q:
+        return 1.0
+    scale = math.sqrt(sum(v * v for v in x) * sum(v * v for v in y))
+    return max(0.0, min(1.0, sum(v * w for v, w in zip(x, y)) / scale)) if scale else 0.0
+
+
+@pytest.mark.parametrize("shape", ["odd", "hot", "null"])
+def test_fingerprints_by_brute_force(spark, monkeypatch, shape):
+    """Fingerprints and likenesses of every row and its successor; with many ranges, an id of most rows, and no ids at all."""
+    from xxhash import xxh64_intdigest
+
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 3)
+    rng = np.random.default_rng(31)
+    text = lambda: ".\n".join(" ".join(rng.choice(["ab", "cd", "é", "f g"], 3)) for _ in range(int(rng.integers(0, 6))))
+    rows = [r for r in ODD if r[0] != 5] if shape == "odd" else [(5 if shape == "hot" and i % 3 else None if shape == "null" else i, f"{text()} {i}") for i in range(150)]
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.fingerprint_documents(documents(spark, rows)).collect())
+    ordered = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is None, r[0] or 0, xxh64_intdigest(r[1].encode(), 42) >> 4))
+    want = Counter()
+    for i, (k, t) in enumerate(ordered):
+        after = ordered[(i + 1) % len(ordered)][1]
+        n = len(t) // 4
+        edited = t[: len(t) - n] + after[:n]
+        own, e, q = brute_fingerprint(t), brute_fingerprint(edited), brute_fingerprint(after)
+        want[k, len(t), hashlib.sha256(edited.encode()).hexdigest(), own[0], e[0], round(brute_likeness(own, e), 9), round(brute_likeness(own, q), 9)] += 1
+    assert got == want
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 

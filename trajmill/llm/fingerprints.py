@@ -93,29 +93,37 @@ def as_string(fingerprint: Column) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(F.element_at(fingerprint, i + 1)), 16, "0") for i in range(_LONGS + 1)]))
 
 
+#: A range of documents has about so many rows, or a fourth of a task's share of them.
+RANGE_ROWS = 1 << 16
+
+
 def with_next(docs: DataFrame, id_col: str, carried: list[str], prepare=lambda df: df) -> DataFrame:
-    """docs with next_<c> for each of `carried`: the value in the next row by id (after the last row: the first).
+    """docs (with __text) with next_<c> for each of `carried`: the value in the next row by id (after the last row: the first).
 
-    Rows are dealt to ranges of ids, whose bounds are ids of the table: a row whose id starts a range (the smallest id:
-    also after the last range) goes to the range before it as well, hence each range finds every successor by itself.
-    One shuffle; no range grows with the table. `prepare` adds columns after the shuffle. Rows with one id follow each
-    other by text; a null id comes last.
+    Rows with one id follow each other by a hash of their text; a null id comes last. Rows are dealt to ranges of (id, hash),
+    whose bounds are keys of the table: a row that starts a range (the smallest: also after the last range) goes to the range
+    before it as well, hence each range finds every successor by itself. One shuffle. The number of ranges grows with the
+    table, and an id that many rows share has several; only rows equal in id and text stay together. `prepare` adds columns
+    after the shuffle.
     """
-    key = F.coalesce(F.col(id_col), F.lit(2**63 - 1))
+    # 60 bits of hash below the id
+    key = F.coalesce(F.col(id_col), F.lit(2**63 - 1)).cast("decimal(38,0)") * F.lit(2**60).cast("decimal(19,0)") + F.shiftrightunsigned(F.xxhash64("__text"), 4).cast("decimal(19,0)")
+    kind = "decimal(38,0)"
     n = partitions(docs.sparkSession)
-    ranges = 4 * n
-    ids = docs.select(key.cast("double").alias("k"), key.alias("id"))
+    ids = docs.select(key.cast(kind).alias("id")).withColumn("k", F.col("id").cast("double"))
+    ranges = max(4 * n, docs.count() // RANGE_ROWS)
     near = sorted(set(ids.stat.approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
     firsts = ids.groupBy(range_of(F.col("k"), near, "double").alias("r")).agg(F.min("id").alias("id")).collect()  # as many rows as ranges
     first, *bounds = sorted(r.id for r in firsts) or [0]
-    starts = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
+    starts = F.array(*[F.lit(str(b)).cast(kind) for b in bounds]) if bounds else F.array().cast(f"array<{kind}>")
     last = len(bounds)
-    df = docs.withColumn("__key", key).withColumn("__at", range_of(F.col("__key"), bounds, "long"))
+    df = docs.withColumn("__key", key.cast(kind))
+    df = df.withColumn("__at", range_of(F.col("__key"), [str(b) for b in bounds], kind))
     df = df.withColumn("__start", F.coalesce(F.get(starts, F.col("__at") - 1) == F.col("__key"), F.lit(False)))
     own = F.struct(F.col("__at").alias("range"), F.lit(0).alias("ghost"))
     before = F.struct((F.col("__at") - 1).alias("range"), F.lit(1).alias("ghost"))
     around = F.struct(F.lit(last).alias("range"), F.lit(2).alias("ghost"))
-    places = F.array_compact(F.array(own, F.when(F.col("__start"), before), F.when(F.col("__key") == F.lit(first).cast("long"), around)))
+    places = F.array_compact(F.array(own, F.when(F.col("__start"), before), F.when(F.col("__key") == F.lit(str(first)).cast(kind), around)))
     df = df.withColumn("__place", F.explode(places))
     df = df.withColumns({"__range": F.col("__place.range"), "__ghost": F.col("__place.ghost")}).drop("__place", "__at", "__start")
     df = prepare(df.repartition(n, "__range"))
@@ -129,7 +137,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     The edited text has the last floor(n / 4) code points replaced by the first as many (or all) of the next document's,
     by ascending doc_id; after the last document comes the first. A null text is empty. Every row has one result: rows
-    that share a doc_id follow each other by text, a null doc_id is last. Other columns are ignored. No rows: no rows.
+    that share a doc_id follow each other by a hash of the text, a null doc_id is last. Other columns are ignored. No rows: no rows.
     """
     docs = docs.select("doc_id", text_or_empty().alias("__text"))
     prepare = lambda df: with_fingerprint(df, F.col("__text"), "__print")
