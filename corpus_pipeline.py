@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajmill.llm import bpe, jaccard, langid, mixing
-from trajmill.llm.common import written
+from trajmill.llm.common import release, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is used once more if the mix takes at least this share of it beyond its whole uses.
@@ -34,7 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: its whole uses, and once more for a further PART of it.
 
-    Documents without words stay once: the mix has no say in them."""
+    Documents without words stay once: the mix has no say in them. Rows that share a doc_id, or have none, are used as often as
+    the mix takes them together."""
     found = mixing.mix_documents(docs).groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(1 - PART))).cast("int")
     uses = written(found.select("doc_id", times.alias("__times")).where("__times > 0"))
@@ -44,6 +44,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's number of tokens, and digests of its tokens and of the text they decode to."""
+    import public_tokenizers
+
     return bpe.digest_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -56,7 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over documents, each written and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs)
+            release(before)
     return docs

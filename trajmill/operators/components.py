@@ -73,3 +73,23 @@ def ablated(df: DataFrame, specs: list[Ablation], components: str = "components"
     per_spec = F.array(*[F.struct(F.lit(s.name).alias("spec"), s.select(F.col(components)).alias("kept")) for s in specs])
     df = df.withColumn("__s", F.explode(per_spec)).drop(components).withColumns({"spec": F.col("__s.spec"), components: F.col("__s.kept")}).drop("__s")
     return scored(df, components)
+
+
+def scored_rows(rows: DataFrame, *key: str) -> DataFrame:
+    """scored() for components as rows (key, name, value, tags): one aggregate, no arrays of components."""
+    total, size = F.sum("value"), F.sum(F.abs("value"))
+    tags = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("value") < 0, F.col("tags"))))))
+    return rows.groupBy(*key).agg(total.alias("score"), F.when(size > 0, total / size).otherwise(0.0).alias("normalized"), tags.alias("risk_tags"))
+
+
+def ablated_rows(rows: DataFrame, specs: list[Ablation], *key: str) -> DataFrame:
+    """(key, spec, score, normalized) for components as rows (key, name, value, tags): two sums a spec in one aggregate."""
+    c = F.struct("name", "value", "tags")
+
+    def kept(s: Ablation) -> Column:
+        return F.lit(False) if s.zero else (s.include.matches(c) if s.include else F.lit(True)) & ~(s.exclude.matches(c) if s.exclude else F.lit(False))
+
+    of = lambda s, x: F.coalesce(F.sum(F.when(kept(s), x)), F.lit(0.0))
+    sums = rows.groupBy(*key).agg(*[F.struct(F.lit(s.name).alias("spec"), of(s, F.col("value")).alias("score"), of(s, F.abs("value")).alias("size")).alias(f"__{i}") for i, s in enumerate(specs)])
+    out = sums.select(*key, F.explode(F.array(*[f"__{i}" for i in range(len(specs))])).alias("s"))
+    return out.select(*key, "s.spec", "s.score", F.when(F.col("s.size") > 0, F.col("s.score") / F.col("s.size")).otherwise(0.0).alias("normalized"))

@@ -22,9 +22,12 @@ def corpus_statistics(corpus: DataFrame, text: str) -> DataFrame:
     return corpus.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.size(terms(F.col(text)))), F.lit(0.0)).alias("avgdl"))
 
 
-def term_statistics(posts: DataFrame, n_docs: int) -> DataFrame:
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
+def term_statistics(corpus: DataFrame, text: str) -> DataFrame:
+    """(term, df, idf): how many documents have a term. A document counts each of its terms once in its own row, so counts are
+    all that is shuffled."""
+    counts = corpus.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = corpus.agg(F.count("*").alias("__n"))  # one row
+    return counts.join(F.broadcast(n)).select("term", "df", F.log((F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, doc: str, text: str, query: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:

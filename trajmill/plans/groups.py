@@ -55,11 +55,11 @@ def task_rates(spark, d):
     return _rounded(ev.task_rates(rollouts(spark, d), F.col("reward"), "arm", "task_id"), "rate")
 
 
-@query("pass_hat_k", """WITH t AS (SELECT o_custkey % 997 AS task_id, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS s FROM orders GROUP BY 1),
+@query("pass_hat_k", """WITH t AS (SELECT o_custkey % 297 AS task_id, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS s FROM orders GROUP BY 1),
 k AS (SELECT unnest(range(1, (SELECT min(n) FROM t) + 1)) AS k)
 SELECT k, round(avg(CASE WHEN s < k THEN 0e0 ELSE exp(lgamma(s + 1) - lgamma(s - k + 1) + lgamma(n - k + 1) - lgamma(n + 1)) END), 6) AS pass_hat_k, count(*) AS tasks FROM t, k GROUP BY k""")
 def pass_hat_k(spark, d):
-    tasks = rollouts(spark, d).withColumn("task_id", F.col("task_id").cast("bigint") % 997)
+    tasks = rollouts(spark, d).withColumn("task_id", F.col("task_id").cast("bigint") % 297)
     return _rounded(ev.pass_hat_k(tasks, g.success_in_band(F.col("reward"))), "pass_hat_k")
 
 
@@ -78,15 +78,15 @@ def passrate(spark, d):
 
 
 @query("bootstrap_lcg", f"""{_ARMS.replace("WITH ", "WITH RECURSIVE ", 1)}, x AS (SELECT row_number() OVER (ORDER BY b.task_id) - 1 AS i, c.rate - b.rate AS delta FROM b JOIN c USING (task_id)), m AS (SELECT count(*) AS m FROM x),
-p AS (SELECT CAST(1 AS BIGINT) AS k, CAST({ev.LCG_A} AS HUGEINT) AS a, CAST({ev.LCG_C} AS HUGEINT) AS c UNION ALL SELECT k + 1, (a * {ev.LCG_A}) % 2147483648, (c * {ev.LCG_A} + {ev.LCG_C}) % 2147483648 FROM p, m WHERE k < m),
+p AS (SELECT CAST(1 AS BIGINT) AS k, CAST({ev.LCG_A} AS BIGINT) AS a, CAST({ev.LCG_C} AS BIGINT) AS c UNION ALL SELECT k + 1, (a * {ev.LCG_A}) % 2147483648, (c * {ev.LCG_A} + {ev.LCG_C}) % 2147483648 FROM p, m WHERE k < m),
 l AS (SELECT a AS am, c AS cm FROM p, m WHERE k = m),
-st AS (SELECT CAST(1 AS BIGINT) AS b, CAST({ev.LCG_SEED} AS HUGEINT) AS s UNION ALL SELECT b + 1, (am * s + cm) % 2147483648 FROM st, l WHERE b < 2000),
-w AS (SELECT st.b, avg(x.delta) AS mean FROM st, p, m JOIN x ON x.i = CAST(((p.a * st.s + p.c) % 2147483648) % m.m AS BIGINT) GROUP BY st.b),
-o AS (SELECT list_sort(list(mean)) AS s FROM w)
-SELECT 'cand' AS arm, m AS n, round(s[51], 6) AS low, round(s[1951], 6) AS high FROM o, m""")
+st AS (SELECT CAST(1 AS BIGINT) AS b, CAST({ev.LCG_SEED} AS BIGINT) AS s UNION ALL SELECT b + 1, (am * s + cm) % 2147483648 FROM st, l WHERE b < 500),
+dr AS MATERIALIZED (SELECT st.b, ((p.a * st.s + p.c) % 2147483648) % m.m AS i FROM st, p, m),
+w AS (SELECT b, avg(delta) AS mean FROM dr JOIN x USING (i) GROUP BY b), o AS (SELECT list_sort(list(mean)) AS s FROM w)
+SELECT 'cand' AS arm, m AS n, round(s[13], 6) AS low, round(s[488], 6) AS high FROM o, m""")
 def bootstrap_lcg(spark, d):
     df = ev.deltas(*_arms(spark, d)).withColumn("arm", F.lit("cand"))
-    return _rounded(ev.bootstrap_interval(df, "arm", "task_id", "delta", 2000), "low", "high")
+    return _rounded(ev.bootstrap_interval(df, "arm", "task_id", "delta", 500), "low", "high")
 
 
 @query("bootstrap_mt")

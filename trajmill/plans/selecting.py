@@ -9,7 +9,7 @@ from trajmill.operators import datasets as ds
 from trajmill.operators import groups as g
 from trajmill.operators import selection as sel
 from trajmill.plans.registry import query
-from trajmill.plans.surrogates import COMPONENTS, ROLLOUTS, components, read, rollouts
+from trajmill.plans.surrogates import COMPONENTS, ROLLOUTS, component_rows, components, read, rollouts
 
 
 @query("dedupe_cap", f"""WITH {ROLLOUTS}, s AS (SELECT *, row_number() OVER (PARTITION BY task_id, CAST(floor(price / 10000) AS BIGINT) ORDER BY ordinal) AS n FROM rollouts WHERE reward >= 1 - 1e-6),
@@ -115,7 +115,7 @@ def task_set_ops(spark, d):
 @query("component_scores", f"""WITH {COMPONENTS}, s AS (SELECT traj, sum(value) AS score, sum(abs(value)) AS size, count(DISTINCT CASE WHEN value < 0 THEN flag END) + count(DISTINCT CASE WHEN value < 0 THEN status END) AS n_tags FROM comps GROUP BY 1)
 SELECT traj, round(score, 6) AS score, round(CASE WHEN size > 0 THEN score / size ELSE 0e0 END, 6) AS normalized, n_tags FROM s""")
 def component_scores(spark, d):
-    df = co.scored(components(spark, d))
+    df = co.scored_rows(component_rows(spark, d), "traj")
     return df.select("traj", F.round("score", 6).alias("score"), F.round("normalized", 6).alias("normalized"), F.size("risk_tags").cast("bigint").alias("n_tags"))
 
 
@@ -130,7 +130,7 @@ k AS (SELECT * FROM comps, sp WHERE spec = 'full' OR (spec = 'positive_only' AND
 s AS (SELECT traj, spec, sum(value) AS v, sum(abs(value)) AS a FROM k GROUP BY ALL)
 SELECT sp.spec, count(*) AS trajectories, round(sum(coalesce(v, 0)), 4) AS score, round(sum(CASE WHEN a > 0 THEN v / a ELSE 0 END), 4) AS normalized FROM t CROSS JOIN sp LEFT JOIN s ON s.traj = t.traj AND s.spec = sp.spec GROUP BY 1""")
 def ablation_grid(spark, d):
-    return co.ablated(components(spark, d), SPECS).groupBy("spec").agg(F.count("*").alias("trajectories"), F.round(F.sum("score"), 4).alias("score"), F.round(F.sum("normalized"), 4).alias("normalized"))
+    return co.ablated_rows(component_rows(spark, d), SPECS, "traj").groupBy("spec").agg(F.count("*").alias("trajectories"), F.round(F.sum("score"), 4).alias("score"), F.round(F.sum("normalized"), 4).alias("normalized"))
 
 
 @query("confusion_matrix", "WITH c AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL) SELECT quality, toxic, n, round(coalesce(sum(CASE WHEN quality = toxic THEN n END) OVER (PARTITION BY quality), 0) / sum(n) OVER (PARTITION BY quality), 6) AS recall FROM c")

@@ -40,14 +40,17 @@ STEPS = """steps AS (
   FROM events)"""
 
 
-def components(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as an order's score components."""
-    li = read(spark, d, "lineitem")
+def component_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as an order's score components, a row each."""
     name = F.concat("l_returnflag", "l_linestatus")
     value = F.round((F.col("l_discount") - F.col("l_tax")) * 100, 0)
     tags = F.array(F.concat(F.lit("flag_"), F.col("l_returnflag")), F.concat(F.lit("status_"), F.col("l_linestatus")))
-    c = F.struct(F.col("l_linenumber").cast("bigint").alias("n"), name.alias("name"), value.alias("value"), tags.alias("tags"))
-    return li.groupBy(F.col("l_orderkey").alias("traj")).agg(F.array_sort(F.collect_list(c)).alias("components"))
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("traj"), F.col("l_linenumber").cast("bigint").alias("n"), name.alias("name"), value.alias("value"), tags.alias("tags"))
+
+
+def components(spark: SparkSession, d: str) -> DataFrame:
+    """component_rows() as an array a trajectory."""
+    return component_rows(spark, d).groupBy("traj").agg(F.array_sort(F.collect_list(F.struct("n", "name", "value", "tags"))).alias("components"))
 
 
 COMPONENTS = """comps AS (
