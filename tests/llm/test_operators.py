@@ -571,3 +571,19 @@ def test_mix_by_brute_force(spark):
             taken.update(lanes[s][b * mixing.BLOCK : (b + 1) * mixing.BLOCK])
         rank[s] += 1
     assert {k: r.taken for k, r in got.items()} == {k: taken[k] for k, *_ in rows}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000, 10**9])
+@pytest.mark.parametrize("distance", [1, 4, 8])
+def test_plans_stay_small(n, distance):
+    """No table makes a plan of more signatures than the cheapest partitioning needs, and its masks cover the distance."""
+    together = np.full((64, 64), n // 4) + np.diag(np.full(64, n // 4))
+    parts = simhash.plan(n, together, distance)
+    kept = simhash.masks(parts)
+    assert 0 < len(kept) <= simhash.MOST_MASKS
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        differ = sum(1 << int(b) for b in rng.choice(64, distance, replace=False))
+        assert any(differ & int(k) == 0 for k in kept)
+    if n == 0:
+        assert simhash.plan(0, np.zeros((64, 64)), distance)
