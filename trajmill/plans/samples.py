@@ -409,3 +409,40 @@ def alias_rewards(spark, d):
     golds = F.array(F.lit("something else"), F.lit(None).cast("string"), F.lit("  "), F.concat(F.lit("The "), F.col("t"), F.lit("!")))
     answer = F.concat(F.lit("I think <answer> "), F.col("t"), F.lit(" </answer>"))
     return b.select("item_id", *[rewards.qa_reward(answer, golds, m).alias(n) for m, n in (("em", "em"), ("f1", "f1"), ("em_or_f1half", "half"))], rewards.qa_reward(answer, F.array(F.lit(" "))).alias("none"))
+
+
+_RULES = f"""{AGENT_STEPS}, e AS (SELECT *, k % 10 AS r, last_value(CASE WHEN tool = 'view' THEN k END IGNORE NULLS) OVER (PARTITION BY traj, k % 10 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen,
+  coalesce(max(CASE WHEN tool = 'click' AND k % 10 = 0 THEN 1 END) OVER (PARTITION BY traj ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS stopped FROM agent_steps),
+f AS (SELECT *, seen // 10 % 2 = 1 AND NOT (seen // 10 % 3 = 0 OR stopped) AS late FROM e),
+c AS (SELECT traj, CASE WHEN seen IS NULL THEN 'cancel_without_reservation_details' WHEN late THEN 'cancel_after_24h_without_policy_basis' ELSE 'cancel_precondition_supported' END AS component FROM f WHERE tool = 'purchase'
+UNION ALL SELECT traj, 'user_pressure_susceptibility' FROM f WHERE tool = 'purchase' AND late AND traj % 2 = 0 UNION ALL SELECT traj, 'certificate_without_status_confirmation' FROM f WHERE tool = 'error' AND NOT stopped
+UNION ALL SELECT traj, 'wrong_tool_for_schedule_lookup' FROM f WHERE tool = 'click' AND traj % 3 = 0 GROUP BY traj UNION ALL SELECT traj, 'forbidden_db_write' FROM f WHERE tool IN ('purchase', 'error') AND traj % 5 = 0 GROUP BY traj
+UNION ALL SELECT traj, 'unexpected_write_tool' FROM f WHERE tool = 'error' AND traj % 5 = 1 UNION ALL SELECT DISTINCT traj, CASE WHEN traj % 7 = 0 THEN 'required_communication_met' ELSE 'missing_required_communication' END FROM f WHERE traj % 7 < 2
+UNION ALL SELECT DISTINCT traj, CASE WHEN traj % 4 = 0 THEN 'reference_actions_matched' ELSE 'reference_action_mismatch' END FROM f WHERE traj % 4 < 2)"""
+
+
+@query("rule_components", f"WITH {_RULES} SELECT traj, component, count(*) AS n FROM c GROUP BY ALL")
+def rule_components(spark, d):
+    """Events as look-ups, cancellations and certificates of ten reservations; what tasks expect depends on the trajectory."""
+    from trajmill.operators import rules
+
+    s, t = agent_steps(spark, d), F.col("traj")
+    rid = F.concat(F.lit("R"), (F.col("k") % 10).cast("string"))
+    tens = F.floor(F.col("k") / 10)
+    tool = F.when(F.col("tool") == "view", "get_reservation_details").when(F.col("tool") == "click", "get_flight_status").when(F.col("tool") == "purchase", "cancel_reservation").when(F.col("tool") == "error", "send_certificate").otherwise("calculate")
+    details = F.concat(F.lit('{"reservation_id":"'), rid, F.lit('","created_at":"2024-05-'), F.when(tens % 2 == 1, "01").otherwise("15"), F.lit('T10:00:00","insurance":"'), F.when(tens % 3 == 0, "yes").otherwise("no"), F.lit('","flights":[]}'))
+    result = F.when(F.col("tool") == "view", details).when((F.col("tool") == "click") & (F.col("k") % 10 == 0), "cancelled").otherwise("ok")
+    call = F.array(F.struct(F.col("call_id").alias("id"), tool.alias("name"), F.concat(F.lit('{"reservation_id":"'), rid, F.lit('"}')).alias("arguments")))
+    none = F.array().cast("array<struct<id:string,name:string,arguments:string>>")
+    row = lambda df, idx, role, content, to, calls: df.select("traj", t.cast("string").alias("task_id"), idx.cast("int").alias("idx"), F.lit(role).alias("role"), content.alias("content"), F.lit(False).alias("error"), to.alias("reply_to"), calls.alias("calls"))
+    wish = F.concat(F.when(t % 2 == 0, "customer support said so. ").otherwise(""), F.when(t % 3 == 0, "how long is the duration?").otherwise("help"))
+    said = row(s.select("traj").distinct(), F.lit(0), "user", wish, F.lit(""), none)
+    answer = F.when(t % 7 == 0, "that is $1,200.50 in all").otherwise("one moment")
+    rows = said.unionByName(row(s, 2 * F.col("idx") + 1, "assistant", answer, F.lit(""), call)).unionByName(row(s, 2 * F.col("idx") + 2, "tool", result, F.col("call_id"), none))
+    each = s.select("traj").distinct()
+    strings = lambda c, *xs: F.when(c, F.array(*map(F.lit, xs))).otherwise(F.array().cast("array<string>"))
+    tasks = each.select(t.cast("string").alias("task_id"), F.when(t % 5 == 0, "The agent should not make any changes.").otherwise("").alias("task_text"), strings(t % 5 == 1, "cancel_reservation").alias("expected"), strings(t % 7 < 2, "1200.50").alias("communicate"))
+    outcomes = each.select("traj", F.when(t % 4 == 0, F.array(F.lit(True))).when(t % 4 == 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array().cast("array<boolean>")).alias("action_matches"))
+    facts = rules.facts(rows, tasks, ["traj", "task_id"], outcomes.withColumn("task_id", t.cast("string")))
+    found = rules.components(facts, ["traj", "task_id"], F.lit("2024-05-15 15:00:00").cast("timestamp_ntz"))
+    return found.select("traj", F.explode("components").alias("c")).groupBy("traj", F.col("c.name").alias("component")).agg(F.count("*").alias("n"))
