@@ -9,8 +9,9 @@ in the order, which only keeps the groups of a token small.
 Equal texts are one node. First each text of a token is compared with a few others, in an order of the token's own, and
 with what SimHash proposes; of these candidates each text's likeliest is verified. Then all pairs follow whose ends the
 links found so far do not connect, those candidates among them. What is left out is connected already, so components are
-those of all links. Before texts are fetched, pairs are dropped that can't be similar: a text's bitmap
-holds the parity of its tokens in each of 256 bins, and sets whose bitmaps differ in d bits differ in d tokens or more. Texts and shingles are told apart by 64-bit hashes.
+those of all links. Before texts are fetched, pairs are dropped that can't be similar: a text's bitmap holds the parity of
+its tokens in each of 256 bins, and sets whose bitmaps differ in d bits differ in d tokens or more. Texts and shingles are
+told apart by 64-bit hashes.
 
 Texts themselves move only where a candidate pair needs them; the rest works on a text's prefix, size and bitmap.
 """
