@@ -18,24 +18,28 @@ def nested(i, name, **arguments):
     return {"id": i, "type": "function", "function": {"name": name, "arguments": json.dumps(arguments)}}
 
 
-BAD = [
-    {"role": "user", "content": "hello, I need help"},
-    {"role": "assistant", "content": "Please provide your user id.", "tool_calls": [call("c1", "get_user_details", user_id="jane_roe_77")]},
-    {"role": "tool", "id": "c1", "content": "Error: user jane_roe_77 not found"},
-    {"role": "assistant", "content": "", "tool_calls": [call("c2", "transfer_to_human_agents", summary="x")]},
+#: Bags are paid with a card that nobody named; then an account is guessed while a booking is asked for.
+GUESSED = [
+    {"role": "user", "content": "two more bags on QW12ER, please"},
+    {"role": "assistant", "content": "One moment.", "tool_calls": [call("c1", "update_reservation_baggages", reservation_id="QW12ER", payment_id="gift_card_31")]},
+    {"role": "tool", "id": "c1", "content": "ok"},
+    {"role": "assistant", "content": "Send your reservation id again.", "tool_calls": [call("c2", "get_user_details", user_id="tom_fox_5")]},
+    {"role": "tool", "id": "c2", "content": "Error: user tom_fox_5 not found"},
+    {"role": "assistant", "content": "", "tool_calls": [call("c3", "cancel_reservation", reservation_id="QW12ER"), call("c4", "transfer_to_human_agents", summary="x")]},
 ]
-GOOD = [
-    {"role": "user", "content": "I am sam_poe_12"},
-    {"role": "assistant", "content": "", "tool_calls": [nested("d1", "get_user_details", user_id="sam_poe_12")]},
-    {"role": "tool", "tool_call_id": "d1", "content": json.dumps({"user_id": "sam_poe_12", "reservations": ["AB12CD"], "payment_methods": {"gift_card_9": {"id": "gift_card_9"}}})},
-    {"role": "assistant", "content": "", "tool_calls": [nested("d2", "update_reservation_flights", reservation_id="AB12CD", payment={"payment_id": "gift_card_9"})]},
+#: The card comes out of the booking that the user named.
+READ = [
+    {"role": "user", "content": "it is kim_ray_8, put ZT55PL on another day"},
+    {"role": "assistant", "content": "", "tool_calls": [nested("d1", "get_reservation_details", reservation_id="ZT55PL")]},
+    {"role": "tool", "tool_call_id": "d1", "content": json.dumps({"reservation_id": "ZT55PL", "user_id": "kim_ray_8", "payment_history": [{"payment_id": "credit_card_71"}]})},
+    {"role": "assistant", "content": "", "tool_calls": [nested("d2", "update_reservation_flights", reservation_id="ZT55PL", payment={"payment_id": "credit_card_71"})]},
 ]
 
 
 @pytest.fixture(scope="module")
 def rollouts(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("rollouts") / "r.jsonl"
-    rows = [{"task_id": "1", "trial": 0, "reward": 0.0, "messages": BAD}, {"task_id": "2", "trial": 0, "reward": 1.0, "messages": GOOD}]
+    rows = [{"task_id": "1", "trial": 0, "reward": 0.0, "messages": GUESSED}, {"task_id": "2", "trial": 0, "reward": 1.0, "messages": READ}]
     path.write_text("\n\n".join(map(json.dumps, rows)) + "\n")
     return readers.lenient_jsonl(spark, str(path))
 
@@ -43,9 +47,9 @@ def rollouts(spark, tmp_path_factory):
 def test_grounding(rollouts):
     rows = messages.exploded(rollouts, ["task_id"])
     found = sorted((r.task_id, r.component, r.value, r.severity) for r in grounding.issues(rows, ["task_id"]).collect())
-    assert found == [("1", "ask_identifier_and_call_tool_same_turn", "jane_roe_77", 2.0), ("1", "transfer_after_ungrounded_slot_error", "jane_roe_77", 2.5), ("1", "ungrounded_user_id", "jane_roe_77", 3.0)]
+    assert found == [("1", "ask_identifier_and_call_tool_same_turn", "tom_fox_5", 2.0), ("1", "transfer_after_ungrounded_slot_error", "tom_fox_5", 2.5), ("1", "ungrounded_payment_id", "gift_card_31", 1.5), ("1", "ungrounded_user_id", "tom_fox_5", 3.0)]
     scores = {r.task_id: sum(c.value for c in r.components) for r in grounding.components(rows, ["task_id"]).collect()}
-    assert scores == {"1": -7.5, "2": 1.0}
+    assert scores == {"1": -9.0, "2": 1.0}
 
 
 def test_a_reply_belongs_to_the_last_call_before_it(spark):
