@@ -55,3 +55,43 @@ def test_null_and_shared_ids_lose_no_text(spark):
     docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], COLUMNS)
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted([(0, a), (0, b), (1, c), (1, d)])
+
+
+def test_bitmaps_never_hide_a_link():
+    """Bits that differ are never more than tokens that differ, folded or not, and widths of like sets fit."""
+    rng, bits = np.random.default_rng(5), lambda x: np.bitwise_count(x.view(np.uint64)).sum()
+    for n in (1, 3, 200, 255, 256, 257, 500, 513, 1030, 5000):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for keep in (1.0, 0.95, 0.85):
+            other = np.unique(np.concatenate([base[rng.random(len(base)) < keep], rng.integers(0, 1 << 63, int(n * rng.random() * 0.1), dtype=np.uint64)]))
+            if not len(other):
+                continue
+            apart = len(np.setxor1d(base, other))
+            assert bits(jaccard.bitmap(base) ^ jaccard.bitmap(other)) <= apart
+            a, b = jaccard.wide_bitmap(base), jaccard.wide_bitmap(other)
+            assert len(a) * 64 >= len(base) or len(base) <= 256
+            if 5 * min(len(base), len(other)) >= 4 * max(len(base), len(other)):
+                assert max(len(a), len(b)) <= 2 * min(len(a), len(b))
+                fold = lambda x, n: x if len(x) == n else x[: len(x) // 2] ^ x[len(x) // 2 :]
+                n_ = min(len(a), len(b))
+                assert bits(fold(a, n_) ^ fold(b, n_)) <= apart
+    assert len(jaccard.wide_bitmap(np.arange(257, dtype=np.uint64))) == 8 and len(jaccard.wide_bitmap(np.arange(256, dtype=np.uint64))) == 4
+
+
+def test_shared_passages_and_long_texts(spark):
+    """Texts that share a passage but little else stay apart, edited long texts are linked."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(60)]
+    own = []
+    for g in range(40):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 400)]
+        at = int(rng.integers(0, 340))
+        own.append(" ".join(words[:at] + passage + words[at:]))
+    for g in range(0, 40, 8):
+        words = own[g].split()
+        words[5], words[300] = "edit", "edit"
+        own.append(" ".join(words))
+        own.append(" ".join(words[: len(words) - 40]))
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(own)], COLUMNS)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(brute(own)))

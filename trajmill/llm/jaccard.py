@@ -10,8 +10,9 @@ Equal texts are one node. First each text of a token is compared with a few othe
 with what SimHash proposes; of these candidates each text's likeliest is verified. Then all pairs follow whose ends the
 links found so far do not connect, those candidates among them. What is left out is connected already, so components are
 those of all links. Before texts are fetched, pairs are dropped that can't be similar: a text's bitmap holds the parity of
-its tokens in each of 256 bins, and sets whose bitmaps differ in d bits differ in d tokens or more. Texts and shingles are
-told apart by 64-bit hashes.
+its tokens in each of 256 bins, and sets whose bitmaps differ in d bits differ in d tokens or more; what passes meets the
+texts' wide bitmaps, of as many bins as tokens at least. A pair that shares several tokens is emitted for the first of a run
+of them alone. Texts and shingles are told apart by 64-bit hashes.
 
 Texts themselves move only where a candidate pair needs them; the rest works on a text's prefix, size and bitmap.
 """
@@ -22,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajmill.llm import simhash
@@ -38,7 +39,7 @@ PAIRS, DISTANCE = 2, 4
 PARTNERS = 3
 #: Texts looked at for frequent tokens, in how many of them a token is frequent, and how many such tokens are kept.
 _SAMPLE, _OFTEN, _MOST = 20_000, 3, 200_000
-_AT_ONCE = 1 << 20
+_AT_ONCE, _ROWS = 1 << 18, 1 << 18
 _WORDS = 4  # of 64 bits in a bitmap
 BITMAP = [f"b{i}" for i in range(_WORDS)]
 #: Words of the bitmap that go with a token's rows.
@@ -77,6 +78,13 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bins.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def wide_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """bitmap() with a power of two of bins, as many as tokens at least; halves that are added (xor) are that of half the bins."""
+    n = 64 * _WORDS << max(0, (len(tokens) - 1).bit_length() - (64 * _WORDS).bit_length() + 1)
+    bins = np.bincount((tokens >> np.uint64(16)).astype(np.int64) % n, minlength=n) & 1
+    return np.packbits(bins.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def frequent(docs: DataFrame) -> np.ndarray:
     """Sorted tokens that are frequent in a sample of the texts (columns node and text), chosen by the texts' hashes."""
     share = max(1, docs.count() // _SAMPLE)
@@ -92,12 +100,12 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """A written table with a row for each distinct text (columns node and text): node, fp (SimHash), size (tokens), bitmap and prefix."""
+    """A written table with a row for each distinct text (columns node and text): node, fp (SimHash), size (tokens), bitmaps and prefix."""
     often = frequent(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1)):
-            prints, sizes, maps, prefixes = [], [], [], []
+            prints, sizes, maps, wide, prefixes = [], [], [], [], []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
                 tokens = shingles(t or b"")
                 common = often[np.searchsorted(often[:-1], tokens)] == tokens if len(often) else np.zeros(len(tokens), bool)
@@ -106,13 +114,13 @@ def prepared(docs: DataFrame) -> DataFrame:
                 prints.append(simhash.simhash(t or b"", PAIRS))
                 sizes.append(len(tokens))
                 maps.append(bitmap(tokens))
+                wide.append(wide_bitmap(tokens))
             if sizes:
-                ends = pa.array(np.append(0, np.cumsum([len(x) for x in prefixes])), pa.int32())
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes)))
-                columns = [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *[pa.array(c) for c in np.ascontiguousarray(np.array(maps).T)], lists]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "size", *BITMAP, "prefix"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in rows])), pa.int32()), pa.array(np.concatenate(rows))) for rows in (wide, prefixes)]
+                columns = [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *[pa.array(c) for c in np.ascontiguousarray(np.array(maps).T)], *lists]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "size", *BITMAP, "wide", "prefix"])
 
-    return written(docs.mapInArrow(run, f"node bigint, fp bigint, size bigint, {', '.join(f'{b} bigint' for b in BITMAP)}, prefix array<bigint>").dropDuplicates(["node"]))
+    return written(docs.mapInArrow(run, f"node bigint, fp bigint, size bigint, {', '.join(f'{b} bigint' for b in BITMAP)}, wide array<bigint>, prefix array<bigint>").dropDuplicates(["node"]))
 
 
 def _by_token(rows: DataFrame, work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -123,7 +131,7 @@ def _by_token(rows: DataFrame, work: Callable[..., Iterator[pa.RecordBatch]], sc
         for batch in batches:
             parts.append([np.asarray(c) for c in batch.columns])
             held += batch.num_rows
-            if held < 500_000 or parts[0][0][0] == parts[-1][0][-1]:
+            if held < _ROWS or parts[0][0][0] == parts[-1][0][-1]:
                 continue
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
             cut = int(np.flatnonzero(columns[0] != columns[0][-1])[-1]) + 1  # the last token may go on
@@ -141,9 +149,13 @@ def _batch(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    both = both[both[:, 0] != both[:, 1]]
-    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+    """The distinct pairs of different nodes, the smaller first."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])) if len(low) else np.zeros(0, bool)
+    new &= low != high
+    return low[new], high[new]
 
 
 def partners(token: np.ndarray, size: np.ndarray, name: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -174,15 +186,16 @@ def partners(token: np.ndarray, size: np.ndarray, name: np.ndarray) -> Iterator[
     yield _batch(0, a, b, np.zeros(len(a), np.int64))
 
 
-def across(token: np.ndarray, size: np.ndarray, name: np.ndarray, root: np.ndarray, *maps: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """kind 0: all pairs of texts of one token whose sizes and bitmaps allow a link and whose roots differ."""
+def across(token: np.ndarray, size: np.ndarray, name: np.ndarray, root: np.ndarray, before: np.ndarray, *maps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """kind 0: all pairs of texts of one token whose sizes and bitmaps allow a link and whose roots differ. before: the text's
+    token before this one among its rows (0: none); texts with the same one meet there."""
     ends = np.flatnonzero(np.append(token[1:] != token[:-1], True))
     left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(token))  # rows of the token after this one
     maps = [m.view(np.uint64) for m in maps]
     a, b, held, d, at = [], [], 0, 1, np.flatnonzero(left > 0)
     while len(at) or held:
         at = at[DENOMINATOR * size[at] >= NUMERATOR * size[at + d]] if len(at) else at  # sizes grow with d
-        apart = at[root[at] != root[at + d]] if len(at) else at
+        apart = at[(root[at] != root[at + d]) & ((before[at] != before[at + d]) | (before[at] == 0))] if len(at) else at
         if len(apart):
             differ = sum(np.bitwise_count(m[apart] ^ m[apart + d]).astype(np.int64) for m in maps)
             apart = apart[differ * (DENOMINATOR + NUMERATOR) <= (DENOMINATOR - NUMERATOR) * (size[apart] + size[apart + d])]
@@ -199,11 +212,17 @@ def across(token: np.ndarray, size: np.ndarray, name: np.ndarray, root: np.ndarr
 
 def possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose sizes and bitmaps allow a link, with the bits that differ."""
-    one = texts.select(F.col("node").alias("a"), F.col("size").alias("n"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(BITMAP)])
-    two = texts.select(F.col("node").alias("b"), F.col("size").alias("m"), *[F.col(c).alias(f"y{i}") for i, c in enumerate(BITMAP)])
-    both = pairs.distinct().join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-    both = both.withColumn("differ", F.expr(" + ".join(f"bit_count(x{i} ^ y{i})" for i in range(_WORDS))))
-    return both.where(f"{DENOMINATOR} * least(n, m) >= {NUMERATOR} * greatest(n, m) and {DENOMINATOR + NUMERATOR} * differ <= {DENOMINATOR - NUMERATOR} * (n + m)").select("a", "b", "differ")
+    side = lambda end, size, columns: texts.select(F.col("node").alias(end), F.col("size").alias(size), *[F.col(c).alias(f"{end}_{c}") for c in columns]).hint("merge")
+    limit = f"<= {DENOMINATOR - NUMERATOR} * (n + m)"
+    both = pairs.distinct().join(side("a", "n", BITMAP), "a").join(side("b", "m", BITMAP), "b")
+    differ = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in BITMAP)
+    near = both.where(f"{DENOMINATOR} * least(n, m) >= {NUMERATOR} * greatest(n, m) and {DENOMINATOR + NUMERATOR} * ({differ}) {limit}").select("a", "b")
+    # sizes that allow a link make widths that are equal or twice as large
+    half = lambda c: f"transform(sequence(1, size({c}) div 2), i -> {c}[i - 1] ^ {c}[i - 1 + size({c}) div 2])"
+    wide = near.join(side("a", "n", ["wide"]), "a").join(side("b", "m", ["wide"]), "b")
+    x, y = f"if(size(a_wide) > size(b_wide), {half('a_wide')}, a_wide)", f"if(size(b_wide) > size(a_wide), {half('b_wide')}, b_wide)"
+    wide = wide.withColumn("differ", F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"))
+    return wide.where(f"{DENOMINATOR + NUMERATOR} * differ {limit}").select("a", "b", "differ")
 
 
 def likeliest(pairs: DataFrame) -> DataFrame:
@@ -260,7 +279,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links)
     rows = found.where("kind = 1").select(F.col("a").alias("token"), "size", F.col("b").alias("node"))
     known = texts.select("node", *BITMAP[:_LIGHT]).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *BITMAP[:_LIGHT])
-    rows = rows.join(known.hint("merge"), "node").select("token", "size", "node", "root", *BITMAP[:_LIGHT])
+    rows = rows.join(known.hint("merge"), "node").withColumn("before", F.coalesce(F.lag("token").over(Window.partitionBy("node").orderBy("token")), F.lit(0).cast("long")))
+    rows = rows.select("token", "size", "node", "root", "before", *BITMAP[:_LIGHT])
     end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     open_ = first.join(end("a"), "a", "left").join(end("b"), "b", "left").where("coalesce(a_root, a) != coalesce(b_root, b)").select("a", "b")
     more = verified(possible(_by_token(rows, across, schema).select("a", "b").union(open_), texts), docs)
