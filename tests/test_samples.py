@@ -240,5 +240,5 @@ def test_files(spark, tmp_path, capsys):
     writers.write_rollouts(m, str(tmp_path / "rollouts"))
     assert spark.read.json(str(tmp_path / "rollouts")).count() == 1
     assert writers.console(m, "title").splitlines() == ["title", "task_id  trial  seconds", "1        0      2.5000"] and "title" in capsys.readouterr().out
-    rows = runs.catalogue_rows(spark.createDataFrame([(7, 0, "do it")], "task_id int, ordinal int, text string"), "air", "text").first()
-    assert rows.extra_info.task_id == "7" and rows.prompt[0].content == "do it"
+    rows = runs.catalogue_rows(spark.createDataFrame([(7, 0, "do it")], "task_id int, ordinal int, text string"), "agents", "air", "text").first()
+    assert rows.data_source == "agents/air" and rows.extra_info.task_id == "7" and rows.prompt[0].content == "do it"

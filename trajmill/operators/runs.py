@@ -238,10 +238,10 @@ def first_probes(df: DataFrame, order: list[str], n: int, wanted: Column | None
     return (df if wanted is None else df.where(wanted)).orderBy(*order).limit(n)
 
 
-def catalogue_rows(tasks: DataFrame, domain: str, prompt: str) -> DataFrame:
+def catalogue_rows(tasks: DataFrame, suite: str, domain: str, prompt: str) -> DataFrame:
     """A task registry as rows for reinforcement learning: data_source, prompt, ability, reward_model, extra_info."""
     return tasks.select(
-        F.lit(f"tau2/{domain}").alias("data_source"), F.array(F.struct(F.lit("user").alias("role"), F.col(prompt).alias("content"))).alias("prompt"), F.lit(f"tau2-{domain}").alias("ability"),
+        F.lit(f"{suite}/{domain}").alias("data_source"), F.array(F.struct(F.lit("user").alias("role"), F.col(prompt).alias("content"))).alias("prompt"), F.lit(f"{suite}-{domain}").alias("ability"),
         F.struct(F.lit("rule").alias("style"), F.lit("").alias("ground_truth")).alias("reward_model"), F.struct(F.col("task_id").cast("string").alias("task_id"), F.col("ordinal").alias("index"), F.lit(domain).alias("domain")).alias("extra_info"),
     )
 
