@@ -10,7 +10,7 @@ Equal texts are one node. First each text of a token is compared with a few othe
 with what SimHash proposes; of these candidates each text's likeliest is verified. Then all pairs follow whose ends the
 links found so far do not connect, those candidates among them. What is left out is connected already, so components are
 those of all links. Before texts are fetched, pairs are dropped that can't be similar: a text's bitmap holds the parity of
-its tokens in each of 256 bins, and sets whose bitmaps differ in d bits differ in d tokens or more; what passes meets the
+its tokens in each of 1,024 bins, and sets whose bitmaps differ in d bits differ in d tokens or more; what passes meets the
 texts' wide bitmaps, of as many bins as tokens at least. A pair that shares several tokens is emitted for the first of a run
 of them alone. Texts and shingles are told apart by 64-bit hashes.
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajmill.llm import simhash
-from trajmill.llm.common import partitions, release, slices, written
+from trajmill.llm.common import partitions, release, slices, tidy, written
 from trajmill.llm.simhash import components
 
 SHINGLE = 5
@@ -40,10 +40,9 @@ PARTNERS = 3
 #: Texts looked at for frequent tokens, in how many of them a token is frequent, and how many such tokens are kept.
 _SAMPLE, _OFTEN, _MOST = 20_000, 3, 200_000
 _AT_ONCE, _ROWS = 1 << 18, 1 << 18
-_WORDS = 4  # of 64 bits in a bitmap
+_WORDS, _FEW = 16, 4  # of 64 bits in a bitmap, and in one that is folded for the first look at a pair
 BITMAP = [f"b{i}" for i in range(_WORDS)]
-#: Words of the bitmap that go with a token's rows.
-_LIGHT = 2
+FOLDED = {f"f{i}": " ^ ".join(BITMAP[i::_FEW]) for i in range(_FEW)}
 #: Up to so many names of texts (8 bytes each) are sent to the texts; more are joined.
 _SENT = 1_000_000
 
@@ -80,7 +79,7 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 
 def wide_bitmap(tokens: np.ndarray) -> np.ndarray:
     """bitmap() with a power of two of bins, as many as tokens at least; halves that are added (xor) are that of half the bins."""
-    n = 64 * _WORDS << max(0, (len(tokens) - 1).bit_length() - (64 * _WORDS).bit_length() + 1)
+    n = 64 * _FEW << max(0, (len(tokens) - 1).bit_length() - (64 * _FEW).bit_length() + 1)
     bins = np.bincount((tokens >> np.uint64(16)).astype(np.int64) % n, minlength=n) & 1
     return np.packbits(bins.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -119,6 +118,7 @@ def prepared(docs: DataFrame) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in rows])), pa.int32()), pa.array(np.concatenate(rows))) for rows in (wide, prefixes)]
                 columns = [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *[pa.array(c) for c in np.ascontiguousarray(np.array(maps).T)], *lists]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "size", *BITMAP, "wide", "prefix"])
+        tidy()
 
     return written(docs.mapInArrow(run, f"node bigint, fp bigint, size bigint, {', '.join(f'{b} bigint' for b in BITMAP)}, wide array<bigint>, prefix array<bigint>").dropDuplicates(["node"]))
 
@@ -140,6 +140,7 @@ def _by_token(rows: DataFrame, work: Callable[..., Iterator[pa.RecordBatch]], sc
             held -= cut
         if held:
             yield from work(*[np.concatenate(c) for c in zip(*parts, strict=True)])
+        tidy()
 
     return rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token", "size", "node").mapInArrow(run, schema)
 
@@ -212,14 +213,16 @@ def across(token: np.ndarray, size: np.ndarray, name: np.ndarray, root: np.ndarr
 
 def possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose sizes and bitmaps allow a link, with the bits that differ."""
-    side = lambda end, size, columns: texts.select(F.col("node").alias(end), F.col("size").alias(size), *[F.col(c).alias(f"{end}_{c}") for c in columns]).hint("merge")
+    def side(end: str, size: str, columns: dict[str, str]) -> DataFrame:
+        return texts.select(F.col("node").alias(end), F.col("size").alias(size), *[F.expr(x).alias(f"{end}_{c}") for c, x in columns.items()]).hint("merge")
+
     limit = f"<= {DENOMINATOR - NUMERATOR} * (n + m)"
-    both = pairs.distinct().join(side("a", "n", BITMAP), "a").join(side("b", "m", BITMAP), "b")
-    differ = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in BITMAP)
+    both = pairs.distinct().join(side("a", "n", FOLDED), "a").join(side("b", "m", FOLDED), "b")
+    differ = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in FOLDED)
     near = both.where(f"{DENOMINATOR} * least(n, m) >= {NUMERATOR} * greatest(n, m) and {DENOMINATOR + NUMERATOR} * ({differ}) {limit}").select("a", "b")
     # sizes that allow a link make widths that are equal or twice as large
     half = lambda c: f"transform(sequence(1, size({c}) div 2), i -> {c}[i - 1] ^ {c}[i - 1 + size({c}) div 2])"
-    wide = near.join(side("a", "n", ["wide"]), "a").join(side("b", "m", ["wide"]), "b")
+    wide = near.join(side("a", "n", {"wide": "wide"}), "a").join(side("b", "m", {"wide": "wide"}), "b")
     x, y = f"if(size(a_wide) > size(b_wide), {half('a_wide')}, a_wide)", f"if(size(b_wide) > size(a_wide), {half('b_wide')}, b_wide)"
     wide = wide.withColumn("differ", F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"))
     return wide.where(f"{DENOMINATOR + NUMERATOR} * differ {limit}").select("a", "b", "differ")
@@ -250,6 +253,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     was, sets = b, shingles(y or b"")
                 keep.append(similar(shingles(x or b""), sets))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     links = written(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
     release(pairs, ends, own)
@@ -278,9 +282,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = verified(likeliest(first), docs)
     roots = components(links)
     rows = found.where("kind = 1").select(F.col("a").alias("token"), "size", F.col("b").alias("node"))
-    known = texts.select("node", *BITMAP[:_LIGHT]).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *BITMAP[:_LIGHT])
+    known = texts.select("node", *BITMAP).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *BITMAP)
     rows = rows.join(known.hint("merge"), "node").withColumn("before", F.coalesce(F.lag("token").over(Window.partitionBy("node").orderBy("token")), F.lit(0).cast("long")))
-    rows = rows.select("token", "size", "node", "root", "before", *BITMAP[:_LIGHT])
+    rows = rows.select("token", "size", "node", "root", "before", *BITMAP)
     end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     open_ = first.join(end("a"), "a", "left").join(end("b"), "b", "left").where("coalesce(a_root, a) != coalesce(b_root, b)").select("a", "b")
     more = verified(possible(_by_token(rows, across, schema).select("a", "b").union(open_), texts), docs)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajmill.llm.common import slices
+from trajmill.llm.common import slices, tidy
 
 #: Trigrams are hashed to so many bins; the model has a row of them for each language.
 BINS = 1 << 15
@@ -78,6 +78,7 @@ def count(docs: DataFrame, label: str = "lang") -> dict[str, np.ndarray]:
                     own[lang] += np.bincount(bins, minlength=BINS)
         for lang, n in own.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n.tolist()], pa.list_(pa.int64()))], ["lang", "n"])
+        tidy()
 
     found = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select("text", F.col(label).alias("lang")).mapInArrow(run, "lang string, n array<bigint>")
     sums = found.select("lang", F.posexplode("n").alias("bin", "n")).where("n > 0").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
@@ -162,6 +163,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, text: str, dro
                 sets = pa.array([[(langs[i], p) for i, p in x.items()] for x in found], pa.map_(pa.string(), pa.float64()))
                 kept = [i for i, n in enumerate(batch.schema.names) if n != drop]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pred, score, sets], [*[batch.schema.names[i] for i in kept], "lang_pred", "score", "lang_set"])
+        tidy()
 
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != drop)
     return docs.mapInArrow(run, f"{rest}, lang_pred string, score double, lang_set map<string,double>")
