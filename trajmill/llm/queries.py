@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajmill.llm import bpe, fingerprints, htmltext, kdshards, langid, licenses, maxscore, mixing, ngramtrie, simhash
+from trajmill.llm import bpe, crosstok, filteraudit, fingerprints, htmltext, kdshards, langid, licenses, maxscore, mixing, ngramtrie, simhash, warc
 from trajmill.llm.common import table
 
 
@@ -52,9 +52,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
+def op12_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return crosstok.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_maxscore": maxscore.ORACLE}
+    return {"op2_maxscore": maxscore.ORACLE, "op11_warc": warc.ORACLE, "op12_filteraudit": filteraudit.ORACLE}
