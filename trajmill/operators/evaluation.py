@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajmill.functions.stats import binomial_two_sided, pass_hat
+from trajmill.operators.ranges import ranked_all
+from trajmill.sinks.tables import written
 
 
 def task_rates(df: DataFrame, value: Column, *keys: str) -> DataFrame:
@@ -66,44 +66,106 @@ def split_stats(df: DataFrame, success: Column, label: Column, task: str = "task
 
 #: The generator of the reproducible bootstrap.
 LCG_A, LCG_C, LCG_MASK, LCG_SEED = 1103515245, 12345, 0x7FFFFFFF, 12345
+#: Draws of a row before they are exploded, and numbers of the Mersenne Twister between two of its stored states.
+_DRAWS, _NUMBERS = 64, 1 << 20
 
 
-def bootstrap_interval(df: DataFrame, by: str, order: str, value: str, n: int = 10_000, generator: str = "lcg", seed: int = 0) -> DataFrame:
-    """95 % bootstrap interval of the mean of `value` for each `by`, over its rows sorted by `order`.
+def lcg_after(steps: Column, seed: int = LCG_SEED, then=lambda state: state) -> Column:  # noqa: ANN001
+    """`then` of the congruential generator's state after so many steps (under 2**62): its map is affine, so 2**k steps are one map."""
+
+    def step(acc: Column, bit: Column) -> Column:
+        ahead = (acc["a"] * acc["s"] + acc["c"]).bitwiseAND(F.lit(LCG_MASK))
+        return F.struct(
+            F.when(F.getbit(steps, bit) == 1, ahead).otherwise(acc["s"]).alias("s"),
+            (acc["a"] * acc["a"]).bitwiseAND(F.lit(LCG_MASK)).alias("a"), (acc["a"] * acc["c"] + acc["c"]).bitwiseAND(F.lit(LCG_MASK)).alias("c"),
+        )
+
+    long = lambda x: F.lit(x).cast("bigint")
+    first = F.struct(long(seed).alias("s"), long(LCG_A).alias("a"), long(LCG_C).alias("c"))
+    bits = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(F.bin(steps)) - 1))
+    return F.aggregate(bits, first, step, lambda acc: then(acc["s"]))
+
+
+def _lcg_draws(arms: DataFrame, by: str, n: int) -> DataFrame:
+    """(by, replicate, i) of every draw: rows of _DRAWS draws start at skipped-ahead states, in any task."""
+    a, c, powers = 1, 0, []
+    for _ in range(_DRAWS):  # j steps at once
+        a, c = a * LCG_A & LCG_MASK, (c * LCG_A + LCG_C) & LCG_MASK
+        powers.append((a, c))
+    mul, add = (F.array(*[F.lit(x).cast("bigint") for x in z]) for z in zip(*powers, strict=True))
+    some = arms.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).repartition(by, "replicate")
+    some = some.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1, F.lit(_DRAWS).cast("bigint"))))
+    places = F.sequence(F.lit(1), F.least(F.lit(_DRAWS), (F.col("m") - F.col("__at")).cast("int")))
+    draw = lambda state: F.transform(places, lambda j: F.pmod((F.element_at(mul, j) * state + F.element_at(add, j)).bitwiseAND(F.lit(LCG_MASK)), F.col("m")))
+    return some.select(by, "replicate", F.explode(lcg_after(F.col("replicate") * F.col("m") + F.col("__at"), LCG_SEED, draw)).alias("i"))
+
+
+def _twister(state: tuple | bytes):  # noqa: ANN202
+    """numpy's Mersenne Twister at a state: Python's (a tuple), or 624 words and the place as 32-bit numbers."""
+    import numpy as np
+
+    words = np.frombuffer(state, np.uint32) if isinstance(state, bytes) else np.array(state, np.uint32)
+    bits = np.random.MT19937()
+    bits.state = {"bit_generator": "MT19937", "state": {"key": words[:624], "pos": int(words[624])}}
+    return bits
 
-    `lcg` draws by a 31-bit congruential generator, `mt` by Python's; both reproduce the sequential draws exactly.
-    """
 
-    def run(pdf):  # noqa: ANN001, ANN202
+def _twister_draws(arms: DataFrame, by: str, n: int, seed: int) -> DataFrame:
+    """(by, replicate, i) as Python's randrange(m) draws them, one after the other. A number is used if its first bits are below m,
+    so where a draw begins is known only to one pass over the generator, which keeps its states; a second pass draws from them in
+    any task."""
+    kind = dict(arms.dtypes)[by]
+
+    def states(batches):  # noqa: ANN001, ANN202
         import random
 
         import numpy as np
-        import pandas as pd
-
-        xs = pdf.sort_values(order, kind="stable")[value].to_numpy()
-        m = len(xs)
-        if generator == "mt":
-            rng = random.Random(seed)
-            means = sorted(sum(xs[rng.randrange(m)] for _ in range(m)) / m for _ in range(n))
-        else:
-            a, c, powers = 1, 0, []
-            for _ in range(m):  # x[i + k] = a_k x[i] + c_k
-                a, c = a * LCG_A & LCG_MASK, (c * LCG_A + LCG_C) & LCG_MASK
-                powers.append((a, c))
-            mul, add = (np.array(z, np.uint64) for z in zip(*powers, strict=True))
-            state, means = np.uint64(LCG_SEED), []
-            for _ in range(n):
-                draws = (mul * state + add) & np.uint64(LCG_MASK)
-                state = draws[-1]
-                means.append(xs[(draws % np.uint64(m)).astype(np.int64)].sum() / m)
-            means.sort()
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [m], "low": [means[int(0.025 * n)]], "high": [means[int(0.975 * n)]]})
-
-    return df.select(by, order, value).groupBy(by).applyInPandas(run, f"{by} {dict(df.dtypes)[by]}, n bigint, low double, high double")
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                m, before, bits = row["m"], 0, _twister(random.Random(seed).getstate()[1])
+                shift = np.uint64(32 - m.bit_length())
+                while before < n * m:
+                    at = bits.state["state"]
+                    state = np.append(at["key"], np.uint32(at["pos"])).astype(np.uint32).tobytes()
+                    used = int(np.count_nonzero(bits.random_raw(_NUMBERS) >> shift < m))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([batch.column(0).to_pylist().index(row[by])])), pa.array([m], pa.int64()), pa.array([before], pa.int64()), pa.array([state], pa.binary())], [by, "m", "before", "state"])
+                    before += used
+
+    def draws(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k, row in enumerate(batch.to_pylist()):
+                m, total = row["m"], n * row["m"]
+                i = _twister(row["state"]).random_raw(_NUMBERS) >> np.uint64(32 - m.bit_length())
+                i = i[i < m][: total - row["before"]].astype(np.int64)
+                at = row["before"] + np.arange(len(i))
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(i)), pa.array(at // m), pa.array(i)], [by, "replicate", "i"])
+
+    kept = written(arms.mapInArrow(states, f"{by} {kind}, m bigint, before bigint, state binary"))
+    return kept.repartition(by, "before").mapInArrow(draws, f"{by} {kind}, replicate bigint, i bigint")
+
+
+def bootstrap_interval(df: DataFrame, by: str, order: str, value: str, n: int = 10_000, generator: str = "lcg", seed: int = 0) -> DataFrame:
+    """95 % bootstrap interval of the mean of `value` for each `by`, over its rows sorted by `order`: (by, n, low, high).
+
+    `lcg` draws by a 31-bit congruential generator, `mt` by Python's (with `seed`); both give the draws of one generator that is run
+    from replicate to replicate, but in many tasks. The draws meet the values in a join and are summed a replicate.
+    """
+    rows = ranked_all(df.select(by, order, value), [by, order, value], "__n")
+    arms = written(rows.groupBy(by).agg(F.count("*").alias("m"), F.min("__n").alias("__first")))
+    values = rows.join(arms, by).select(by, (F.col("__n") - F.col("__first")).alias("i"), F.col(value).cast("double").alias("__v"))
+    pairs = arms.select(by, "m")
+    drawn = _lcg_draws(pairs, by, n) if generator == "lcg" else _twister_draws(pairs, by, n, seed)
+    means = drawn.join(values, [by, "i"]).groupBy(by, "replicate").agg(F.avg("__v").alias("mean"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("mean")) - 1  # n rows
+    ends = means.withColumn("__at", place).groupBy(by).agg(*[F.max(F.when(F.col("__at") == int(q * n), F.col("mean"))).alias(c) for c, q in (("low", 0.025), ("high", 0.975))])
+    return ends.join(pairs, by).select(by, F.col("m").alias("n"), "low", "high")
 
 
 def numeric_order(task: str = "task_id") -> list[Column]:
     """Ids that are integers by value, the others after 10**9 by text."""
     return [F.coalesce(F.col(task).try_cast("bigint"), F.lit(1_000_000_000)), F.col(task)]
-
-

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajmill.functions.text import terms
+from trajmill.operators import postings as postings_index
 
 
 def postings(corpus: DataFrame, doc: str, text: str, only: DataFrame | None = None) -> DataFrame:
@@ -31,38 +32,11 @@ def term_statistics(corpus: DataFrame, text: str) -> DataFrame:
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, doc: str, text: str, query: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query, rank, doc, score): the k best documents with a score above 0; of equal scores the larger doc comes first.
-
-    Terms of a query count as often as they occur in it. A document's terms become (term, tf) pairs in its own row, of the words
-    that some query has, and go once to their term, where their number is counted and they meet the queries; the contributions
-    are summed before they are ranked, so what is shuffled then is one row a (query, document) with a common term.
-    """
-    n, avgdl = corpus_statistics(corpus, text).first()
-    asked = queries.select(F.col(query).alias("query"), F.explode(terms(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    words = asked.select("term").distinct()
-    long = corpus.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("__t")).select("doc", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
-    posts = long.join(words, "term", "left_semi").groupBy("term", "doc").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / (avgdl or 1.0))
-    weighed = posts.join(df, "term").select("term", "doc", (idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
-    scored = asked.join(weighed, "term").groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("times")).alias("score")).where("score > 0")
-    order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), F.desc("doc"))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "doc", "score")
-
-
-def contained(corpus: DataFrame, golds: DataFrame, doc: str, text: str, gold: str, gold_text: str) -> DataFrame:
-    """(doc, gold): which gold texts (normalised, blank ones never) lie in which texts. A gold is looked for only in texts that hold
-    all of one of its words, the longest but for the first and last, which in the text may be parts of longer words; golds of
-    up to two words are looked for in every text."""
-    golds = golds.where(F.col(gold_text) != "").withColumn("__w", F.split(gold_text, " "))
-    inner = F.slice("__w", F.lit(2), F.greatest(F.size("__w") - 2, F.lit(0)))
-    probe = F.array_sort(inner, lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0))
-    golds = golds.withColumn("__probe", F.get(probe, F.lit(0))).select(gold, gold_text, "__probe")
-    words = corpus.select(doc, text, F.explode(F.array_distinct(F.split(text, " "))).alias("__probe"))
-    long = words.join(golds.where("__probe is not null"), "__probe").where(F.contains(F.col(text), F.col(gold_text))).select(doc, gold)
-    short = corpus.join(golds.where("__probe is null").select(gold, gold_text), F.contains(F.col(text), F.col(gold_text))).select(doc, gold)
-    return long.unionByName(short)
+    """(query, rank, doc, score): the k best documents with a score above 0; of equal scores the larger doc comes first. The corpus is
+    tokenised once, and the postings of the queries' terms are an index (see `postings`) that the search prunes by bounds."""
+    asked = queries.select(F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term")).distinct()
+    index = postings_index.build(corpus, doc, text, only=asked, k1=k1, b=b)
+    return postings_index.search(index, queries, query, query_text, k).select("query", "rank", "doc", "score")
 
 
 def first_by_prefix(corpus: DataFrame, order: str, text: str, chars: int = 200) -> DataFrame:

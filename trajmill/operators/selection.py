@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajmill.operators.ranges import ranked_all, sum_before
+
 
 def ranked(df: DataFrame, keys: list, order: list, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -68,10 +70,6 @@ def preference_pairs(df: DataFrame, task: str, success: Column, order_success: l
     return best.join(named(worst, "rejected"), task)
 
 
-#: Ranges of a key into which ungrouped windows are dealt, so that no task has all rows.
-RANGES = 4096
-
-
 def _ranged(df: DataFrame, order: list, bucket: Column, value: Column, name: str) -> DataFrame:
     """df with the sum of `value` over all rows before in `order`, whose first key `bucket` follows: sums of buckets, which are as
     many as RANGES at most, and a window inside each."""
@@ -97,10 +95,9 @@ def stable_sample(df: DataFrame, id_col: str, ratio: float, seed: int, group: li
 def greedy_tasks(df: DataFrame, task: str, tokens: str, ratio: float, least: int) -> DataFrame:
     """Tasks by falling maximum of tokens (ties: by id) until their rows reach max(least, round(rows * ratio))."""
     tasks = df.groupBy(task).agg(F.max(tokens).alias("most"), F.count("*").alias("n"))
-    want = tasks.agg(F.greatest(F.lit(least), F.bround(F.sum("n") * F.lit(ratio), 0)).alias("want"), F.max("most").alias("__high"), F.min("most").alias("__low"))
+    want = tasks.agg(F.greatest(F.lit(least), F.bround(F.sum("n") * F.lit(ratio), 0)).alias("want"))
     both = tasks.join(F.broadcast(want))  # one row
-    bucket = F.when(F.col("__high") == F.col("__low"), 0).otherwise(F.floor((F.col("__high") - F.col("most")) / (F.col("__high") - F.col("__low")) * (RANGES - 1))).cast("int")
-    return _ranged(both, [F.desc("most"), task], bucket, F.col("n"), "before").where("before < want").select(task)
+    return sum_before(both, [F.desc("most"), task], "n", "before").where("before < want").select(task)
 
 
 def copies(df: DataFrame, id_col: str, n: int, label: str = "repeat") -> DataFrame:
@@ -113,7 +110,4 @@ def length_batches(df: DataFrame, length: str, tie: str, size: int, group: list
     """Batches of `size` rows by length, within each group."""
     if group:
         return ranked(df, group, [length, tie], "__n").withColumn("batch", F.floor((F.col("__n") - 1) / size)).drop("__n")
-    ends = df.agg(F.max(length).alias("__high"), F.min(length).alias("__low"))
-    bucket = F.when(F.col("__high") == F.col("__low"), 0).otherwise(F.floor((F.col(length) - F.col("__low")) / (F.col("__high") - F.col("__low")) * (RANGES - 1))).cast("int")
-    out = _ranged(df.join(F.broadcast(ends)), [length, tie], F.coalesce(bucket, F.lit(-1)), F.lit(1), "__n")
-    return out.withColumn("batch", F.floor(F.col("__n") / size)).drop("__n", "__high", "__low")
+    return ranked_all(df, [length, tie], "__n").withColumn("batch", F.floor(F.col("__n") / size)).drop("__n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trajmill.operators import agent_loop
 from trajmill.operators import datasets as ds
 from trajmill.operators import trajectory as tr
 from trajmill.plans.registry import query
@@ -142,3 +143,26 @@ def interval_overlap_tokens(spark, d):
     df = read(spark, d, "conversations").select("conv_id", tr.offsets(n, "conv_id", "turn").alias("s"), n.alias("len"))
     spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((100, 200), (500, 600))])
     return df.groupBy("conv_id").agg(F.count_if(ds.overlaps(F.col("s"), F.col("s") + F.col("len"), spans)).alias("hits"))
+
+
+_CAPS = agent_loop.Caps(response=1500, assistant_turns=20, user_turns=12, errors=6)
+
+
+@query("agent_loop_states", f"""WITH RECURSIVE {STEPS}, k AS (SELECT *, CAST(json_extract_string(args, '$.k') AS INTEGER) AS k, idx % 2 = 0 AND tool <> 'signup' AS calls FROM steps),
+e AS (SELECT traj, idx, CASE WHEN k = 7 THEN NULL WHEN idx % 2 = 0 THEN 'assistant' WHEN lag(calls) OVER w THEN 'tool' ELSE 'user' END AS kind, calls, k < 10 AS stop, k AS tokens, CAST(tool = 'error' AS INTEGER) AS errors FROM k {_W}),
+f AS (SELECT DISTINCT traj, CAST(-1 AS BIGINT) AS idx, 'pending' AS state, 'max_steps' AS termination, 0 AS n_a, 0 AS n_u, 0 AS n_e, 0 AS n_r, 0 AS n_t FROM e
+UNION ALL SELECT traj, idx, CASE WHEN a THEN CASE WHEN full_ OR n_a + 1 >= {_CAPS.assistant_turns} THEN 'terminated' WHEN calls THEN 'processing_tools' ELSE 'processing_user' END
+ WHEN t THEN CASE WHEN full_ OR n_e + errors >= {_CAPS.errors} THEN 'terminated' ELSE 'generating' END WHEN u THEN CASE WHEN stop OR full_ OR n_u + 1 >= {_CAPS.user_turns} THEN 'terminated' ELSE 'generating' END ELSE 'terminated' END,
+ CASE WHEN u AND stop THEN 'user_stop' WHEN t AND NOT full_ AND n_e + errors >= {_CAPS.errors} THEN 'too_many_errors' ELSE 'max_steps' END,
+ n_a + CAST(a AS INTEGER), n_u + CAST(u AND NOT stop AND NOT full_ AS INTEGER), n_e + CASE WHEN t THEN errors ELSE 0 END, n_r + CASE WHEN a OR (t AND NOT full_) OR (u AND NOT stop AND NOT full_) THEN tokens ELSE 0 END, n_t + CASE WHEN a THEN tokens ELSE 0 END
+ FROM (SELECT f.traj, e.idx, e.calls, e.stop, e.tokens, e.errors, f.n_a, f.n_u, f.n_e, f.n_r, f.n_t, coalesce(e.kind = 'assistant', false) AND f.state IN ('pending', 'generating') AS a, coalesce(e.kind = 'tool', false) AND f.state = 'processing_tools' AS t,
+  coalesce(e.kind = 'user', false) AND f.state = 'processing_user' AS u, f.n_r + e.tokens >= {_CAPS.response} AS full_ FROM f JOIN e ON e.traj = f.traj AND e.idx = f.idx + 1 WHERE f.state <> 'terminated'))
+SELECT traj, arg_max(state, idx) AS state, arg_max(termination, idx) AS termination, max(idx) + 1 AS events, CAST(max(n_a) AS BIGINT) AS assistant_turns, CAST(max(n_u) AS BIGINT) AS user_turns, CAST(max(n_e) AS BIGINT) AS errors, CAST(max(n_r) AS BIGINT) AS response_length, CAST(max(n_t) AS BIGINT) AS trained_tokens FROM f GROUP BY 1""")
+def agent_loop_states(spark, d):
+    """Events as turns: an assistant's and a reply to it by turns, from the tools if it called some; the state each trajectory is left in."""
+    k = F.get_json_object("args", "$.k").cast("int")
+    s = steps(spark, d).withColumns({"k": k, "calls": (F.col("idx") % 2 == 0) & (F.col("tool") != "signup")})
+    before = F.lag("calls").over(Window.partitionBy("traj").orderBy("idx"))
+    kind = F.when(F.col("k") == 7, None).when(F.col("idx") % 2 == 0, "assistant").when(before, "tool").otherwise("user")
+    turns = s.select("traj", "idx", kind.alias("kind"), "calls", (F.col("k") < 10).alias("stop"), F.col("k").alias("tokens"), (F.col("tool") == "error").cast("int").alias("errors"))
+    return agent_loop.fold(turns, "traj", "idx", _CAPS)
