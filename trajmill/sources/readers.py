@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trajmill.sources import documents
+
 TOOL_CALL = "struct<id:string,type:string,name:string,arguments:string,function:struct<name:string,arguments:string>>"
 MESSAGE = f"struct<role:string,content:string,tool_calls:array<{TOOL_CALL}>,id:string,tool_call_id:string,name:string,error:boolean,turn_idx:int>"
 ROLLOUT = f"task_id string, trial int, reward double, messages array<{MESSAGE}>, gold array<string>"
@@ -17,6 +19,10 @@ RUN = f"info struct<num_trials:int,environment_info:struct<domain_name:string>,a
 MANIFEST = "timestamp string, task_id string, trial int, seed int, status string, exit_code string, duration_seconds double, save_to string, stdout string, stderr string"
 
 
+def _kind() -> T.StructType:
+    return T.StructType.fromDDL(f"s {SIMULATION}")["s"].dataType
+
+
 def with_origin(df: DataFrame) -> DataFrame:
     return df.withColumn("file_path", F.col("_metadata.file_path"))
 
@@ -57,12 +63,8 @@ def _line_number(spark: SparkSession, file: str, line: str) -> int | None:
 
 def any_run(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The simulations of files that hold a results object or a bare list of simulations, with file_path and position."""
-    kind = T.StructType.fromDDL(f"s {SIMULATION}")["s"].dataType
-    text = with_origin(spark.read.text(paths, wholetext=True))
-    listed = F.from_json("value", T.ArrayType(kind))
-    inner = F.from_json("value", T.StructType.fromDDL(f"simulations array<{SIMULATION}>"))["simulations"]
-    rows = F.when(F.startswith(F.ltrim("value"), F.lit("[")), listed).otherwise(inner)
-    return text.select("file_path", F.posexplode(rows).alias("position", "s")).select("file_path", "position", "s.*")
+    found = documents.elements(spark, paths, "simulations", bare=True)
+    return found.select("file_path", F.col("ordinal").alias("position"), F.from_json("value", _kind()).alias("s")).select("file_path", "position", "s.*")
 
 
 def qa_items(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
@@ -95,9 +97,9 @@ def named_paths(specs: list[str]) -> list[tuple[str, str]]:
 def run_document(spark: SparkSession, path: str, folder: str | None = None, inline_first: bool = False) -> DataFrame:
     """The simulations of a results file, a row each. Files of `folder` replace those in the file, or (inline_first) stand in
     where it holds none; neither is an error."""
-    inline = spark.read.schema(RUN).json(path, multiLine=True).select(F.posexplode_outer("simulations").alias("ordinal", "s")).where("s is not null").select("ordinal", "s.*")
+    inline = documents.elements(spark, path, "simulations").select(F.col("ordinal").cast("int").alias("ordinal"), F.from_json("value", _kind()).alias("s")).where("s is not null").select("ordinal", "s.*")
     if folder is not None and (not inline_first or inline.isEmpty()):
-        kind = T.StructType.fromDDL(f"s {SIMULATION}")["s"].dataType
+        kind = _kind()
         files = with_origin(spark.read.schema(kind).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder))
         order = F.row_number().over(Window.orderBy("file_path")) - 1  # as many rows as one run has simulations
         inline = files.withColumn("ordinal", order).select("ordinal", *[f.name for f in kind])
@@ -108,10 +110,10 @@ def run_document(spark: SparkSession, path: str, folder: str | None = None, inli
 
 def shard_documents(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """The simulations of every results.json below root whose folder's name starts with prefix, in order of path."""
-    df = with_origin(spark.read.schema(RUN).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "results.json").json(root))
+    df = documents.elements(spark, root, "simulations", recursiveFileLookup="true", pathGlobFilter="results.json")
     shard = F.element_at(F.split("file_path", "/"), -2)
     df = df.withColumn("shard", shard).where(F.startswith(F.col("shard"), F.lit(prefix)))
-    return df.select("file_path", "shard", F.posexplode("simulations").alias("position", "s")).select("file_path", "shard", "position", "s.*")
+    return df.select("file_path", "shard", F.col("ordinal").alias("position"), F.from_json("value", _kind()).alias("s")).select("file_path", "shard", "position", "s.*")
 
 
 def shard_task(shard: Column) -> Column:
