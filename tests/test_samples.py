@@ -4,10 +4,11 @@ import json
 import os
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from trajmill.functions import rewards
-from trajmill.operators import campaigns, losses, recovery, rendering, runs, trajectory, validation
+from trajmill.operators import campaigns, guards, losses, recovery, rendering, runs, trajectory, validation
 from trajmill.sinks import writers
 from trajmill.sources import readers
 
@@ -78,8 +79,8 @@ def test_datasets(spark):
     rows = spark.createDataFrame([("1", "train"), ("1", "valid"), ("2", "train"), ("2", "heldout"), ("3", "valid")], "task string, split string")
     got = validation.leak_errors(rows, "task", "split", {"a": (["train"], ["valid"]), "b": (["train", "valid"], ["heldout"]), "c": (["x"], ["y"])}).collect()
     assert {r.error: r.tasks for r in got} == {"a": ["1"], "b": ["2"]}
-    with pytest.raises(ValueError, match="same"):
-        validation.require_unique(df, "key")
+    with pytest.raises(PySparkException, match="same"):
+        guards.require_unique(df, "key").collect()
 
 
 def test_outcomes_and_runs(spark):
@@ -114,8 +115,8 @@ def test_balance(spark):
     assert {r.id for r in got} == {r.id for r in runs.balanced(df.repartition(3), 3, 0.5, 11).collect()}
     with pytest.raises(ValueError):
         runs.balanced(df, 0, 0.5, 11)
-    with pytest.raises(ValueError, match="repeated"):
-        runs.balanced(df.union(df.where("id = 't'")), 1, 0.5, 11)
+    with pytest.raises(PySparkException, match="repeated"):
+        runs.balanced(df.union(df.where("id = 't'")), 1, 0.5, 11).collect()
     ids = spark.createDataFrame([("a/x/x",)], "i string").select(runs.repeat_id(F.col("i"), "x", F.lit("yy")).alias("i"))
     assert ids.first().i == "a/yy/x"
 
@@ -123,8 +124,8 @@ def test_balance(spark):
 def test_selection(spark):
     df = spark.createDataFrame([("a", 3), ("b", 1), ("c", 1), ("d", 9)], "id string, n int")
     assert [r.id for r in runs.shortest_first(df, "n", "id", 2).collect()] == ["b", "c"]
-    with pytest.raises(ValueError, match="zz"):
-        runs.shortest_first(df, "n", "id", 2, spark.createDataFrame([("zz",)], "id string"))
+    with pytest.raises(PySparkException, match="zz"):
+        runs.shortest_first(df, "n", "id", 2, spark.createDataFrame([("zz",)], "id string")).collect()
     assert [r.id for r in runs.shuffled_first(df, "id", 4, 5).collect()] == [r.id for r in runs.shuffled_first(df.repartition(2), "id", 4, 5).collect()]
     assert [r.split for r in runs.three_way(df.withColumn("ok", F.col("n") < 9), df.where("id = 'b'"), "ok", "id").orderBy("id").collect()] == ["train", "valid", "train", "heldout"]
     stats = spark.createDataFrame([("a", 7), ("b", 0)], "id string, tokens int")
@@ -138,8 +139,8 @@ def test_losses(spark):
     nan = float("nan")
     batches = spark.createDataFrame([(0, nan), (1, 2.0), (2, 4.0), (3, 9.0)], "i int, loss double")
     assert losses.finite_mean(batches, "i", "loss", 3).first().loss == 3.0 and str(losses.finite_mean(batches, "i", "loss", 1).first().loss) == "nan"
-    with pytest.raises(ValueError, match="2"):
-        losses.row_deltas(rows.where("id = 1"), rows)
+    with pytest.raises(PySparkException, match="base: 2"):
+        losses.row_deltas(rows.where("id = 1"), rows).collect()
     tokens = spark.createDataFrame([("r", i, -1.0, -2.0, 1 if i else 0, 2.0) for i in range(5)] + [("s", 0, -1.0, -1.0, 0, 1.0)], "r string, i int, logp double, ref_logp double, mask int, adv double")
     out = losses.policy_loss(tokens, "r", "i", "adv", length_aware=True).collect()
     assert len(out) == 1 and abs(out[0].loss - 4.0) < 1e-9

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajmill.operators.guards import require
+
 IGNORED = -100
 LARGEST, KL_CLAMP = 20.0, 10.0
 
@@ -45,11 +47,9 @@ def loss_changes(summaries: DataFrame, model: str, base: str, split: str = "spli
 
 def row_deltas(base: DataFrame, other: DataFrame, id_col: str = "id", loss: str = "loss") -> DataFrame:
     """(id, base_loss, loss, delta) of the other's rows, by rising delta; a row that the base lacks is an error."""
-    lost = other.select(id_col).join(base.select(id_col), id_col, "left_anti").orderBy(id_col).limit(10).collect()
-    if lost:
-        raise ValueError("rows without a base: " + ", ".join(str(r[0]) for r in lost))
-    b = base.select(id_col, F.col(loss).alias("base_loss"))
-    return other.join(b, id_col).select(id_col, "base_loss", F.col(loss).alias("loss"), (F.col(loss) - F.col("base_loss")).alias("delta")).orderBy("delta", id_col)
+    b = base.select(id_col, F.col(loss).alias("base_loss"), F.lit(True).alias("__there"))
+    both = require(other.join(b, id_col, "left"), F.col("__there"), F.concat(F.lit("a row without a base: "), F.col(id_col).cast("string")))
+    return both.select(id_col, "base_loss", F.col(loss).alias("loss"), (F.col(loss) - F.col("base_loss")).alias("delta")).orderBy("delta", id_col)
 
 
 def policy_loss(tokens: DataFrame, rollout: str, idx: str, advantage: str, length_aware: bool = False, discount: float = 0.0, beta: float = 0.0) -> DataFrame:

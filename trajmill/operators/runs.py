@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trajmill.operators import groups
 from trajmill.operators.selection import stable_sample
-from trajmill.operators.validation import require_unique
+from trajmill.operators.guards import require_all, require_unique
 
 # Fixed value: the tools that write.
 WRITE_TOOLS = ("book_reservation", "cancel_reservation", "send_certificate", "update_reservation_baggages", "update_reservation_flights", "update_reservation_passengers")
@@ -166,7 +166,7 @@ def balanced(rows: DataFrame, text_repeat: int, keep_ratio: float, seed: int, id
     out = rest.unionByName(protocol_rows).withColumn("original_id", F.col(id_col))
     out = out.withColumn(id_col, F.when(F.col("repeat_index") > 0, F.concat(F.col(id_col).cast("string"), F.lit("__text_repeat"), F.col("repeat_index").cast("string"))).otherwise(F.col(id_col).cast("string")))
     if check:
-        require_unique(out.where("balance_role != 'protocol_tool_downsampled'"), id_col)
+        out = require_unique(out, id_col, F.col("balance_role") != "protocol_tool_downsampled")
     return out
 
 
@@ -221,10 +221,7 @@ def of_tasks(df: DataFrame, tasks: list[str], task: str = "task_id") -> DataFram
 def shortest_first(df: DataFrame, length: str, id_col: str, n: int, ids: DataFrame | None = None) -> DataFrame:
     """The n shortest rows, ties by id; of `ids`, if given, all of which must be there."""
     if ids is not None:
-        missing = ids.select(id_col).join(df.select(id_col), id_col, "left_anti").orderBy(id_col).limit(10).collect()
-        if missing:
-            raise ValueError("missing ids: " + ", ".join(str(r[0]) for r in missing))
-        df = df.join(ids.select(id_col), id_col, "left_semi")
+        df = require_all(ids, df, id_col, "missing id")
     return df.orderBy(length, id_col).limit(n)
 
 

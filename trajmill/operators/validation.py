@@ -72,11 +72,3 @@ def leak_errors(df: DataFrame, task: str, split: str, pairs: dict[str, tuple[lis
     has = lambda names: F.exists("splits", lambda s: s.isin(*names))
     parts = [leaks.where(has(a) & has(b)).agg(F.array_sort(F.collect_list("task")).alias("tasks")).where(F.size("tasks") > 0).select(F.lit(k).alias("error"), "tasks") for k, (a, b) in pairs.items()]
     return reduce(DataFrame.union, parts)
-
-
-def require_unique(df: DataFrame, id_col: str) -> DataFrame:
-    """df, if its ids are; else an error that names up to ten."""
-    bad = [str(r[0]) for r in df.groupBy(id_col).count().where("count > 1").orderBy(id_col).limit(10).collect()]
-    if bad:
-        raise ValueError("repeated ids: " + ", ".join(bad))
-    return df

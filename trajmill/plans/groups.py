@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from trajmill.operators import evaluation as ev
 from trajmill.operators import groups as g
+from trajmill.operators import guards, plugins
 from trajmill.plans.registry import query
-from trajmill.plans.surrogates import ROLLOUTS, rollouts
+from trajmill.plans.surrogates import ROLLOUTS, read, rollouts
 
 _TAIL = """CASE WHEN {a} + {b} = 0 THEN 1e0 ELSE least(1e0, 2e0 * (SELECT sum(exp(lgamma({a} + {b} + 1) - lgamma(k + 1) - lgamma({a} + {b} - k + 1) - ({a} + {b}) * ln(2e0))) FROM range(0, least({a}, {b}) + 1) t(k))) END"""
 _ARMS = f"WITH {ROLLOUTS}, r AS (SELECT arm, task_id, avg(reward) AS rate FROM rollouts GROUP BY ALL), b AS (SELECT * FROM r WHERE arm = 'base'), c AS (SELECT * FROM r WHERE arm = 'cand')"
@@ -167,3 +168,56 @@ SELECT b.batch, b.task_id, b.ordinal FROM b JOIN t ON b.batch = t.batch AND b.ta
 def accumulate_live_groups(spark, d):
     df = rollouts(spark, d).withColumn("batch", F.expr("ordinal div 1000"))
     return g.accumulate_live(df, "batch", "task_id", "ordinal", "reward", 100).select("batch", "task_id", "ordinal")
+
+
+def _gated(values, outcomes):  # noqa: ANN001, ANN202
+    """A user's estimator: the deviation from the mean in sample deviations, where outcomes differ."""
+    import numpy as np
+
+    x, o = values.to_numpy(zero_copy_only=False), outcomes.to_numpy(zero_copy_only=False)
+    if len(x) < 2 or o.min() == o.max():
+        return np.zeros(len(x))
+    return (x - x.mean()) / (x.std(ddof=1) + 1e-6)
+
+
+@query("registered_estimator", f"""WITH {ROLLOUTS} SELECT ordinal, round(CASE WHEN {_LIVE} THEN (shaped - avg(shaped) OVER w) / (stddev_samp(shaped) OVER w + 1e-6) ELSE 0e0 END, 6) AS advantage,
+round(CASE WHEN {_LIVE} THEN greatest(-3e0, least(3e0, (shaped - avg(shaped) OVER w) / (stddev_pop(shaped) OVER w + 0.25))) ELSE 0e0 END, 6) AS population FROM rollouts WINDOW w AS (PARTITION BY task_id)""")
+def registered_estimator(spark, d):
+    """A user's estimator over Arrow arrays, then a built-in one, both by name."""
+    if "users_gated" not in plugins.ESTIMATORS:
+        plugins.register_estimator("users_gated", arrow=_gated)
+    df = plugins.advantages(rollouts(spark, d), "users_gated", "task_id", "shaped", "reward").withColumnRenamed("advantage", "own")
+    df = plugins.advantages(df, "population_gated", "task_id", "shaped", "reward")
+    return df.select("ordinal", F.round("own", 6).alias("advantage"), F.round("advantage", 6).alias("population"))
+
+
+@query("gated_mean", f"""WITH {ROLLOUTS}, l AS (SELECT *, {_LIVE} AS live FROM rollouts WINDOW w AS (PARTITION BY task_id))
+SELECT arm, count(*) AS n, round(avg(shaped), 6) AS mean FROM l WHERE live GROUP BY arm""")
+def gated_mean(spark, d):
+    """The filter that goes before an aggregate and refuses rows without an outcome."""
+    live = guards.live_rows_only(rollouts(spark, d), "task_id", "reward")
+    return live.groupBy("arm").agg(F.count("*").alias("n"), F.round(F.avg("shaped"), 6).alias("mean"))
+
+
+def _letters(texts, golds):  # noqa: ANN001, ANN202
+    """A user's reward: the share of the gold's letter in a text."""
+    import pyarrow.compute as pc
+
+    n = pc.utf8_length(texts)
+    found = pc.subtract(n, pc.utf8_length(pc.replace_substring(texts, "e", "")))
+    return pc.if_else(pc.equal(n, 0), 0.0, pc.divide(pc.cast(found, "float64"), pc.cast(n, "float64")))
+
+
+@query("registered_reward", """SELECT doc_id, round(CASE doc_id % 4 WHEN 0 THEN 1e0 WHEN 1 THEN CASE WHEN doc_id % 3 = 0 THEN 1e0 ELSE 0e0 END WHEN 2 THEN CASE WHEN doc_id % 3 = 0 THEN 1e0 ELSE 0e0 END
+ELSE CASE WHEN length(coalesce(text, '')) = 0 THEN 0e0 ELSE (length(text) - length(replace(text, 'e', ''))) / length(text) END END, 6) AS reward FROM documents""")
+def registered_reward(spark, d):
+    """Each document's reward by the one that its row names: two of the library's over answers, and a user's over Arrow arrays."""
+    if "users_letter" not in plugins.REWARDS:
+        plugins.register_reward("users_letter", arrow=_letters)
+    n, i = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    right = F.when(F.col("doc_id") % 3 == 0, n).otherwise(F.concat(n, F.lit("1")))
+    said = F.when(i == 0, F.concat(F.lit("<answer> The "), n, F.lit(" of them!</answer>"))).when(i == 1, F.concat(F.lit("the total is "), right)).when(i == 2, F.concat(F.lit("so #### "), right)).otherwise(F.coalesce("text", F.lit("")))
+    gold = F.when(i == 0, F.concat(n, F.lit(" of them"))).otherwise(n)
+    named = F.element_at(F.array(*map(F.lit, ("exact_match", "number", "marked_number", "users_letter"))), (i + 1).cast("int"))
+    docs = read(spark, d, "documents").select("doc_id", named.alias("by"), said.alias("said"), gold.alias("gold"))
+    return plugins.scored(docs, "by", "said", "gold", ["exact_match", "number", "marked_number", "users_letter"]).select("doc_id", F.round("reward", 6).alias("reward"))

@@ -8,6 +8,7 @@ from trajmill.functions import generated, rewards, text
 from trajmill.operators import components as co
 from trajmill.operators import grounding, losses, recovery, runs, validation
 from trajmill.operators import rendering as rd
+from trajmill.plans.corpus import _NORM
 from trajmill.plans.registry import query
 from trajmill.plans.surrogates import AGENT_STEPS, SIMULATIONS, agent_conversations, agent_steps, read, simulations
 
@@ -402,13 +403,21 @@ def placeholders(spark, d):
     return agent_steps(spark, d).select("call_id", rewards.has_placeholder(F.create_map(field, value)).alias("placeholder"))
 
 
-@query("alias_rewards", """SELECT item_id, 1e0 AS em, 1e0 AS f1, 1e0 AS half, 0e0 AS none FROM benchmark""")
+@query("alias_rewards", f"""WITH b AS (SELECT item_id, list_filter(string_split({_NORM}, ' '), lambda w: w <> '') AS t FROM benchmark),
+g AS (SELECT item_id, t AS p, t[1:len(t) // 2] AS g FROM b UNION ALL SELECT x.item_id, x.t, y.t FROM b x JOIN b y ON y.item_id = x.item_id + 1 UNION ALL SELECT item_id, t, t FROM b WHERE item_id % 3 = 0),
+o AS (SELECT item_id, p, g, list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda v: v = w)), len(list_filter(g, lambda v: v = w))))) AS k FROM g WHERE len(g) > 0),
+s AS (SELECT item_id, max(CASE WHEN p = g THEN 1e0 ELSE 0e0 END) AS em, max(CASE WHEN len(p) = 0 OR k = 0 THEN 0e0 ELSE 2 * (k / len(p)) * (k / len(g)) / (k / len(p) + k / len(g)) END) AS f1 FROM o GROUP BY 1)
+SELECT item_id, em, round(f1, 6) AS f1, round(CASE WHEN em > 0 THEN em ELSE f1 / 2 END, 6) AS half, 0e0 AS none FROM s""")
 def alias_rewards(spark, d):
-    """A benchmark text against itself with an article and a mark, among wrong and blank aliases."""
+    """A benchmark text against the first half of itself, the next text, and for a third of them itself with an article and a mark, among
+    blank aliases."""
     b = read(spark, d, "benchmark").select("item_id", F.regexp_replace("text", r"\s+", " ").alias("t"))
-    golds = F.array(F.lit("something else"), F.lit(None).cast("string"), F.lit("  "), F.concat(F.lit("The "), F.col("t"), F.lit("!")))
+    words = text.tokens_of(text.normalized(F.col("t")))
+    following = b.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("next"))
+    b = b.join(following, "item_id", "left")
+    golds = F.array(F.array_join(F.slice(words, F.lit(1), F.floor(F.size(words) / 2).cast("int")), " "), F.col("next"), F.lit(None).cast("string"), F.lit("  "), F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("The "), F.col("t"), F.lit("!"))))
     answer = F.concat(F.lit("I think <answer> "), F.col("t"), F.lit(" </answer>"))
-    return b.select("item_id", *[rewards.qa_reward(answer, golds, m).alias(n) for m, n in (("em", "em"), ("f1", "f1"), ("em_or_f1half", "half"))], rewards.qa_reward(answer, F.array(F.lit(" "))).alias("none"))
+    return b.select("item_id", *[F.round(rewards.qa_reward(answer, golds, m), 6).alias(n) for m, n in (("em", "em"), ("f1", "f1"), ("em_or_f1half", "half"))], rewards.qa_reward(answer, F.array(F.lit(" "))).alias("none"))
 
 
 _RULES = f"""{AGENT_STEPS}, e AS (SELECT *, k % 10 AS r, last_value(CASE WHEN tool = 'view' THEN k END IGNORE NULLS) OVER (PARTITION BY traj, k % 10 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen,
