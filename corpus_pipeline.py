@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajmill.llm import bpe, jaccard, langid, mixing
-from trajmill.llm.common import release, written
+from trajmill.llm.common import bounded_batches, release, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is used once more if the mix takes at least this share of it beyond its whole uses.
@@ -15,6 +15,7 @@ PART = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language was found: those without a letter or a text go. lang is the language found."""
+    bounded_batches(spark)
     found = langid.identify_documents(docs, keep=[c for c in COLUMNS if c != "lang"])
     return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
@@ -22,6 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row, that with the smallest doc_id, if any has one; rows that share a doc_id or
     have none are told apart by their texts. SimHash (operator 3) proposes, five-word similarity decides: `llm/jaccard.py`."""
+    bounded_batches(spark)
     own = docs.withColumn("node", jaccard.node()).withColumn("row", F.xxhash64("node", *[c for c in COLUMNS if c != "text"]))
     rows = written(own.select("node", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("of")))
     firsts = rows.groupBy("node").agg(F.min("of").alias("of"))
@@ -46,6 +48,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's number of tokens, and digests of its tokens and of the text they decode to."""
     import public_tokenizers
 
+    bounded_batches(spark)
     return bpe.digest_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -75,6 +75,14 @@ def tidy() -> None:
         trim(0)
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """From here on Arrow batches end at `size` bytes too, not only at a number of rows, unless the session says otherwise:
+    a batch of long texts is held by the JVM, by the worker, and once more while it grows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, size)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
