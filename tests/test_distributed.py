@@ -250,3 +250,28 @@ def test_loop_of_a_stream(spark, tmp_path):
 
     stream_loop.fold(stream, "traj", "n", caps).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     assert got == states(rows, caps)
+
+
+def test_chains_of_a_long_trajectory(spark):
+    """A trajectory of 100,000 steps: linear work, and the same as looking at all steps before."""
+    from trajmill.operators import trajectory
+
+    rows = [("t", i, [f"v{(i * 7919) % 1000}", "vx"] if i % 3 else [], [f"v{i % 50}"] if i % 2 else None) for i in range(100_000)] + [("u", 0, ["v1"], ["v1"]), ("u", 1, ["v1"], []), ("w", 0, [], [])]
+    df = spark.createDataFrame(rows, "traj string, idx int, asked array<string>, found array<string>")
+    got = {(r.traj, r.idx): r.chained for r in trajectory.chained(df, F.col("asked"), F.col("found")).select("traj", "idx", "chained").collect()}
+    seen, want = {}, {}
+    for t, i, asked, found in rows:
+        own = seen.setdefault(t, set())
+        want[t, i] = any(a in own for a in asked)
+        own |= set(found or [])
+    assert got == want
+
+
+def test_parameters_that_are_texts(spark):
+    from trajmill.functions import rewards
+
+    rows = ['{"a": "x", "b": 5, "c": null, "d": {"e": "f"}, "g": ["h"], "i": "\\u00e9\\"", "j": true, "k": ""}', "[1]", "not json", None, "{}", '"text"']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, a string")
+    got = {r.i: (r.p, r.e) for r in df.select("i", rewards.text_parameters("a").alias("p"), rewards.entity_strings(F.col("a")).alias("e")).collect()}
+    assert [got[i][0] for i in range(6)] == [{"a": "x", "i": 'é"', "k": ""}, {}, {}, {}, {}, {}]
+    assert got[5][1] == ["text"] and got[2][1] == [] and got[3][1] == []

@@ -74,16 +74,23 @@ def _loaded(text: str | None) -> Any:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def entity_strings(content: pd.Series) -> pd.Series:
-    """The sorted names, texts and numbers of ENTITY_CHARS characters and more in a JSON text, at any depth, keys included;
-    none if it is no JSON. Depth is unbounded, hence no chain of built-in functions."""
+def _entity_strings(content: pd.Series) -> pd.Series:
     return content.map(lambda c: sorted(set(_entities(_loaded(c)))))
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def text_parameters(arguments: pd.Series) -> pd.Series:
-    """The parameters of a call (JSON object) whose values are texts."""
-    return arguments.map(lambda a: {k: v for k, v in x.items() if isinstance(v, str)} if isinstance(x := _loaded(a), dict) else {})
+def entity_strings(content: Column | str) -> Column:
+    """The sorted names, texts and numbers of ENTITY_CHARS characters and more in a JSON text, at any depth, keys included;
+    none if it is no JSON. Depth is unbounded, hence no chain of built-in functions; texts that don't begin as JSON aren't looked at."""
+    content = F.col(content) if isinstance(content, str) else content
+    return _entity_strings(F.when(content.rlike(r'^\s*[\[{"0-9\-]'), content))
+
+
+def text_parameters(arguments: Column | str) -> Column:
+    """The parameters of a call (JSON object) whose values are texts; none of what is no object."""
+    arguments = F.col(arguments) if isinstance(arguments, str) else arguments
+    found = F.from_json(arguments, T.MapType(T.StringType(), T.VariantType()))
+    texts = F.map_filter(found, lambda k, v: F.schema_of_variant(v) == "STRING")
+    return F.coalesce(F.transform_values(texts, lambda k, v: F.variant_get(v, "$", "string")), F.create_map().cast("map<string,string>"))
 
 
 def chained(parameters: Column, seen: Column) -> Column:

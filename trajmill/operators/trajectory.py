@@ -84,6 +84,17 @@ def seen_before(value: Column, traj: str = "traj", idx: str = "idx") -> Column:
     return F.array_sort(F.collect_set(value).over(_w(traj, idx).rowsBetween(Window.unboundedPreceding, -1)))
 
 
+def chained(df: DataFrame, asked: Column, found: Column, traj: str = "traj", idx: str = "idx", name: str = "chained") -> DataFrame:
+    """df with `name`: whether one of a step's texts `asked` (array) is among those `found` (array) at earlier steps of its trajectory.
+
+    Each text's first step is known from one window over (trajectory, text), so nothing is gathered and a long trajectory is linear work."""
+    said = lambda texts, kind: F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.struct(t.alias("t"), F.lit(kind).alias("found")))
+    long = df.select(traj, idx, F.explode(F.array_distinct(F.concat(said(asked, False), said(found, True)))).alias("__s"))
+    first = F.min(F.when(F.col("__s.found"), F.col(idx))).over(Window.partitionBy(traj, "__s.t"))
+    hits = long.withColumn("__first", first).where(~F.col("__s.found") & (F.col("__first") < F.col(idx))).select(traj, idx).distinct()
+    return df.join(hits.withColumn(name, F.lit(True)), [traj, idx], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def offsets(length: Column, traj: str = "traj", idx: str = "idx") -> Column:
     """Where a segment starts when the trajectory's segments are laid end to end."""
     return F.coalesce(F.sum(length).over(_w(traj, idx).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

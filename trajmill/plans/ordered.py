@@ -100,9 +100,9 @@ t AS (SELECT traj, avg(s) AS m, count(*) AS n, count(*) FILTER (th) AS thoughts,
 
 @query("process_score", f"""WITH {AGENT_STEPS}, {_STEP} SELECT traj, round(greatest(-0.5e0, least(0.5e0, m + CASE WHEN thoughts = 0 AND n >= 3 THEN -0.05e0 ELSE 0e0 END + CASE WHEN reads >= 3 THEN 0.01e0 ELSE 0e0 END - 0.01e0 * greatest(0, n - 16))), 6) AS process_score FROM t""")
 def process_score(spark, d):
-    df = agent_steps(spark, d).withColumns({"params": rewards.text_parameters("args"), "entities": rewards.entity_strings("reply")})
-    seen = F.array_distinct(F.flatten(F.collect_list("entities").over(Window.partitionBy("traj").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))))
-    df = df.withColumn("seen", seen).withColumns({"placeholder": rewards.has_placeholder(F.col("params")), "chained": rewards.chained(F.col("params"), F.col("seen"))})
+    df = agent_steps(spark, d).withColumn("params", rewards.text_parameters("args"))
+    asked = F.filter(F.map_values("params"), lambda v: F.length(v) >= rewards.ENTITY_CHARS)
+    df = tr.chained(df, asked, rewards.entity_strings("reply")).withColumn("placeholder", rewards.has_placeholder(F.col("params")))
     return tr.process_scores(df, TAX).withColumn("process_score", F.round("process_score", 6))
 
 
