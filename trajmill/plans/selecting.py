@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trajmill.operators import components as co
 from trajmill.operators import datasets as ds
 from trajmill.operators import groups as g
+from trajmill.operators import recovery, routes
 from trajmill.operators import selection as sel
 from trajmill.plans.registry import query
 from trajmill.plans.surrogates import COMPONENTS, ROLLOUTS, component_rows, components, read, rollouts
@@ -177,3 +178,40 @@ def gate_tool_compose(spark, d):
 @query("sequence_buckets", "SELECT CASE WHEN n_chars <= 4096 THEN 4096 WHEN n_chars <= 8192 THEN 8192 WHEN n_chars <= 16384 THEN 16384 ELSE 32768 END AS bucket, count(*) AS n FROM documents GROUP BY 1")
 def sequence_buckets(spark, d):
     return read(spark, d, "documents").groupBy(ds.bucket(F.col("n_chars")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+_LEGS = """l AS (SELECT l_orderkey || '-' || l_linenumber AS flight, 'P' || l_suppkey % 12 AS origin, 'P' || l_partkey % 12 AS destination, CAST(year(l_shipdate) * 100 + month(l_shipdate) AS BIGINT) AS date,
+ l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS departs, l_linenumber * 100 + CAST(l_quantity AS BIGINT) + 50 + l_orderkey % 150 AS arrives, CAST(round(l_extendedprice * 100) AS BIGINT) AS price FROM lineitem WHERE l_suppkey % 12 <> l_partkey % 12),
+c AS (SELECT origin, destination, date, price, 1 AS legs, flight AS first, '' AS second FROM l UNION ALL SELECT x.origin, y.destination, x.date, x.price + y.price, 2, x.flight, y.flight FROM l x JOIN l y ON x.date = y.date AND x.destination = y.origin AND y.departs >= x.arrives AND y.destination <> x.origin),
+r AS (SELECT *, min(CASE WHEN legs = 1 THEN price END) OVER (PARTITION BY origin, destination, date) AS direct FROM c QUALIFY row_number() OVER (PARTITION BY origin, destination, date ORDER BY price, legs, first, second) = 1)"""
+
+
+def _legs(spark, d):
+    """Line items as flights of a month between twelve places."""
+    li = read(spark, d, "lineitem")
+    departs = F.col("l_linenumber") * 100 + F.col("l_quantity").cast("bigint")
+    place = lambda c: F.concat(F.lit("P"), (F.col(c) % 12).cast("string"))
+    return li.select(
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("flight"), place("l_suppkey").alias("origin"), place("l_partkey").alias("destination"),
+        (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("bigint").alias("date"), departs.alias("departs"), (departs + 50 + F.col("l_orderkey") % 150).alias("arrives"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price"),
+    )
+
+
+@query("cheapest_routes", f"WITH {_LEGS} SELECT origin, destination, date, price, legs, first, second FROM r")
+def cheapest_routes(spark, d):
+    return routes.cheapest(_legs(spark, d))
+
+
+@query("route_chains", f"""WITH {_LEGS}, m AS (SELECT origin || '_' || destination || '_' || date AS chain, '{{"origin":"' || origin || '","destination":"' || destination || '","date":' || date || '}}' AS asked,
+ CASE WHEN direct IS NULL THEN '[]' ELSE '[{{"price":' || direct || '}}]' END AS one, CASE WHEN legs = 2 THEN '[{{"first":"' || first || '","second":"' || second || '","price":' || price || '}}]' ELSE '[]' END AS two,
+ 'The cheapest way from ' || origin || ' to ' || destination || ' on ' || date || ', please.' AS wish, 'Take ' || first || CASE WHEN second <> '' THEN ' and ' || second ELSE '' END || ' for ' || price || '.' AS said FROM r),
+a AS (SELECT chain, 'user:' || wish || chr(10) || 'assistant:search_direct_flight' || asked AS m1, chr(10) || 'tool:' || one || chr(10) || 'assistant:search_onestop_flight' || asked AS m3, chr(10) || 'tool:' || two || chr(10) || 'assistant:' || said AS m5 FROM m)
+SELECT chain, 1 AS turn, 2 AS messages, md5(m1) AS digest FROM a UNION ALL SELECT chain, 3, 4, md5(m1 || m3) FROM a UNION ALL SELECT chain, 5, 6, md5(m1 || m3 || m5) FROM a""")
+def route_chains(spark, d):
+    """Every trip's gold chain of searches, made of the flight table, as samples that end with the assistant."""
+    legs = _legs(spark, d)
+    least = legs.where("origin != destination").groupBy(*routes.WHERE).agg(F.min("price").alias("__direct"))
+    steps = routes.search_chain(routes.cheapest(legs).join(least, routes.WHERE, "left"), F.col("__direct"))
+    made = recovery.progressive(steps, "chain", "i", ["role", "content", "tool", "arguments"])
+    text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"], m["tool"], m["arguments"])), "\n")
+    return made.select("chain", F.col("turn").cast("int").alias("turn"), F.size("messages").alias("messages"), F.md5(text).alias("digest"))
