@@ -275,3 +275,23 @@ def test_parameters_that_are_texts(spark):
     got = {r.i: (r.p, r.e) for r in df.select("i", rewards.text_parameters("a").alias("p"), rewards.entity_strings(F.col("a")).alias("e")).collect()}
     assert [got[i][0] for i in range(6)] == [{"a": "x", "i": 'é"', "k": ""}, {}, {}, {}, {}, {}]
     assert got[5][1] == ["text"] and got[2][1] == [] and got[3][1] == []
+
+
+def test_groups_whose_rows_come_in_other_batches(spark, tmp_path):
+    """Halves of groups a batch apart are one group; dead ones stay out; what comes after a group is full is not looked at."""
+    from trajmill.streaming import live_groups
+
+    schema = "g string, row int, o double"
+    batches = [
+        [("late", 1, 0.0), ("whole", 2, 0.0), ("whole", 3, 1.0), ("dead", 4, 1.0)],
+        [("late", 11, 1.0), ("dead", 12, 1.0), ("whole", 13, 0.0), ("half", 14, 0.0)],
+        [("later", 21, 1.0), ("later", 22, 0.0), ("dead", 23, 0.0), ("late", 24, 0.0)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live_groups.accumulate(stream(), "g", "row", "o", 3, 9, str(tmp_path / "out"), str(tmp_path / "ck"), group_size=2).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.g, r.row) for r in got.collect()) == [("late", 1), ("late", 11), ("later", 21), ("later", 22), ("whole", 2), ("whole", 3)]
+    live_groups.accumulate(stream(), "g", "row", "o", 2, 9, str(tmp_path / "out2"), str(tmp_path / "ck2"), group_size=2).awaitTermination()
+    assert {r.g for r in spark.read.parquet(str(tmp_path / "out2")).collect()} == {"late", "whole"}
