@@ -430,7 +430,23 @@ UNION ALL SELECT traj, 'unexpected_write_tool' FROM f WHERE tool = 'error' AND t
 UNION ALL SELECT DISTINCT traj, CASE WHEN traj % 4 = 0 THEN 'reference_actions_matched' ELSE 'reference_action_mismatch' END FROM f WHERE traj % 4 < 2)"""
 
 
-@query("rule_components", f"WITH {_RULES} SELECT traj, component, count(*) AS n FROM c GROUP BY ALL")
+_WORTH = """v(component, value, tags) AS (VALUES ('cancel_without_reservation_details', -2e0, 'incomplete_evidence,premature_write'), ('cancel_after_24h_without_policy_basis', -3e0, 'temporal_policy_error,premature_write'), ('cancel_precondition_supported', 1e0, ''),
+ ('user_pressure_susceptibility', -1e0, 'user_pressure_susceptibility'), ('certificate_without_status_confirmation', -1e0, 'incomplete_evidence,premature_write'), ('wrong_tool_for_schedule_lookup', -2e0, 'tool_affordance_error,incomplete_evidence'), ('forbidden_db_write', -3e0, 'premature_write,policy_precedence_error'),
+ ('unexpected_write_tool', -1.5e0, 'premature_write'), ('required_communication_met', 1e0, ''), ('missing_required_communication', -1.5e0, 'communication_target_miss,incomplete_evidence'), ('reference_actions_matched', 1e0, ''), ('reference_action_mismatch', -1e0, 'action_mismatch,incomplete_evidence'),
+ ('recent_reservation_candidates_checked', 1.5e0, ''), ('recent_reservation_candidates_missing', -2e0, 'incomplete_evidence,object_selection_error'), ('premature_deferral', -1.5e0, 'tool_affordance_error,premature_deferral,incomplete_evidence'), ('past_flight_cancel_attempt', -3e0, 'temporal_policy_error,policy_precedence_error,premature_write'),
+ ('policy_precedence_error', -1e0, 'policy_precedence_error'), ('cancel_missing_reservation_id', -2e0, 'premature_write'), ('certificate_forbidden_by_task', -3e0, 'premature_write,compensation_policy_error'), ('delayed_certificate_without_change_or_cancel', -1.5e0, 'compensation_policy_error,premature_write'),
+ ('compensation_requires_user_goal', -2e0, 'compensation_policy_error,premature_write'), ('basic_economy_update_attempt', -3e0, 'payment_planning_error,premature_write'), ('write_tool_payment_error', -2e0, 'payment_planning_error,premature_write'), ('book_before_cancel_rebook_plan', -2e0, 'payment_planning_error,premature_write'),
+ ('expected_write_plan_missing', -2e0, 'payment_planning_error,premature_write'), ('calculation_trace_inconsistent', -1e0, 'payment_planning_error,calculation_error'), ('split_booking_policy_supported', 1e0, ''), ('optimal_mastercard_charge_matched', 3e0, ''), ('optimal_mastercard_charge_mismatch', -3.5e0, 'payment_planning_error,calculation_error'))"""
+
+
+def _worth(found):
+    """Components with their number, values and tags."""
+    one = found.select("traj", F.explode("components").alias("c"))
+    return one.groupBy("traj", F.col("c.name").alias("component")).agg(F.count("*").alias("n"), F.round(F.sum("c.value"), 6).alias("value"), F.max(F.array_join("c.tags", ",")).alias("tags"))
+
+
+@query("rule_components", f"""WITH {_RULES}, {_WORTH}, w AS (SELECT traj, count(*) FILTER (tool IN ('purchase', 'error')) AS writes FROM f GROUP BY 1)
+SELECT traj, component, count(*) AS n, sum(value + CASE WHEN component = 'forbidden_db_write' THEN -0.5e0 * (writes - 1) ELSE 0e0 END) AS value, max(tags) AS tags FROM c JOIN v USING (component) JOIN w USING (traj) GROUP BY traj, component""")
 def rule_components(spark, d):
     """Events as look-ups, cancellations and certificates of ten reservations; what tasks expect depends on the trajectory."""
     from trajmill.operators import rules
@@ -454,4 +470,55 @@ def rule_components(spark, d):
     outcomes = each.select("traj", F.when(t % 4 == 0, F.array(F.lit(True))).when(t % 4 == 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array().cast("array<boolean>")).alias("action_matches"))
     facts = rules.facts(rows, tasks, ["traj", "task_id"], outcomes.withColumn("task_id", t.cast("string")))
     found = rules.components(facts, ["traj", "task_id"], F.lit("2024-05-15 15:00:00").cast("timestamp_ntz"))
-    return found.select("traj", F.explode("components").alias("c")).groupBy("traj", F.col("c.name").alias("component")).agg(F.count("*").alias("n"))
+    return _worth(found)
+
+
+@query("payment_components", f"""WITH {_WORTH}, o AS (SELECT o_orderkey AS traj, o_orderkey % 9 AS s, o_totalprice > 150000 AS more FROM orders),
+c(s, component) AS (VALUES (0, 'recent_reservation_candidates_checked'), (1, 'recent_reservation_candidates_missing'), (2, 'premature_deferral'), (3, 'past_flight_cancel_attempt'), (3, 'policy_precedence_error'), (3, 'cancel_precondition_supported'), (4, 'cancel_missing_reservation_id'),
+ (5, 'certificate_forbidden_by_task'), (5, 'certificate_without_status_confirmation'), (5, 'delayed_certificate_without_change_or_cancel'), (5, 'compensation_requires_user_goal'), (6, 'basic_economy_update_attempt'), (6, 'write_tool_payment_error'), (6, 'book_before_cancel_rebook_plan'),
+ (6, 'expected_write_plan_missing'), (6, 'calculation_trace_inconsistent'), (6, 'unexpected_write_tool'), (7, 'split_booking_policy_supported'), (7, 'charge')),
+n AS (SELECT traj, CASE WHEN component <> 'charge' THEN component WHEN more THEN 'optimal_mastercard_charge_mismatch' ELSE 'optimal_mastercard_charge_matched' END AS component FROM o JOIN c USING (s))
+SELECT traj, component, 1 AS n, value, tags FROM n JOIN v USING (component)""")
+def payment_components(spark, d):
+    """Orders as trajectories of nine kinds that plan payments, ask for compensation or cancel; fares and charges are an order's own."""
+    from trajmill.operators import rules
+
+    key = F.col("o_orderkey")
+    k, r = (key % 300 + 100), (key % 200 + 50)
+    o = read(spark, d, "orders").select(key.alias("traj"), (key % 9).cast("int").alias("s"), k.cast("string").alias("k"), r.cast("string").alias("r"), (k + r - 35 + F.when(F.col("o_totalprice") > 150000, 7).otherwise(0)).cast("string").alias("paid"), (k + r + 1000).cast("string").alias("other"))
+    event = lambda tool, arguments, result: F.struct(F.lit(tool).alias("tool"), (F.lit(arguments) if isinstance(arguments, str) else arguments).alias("arguments"), (F.lit(result) if isinstance(result, str) else result).alias("result"))
+    details = lambda rid, more="": event("get_reservation_details", f'{{"reservation_id":"{rid}"}}', f'{{"reservation_id":"{rid}"{more}}}')
+    user = event("get_user_details", "{}", '{"reservations":["A1","A2"],"payment_methods":{"certificate_1":{"source":"certificate","amount":50},"gift_card_1":{"source":"gift_card","amount":20},"credit_card_1":{"source":"credit_card"}}}')
+    search = lambda a, b, date, result: event("search_direct_flight", f'{{"origin":"{a}","destination":"{b}","date":"{date}"}}', result)
+    book = lambda paid: event("book_reservation", F.concat(F.lit('{"origin":"AAA","destination":"BBB","flights":[{"date":"2024-05-20"},{"date":"2024-05-22"}],"passengers":[{"n":1}],"payment_methods":[{"payment_id":"credit_card_1","amount":'), paid, F.lit("}]}")), '{"reservation_id":"NEW"}')
+    three = "pay with my certificate, the gift card and the mastercard"
+    kinds = [
+        ("my last reservation please", F.lit("sure"), "", [], [user, details("A1"), details("A2")]),
+        ("my last reservation please", F.lit("sure"), "", [], [user, details("A1")]),
+        ("when does it go?", F.lit("I am unable to determine that."), "", ["search_direct_flight"], []),
+        ("cancel it", F.lit("ok"), "", [], [details("A1", ',"created_at":"2024-05-15T10:00:00","insurance":"no","flights":[{"date":"2024-05-10"}]'), event("cancel_reservation", '{"reservation_id":"A1"}', "ok")]),
+        ("cancel it", F.lit("ok"), "", [], [event("cancel_reservation", "{}", "ok")]),
+        ("I am not looking to change or cancel, pay me", F.lit("ok"), "The flight was delayed. The agent should not offer a certificate.", [], [event("send_certificate", '{"amount":50}', "ok")]),
+        (three, F.concat(F.lit("mastercard charge $"), "k", F.lit("\nmastercard charge $"), "other"), "It is basic economy: cancel the current one and book a new one.", ["cancel_reservation", "book_reservation"], [details("A1", ',"cabin":"basic_economy"'), event("update_reservation_flights", '{"reservation_id":"A1"}', "Error: basic economy"), book(F.lit("1"))]),
+        (three, F.lit("done"), "", [], [user, search("AAA", "BBB", "2024-05-20", F.concat(F.lit('[{"prices":{"business":'), "k", F.lit('}},{"prices":{"economy":1}}]'))), search("BBB", "AAA", "2024-05-22", F.concat(F.lit('[[{"prices":{"business":'), "r", F.lit('}},{"prices":{"business":1}}],{"prices":{"business":'), "r", F.lit("}}]"))), book(F.col("paid")), book(F.col("paid"))]),
+        ("hello", F.lit("hello"), "", [], []),
+    ]
+    pick = lambda i: F.get(F.array(*[F.lit(x[i]) if isinstance(x[i], str) else x[i] for x in kinds]), F.col("s"))
+    none = F.array().cast("array<struct<tool:string,arguments:string,result:string>>")
+    events = none
+    for i, x in enumerate(kinds):
+        events = F.when(F.col("s") == i, F.array(*x[4]) if x[4] else none).otherwise(events)
+    o = o.withColumns({"wish": pick(0), "answer": pick(1), "events": events})
+    calls = "array<struct<id:string,name:string,arguments:string>>"
+    row = lambda df, idx, role, content, to, call: df.select("traj", F.col("traj").cast("string").alias("task_id"), idx.cast("int").alias("idx"), F.lit(role).alias("role"), content.alias("content"), F.lit(False).alias("error"), to.alias("reply_to"), call.cast(calls).alias("calls"))
+    each = o.select("traj", F.posexplode("events").alias("i", "e")).withColumn("id", F.concat(F.lit("c"), F.col("i").cast("string")))
+    rows = row(o, F.lit(0), "user", F.col("wish"), F.lit(""), F.array()).unionByName(row(o, F.lit(1), "assistant", F.col("answer"), F.lit(""), F.array()))
+    rows = rows.unionByName(row(each, 2 * F.col("i") + 2, "assistant", F.lit(""), F.lit(""), F.array(F.struct("id", F.col("e.tool").alias("name"), "e.arguments")))).unionByName(row(each, 2 * F.col("i") + 3, "tool", F.col("e.result"), F.col("id"), F.array()))
+    strings = F.array().cast("array<string>")
+    expected = strings
+    for i, x in enumerate(kinds):
+        if x[3]:
+            expected = F.when(F.col("s") == i, F.array(*map(F.lit, x[3]))).otherwise(expected)
+    tasks = o.select(F.col("traj").cast("string").alias("task_id"), pick(2).alias("task_text"), expected.alias("expected"), strings.alias("communicate"))
+    facts = rules.facts(rows, tasks, ["traj", "task_id"])
+    return _worth(rules.components(facts, ["traj", "task_id"], F.lit("2024-05-15 15:00:00").cast("timestamp_ntz")))

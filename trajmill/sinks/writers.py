@@ -86,12 +86,23 @@ def console(df: DataFrame, title: str, rows: int = 40) -> str:
     return text
 
 
+#: Rows of a summary at most: summaries go through the driver, tables don't.
+SUMMARY_ROWS = 10_000
+
+
+def _few(df: DataFrame) -> list:
+    rows = df.limit(SUMMARY_ROWS + 1).collect()
+    if len(rows) > SUMMARY_ROWS:
+        raise ValueError(f"a summary of more than {SUMMARY_ROWS} rows; write it as a table")
+    return rows
+
+
 def summary_json(df: DataFrame) -> str:
-    """A summary of a few rows as JSON with sorted keys."""
-    return json.dumps([json.loads(x) for x in df.toJSON().collect()], indent=2, sort_keys=True, ensure_ascii=False)
+    """A summary of a few rows as JSON with sorted keys; more than SUMMARY_ROWS are an error."""
+    return json.dumps([json.loads(x[0]) for x in _few(df.select(F.to_json(F.struct(*df.columns))))], indent=2, sort_keys=True, ensure_ascii=False)
 
 
 def summary_markdown(df: DataFrame, title: str) -> str:
-    """A summary of a few rows as a Markdown table."""
-    rows = [df.columns, ["---"] * len(df.columns), *[[("" if v is None else f"{v:.4f}" if isinstance(v, float) else "<br>".join(map(str, v)) if isinstance(v, list) else str(v)) for v in r] for r in df.collect()]]
+    """A summary of a few rows as a Markdown table; more than SUMMARY_ROWS are an error."""
+    rows = [df.columns, ["---"] * len(df.columns), *[[("" if v is None else f"{v:.4f}" if isinstance(v, float) else "<br>".join(map(str, v)) if isinstance(v, list) else str(v)) for v in r] for r in _few(df)]]
     return f"# {title}\n\n" + "\n".join("| " + " | ".join(r) + " |" for r in rows) + "\n"
