@@ -279,3 +279,15 @@ def test_partial_counts_and_shards(spark, tmp_path):
     assert counts.best[3] == max(want[k] for k in range(48, 64))
     with pytest.raises(ValueError):
         counts.find(np.array([10**6]))
+
+
+def test_texts_are_encoded_a_few_megabytes_at_a_time():
+    """One Arrow batch of 1,024 long texts, and one text longer than a part."""
+    import pyarrow as pa
+
+    from trajmill.llm import bpe
+
+    texts = ["x" * 50_000] * 1024 + [None, "", "y" * 9_000_000, "z"]
+    parts = list(bpe.batches_of_texts(pa.array(texts)))
+    assert [t for _, part in parts for t in part] == [t or "" for t in texts]
+    assert all(sum(map(len, part)) <= 4 << 20 or len(part) == 1 for _, part in parts) and [i for i, _ in parts] == [sum(len(p) for _, p in parts[:k]) for k in range(len(parts))]

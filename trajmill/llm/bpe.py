@@ -22,11 +22,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from trajmill.llm.common import slices
+
 #: Words whose encodings a Python worker keeps; older ones are encoded again when they come back.
 KEPT_WORDS = 200_000
 #: Verdicts on pairs of tokens that it keeps.
 KEPT_PAIRS = 250_000
-_ROWS_AT_ONCE = 1024
+_ROWS_AT_ONCE, _BYTES_AT_ONCE = 1024, 4 << 20
 _NEVER = 1 << 40
 #: Separators for str.split() that Unicode's White_Space lacks.
 _ODD = regex.compile("[\x1c-\x1f]")
@@ -242,8 +244,13 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 
 def batches_of_texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    for i in range(0, len(column), _ROWS_AT_ONCE):
-        yield i, [t or "" for t in column.slice(i, _ROWS_AT_ONCE).to_pylist()]
+    """The texts in parts of so many rows and bytes (and one text) at most."""
+    i = 0
+    for part in slices(pa.RecordBatch.from_arrays([column], ["text"]), 0, _BYTES_AT_ONCE):
+        for k in range(0, len(part), _ROWS_AT_ONCE):
+            texts = [t or "" for t in part.column(0).slice(k, _ROWS_AT_ONCE).to_pylist()]
+            yield i, texts
+            i += len(texts)
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
@@ -263,7 +270,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
 def digest_tokens(docs: DataFrame, path: str) -> DataFrame:
     """tokenize() with the ids and the decoded text reduced to their SHA-256 where they arise.
 
-    A null or empty text has no tokens and an empty decoded text. Rows that share a doc_id have a result each. Other
+    A null or empty text has no tokens and an empty decoded text. Texts are encoded a few megabytes at a time, a very long one by itself. Rows that share a doc_id have a result each. Other
     columns are ignored. No rows: no rows.
     """
 

@@ -41,6 +41,7 @@ _OUT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|sidebar|side-?bar|rail|ad|ads|adv|advert\w*|adsense|adslot|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|notification|"
     r"popup|modal|overlay|newsletter|subscri\w+|signup|sign-up|login|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|pager|comments?|commentlist|comment-\w+|respond|replies|"
     r"disqus\w*|widget\w*|toolbar|masthead|site-header|page-header|site-footer|page-footer|footer|copyright|skip-link|search-?\w*|outbrain|taboola)(?:$|[\s_\d-])", re.I)
+_THREADS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|comment-\w+|respond|replies|disqus\w*)(?:$|[\s_\d-])", re.I)
 #: Blocks that may be short, and stay with content beside them if they have no link.
 _TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption", "hr", "br"}
 #: The threshold is held between the densities of so many plain characters; the share of the heart's density sum that makes a block beside its wrapper another article.
@@ -62,6 +63,7 @@ class Page:
     def __init__(self, html: str):
         self.tag, self.parent, self.out, self.raw = ["html"], [-1], [False], [False]
         self.named: list[int] = []  # elements that class or id would take out
+        self.threads: set[int] = set()  # of these, those that are named for readers' comments
         self.events: list[tuple[int, str | None]] = []  # (element, text), or None for a break
         stack, at = [0], 0
         open_: dict[str, int] = {"html": 1}
@@ -87,6 +89,8 @@ class Page:
             self.out.append(self.out[stack[-1]] or self._is_out(name, m[3] or "", open_))
             if not self.out[node] and self._is_named(name, m[3] or ""):
                 self.named.append(node)
+                if self._is_named(name, m[3] or "", _THREADS):
+                    self.threads.add(node)
             if name in _BLOCK or name == "br":
                 self.events.append((node, None))
             if name in _RAW:
@@ -141,21 +145,35 @@ class Page:
             return True
         return False
 
-    def _is_named(self, name: str, attributes: str) -> bool:
+    def _is_named(self, name: str, attributes: str, names: re.Pattern = _OUT_NAMES) -> bool:
         if name in ("html", "body", "article", "main") or not attributes.strip():
             return False
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-        return any(_OUT_NAMES.search(unescape(found[k])) for k in ("class", "id") if k in found)
+        return any(names.search(unescape(found[k])) for k in ("class", "id") if k in found)
+
+    def _marked(self) -> list[int]:
+        """Elements that say where the article is. Each comment of a thread may be an article of its own: such elements count only where
+        none lies outside of threads, and then those around or in the element of the largest density sum."""
+        marked = [i for i, name in enumerate(self.tag) if name in ("article", "main", "h1") and not self.out[i]]
+        if not self.threads:
+            return marked
+        thread = [0] * len(self.tag)
+        for i in range(1, len(self.tag)):
+            thread[i] = thread[self.parent[i]] or (i if i in self.threads else 0)
+        if outside := [i for i in marked if not thread[i]]:
+            return outside
+        sums = self.densities(self.out)[1]
+        heart = max(range(len(self.tag)), key=lambda i: (sums[i], -i))
+        return [i for i in marked if thread[i] == thread[heart]]
 
     def forms_out(self) -> None:
         """A form, and what class or id name so, is out, unless the article is in it. Where no tag says where the article is,
         a name takes out no element with most of the page's text outside links either."""
         holds = set()
-        for i, name in enumerate(self.tag):
-            if name in ("article", "main", "h1") and not self.out[i]:
-                while i >= 0 and i not in holds:
-                    holds.add(i)
-                    i = self.parent[i]
+        for i in self._marked():
+            while i >= 0 and i not in holds:
+                holds.add(i)
+                i = self.parent[i]
         if self.named:
             linked, chars = [False] * len(self.tag), [0] * len(self.tag)
             for i in range(1, len(self.tag)):
