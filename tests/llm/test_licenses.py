@@ -22,7 +22,8 @@ def test_names_count(text, want):
     assert {m[0] for m in licenses.scan("Some words before. " + text + " Some words after.", OWN, licenses.COVERAGE)} == want
 
 
-LONG = [t for t in OWN if not t.short]
+LONG = [t for t in OWN if len(t.words) > 16]
+SHORT = [t for t in OWN if len(t.words) <= 16]
 
 
 def best_coverage(template, region):
@@ -69,6 +70,57 @@ def test_recall_of_edited_texts(share):
     assert got >= 0.98 * due and due > 40 and not extra
 
 
+def test_recall_of_edited_notices():
+    """Short notices with one or two words changed, left out or added that stay covered well enough and keep their names are found, by alignment."""
+    rng, due, got = random.Random(9), 0, 0
+    for i in range(1200):
+        t = SHORT[i % len(SHORT)]
+        words = list(t.words)
+        for _ in range(rng.choice([1, 2])):
+            at = rng.randrange(len(words))
+            kind = rng.randrange(3)
+            words[at : at + 1] = [] if kind == 0 else [f"zz{i}"] if kind == 1 else [words[at], f"zz{i}"]
+        named = all(any(words[j : j + n] == t.words[a : a + n] for j in range(len(words))) for a, n in t.names)
+        hits = licenses.scan(" ".join(["some", "words", "before", *words, "and", "after"]), OWN, licenses.COVERAGE)
+        if named and best_coverage(t, words) >= licenses.COVERAGE:
+            due += 1
+            got += any(h[0] == t.name for h in hits)
+        elif not named:
+            assert all(h[0] != t.name or h[1] >= licenses.COVERAGE for h in hits)
+    assert due > 200 and got >= 0.97 * due
+
+
+def test_short_notices_are_aligned(monkeypatch):
+    calls, align = [], licenses.align
+    monkeypatch.setattr(licenses, "align", lambda a, b: calls.append(1) or align(a, b))
+    for t in SHORT:
+        calls.clear()
+        assert t.name in {m[0] for m in licenses.scan("x y " + " ".join(t.words) + " z", OWN, licenses.COVERAGE)} and calls
+
+
+@pytest.mark.parametrize("text", [
+    "Released under the XYZ License.", "GNU General Public License, version 4", "CC BY 3.0", "Licensed under CC BY-ND 4.0", "Creative Commons Attribution 3.0 International", "the license was released under the rule of MIT, not by a License", "a version 2 of the public license of the gnu general",
+    "Creative Commons Attribution-NoDerivatives 4.0 International", "Licensed under the Apache License, Version 1.0", "public license version 3 for general gnu",
+])
+def test_wrong_names_are_refused(text):
+    assert not licenses.scan(text, OWN, licenses.COVERAGE)
+
+
+def test_large_gaps_without_anchors():
+    """No word is unique in a gap of 90,000 cells, and it is aligned all the same."""
+    words = [f"w{i % 60}" for i in range(300)]
+    t = licenses.Template("own", " ".join(words), licenses.COVERAGE)
+    region = [w if i % 10 else "other" for i, w in enumerate(words)]
+    assert [m[:2] for m in licenses.scan(" ".join(region), [t], licenses.COVERAGE)] == [("own", 0.9)]
+
+
+def test_overlapping_matches_of_equal_worth():
+    """Of equal matches that overlap the first in the text counts, of two at one place the first by name."""
+    one, two = licenses.Template("B", "alpha beta gamma", 1.0), licenses.Template("A", "gamma delta alpha", 1.0)
+    assert [m[0] for m in licenses.scan("alpha beta gamma delta alpha", [one, two], 1.0)] == ["B"]
+    assert [m[0] for m in licenses.scan("alpha beta gamma", [one, licenses.Template("A", "alpha beta gamma", 1.0)], 1.0)] == ["A"]
+
+
 def test_copies_one_after_the_other():
     for t in LONG:
         assert [m[0] for m in licenses.scan(" ".join(t.words * 3), [t], licenses.COVERAGE)] == [t.name] * 3

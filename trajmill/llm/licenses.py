@@ -2,8 +2,9 @@
 
 A text and a license template are sequences of words. Anchors are words that occur exactly once in both; the longest
 increasing subsequence of their places aligns them, and the gaps between neighbours are aligned in the same way. Where a
-gap has no anchor, equal words at its two ends are taken, and what is left of a small one is aligned by the longest common
-subsequence. Coverage is the share of the template's words that are aligned.
+gap has no anchor, equal words at its two ends are taken, and what is left is aligned by the longest common subsequence. Coverage is
+the share of the template's words that are aligned. Wordings of all lengths are found so; what tells licenses apart (NAMES) must be
+there word for word.
 
 A text may hold a template anywhere and several times, so the alignment runs in windows around places where the template
 may be: as a match misses at most a share 1 - COVERAGE of its words, it holds one of any words that together make up a
@@ -100,14 +101,13 @@ TEMPLATES = {
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
 }
-#: Gaps with at most so many cells are aligned by the longest common subsequence.
-CELLS = 4096
-#: Words at the ends of a match that are further from the rest are not part of it.
+#: Words at the ends of a match that are further from the rest are not part of it; those of short wordings are nearer.
 APART = 10
-#: Notices of at most so many words have no word to spare: they are found word for word.
-SHORT = 16
-#: What tells licenses apart in longer wordings: where a template has these words, a match has them, side by side.
-NAMES = ["apache license version 2.0", "gnu general public license", "gnu lesser general public license", "gnu affero general public license", "version 2", "version 2.1", "version 3", "mozilla public license v 2.0"]
+#: What tells licenses apart: where a template has these words, a match has them, side by side.
+NAMES = [
+    "apache license version 2.0", "gnu general public license", "gnu lesser general public license", "gnu affero general public license", "version 2", "version 2.1", "version 3", "mozilla public license v 2.0", "mit license",
+    "cc by 4.0", "cc by-nc 4.0", "cc by-sa 4.0", "commons attribution 4.0", "commons attribution-noncommercial 4.0", "commons attribution-sharealike 4.0", "creative commons zero v1.0", "cc0 1.0 universal",
+]
 
 
 def words_of(text: str) -> list[str]:
@@ -132,21 +132,28 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence."""
-    longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            longest[i][j] = longest[i + 1][j + 1] + 1 if a[i] == b[j] else max(longest[i + 1][j], longest[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif longest[i + 1][j] >= longest[i][j + 1]:
-            i += 1
+    """Places of a longest common subsequence. A row of its table is one number with a bit for each word of b, which is 0 where the row
+    grows; rows are kept to walk back, so memory is len(a) * len(b) bits."""
+    every = (1 << len(b)) - 1
+    places: dict[str, int] = {}
+    for j, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << j
+    rows = [every]
+    for w in a:
+        last = rows[-1]
+        both = last & places.get(w, 0)
+        rows.append((last + both | last - both) & every)
+    length = lambda i, j: j - (rows[i] & (1 << j) - 1).bit_count()
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i] >> j - 1 & 1:
+            j -= 1
+        elif length(i - 1, j) == length(i, j):
+            i -= 1
         else:
-            j += 1
-    return out
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -167,7 +174,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         place = {w: i for i, w in enumerate(b[b0:b1], b0) if in_b[w] == 1}
         anchors = increasing([(i, place[w]) for i, w in enumerate(a[a0:a1], a0) if in_a[w] == 1 and w in place])
         if not anchors:
-            if (a1 - a0) * (b1 - b0) <= CELLS and in_a.keys() & in_b.keys():
+            if in_a.keys() & in_b.keys():
                 done += [(a0 + i, b0 + j) for i, j in common(a[a0:a1], b[b0:b1])]
             continue
         done += anchors
@@ -182,12 +189,12 @@ class Template:
         self.counts = Counter(self.words)
         #: Words make up more than this many of the template's: a match holds one of them.
         self.spare = len(self.words) - -(-len(self.words) * coverage // 1)
-        self.short = len(self.words) <= SHORT
-        if self.short:
-            self.spare = 0
+        self.apart = min(APART, 2 + len(self.words) // 3)
         named = [n.split() for n in NAMES]
         self.names = [(i, len(n)) for n in named for i in range(len(self.words)) if self.words[i : i + len(n)] == n]
-        self.signs = self._enough(sorted(self.counts, key=lambda w: (-len(w), w)))
+        #: A match has all of these words.
+        self.must = {w for i, n in self.names for w in self.words[i : i + n]}
+        self.signs = [max(self.must, key=lambda w: (len(w), w))] if self.must else self._enough(sorted(self.counts, key=lambda w: (-len(w), w)))
 
     def _enough(self, words: list[str]) -> list[str]:
         out, total = [], 0
@@ -200,13 +207,11 @@ class Template:
 
     def hits(self, text: list[str], places: dict[str, list[int]], coverage: float) -> list[tuple[float, int, int, int]]:
         """(coverage, begin, end, aligned words) in words of matches that don't overlap, the best first."""
-        if sum(n for w, n in self.counts.items() if w in places) < len(self.words) - self.spare:
+        if not places.keys() >= self.must or sum(n for w, n in self.counts.items() if w in places) < len(self.words) - self.spare:
             return []
         rare = self._enough(sorted(self.counts, key=lambda w: (len(places.get(w, ())), w)))
-        if self.short:
-            word = min(self.counts, key=lambda w: (len(places[w]), w))
-            begins = sorted({p - i for p in places[word] for i, w in enumerate(self.words) if w == word and p >= i})
-            return [(1.0, p, p + len(self.words), len(self.words)) for p in begins if text[p : p + len(self.words)] == self.words]
+        if self.must:  # or one that any match has
+            rare = min(rare, [min(self.must, key=lambda w: (len(places[w]), w))], key=lambda words: sum(len(places.get(w, ())) for w in words))
         wanted, slack = set(rare), len(self.words) // 4 + 3
         found, until, tried = [], 0, None
         begins = sorted({max(0, p - i - slack) for i, w in enumerate(self.words) if w in wanted for p in places.get(w, ())})
@@ -217,9 +222,9 @@ class Template:
             first = max(start, until)
             part = text[first : start + len(self.words) + 2 * slack]
             pairs = align(self.words, part)
-            while len(pairs) > 1 and pairs[1][1] - pairs[0][1] > APART:
+            while len(pairs) > 1 and pairs[1][1] - pairs[0][1] > self.apart:
                 pairs.pop(0)
-            while len(pairs) > 1 and pairs[-1][1] - pairs[-2][1] > APART:
+            while len(pairs) > 1 and pairs[-1][1] - pairs[-2][1] > self.apart:
                 pairs.pop()
             at = dict(pairs)
             named = all(i in at and at.get(i + k) == at[i] + k for i, n in self.names for k in range(n))
@@ -245,10 +250,13 @@ def scan(text: str, templates: list[Template], coverage: float) -> list[tuple[st
     found = [(t.name, *hit) for t in likely for hit in t.hits(words, places, coverage)]
     found.sort(key=lambda x: (-x[4], x[2], x[0]))
     kept: list[tuple[str, float, int, int]] = []
+    begins: list[int] = []  # of the kept ones, which don't overlap
     for *x, _ in found:
-        if all(x[3] <= y[2] or x[2] >= y[3] for y in kept):
-            kept.append(tuple(x))
-    return sorted(kept, key=lambda x: x[2])
+        i = bisect_left(begins, x[2])
+        if (i == 0 or kept[i - 1][3] <= x[2]) and (i == len(begins) or begins[i] >= x[3]):
+            kept.insert(i, tuple(x))
+            begins.insert(i, x[2])
+    return kept
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, coverage: float = COVERAGE) -> DataFrame:
