@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trajmill.functions import generated, rewards, text
 from trajmill.operators import components as co
-from trajmill.operators import grounding, losses, recovery, runs, validation
+from trajmill.operators import grounding, groups, losses, ranges, recovery, runs, validation
 from trajmill.operators import rendering as rd
 from trajmill.plans.corpus import _NORM
 from trajmill.plans.registry import query
@@ -522,3 +522,40 @@ def payment_components(spark, d):
     tasks = o.select(F.col("traj").cast("string").alias("task_id"), pick(2).alias("task_text"), expected.alias("expected"), strings.alias("communicate"))
     facts = rules.facts(rows, tasks, ["traj", "task_id"])
     return _worth(rules.components(facts, ["traj", "task_id"], F.lit("2024-05-15 15:00:00").cast("timestamp_ntz")))
+
+
+@query("nested_outcomes", f"""WITH {SIMULATIONS} SELECT ordinal, coalesce(reward, 0e0) AS reward, CASE WHEN db_match IS NOT NULL THEN db_match WHEN ordinal % 2 = 0 THEN false END AS db_match, communicate FROM sims""")
+def nested_outcomes(spark, d):
+    """Outcomes read off nested documents: a check without a verdict is a mismatch, no check is none."""
+    s = simulations(spark, d)
+    checked = F.col("db_match").isNotNull() | (F.col("ordinal") % 2 == 0)
+    db = F.when(checked, F.struct("db_match", F.lit(1.0).alias("db_reward")))
+    parts = F.when(F.col("communicate").isNotNull(), F.create_map(F.lit("DB"), F.lit(1.0), F.lit("COMMUNICATE"), F.col("communicate"))).otherwise(F.create_map(F.lit("DB"), F.lit(0.0)))
+    nested = s.select("ordinal", F.struct("reward", db.alias("db_check"), parts.alias("reward_breakdown")).alias("reward_info"))
+    return runs.outcomes(nested, missing_is_zero=True).select("ordinal", "reward", "db_match", "communicate")
+
+
+@query("success_forms", """WITH r AS (SELECT o_orderkey AS ordinal, CASE WHEN o_orderkey % 7 = 0 THEN 1e0 ELSE o_totalprice / 2e5 END AS v FROM orders)
+SELECT ordinal, v >= 1 - 1e-6 AS at_least, v BETWEEN 1 - 1e-6 AND 1 + 1e-6 AS in_band, CASE WHEN ordinal % 5 = 0 THEN false ELSE v >= 1 END AS strict FROM r""")
+def success_forms(spark, d):
+    """The three forms of success over shaped rewards, which may be above 1, some of them unreadable text."""
+    v = F.when(F.col("o_orderkey") % 7 == 0, 1.0).otherwise(F.col("o_totalprice") / 2e5)
+    said = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(v.cast("string"))
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("ordinal"), groups.success_at_least(v).alias("at_least"), groups.success_in_band(v).alias("in_band"), groups.success_strict(said).alias("strict"))
+
+
+@query("evaluator_tag_counts", f"""WITH {SIMULATIONS}, t AS (SELECT coalesce(abs(reward - 1) <= 1e-6, false) AS ok, process_score >= 1 AS high, ordinal % 3 AS k FROM sims),
+x AS (SELECT unnest(list_distinct(list_concat(CASE k WHEN 0 THEN [] WHEN 1 THEN ['a'] ELSE ['a', 'evaluator_gap'] END, list_concat(CASE WHEN NOT ok AND high THEN ['evaluator_gap'] ELSE [] END, CASE WHEN NOT ok AND k = 0 THEN ['unclassified_failure'] ELSE [] END)))) AS tag FROM t)
+SELECT tag, count(*) AS n FROM x GROUP BY 1""")
+def evaluator_tag_counts(spark, d):
+    """The evaluator's tags beside those that a trajectory has already."""
+    k, none = F.col("ordinal") % 3, F.array().cast("array<string>")
+    tags = F.when(k == 0, none).when(k == 1, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("evaluator_gap")))
+    return runs.tag_counts(simulations(spark, d).select(runs.evaluator_tags(F.col("reward"), F.col("process_score"), tags, 1.0).alias("risk_tags")))
+
+
+@query("row_delta_places", """WITH o AS (SELECT o_orderkey AS id, o_totalprice / 1e5 * (o_orderkey % 3 - 1) + 0e0 AS delta FROM orders) SELECT id, row_number() OVER (ORDER BY delta, id) - 1 AS place FROM o""")
+def row_delta_places(spark, d):
+    """Every row's place by rising delta, ties by id: ranks over a whole table by sampled ranges, of which one value fills a third."""
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1e5 * (F.col("o_orderkey") % 3 - 1) + 0.0).alias("delta"))
+    return ranges.ranked_all(o, ["delta", "id"], "place").select("id", "place")
