@@ -55,3 +55,16 @@ def test_rule_of_one_task(spark):
     rule = recovery.task_rule("say_it", "7", F.col("m.content") == "wrong", text=F.lit("right"))
     got = recovery.corrections(contexts, convs, "id_", [rule]).collect()
     assert [(r.id_, r.turn, r.family, r.messages[-1].content) for r in got] == [("a", 1, "say_it", "right")]
+
+
+def test_objects_on_the_jvm(spark):
+    """As the scanner in Python, over random runs of all that matters, long strings of escapes and many objects."""
+    import random
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(['"', "{", "}", "\\", "a", "é", "\n", ",", '\\"'], k=rng.randrange(60))) for _ in range(2000)]
+    texts += ['{"a": "' + "\\\\" * 30_000 + '"}', '{"x": {}}' * 500, "{" * 5000 + "}" * 5000, "", "no braces", '"{']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", generated.objects(F.col("t")).alias("o"))
+    got = {r.i: r.o for r in df.collect()}
+    assert [got[i] for i in range(len(texts))] == [list(generated.json_objects(t)) for t in texts]
+    assert spark.range(1).select(generated.objects(F.lit(None).cast("string")).alias("o")).first().o == []

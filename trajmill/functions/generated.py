@@ -35,6 +35,27 @@ def json_objects(text: str) -> Iterator[str]:
                 yield text[start : m.end()]
 
 
+def objects(text: Column) -> Column:
+    """json_objects() as a column: one pass over a text's quotes, braces and escapes that keeps the place, whether it is in a string, the
+    depth, and where the object began; an array grows only where an object ends."""
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r'(?s)\\.|[^"\\{}]+|.'), F.lit(0))
+    places = "array<struct<begin:int,size:int>>"
+    first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.array().cast(places).alias("found"))
+
+    def step(acc: Column, token: Column) -> Column:
+        sign = F.when(acc["inside"], token).otherwise(F.right(token, F.lit(1)))  # a backslash escapes in strings alone
+        opens, closes = ~acc["inside"] & (sign == "{"), ~acc["inside"] & (sign == "}") & (acc["depth"] > 0)
+        end = acc["at"] + F.length(token)
+        return F.struct(
+            end.alias("at"), F.when(sign == '"', ~acc["inside"]).otherwise(acc["inside"]).alias("inside"), (acc["depth"] + opens.cast("int") - closes.cast("int")).alias("depth"),
+            F.when(opens & (acc["depth"] == 0), end - 1).otherwise(acc["begin"]).alias("begin"),
+            F.when(closes & (acc["depth"] == 1), F.concat(acc["found"], F.array(F.struct(acc["begin"].alias("begin"), (end - acc["begin"]).alias("size"))).cast(places))).otherwise(acc["found"]).alias("found"),
+        )
+
+    found = F.aggregate(tokens, first, step, lambda acc: acc["found"])
+    return F.transform(found, lambda x: F.substring(text, x["begin"] + 1, x["size"]))
+
+
 def canonical(value: Any) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 

@@ -559,3 +559,21 @@ def row_delta_places(spark, d):
     """Every row's place by rising delta, ties by id: ranks over a whole table by sampled ranges, of which one value fills a third."""
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1e5 * (F.col("o_orderkey") % 3 - 1) + 0.0).alias("delta"))
     return ranges.ranked_all(o, ["delta", "id"], "place").select("id", "place")
+
+
+@query("brace_objects", f"""WITH {AGENT_STEPS} SELECT call_id, 1 + k % 2 AS n, md5(CASE k % 3 WHEN 0 THEN '{{"name": "' || tool || '", "x": {{"y": "}} \\" {{"}}}}' WHEN 1 THEN '{{"a\\\\": ' || k || '}}' ELSE '{{{{}}}}' END || CASE WHEN k % 2 = 1 THEN '|{{"last": ' || k || '}}' ELSE '' END) AS digest FROM agent_steps""")
+def brace_objects(spark, d):
+    """The balanced objects in texts with braces and quotes in strings, stray braces and an open end."""
+    k = F.col("k").cast("string")
+    one = F.when(F.col("k") % 3 == 0, F.concat(F.lit('{"name": "'), "tool", F.lit('", "x": {"y": "} \\" {"}}'))).when(F.col("k") % 3 == 1, F.concat(F.lit('{"a\\\\": '), k, F.lit("}"))).otherwise("{{}}")
+    last = F.when(F.col("k") % 2 == 1, F.concat(F.lit(' and {"last": '), k, F.lit("}"))).otherwise("")
+    text = F.concat(F.lit('so } "a } {" '), one, F.lit(' "\\"{" }'), last, F.lit(' {"open": "'))
+    found = agent_steps(spark, d).select("call_id", generated.objects(text).alias("o"))
+    return found.select("call_id", F.size("o").alias("n"), F.md5(F.array_join("o", "|")).alias("digest"))
+
+
+@query("lookback_texts", f"""SELECT conv_id, turn, md5(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {recovery.LOOKBACK} PRECEDING AND 1 PRECEDING), '')) AS recent,
+md5(coalesce(string_agg(CASE WHEN role = 'user' THEN lower(text) END, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS users FROM conversations""")
+def lookback_texts(spark, d):
+    m = read(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"), F.array().cast("array<string>").alias("tools"))
+    return recovery.context(m, "conv_id", "turn").select("conv_id", "turn", F.md5(F.array_join("assistant_before", "\n")).alias("recent"), F.md5("user_before").alias("users"))
