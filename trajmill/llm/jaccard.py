@@ -279,16 +279,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     schema = "kind int, a bigint, b bigint, size bigint"
     found = written(_by_token(texts.select(F.explode("prefix").alias("token"), "size", "node"), partners, schema))
     first = written(possible(proposed(texts).union(found.where("kind = 0").select("a", "b")), texts))
-    links = verified(likeliest(first), docs)
+    nearest = links = verified(likeliest(first), docs)
+    roots = components(links)
+    # pairs that are there already, a few a text, make one component of a group of copies before its tokens' texts are compared all with all
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    open_ = first.join(end("a"), "a", "left").join(end("b"), "b", "left").where("coalesce(a_root, a) != coalesce(b_root, b)").select("a", "b")
+    further = verified(open_, docs)
+    release(roots)
+    links = links.union(further)
     roots = components(links)
     rows = found.where("kind = 1").select(F.col("a").alias("token"), "size", F.col("b").alias("node"))
     known = texts.select("node", *BITMAP).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *BITMAP)
     rows = rows.join(known.hint("merge"), "node").withColumn("before", F.coalesce(F.lag("token").over(Window.partitionBy("node").orderBy("token")), F.lit(0).cast("long")))
     rows = rows.select("token", "size", "node", "root", "before", *BITMAP)
-    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    open_ = first.join(end("a"), "a", "left").join(end("b"), "b", "left").where("coalesce(a_root, a) != coalesce(b_root, b)").select("a", "b")
-    more = verified(possible(_by_token(rows, across, schema).select("a", "b").union(open_), texts), docs)
+    more = verified(possible(_by_token(rows, across, schema).select("a", "b"), texts), docs)
     release(found, first, roots, texts)
     result = components(links.union(more))
-    release(links, more)
+    release(nearest, further, more)
     return result
