@@ -279,6 +279,18 @@ def test_words_of_the_language_model():
     assert counts.tolist() == [len(w) for w in want] and words.tolist() == [xxh64_intdigest(w) for x in want for w in x]
 
 
+def test_words_of_a_part_of_a_batch():
+    """A batch of more than ngramtrie._BYTES_AT_ONCE is cut, so that texts begin within its bytes."""
+    import pyarrow as pa
+    from xxhash import xxh64_intdigest
+
+    texts = ["longer than the others", "A b", "c", "D e F g", ""]  # a null would make Arrow copy
+    for at in range(len(texts)):
+        words, counts = ngramtrie.hashes_of(pa.array(texts).slice(at))
+        want = [t.encode().lower().split() for t in texts[at:]]
+        assert counts.tolist() == [len(w) for w in want] and words.tolist() == [xxh64_intdigest(w) for x in want for w in x]
+
+
 @pytest.fixture(scope="module")
 def spoken():
     rng = np.random.default_rng(2)

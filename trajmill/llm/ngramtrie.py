@@ -347,7 +347,8 @@ def hashes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(the texts' words' hashes, one text after the other; the number of words of each): A-Z in lower case, ASCII white space."""
     from xxhash import xxh64_intdigest
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(pa.large_string())))
+    own = texts.take(pa.array(np.arange(len(texts))))  # the cast of a slice begins within its bytes, where ascii_lower reads from their start
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(own.fill_null("").cast(pa.large_string())))
     counts, coded = np.asarray(lists.value_lengths()).astype(np.int64), lists.flatten().dictionary_encode()
     numbers = np.asarray(coded.indices)
     found = coded.dictionary.cast(pa.large_binary()).to_pylist()
