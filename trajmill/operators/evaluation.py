@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajmill.functions.stats import binomial_two_sided, pass_hat
 from trajmill.operators.ranges import ranked_all
-from trajmill.sinks.tables import written
+from trajmill.sinks.tables import partitions, written
 
 
 def task_rates(df: DataFrame, value: Column, *keys: str) -> DataFrame:
@@ -66,8 +66,13 @@ def split_stats(df: DataFrame, success: Column, label: Column, task: str = "task
 
 #: The generator of the reproducible bootstrap.
 LCG_A, LCG_C, LCG_MASK, LCG_SEED = 1103515245, 12345, 0x7FFFFFFF, 12345
-#: Draws of a row before they are exploded, and numbers of the Mersenne Twister between two of its stored states.
-_DRAWS, _NUMBERS = 64, 1 << 20
+#: Draws of the congruential generator from one skipped-ahead state, and numbers of the Mersenne Twister between two of its stored states.
+_RUN, _NUMBERS = 1 << 16, 1 << 20
+#: Values of a block, and the parts in which the replicates' draws meet it.
+_BLOCK, _PARTS = 8192, 16
+#: Draws that a task meets, about; more make more tasks.
+_TASK_DRAWS = 1 << 24
+_DRAWN = "block bigint, part int, replicate bigint, at array<int>"
 
 
 def lcg_after(steps: Column, seed: int = LCG_SEED, then=lambda state: state) -> Column:  # noqa: ANN001
@@ -86,18 +91,42 @@ def lcg_after(steps: Column, seed: int = LCG_SEED, then=lambda state: state) ->
     return F.aggregate(bits, first, step, lambda acc: then(acc["s"]))
 
 
+def _by_block(key, replicate, i):  # noqa: ANN001, ANN202
+    """(by, block, part, replicate, at) of a run of draws: a row for each replicate and block of values, with the places in it."""
+    import numpy as np
+    import pyarrow as pa
+
+    order = np.lexsort((i // _BLOCK, replicate))
+    replicate, i = replicate[order], i[order]
+    block = i // _BLOCK
+    first = np.flatnonzero(np.append(True, (replicate[1:] != replicate[:-1]) | (block[1:] != block[:-1]))) if len(i) else np.zeros(0, np.int64)
+    at = pa.ListArray.from_arrays(pa.array(np.append(first, len(i)).astype(np.int32)), pa.array((i % _BLOCK).astype(np.int32)))
+    columns = [pa.array(block[first]), pa.array((replicate[first] % _PARTS).astype(np.int32)), pa.array(replicate[first]), at]
+    return pa.RecordBatch.from_arrays([pa.repeat(key, len(first)), *columns], ["by", "block", "part", "replicate", "at"])
+
+
 def _lcg_draws(arms: DataFrame, by: str, n: int) -> DataFrame:
-    """(by, replicate, i) of every draw: rows of _DRAWS draws start at skipped-ahead states, in any task."""
-    a, c, powers = 1, 0, []
-    for _ in range(_DRAWS):  # j steps at once
-        a, c = a * LCG_A & LCG_MASK, (c * LCG_A + LCG_C) & LCG_MASK
-        powers.append((a, c))
-    mul, add = (F.array(*[F.lit(x).cast("bigint") for x in z]) for z in zip(*powers, strict=True))
-    some = arms.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).repartition(by, "replicate")
-    some = some.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1, F.lit(_DRAWS).cast("bigint"))))
-    places = F.sequence(F.lit(1), F.least(F.lit(_DRAWS), (F.col("m") - F.col("__at")).cast("int")))
-    draw = lambda state: F.transform(places, lambda j: F.pmod((F.element_at(mul, j) * state + F.element_at(add, j)).bitwiseAND(F.lit(LCG_MASK)), F.col("m")))
-    return some.select(by, "replicate", F.explode(lcg_after(F.col("replicate") * F.col("m") + F.col("__at"), LCG_SEED, draw)).alias("i"))
+    """_by_block() of every draw: runs of _RUN draws start at skipped-ahead states, in any task."""
+
+    def draws(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+
+        mul, add = np.empty(_RUN, np.int64), np.empty(_RUN, np.int64)
+        a, c = 1, 0
+        for j in range(_RUN):  # j + 1 steps at once
+            a, c = a * LCG_A & LCG_MASK, (c * LCG_A + LCG_C) & LCG_MASK
+            mul[j], add[j] = a, c
+        for batch in batches:
+            for k, (m, replicate, start, state) in enumerate(zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)):
+                size = min(_RUN, m - start)
+                i = (mul[:size] * state + add[:size] & LCG_MASK) % m
+                yield _by_block(batch.column(0)[k], np.full(size, replicate), i)
+
+    long = lambda x: F.lit(x).cast("bigint")
+    runs = arms.withColumn("replicate", F.explode(F.sequence(long(0), long(n - 1)))).withColumn("__at", F.explode(F.sequence(long(0), F.col("m") - 1, long(_RUN))))
+    runs = runs.repartition(partitions(arms.sparkSession), by, "replicate", "__at")
+    runs = runs.select(by, "m", "replicate", "__at", lcg_after(F.col("replicate") * F.col("m") + F.col("__at")).alias("state"))
+    return runs.mapInArrow(draws, f"by {dict(arms.dtypes)[by]}, {_DRAWN}")
 
 
 def _twister(state: tuple | bytes):  # noqa: ANN202
@@ -111,7 +140,7 @@ def _twister(state: tuple | bytes):  # noqa: ANN202
 
 
 def _twister_draws(arms: DataFrame, by: str, n: int, seed: int) -> DataFrame:
-    """(by, replicate, i) as Python's randrange(m) draws them, one after the other. A number is used if its first bits are below m,
+    """_by_block() of what Python's randrange(m) draws, one after the other. A number is used if its first bits are below m,
     so where a draw begins is known only to one pass over the generator, which keeps its states; a second pass draws from them in
     any task."""
     kind = dict(arms.dtypes)[by]
@@ -143,24 +172,63 @@ def _twister_draws(arms: DataFrame, by: str, n: int, seed: int) -> DataFrame:
                 i = _twister(row["state"]).random_raw(_NUMBERS) >> np.uint64(32 - m.bit_length())
                 i = i[i < m][: total - row["before"]].astype(np.int64)
                 at = row["before"] + np.arange(len(i))
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(i)), pa.array(at // m), pa.array(i)], [by, "replicate", "i"])
+                yield _by_block(batch.column(0)[k], at // m, i)
 
     kept = written(arms.mapInArrow(states, f"{by} {kind}, m bigint, before bigint, state binary"))
-    return kept.repartition(by, "before").mapInArrow(draws, f"{by} {kind}, replicate bigint, i bigint")
+    return kept.repartition(partitions(arms.sparkSession), by, "before").mapInArrow(draws, f"by {kind}, {_DRAWN}")
+
+
+def _drawn_sums(drawn: DataFrame, values: DataFrame, total: int) -> DataFrame:
+    """(by, replicate, mean): the draws' values, summed. values: by, i (from 0), v. A block's values go ahead of the draws of it, and a
+    task holds one block at a time."""
+    kind = dict(values.dtypes)["by"]
+    blocks = values.groupBy("by", F.floor(F.col("i") / _BLOCK).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("values"))
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+    none = lambda t: F.lit(None).cast(t)
+    both = blocks.select("by", "block", "part", none("bigint").alias("replicate"), none("array<int>").alias("at"), "values").unionByName(drawn.withColumn("values", none("array<double>")))
+    size = max(partitions(values.sparkSession), total // _TASK_DRAWS)
+    met = both.repartition(size, "by", "block", "part").sortWithinPartitions("by", "block", "part", F.col("replicate").asc_nulls_first())
+
+    def sums(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        block = valid = None
+        for batch in batches:
+            replicates = batch.column(3)
+            edges = [*np.flatnonzero(np.asarray(replicates.is_null())).tolist(), len(batch)]  # where blocks begin
+            for a, b in zip([0, *edges[:-1]] if edges[0] else edges[:-1], edges if edges[0] else edges[1:], strict=True):
+                if not replicates[a].is_valid:
+                    own = batch.column(5)[a].values
+                    block, valid = own.to_numpy(zero_copy_only=False), np.asarray(own.is_valid())
+                    block = np.where(valid, block, 0.0)
+                    a += 1
+                rows = batch.slice(a, b - a)
+                if not len(rows):
+                    continue
+                ends = np.cumsum(np.asarray(rows.column(4).value_lengths()).astype(np.int64))
+                at = np.asarray(rows.column(4).flatten())
+                first = np.append(0, ends[:-1])
+                s, c = np.add.reduceat(block[at], first), np.add.reduceat(valid[at].astype(np.int64), first)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(3), pa.array(s), pa.array(c)], ["by", "replicate", "s", "c"])
+
+    summed = met.mapInArrow(sums, f"by {kind}, replicate bigint, s double, c bigint").groupBy("by", "replicate").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    return summed.select("by", "replicate", F.try_divide(F.col("s"), F.col("c")).alias("mean"))
 
 
 def bootstrap_interval(df: DataFrame, by: str, order: str, value: str, n: int = 10_000, generator: str = "lcg", seed: int = 0) -> DataFrame:
     """95 % bootstrap interval of the mean of `value` for each `by`, over its rows sorted by `order`: (by, n, low, high).
 
     `lcg` draws by a 31-bit congruential generator, `mt` by Python's (with `seed`); both give the draws of one generator that is run
-    from replicate to replicate, but in many tasks. The draws meet the values in a join and are summed a replicate.
+    from replicate to replicate, but in many tasks. The draws, four bytes each, go to blocks of the values and are summed a replicate.
     """
     rows = ranked_all(df.select(by, order, value), [by, order, value], "__n")
     arms = written(rows.groupBy(by).agg(F.count("*").alias("m"), F.min("__n").alias("__first")))
-    values = rows.join(arms, by).select(by, (F.col("__n") - F.col("__first")).alias("i"), F.col(value).cast("double").alias("__v"))
+    values = rows.join(arms, by).select(F.col(by).alias("by"), (F.col("__n") - F.col("__first")).alias("i"), F.col(value).cast("double").alias("v"))
     pairs = arms.select(by, "m")
     drawn = _lcg_draws(pairs, by, n) if generator == "lcg" else _twister_draws(pairs, by, n, seed)
-    means = drawn.join(values, [by, "i"]).groupBy(by, "replicate").agg(F.avg("__v").alias("mean"))
+    total = n * (arms.agg(F.sum("m")).first()[0] or 0)
+    means = _drawn_sums(drawn, values, total).withColumnRenamed("by", by)
     place = F.row_number().over(Window.partitionBy(by).orderBy("mean")) - 1  # n rows
     ends = means.withColumn("__at", place).groupBy(by).agg(*[F.max(F.when(F.col("__at") == int(q * n), F.col("mean"))).alias(c) for c, q in (("low", 0.025), ("high", 0.975))])
     return ends.join(pairs, by).select(by, F.col("m").alias("n"), "low", "high")
