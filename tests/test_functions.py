@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,13 @@ def test_episode(spark):
     assert got == {"s": ["system", "user", "assistant", "user", "assistant"], "d": ["system", "user", "assistant"]}
     scores = {r.id: r.p.score for r in episodes.run(asked, corpus, script).select("id", episodes.process_reward(F.col("messages"), F.array(F.lit("Bern"))).alias("p")).collect()}
     assert scores == {"s": 1.0, "d": 0.0}
+
+
+def test_pass_hat_of_many_trials(spark):
+    """A row's time must not grow with k: 3,000 rows with k about a million."""
+    rows = [(1_200_000, 1_199_990, 1_000_000 + i) for i in range(3000)] + [(50, 45, 40), (50, 40, 41), (50, 50, 50), (3, 2, 4), (50, 45, 3)]
+    begun = time.monotonic()
+    got = spark.createDataFrame(rows, "n long, s long, k long").select("n", "s", "k", stats.pass_hat(F.col("n"), F.col("s"), F.col("k")).alias("p")).collect()
+    assert time.monotonic() - begun < 60
+    for r in [*got[::500], *got[-5:]]:  # of C(s, k) / C(n, k) the n - s factors (n - k - i) / (n - i) are fewer
+        assert r.p == pytest.approx(math.prod((r.n - r.k - i) / (r.n - i) for i in range(r.n - r.s)), rel=1e-6, abs=1e-15) if r.k <= r.n else r.p is None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,10 +22,25 @@ def binomial_two_sided(a: Column, b: Column) -> Column:
     return F.when(a + b == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2.0 * tail))
 
 
+def log_gamma(x: Column) -> Column:
+    """log of the gamma function for x >= 1: Stirling's series at x + 8, less the factors in between."""
+    y = x.cast("double") + 8
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    factors = x.cast("double")
+    for i in range(1, 8):
+        factors = factors * (x + i)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(factors)
+
+
+#: Up to so many factors pass_hat multiplies; beyond, it takes as long for every k.
+_FACTORS = 32
+
+
 def pass_hat(n: Column, s: Column, k: Column) -> Column:
     """C(s, k) / C(n, k); null if k > n."""
-    ratio = F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long") - 1), F.lit(1.0), lambda acc, i: acc * (s - i) / (n - i))
-    return F.when(k <= n, F.when(s < k, 0.0).otherwise(ratio))
+    few = F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long") - 1), F.lit(1.0), lambda acc, i: acc * (s - i) / (n - i))
+    many = F.exp(log_gamma(s + 1) - log_gamma(s - k + 1) + log_gamma(n - k + 1) - log_gamma(n + 1))
+    return F.when(k <= n, F.when(s < k, 0.0).when(s == n, 1.0).when(k <= _FACTORS, few).otherwise(many))
 
 
 def nearest_rank(sorted_values: Column, q: float) -> Column:

@@ -52,9 +52,9 @@ def pass_hat_k(df: DataFrame, success: Column, task: str = "task_id") -> DataFra
     """Mean over tasks of C(s, k) / C(n, k), for k up to the least number of trials of a task."""
     tasks = df.groupBy(task).agg(F.count("*").alias("n"), F.count_if(success).alias("s"))
     most = tasks.agg(F.min("n").alias("most"))
-    ks = most.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))).alias("k"))
+    ks = most.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))).alias("k")).repartition(partitions(df.sparkSession), "k")
     counts = tasks.groupBy("n", "s").agg(F.count("*").alias("tasks"))  # as few rows as there are pairs of counts
-    return ks.join(counts).groupBy("k").agg((F.sum(pass_hat(F.col("n"), F.col("s"), F.col("k")) * F.col("tasks")) / F.sum("tasks")).alias("pass_hat_k"), F.sum("tasks").alias("tasks"))
+    return ks.join(F.broadcast(counts)).groupBy("k").agg((F.sum(pass_hat(F.col("n"), F.col("s"), F.col("k")) * F.col("tasks")) / F.sum("tasks")).alias("pass_hat_k"), F.sum("tasks").alias("tasks"))
 
 
 def split_stats(df: DataFrame, success: Column, label: Column, task: str = "task_id") -> DataFrame:
