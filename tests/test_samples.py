@@ -63,6 +63,20 @@ def test_token_stats_and_budget(spark):
     assert convs(spark, TALK[:2]).select(mask.alias("m")).first().m == [0, 0, 0, 0, 1, 1, 1]
 
 
+def test_words_take_little_memory():
+    """Two million words' places: eight bytes each, and no Python object for each of them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["a b " * 5000] * 200 + [None, "", "ä  b"])
+    tracemalloc.start()
+    got = rendering.word_offsets.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and [len(got[i].as_py()) for i in (0, 200, 201)] == [10_000, 0, 0] and got[202].as_py() == [{"start": 0, "end": 1}, {"start": 3, "end": 4}]
+
+
 def test_structure(spark):
     bad = [msg("assistant", calls=[("", "x", ""), ("q", "", "")]), msg("tool", "r", "", "zz"), msg("tool", "r", "n", ""), msg("judge", "?")]
     df = convs(spark, bad, TALK, []).withColumn("loss_mask", F.when(F.col("id") == 0, F.array(*[F.lit(x) for x in (False, True)])).otherwise(F.col("loss_mask")))

@@ -7,15 +7,18 @@ projection: no shuffle, and no message leaves its row.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajmill.operators.datasets import overlaps
 from trajmill.operators.messages import canonical_call
+from trajmill.sinks.tables import bounded_batches
 
 ROLES = ("system", "user", "assistant", "tool")
 # How messages, calls and marked spans are written.
@@ -112,14 +115,26 @@ def unmarked(text: Column) -> Column:
 _WORD = re.compile(r"\S+")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def word_offsets(text: pd.Series) -> pd.Series:
+_PLACES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+@F.arrow_udf(_PLACES)
+def word_offsets(text: pa.Array) -> pa.Array:
     """The default tokeniser: words, by their places in characters. Any Arrow function of this type may stand in for it."""
-    return text.map(lambda t: [{"start": m.start(), "end": m.end()} for m in _WORD.finditer(t)] if t else [])
+    starts, ends, cuts = array("i"), array("i"), array("i", [0])
+    for i in range(len(text)):  # one text is a Python object at a time, and a word is eight bytes
+        for m in _WORD.finditer(text[i].as_py() or ""):
+            starts.append(m.start())
+            ends.append(m.end())
+        cuts.append(len(starts))
+    ints = lambda a: pa.array(np.frombuffer(a, np.int32), pa.int32())
+    places = pa.StructArray.from_arrays([ints(starts), ints(ends)], fields=[pa.field("start", pa.int32()), pa.field("end", pa.int32())])
+    return pa.ListArray.from_arrays(ints(cuts), places)
 
 
 def with_token_stats(df: DataFrame, offsets: Column | None = None, text: str = "text", spans: str = "spans") -> DataFrame:
     """df with tokens, target_tokens (those that meet a span) and target_token_ratio."""
+    bounded_batches(df.sparkSession)  # conversations are long
     df = df.withColumn("__offsets", word_offsets(text) if offsets is None else offsets)
     hit = F.size(F.filter("__offsets", lambda o: overlaps(o["start"], o["end"], F.col(spans))))
     df = df.withColumns({"tokens": F.size("__offsets"), "target_tokens": hit}).drop("__offsets")
