@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import struct
 import zlib
 from collections import Counter
@@ -403,6 +404,25 @@ def path():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
 
+def test_bpe_states_equal_merging(monkeypatch):
+    """Verdicts that are forgotten on the way, tokens that BPE never makes or that only end words, symbols that the vocabulary lacks; the collector rests and comes back."""
+    import gc
+
+    rng = random.Random(8)
+    merges, made = [], set("abcd") | {c + "</w>" for c in "abcd"}
+    while len(merges) < 60:
+        a, b = rng.choice(sorted(x for x in made if not x.endswith("</w>"))), rng.choice(sorted(made))
+        if len(a + b) < 12 and a + b not in made:
+            merges.append(f"{a} {b}")
+            made.add(a + b)
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 40)
+    own = bpe.Bpe({t: i for i, t in enumerate(sorted(made))}, merges, "</w>")
+    words = ["".join(rng.choices("abcdx", [9, 9, 9, 9, 1], k=rng.randrange(1, 14))) for _ in range(3000)] + [""]
+    want = {w: own.merged([s for s in (*w[:-1], w[-1] + "</w>") if s in own.vocab]) if w else [] for w in words}
+    assert own.encode(words) == want and own.pairs <= 40
+    assert [gc.isenabled() for _ in bpe.uncollected(iter([1, 2]))] == [False, False] and gc.isenabled()
+
+
 def test_bpe_equals_the_library(spark, odd, empty, path):
     from tokenizers import Tokenizer
 

@@ -12,6 +12,7 @@ A word's last symbol is another one than the same letter inside a word (it carri
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import struct
@@ -43,12 +44,20 @@ class Bpe:
     def __init__(self, vocab: dict[str, int], merges: list, end: str):
         self.vocab, self.end = vocab, end
         self.rank = {tuple(m.split(" ", 1) if isinstance(m, str) else m): i for i, m in enumerate(merges)}
-        self.longest = max((len(t.removesuffix(end)) for t in vocab), default=1)
+        #: What is known of the tokens within words and at their ends: the tokens before them (none: "") that are compatible or are not.
+        self.known: tuple[dict[str, dict[str, bool]], dict[str, dict[str, bool]]] = ({}, {})
+        #: How long tokens are at most, by the two symbols (or the one) that they end with, within words and at their ends.
+        self.reach: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        for t in vocab:
+            for side, body in ((0, t), *([(1, t.removesuffix(end))] if t.endswith(end) else [])):
+                self.known[side][body] = {}
+                for tail in (body[-2:], body[-1:]):  # one symbol: all that is left of a word
+                    self.reach[side][tail] = max(self.reach[side].get(tail, 1), len(body))
         self.made: dict[str, tuple[int, str, str]] = {}
         for (a, b), i in self.rank.items():
             self.made.setdefault(a + b, (i, a, b))
         self.spines: dict[tuple[str, int], tuple[list[str], list[int]]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs = 0
         self.single: dict[str, bool] = {}
 
     def symbols(self, token: str) -> list[str]:
@@ -85,60 +94,71 @@ class Bpe:
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether no merge across the boundary comes before those that grow the two sides (of equal ranks the left one is first)."""
-        if (ok := self.pairs.get((a, b))) is None:
-            (left, left_ends), (right, right_ends), i, j, ok = self.spine(a, 1), self.spine(b, 0), 0, 0, True
-            while True:
-                across = self.rank.get((left[i], right[j]), _NEVER)
-                if across < left_ends[i] and across <= right_ends[j] and across < _NEVER:
-                    ok = False
-                    break
-                if left_ends[i] == right_ends[j] == _NEVER:
-                    break
-                if left_ends[i] <= right_ends[j]:
-                    i += 1
-                else:
-                    j += 1
-            if len(self.pairs) > KEPT_PAIRS:
-                self.pairs.clear()
-            self.pairs[a, b] = ok
+        (left, left_ends), (right, right_ends), i, j = self.spine(a, 1), self.spine(b, 0), 0, 0
+        while True:
+            across = self.rank.get((left[i], right[j]), _NEVER)
+            if across < left_ends[i] and across <= right_ends[j] and across < _NEVER:
+                return False
+            if left_ends[i] == right_ends[j] == _NEVER:
+                return True
+            if left_ends[i] <= right_ends[j]:
+                i += 1
+            else:
+                j += 1
+
+    def verdict(self, fits: dict[str, bool], before: str, token: str) -> bool:
+        """Whether a token can follow the one before it, or begin a word, which is kept in what is known of it. One that BPE doesn't make
+        of its own symbols never can."""
+        self.pairs += 1
+        if self.pairs > KEPT_PAIRS:
+            for side in self.known:
+                for verdicts in side.values():
+                    verdicts.clear()
+            self.pairs = 1
+        ok = fits[before] = self.alone(token) and (not before or self.compatible(before, token))
         return ok
 
     def encode(self, words: Iterable[str]) -> dict[str, list[str]]:
         """The tokens of every word (in the alphabet of the vocabulary); symbols that the vocabulary lacks are left out."""
-        vocab, pairs, longest, alone, compatible = self.vocab, self.pairs, self.longest, self.alone, self.compatible
-
-        def last(word: str, n: int, suffix: str) -> str | None:
-            """The last token of the encoding of the first n symbols; states[i] is that of the first i."""
-            if n <= longest and (token := word[:n] + suffix) in vocab and alone(token):
-                return token
-            for start in range(max(1, n - longest), n):
-                if (token := word[start:n] + suffix) in vocab and (before := states[start]) is not None:
-                    if (ok := pairs.get((before, token))) is None:
-                        ok = compatible(before, token)
-                    if ok:
-                        return token
-            return None
-
+        vocab, end, known = self.vocab, self.end, self.verdict
+        inside, last = self.known
+        reach_inside, reach_last = self.reach
         done: dict[str, list[str]] = {}
-        states: list[str | None] = [None]
+        states: list[str | None] = [""]  # states[i]: the last token of the encoding of the first i symbols
         previous = ""
         for word in sorted(set(words)):
             size, shared = len(word), 0
+            if not size:
+                done[word] = []
+                continue
             most = min(size - 1, len(states) - 1)
             while shared < most and word[shared] == previous[shared]:
                 shared += 1
             del states[shared + 1 :]
-            for n in range(shared + 1, size):
-                states.append(last(word, n, ""))
             previous = word
-            token = last(word, size, self.end) if word else None
-            if token is None:
-                done[word] = self.merged([s for s in (*word[:-1], word[-1] + self.end) if s in vocab]) if word else []
+            for n in range(shared + 1, size):
+                for start in range(max(0, n - reach_inside.get(word[max(0, n - 2) : n], 1)), n):
+                    if (fits := inside.get(body := word[start:n])) is not None and (before := states[start]) is not None:
+                        if (ok := fits.get(before)) is None:
+                            ok = known(fits, before, body)
+                        if ok:
+                            states.append(body)
+                            break
+                else:
+                    states.append(None)
+            for start in range(max(0, size - reach_last.get(word[-2:], 1)), size):
+                if (fits := last.get(body := word[start:])) is not None and (before := states[start]) is not None:
+                    if (ok := fits.get(before)) is None:
+                        ok = known(fits, before, body + end)
+                    if ok:
+                        break
+            else:
+                done[word] = self.merged([s for s in (*word[:-1], word[-1] + end) if s in vocab])
                 continue
-            tokens, n = [token], size - len(token) + len(self.end)
-            while n:
-                tokens.append(token := states[n])
-                n -= len(token)
+            tokens = [body + end]
+            while start:
+                tokens.append(body := states[start])
+                start -= len(body)
             tokens.reverse()
             done[word] = tokens
         return done
@@ -169,8 +189,7 @@ class WordTokenizer:
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens with a space between them: the file names no decoder."""
-        token = self.token
-        return " ".join([token[i] for i in ids])
+        return " ".join(map(self.token.__getitem__, ids))
 
     def chunks(self, text: str) -> list[str]:
         """What white space separates; a special token's text stands alone, marked by a space before it."""
@@ -215,12 +234,13 @@ class WordTokenizer:
                 cut[c] = [p for p, _ in self.pieces(self.normalize(c))]
         words = {p for _, p in whole if p is not None}
         words.update(p for pieces in cut.values() for p in pieces)
-        tokens, packed = self.bpe.encode(words), self.packed
+        packed = self.packed.__getitem__
+        ids = {p: b"".join(map(packed, tokens)) for p, tokens in self.bpe.encode(words).items()}
         for c, p in whole:
             if p is not None:
-                found[c] = new[c] = b"".join([packed[t] for t in tokens[p]])
+                found[c] = new[c] = ids[p]
         for c, pieces in cut.items():
-            found[c] = new[c] = b"".join([packed[t] for p in pieces for t in tokens[p]])
+            found[c] = new[c] = b"".join([ids[p] for p in pieces])
         if len(new) > KEPT_WORDS:
             self.old, self.new = new, {}
         return found
@@ -230,10 +250,21 @@ class WordTokenizer:
         cut = [self.chunks(t) for t in texts]
         known = self.learn({c for chunks in cut for c in chunks})
         for chunks in cut:
-            ids = b"".join([known[c] for c in chunks])
+            ids = b"".join(map(known.__getitem__, chunks))
             yield ids, self.decode(memoryview(ids).cast("I"))
 
 
+def uncollected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, while Python's cyclic collector rests: words and tokens have no cycles, and it would go through all that are kept."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        if was:
+            gc.enable()
+
+
 _LOADED: dict[str, WordTokenizer] = {}
 
 
@@ -276,7 +307,7 @@ def digest_tokens(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokenizer(path)
-        for batch in batches:
+        for batch in uncollected(batches):
             for i, texts in batches_of_texts(batch.column(1)):
                 rows = [(len(b) // 4, hashlib.sha256(b).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for b, t in own.encode(texts)]
                 n, ids, decoded = map(list, zip(*rows, strict=True))
