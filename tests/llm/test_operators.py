@@ -270,6 +270,41 @@ def test_elias_fano():
     assert np.array_equal(ngramtrie.Sequence(2000, *ngramtrie.encode(pointers, 301)).access(np.arange(2000)), pointers)
 
 
+def test_lookups_select_once(monkeypatch):
+    """The other end of a bucket is nearly always in the word that is at hand, so that a lookup costs one select."""
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(0, 1 << 40, 20_000, dtype=np.uint64))
+    own = ngramtrie.Sequence(len(keys), *ngramtrie.encode(keys, 1 << 40))
+    selected, select = [], ngramtrie.Sequence._select
+    monkeypatch.setattr(ngramtrie.Sequence, "_select", lambda self, k, *rest: selected.append(len(k)) or select(self, k, *rest))
+    assert np.array_equal(own.find(keys), np.arange(len(keys)))
+    assert sum(selected) < 1.2 * len(keys)
+
+
+def test_neighbours_of_a_sequence():
+    """Values and those after them, over long runs of ones and of zeros and in sparse and dense sequences."""
+    rng = np.random.default_rng(7)
+    runs = np.concatenate([np.arange(300), [50_000] * 300, np.arange(60_000, 60_010)]).astype(np.uint64)
+    for keys, u in ((runs, 60_011), (np.sort(rng.integers(0, 1 << 63, 900, dtype=np.uint64)), 1 << 63), (np.sort(rng.integers(0, 500, 4000)).astype(np.uint64), 500)):
+        own = ngramtrie.Sequence(len(keys), *ngramtrie.encode(keys, u))
+        here, after = own.access_two(np.arange(len(keys) - 1))
+        assert np.array_equal(here, keys[:-1]) and np.array_equal(after, keys[1:])
+    words = rng.integers(1, 1 << 64, 5000, dtype=np.uint64) & rng.integers(0, 1 << 64, 5000, dtype=np.uint64) | np.uint64(1 << 63)
+    rank = (rng.random(5000) * np.bitwise_count(words)).astype(np.int64)
+    assert ngramtrie.select_in_word(words, rank).tolist() == [[i for i in range(64) if int(w) >> i & 1][r] for w, r in zip(words, rank)]
+
+
+@pytest.mark.parametrize("contexts, words", [(40, 30), (1 << 31, 1 << 31), (1 << 40, 1 << 30), (1, 1 << 62)])
+def test_order_of_pairs(contexts, words):
+    """As one number where it fits in 63 bits, by both else."""
+    rng = np.random.default_rng(8)
+    context, word = rng.integers(0, contexts, 3000), rng.integers(0, words, 3000)
+    order = ngramtrie.ordered(context, word)
+    assert sorted(order.tolist()) == list(range(3000))
+    pairs = list(zip(context[order].tolist(), word[order].tolist()))
+    assert pairs == sorted(pairs)
+
+
 def test_words_of_the_language_model():
     texts = ["A b\tC", None, "", "  x  ", "é É\x0b\x1cz a\x0cb\r\n", "\x00 q"]
     import pyarrow as pa

@@ -87,11 +87,11 @@ def runs(values: np.ndarray) -> list[tuple[int, int]]:
 # --- Elias-Fano ------------------------------------------------------------------------------------------------------
 
 
-def encode(keys: np.ndarray, universe: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """(low bits, packed low parts, high words, zeros before each block of 8 high words) of sorted keys below universe."""
+def encode(keys: np.ndarray, universe: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(low bits, packed low parts, high words, zeros and ones before each high word) of sorted keys below universe."""
     n = len(keys)
     low = max(0, (universe // max(n, 1)).bit_length() - 1)
-    parts = np.zeros((n * low + 7) // 8 + 9, np.uint8)
+    parts = np.zeros((-(-n * low // 64) + 2) * 8, np.uint8)  # two words may be read from any place up to the end
     if low:
         bits = np.arange(low, dtype=np.uint64)
         for i in range(0, n, step := 8 * 65536):
@@ -99,22 +99,36 @@ def encode(keys: np.ndarray, universe: int) -> tuple[int, np.ndarray, np.ndarray
             packed = np.packbits(some.ravel(), bitorder="little")
             parts[i * low // 8 : i * low // 8 + len(packed)] = packed
     at = (keys >> np.uint64(low)).astype(np.int64) + np.arange(n)
-    size = (universe >> low) + n + 2
-    words = np.zeros(-(-size // 512) * 8, np.uint64)
-    np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-    zeros = 512 - np.bitwise_count(words).reshape(-1, 8).sum(1, dtype=np.int64)
-    return low, parts, words, np.append(0, np.cumsum(zeros)[:-1])
+    high = np.zeros(-(-((universe >> low) + n + 2) // 64) * 64, bool)
+    high[at] = True
+    words = np.packbits(high, bitorder="little").view(np.uint64)
+    ones = np.append(0, np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1])
+    return low, parts.view(np.uint64), words, (np.arange(len(words)) * 64 - ones).astype(np.int32), ones.astype(np.int32)
+
+
+def _select_table() -> np.ndarray:
+    """The place of the r-th one of byte b, at 8 * b + r."""
+    out = np.zeros((256, 8), np.int64)
+    for b in range(256):
+        places = [i for i in range(8) if b >> i & 1]
+        out[b, : len(places)] = places
+    return out.ravel()
+
+
+_SELECT = _select_table()
+_EACH, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_TWOS, _FOURS, _EIGHTS = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
 
 
 def select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The place of the rank-th (from 0) one in each word."""
-    at = np.zeros(len(word), np.int64)
-    for half in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count((word >> at.astype(np.uint64)) & np.uint64((1 << half) - 1)).astype(np.int64)
-        right = rank >= ones
-        rank = np.where(right, rank - ones, rank)
-        at += np.where(right, half, 0)
-    return at
+    """The place of the rank-th (from 0) one in each word: the ones up to each of its bytes' ends are summed up side by side."""
+    sums = word - ((word >> np.uint64(1)) & _TWOS)
+    sums = (sums & _FOURS) + ((sums >> np.uint64(2)) & _FOURS)
+    sums = ((sums + (sums >> np.uint64(4))) & _EIGHTS) * _EACH
+    rank = rank.astype(np.uint64)
+    place = np.bitwise_count(((rank * _EACH | _TOPS) - sums) & _TOPS).astype(np.uint64) << np.uint64(3)  # bytes that end with at most rank ones
+    rank = rank - (((sums << np.uint64(8)) >> place) & np.uint64(255))
+    return place.astype(np.int64) + _SELECT[((((word >> place) & np.uint64(255)) << np.uint64(3)) + rank).astype(np.int64)]
 
 
 @dataclass
@@ -126,61 +140,75 @@ class Sequence:
     parts: np.ndarray
     words: np.ndarray
     zeros: np.ndarray
+    ones: np.ndarray
 
-    def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
-        block = np.searchsorted(before, k, "right") - 1
-        rest = k - before[block]
-        words = self.words.reshape(-1, 8)[block]
-        words = ~words if flip else words
-        counts = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        word = (counts <= rest[:, None]).sum(1)
-        line = np.arange(len(k))
-        rest = rest - np.where(word > 0, counts[line, word - 1], 0)
-        return block * 512 + word * 64 + select_in_word(words[line, word], rest)
+    def _select(self, k: np.ndarray, flip: bool) -> np.ndarray:
+        before = self.zeros if flip else self.ones
+        k = k.astype(before.dtype)  # or before would be copied
+        word = np.searchsorted(before, k, "right") - 1
+        bits = self.words[word]
+        return (word << 6) + select_in_word(~bits if flip else bits, k - before[word])
 
     def select0(self, k: np.ndarray) -> np.ndarray:
         """The place of the k-th (from 0) zero of the high bits."""
-        return self._select(k, self.zeros, True)
+        return self._select(k, True)
 
     def select1(self, k: np.ndarray) -> np.ndarray:
         """The place of the k-th (from 0) one of the high bits."""
-        return self._select(k, np.arange(len(self.zeros)) * 512 - self.zeros, False)
+        return self._select(k, False)
+
+    def _next(self, place: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
+        """The place of the k-th one (zero), of which the one before is at `place` (-1: none is): most often in the same word."""
+        word = place >> 6
+        bits = self.words[word]
+        bits = (~bits if flip else bits) & (np.uint64(2**64 - 2) << (place & 63).astype(np.uint64))
+        out = (word << 6) + np.bitwise_count(~bits & (bits - np.uint64(1)))
+        far = np.flatnonzero(bits == 0)
+        out[far] = self._select(k[far], flip)
+        return out
 
     def low_part(self, i: np.ndarray) -> np.ndarray:
+        if not self.low:
+            return np.zeros(len(i), np.uint64)
         bit = i * self.low
-        at, out = bit >> 3, np.zeros(len(i), np.uint64)
-        for k in range((self.low + 7) // 8 + 1 if self.low else 0):
-            shift = 8 * k - (bit & 7)
-            byte = self.parts[at + k].astype(np.uint64)
-            out |= np.where(shift >= 0, byte << np.maximum(shift, 0).astype(np.uint64), byte >> np.maximum(-shift, 0).astype(np.uint64))
-        return out & np.uint64((1 << self.low) - 1)
+        at, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        both = self.parts[at] >> shift
+        both |= (self.parts[at + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+        return both & np.uint64((1 << self.low) - 1)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The i-th values."""
         return ((self.select1(i) - i).astype(np.uint64) << np.uint64(self.low)) | self.low_part(i)
 
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th values and those after them."""
+        place = self.select1(i)
+        after = self._next(place, i + 1, False)
+        low = np.uint64(self.low)
+        return ((place - i).astype(np.uint64) << low) | self.low_part(i), ((after - i - 1).astype(np.uint64) << low) | self.low_part(i + 1)
+
     def find(self, keys: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> np.ndarray:
         """The position of each key between begin and end, or -1."""
         high = (keys >> np.uint64(self.low)).astype(np.int64)
         known = high < len(self.words) * 64 - self.n - 1
         high = np.where(known, high, 0)
-        first = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) + 1, 0) - high
-        last = self.select0(high) - high
-        lo, last = np.maximum(first, begin), np.where(known, np.minimum(last, self.n if end is None else end), 0)
+        place = self.select0(np.maximum(high - 1, 0))
+        place[high == 0] = -1
+        lo = np.maximum(place + 1 - high, begin)
+        hi = np.where(known, np.minimum(self._next(place, high, True) - high, self.n if end is None else end), 0)
         want = keys & np.uint64((1 << self.low) - 1)
-        hi = last.copy()
-        todo = np.flatnonzero(lo < hi)
-        while len(todo):
-            mid = (lo[todo] + hi[todo]) >> 1
-            less = self.low_part(mid) < want[todo]
-            lo[todo[less]] = mid[less] + 1
-            hi[todo[~less]] = mid[~less]
-            todo = todo[lo[todo] < hi[todo]]
-        there = np.flatnonzero(lo < last)
-        out = np.full(len(keys), -1, np.int64)
-        hit = there[self.low_part(lo[there]) == want[there]]
-        out[hit] = lo[hit]
-        return out
+        todo = np.flatnonzero(hi - lo > 1)
+        left, right, low = lo[todo], hi[todo], want[todo]
+        while len(todo):  # the last entry whose low part is at most the key's
+            mid = (left + right) >> 1
+            less = self.low_part(mid) <= low
+            left, right = np.where(less, mid, left), np.where(less, right, mid)
+            lo[todo] = left
+            more = right - left > 1
+            todo, left, right, low = todo[more], left[more], right[more], low[more]
+        there = lo < hi
+        there &= self.low_part(np.minimum(lo, self.n)) == want
+        return np.where(there, lo, -1)
 
 
 # --- files -----------------------------------------------------------------------------------------------------------
@@ -212,14 +240,15 @@ def _get(folder: str, name: str, kind: type) -> np.ndarray:
 
 
 def _put_sequence(folder: str, name: str, keys: np.ndarray, universe: int) -> int:
-    low, parts, words, zeros = encode(keys, universe)
-    for part, array in (("low", parts), ("high", words), ("zeros", zeros)):
+    low, *arrays = encode(keys, universe)
+    for part, array in zip(("low", "high", "zeros", "ones"), arrays, strict=True):
         _put(folder, f"{name}.{part}", array)
     return low
 
 
 def _get_sequence(folder: str, name: str, n: int, low: int) -> Sequence:
-    return Sequence(n, low, _get(folder, f"{name}.low", np.uint8), _get(folder, f"{name}.high", np.uint64), np.asarray(_get(folder, f"{name}.zeros", np.int64)))
+    kinds = {"low": np.uint64, "high": np.uint64, "zeros": np.int32, "ones": np.int32}
+    return Sequence(n, low, *[np.asarray(_get(folder, f"{name}.{part}", kind)) for part, kind in kinds.items()])
 
 
 class Shards:
@@ -302,13 +331,13 @@ class Grams(Shards):
 
     def load(self, s: int) -> tuple:
         m = self.metas[s]
-        codes = [_get(self.folder, f"{s}.{name}", np.uint8) for name in (("p", "rest") if self.inner else ("p",))]
+        codes = [np.asarray(_get(self.folder, f"{s}.{name}", np.uint8)) for name in (("p", "rest") if self.inner else ("p",))]
         return _get_sequence(self.folder, f"{s}.words", m["n"], m["low"]), _get_sequence(self.folder, f"{s}.pointers", m["contexts"] + 1, m["pointer_low"]), *codes
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
         """(index or -1, rank in the context, codes) of each pair of a context and a word."""
         out = [np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64), *[np.zeros(len(context), np.uint8) for _ in range(1 + self.inner)]]
-        order = np.lexsort((word, context))
+        order = ordered(context, word)
         context, word = context[order], word[order]
         shard = shards_of(context, word, self.starts)
         for a, b in runs(shard):
@@ -319,19 +348,28 @@ class Grams(Shards):
             own = context[a:b] - self.starts[s, 0]
             first = np.append(True, own[1:] != own[:-1])
             distinct, back = own[first], np.cumsum(first) - 1
-            begin, end = pointers.access(distinct).astype(np.int64), pointers.access(distinct + 1).astype(np.int64)
+            begin, end = (x.astype(np.int64) for x in pointers.access_two(distinct))
             base = np.where(begin > 0, words.access(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
-            some = np.flatnonzero((end > begin)[back])
-            at = words.find(base[back[some]] + word[a:b][some].astype(np.uint64), begin[back[some]], end[back[some]])
-            some, at = some[at >= 0], at[at >= 0]
-            to = order[a:b][some]
+            begin = begin[back]
+            at = words.find(base[back] + word[a:b].astype(np.uint64), begin, end[back])
+            some = np.flatnonzero(at >= 0)
+            at, to = at[some], order[a:b][some]
             out[0][to] = at + self.offsets[s]
-            out[1][to] = at - begin[back[some]] + np.where(own[some] == 0, self.metas[s]["carry"], 0)
+            out[1][to] = at - begin[some] + np.where(own[some] == 0, self.metas[s]["carry"], 0)
             for i, c in enumerate(codes):
                 out[2 + i][to] = c[at]
         return tuple(out)
 
 
+def ordered(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """What sorts by (context, word), neither below 0 unless all contexts are 0: as one number where both fit in, which is sorted
+    several times faster."""
+    bits = int(word.max()).bit_length() if len(word) else 0
+    if len(word) and int(context.max()).bit_length() + bits < 64:
+        return np.argsort((context << bits) | word)
+    return np.lexsort((word, context))
+
+
 def shards_of(context: np.ndarray, word: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The last shard that starts at or before each (context, word)."""
     s = np.searchsorted(starts[:, 0], context, "right") - 1
@@ -351,11 +389,12 @@ def hashes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lists = pc.ascii_split_whitespace(pc.ascii_lower(own.fill_null("").cast(pa.large_string())))
     counts, coded = np.asarray(lists.value_lengths()).astype(np.int64), lists.flatten().dictionary_encode()
     numbers = np.asarray(coded.indices)
-    found = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    real = np.array([bool(w) for w in found], bool)[numbers] if len(numbers) else np.zeros(0, bool)
-    table = np.array([(xxh64_intdigest(w) or 1) if w else END for w in found], np.uint64)
+    found = coded.dictionary.cast(pa.large_binary())
+    real = (np.asarray(pc.binary_length(found)) > 0)[numbers]
+    table = np.fromiter(map(xxh64_intdigest, found.to_numpy(zero_copy_only=False)), np.uint64, len(found))  # to_pylist is slower
+    table[table == END] = 1
     text = np.repeat(np.arange(len(counts)), counts)[real]
-    return (table[numbers[real]] if len(numbers) else np.zeros(0, np.uint64)), np.bincount(text, minlength=len(counts))
+    return table[numbers[real]], np.bincount(text, minlength=len(counts))
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
@@ -434,7 +473,7 @@ def _rows(shard: np.ndarray, context: np.ndarray, word: np.ndarray, counts: np.n
 def _folded(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """The entries of all parts in order, equal ones added up."""
     context, word, counts, lower = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((word, context))
+    order = ordered(context, word)
     context, word, lower = context[order], word[order], lower[order]
     starts = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
     return context[starts], word[starts], np.add.reduceat(counts[order], starts), lower[starts]
@@ -688,7 +727,7 @@ def train(tokens: DataFrame) -> Model:
         for _, s in stretches(batches):
             ids, _ = model.ids(s)
             u, w, counts = ids[s.pair_before], ids[s.pair_word], np.bincount(s.pair)
-            order = np.lexsort((w, u))
+            order = ordered(u, w)
             u, w = u[order], w[order]
             yield _rows(shards_of(u, w, starts), u, w, counts[order], None)
 
@@ -706,7 +745,7 @@ def train(tokens: DataFrame) -> Model:
             index, rank, code, *_ = model.find_pairs(s, model.ids(s)[0])
             _, which, first, last = s.triples()
             u, w, counts = index[first], rank[last], np.bincount(which, minlength=len(first))
-            order = np.lexsort((w, u))
+            order = ordered(u, w)
             u, w = u[order], w[order]
             yield _rows(shards_of(u, w, starts3), u, w, counts[order], code[last[order]])
 
