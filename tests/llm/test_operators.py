@@ -382,6 +382,25 @@ def test_language_model_levels(spark, spoken, monkeypatch):
     assert len(model.pairs.metas) > 5 and max(m["n"] for m in model.pairs.metas.values()) < 0.5 * model.pairs.offsets[-1]
 
 
+def test_stretches_are_in_the_order_of_the_trie(spark, spoken, monkeypatch):
+    """Words, pairs and triples of a text come in the order of their ids, unknown ones left out, so that lookups need no sort."""
+    monkeypatch.setattr(ngramtrie, "SHARD_KEYS", 300)
+    model = ngramtrie.train(ngramtrie.tokenized(documents(spark, spoken).select("doc_id", F.col("text").alias("__text"))))
+    import pyarrow as pa
+
+    s = ngramtrie.Stretch(*ngramtrie.hashes_of(pa.array(["zz W1 w2 yy " + t for _, t in spoken[::3] if t] + [None, "xx"])))
+    ids, counts = model.ids(s)
+    index, rank, *_ = model.find_pairs(s, ids)
+    at, which, first, last = s.triples()
+    seen = (index[first] >= 0) & (index[last] >= 0)
+    triples = list(zip(index[first[seen]].tolist(), rank[last[seen]].tolist()))
+    assert (ids < 0).any() and (index < 0).any() and np.array_equal(ids >= 0, counts > 0)
+    for x in (s.hashes, ids[ids >= 0], index[index >= 0]):
+        assert (x[1:] > x[:-1]).all()
+    assert len(triples) > 500 and triples == sorted(set(triples))
+    assert np.array_equal(s.pair_word[s.pair], s.number) and np.array_equal(last[which], s.pair[at]) and np.array_equal(first[which], s.pair[at - 1])
+
+
 def test_language_model_of_nothing(spark, empty):
     assert ngramtrie.score_documents(empty).count() == 0
     assert ngramtrie.score_documents(documents(spark, [(3, None)])).count() == 1

@@ -30,7 +30,6 @@ from dataclasses import dataclass, field
 from math import log10
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -288,19 +287,18 @@ class Words(Shards):
         return _get_sequence(self.folder, f"{s}", *self.metas[s]), _get(self.folder, f"{s}.counts", np.int64)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id or -1, count) of each hash."""
+        """(id or -1, count) of each of some hashes in order."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        order = np.argsort(hashes)
-        ends = [*np.searchsorted(hashes[order], np.array(self.bounds[1:], np.uint64)).tolist(), len(hashes)]
+        ends = [*np.searchsorted(hashes, np.array(self.bounds[1:], np.uint64)).tolist(), len(hashes)]
         start = 0
         for s, end in enumerate(ends):
             if end > start and s in self.metas:
-                at = order[start:end]
                 sequence, values = self.shard(s)
-                found = sequence.find(hashes[at] - np.uint64(self.bounds[s]))
-                hit = found >= 0
-                ids[at[hit]] = found[hit] + self.offsets[s]
-                counts[at[hit]] = values[found[hit]]
+                found = sequence.find(hashes[start:end] - np.uint64(self.bounds[s]))
+                hit = np.flatnonzero(found >= 0)
+                found = found[hit]
+                ids[start + hit] = found + self.offsets[s]
+                counts[start + hit] = values[found]
             start = end
         return ids, counts
 
@@ -335,10 +333,8 @@ class Grams(Shards):
         return _get_sequence(self.folder, f"{s}.words", m["n"], m["low"]), _get_sequence(self.folder, f"{s}.pointers", m["contexts"] + 1, m["pointer_low"]), *codes
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(index or -1, rank in the context, codes) of each pair of a context and a word."""
+        """(index or -1, rank in the context, codes) of each of some pairs of a context and a word, which are in order."""
         out = [np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64), *[np.zeros(len(context), np.uint8) for _ in range(1 + self.inner)]]
-        order = ordered(context, word)
-        context, word = context[order], word[order]
         shard = shards_of(context, word, self.starts)
         for a, b in runs(shard):
             s = int(shard[a])
@@ -353,7 +349,7 @@ class Grams(Shards):
             begin = begin[back]
             at = words.find(base[back] + word[a:b].astype(np.uint64), begin, end[back])
             some = np.flatnonzero(at >= 0)
-            at, to = at[some], order[a:b][some]
+            at, to = at[some], a + some
             out[0][to] = at + self.offsets[s]
             out[1][to] = at - begin[some] + np.where(own[some] == 0, self.metas[s]["carry"], 0)
             for i, c in enumerate(codes):
@@ -417,7 +413,10 @@ def tokenized(docs: DataFrame) -> DataFrame:
 
 
 class Stretch:
-    """Some texts' tokens, each text's end among them: distinct words, pairs and triples, and which of them each token is."""
+    """Some texts' tokens, each text's end among them: distinct words, pairs and triples, and which of them each token is.
+
+    Words are in order of their hashes, pairs and triples in order of their words. So are ids, contexts and ranks in the trie:
+    what is looked up or counted there is in order without a sort of its own."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray):
         self.lengths = counts + 1
@@ -427,13 +426,12 @@ class Stretch:
         inside = np.ones(len(tokens), bool)
         inside[self.ends] = False
         tokens[inside] = words
-        self.number, self.hashes = pd.factorize(np.append(np.uint64(END), tokens))  # the end's number is 0
-        self.number = self.number[1:].astype(np.int64)
+        self.hashes, self.number = np.unique(np.append(np.uint64(END), tokens), return_inverse=True)  # the end's number is 0
+        self.number = self.number[1:]
         before = np.append(0, self.number[:-1])
         before[self.starts] = 0
         n = len(self.hashes)
-        self.pair, pairs = pd.factorize(before * n + self.number)
-        self.pair = self.pair.astype(np.int64)
+        pairs, self.pair = np.unique(before * n + self.number, return_inverse=True)
         self.pair_before, self.pair_word = pairs // n, pairs % n
 
     def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -442,8 +440,8 @@ class Stretch:
         at[self.starts] = False
         at = np.flatnonzero(at)
         n = len(self.pair_before)
-        which, triples = pd.factorize(self.pair[at - 1] * n + self.pair[at])
-        return at, which.astype(np.int64), triples // n, triples % n
+        triples, which = np.unique(self.pair[at - 1] * n + self.pair[at], return_inverse=True)
+        return at, which, triples // n, triples % n
 
 
 def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Stretch]]:
@@ -557,9 +555,8 @@ def words_level(tokens: DataFrame, folder: str, n_tokens: int) -> tuple[Words, i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, stretch in stretches(batches):
-            order = np.argsort(stretch.hashes)
-            hashes, counts = stretch.hashes[order], np.bincount(stretch.number, minlength=len(stretch.hashes))[order]
-            hashes, counts = hashes[counts > 0], counts[counts > 0]
+            counts = np.bincount(stretch.number, minlength=len(stretch.hashes))
+            hashes, counts = stretch.hashes[counts > 0], counts[counts > 0]
             shard = np.searchsorted(np.array(bounds, np.uint64), hashes, "right") - 1
             yield _rows(shard, np.zeros(len(hashes), np.int64), (hashes - np.array(bounds, np.uint64)[shard]).view(np.int64), counts, None)
 
@@ -726,10 +723,8 @@ def train(tokens: DataFrame) -> Model:
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, s in stretches(batches):
             ids, _ = model.ids(s)
-            u, w, counts = ids[s.pair_before], ids[s.pair_word], np.bincount(s.pair)
-            order = ordered(u, w)
-            u, w = u[order], w[order]
-            yield _rows(shards_of(u, w, starts), u, w, counts[order], None)
+            u, w = ids[s.pair_before], ids[s.pair_word]
+            yield _rows(shards_of(u, w, starts), u, w, np.bincount(s.pair), None)
 
     counted = tokens.select("words").mapInArrow(pairs_of, _COUNTED)
     pairs, prior, marks = grams_level(counted, f"{root}/2", bounds, shared, lambda w, _: model.p1(words.counts(w).astype(np.float64)), v, True, least)
@@ -744,10 +739,8 @@ def train(tokens: DataFrame) -> Model:
         for _, s in stretches(batches):
             index, rank, code, *_ = model.find_pairs(s, model.ids(s)[0])
             _, which, first, last = s.triples()
-            u, w, counts = index[first], rank[last], np.bincount(which, minlength=len(first))
-            order = ordered(u, w)
-            u, w = u[order], w[order]
-            yield _rows(shards_of(u, w, starts3), u, w, counts[order], code[last[order]])
+            u, w = index[first], rank[last]
+            yield _rows(shards_of(u, w, starts3), u, w, np.bincount(which, minlength=len(first)), code[last])
 
     counted = tokens.select("words").mapInArrow(triples_of, _COUNTED)
     triples, prior3, _ = grams_level(counted, f"{root}/3", bounds3, shared3, lambda _, code: 10 ** model.logs(code), contexts, False, least)
