@@ -294,6 +294,20 @@ def test_neighbours_of_a_sequence():
     assert ngramtrie.select_in_word(words, rank).tolist() == [[i for i in range(64) if int(w) >> i & 1][r] for w, r in zip(words, rank)]
 
 
+def test_sequences_share_a_file(tmp_path, monkeypatch):
+    """Opening a shard's two sequences reads one file, of arrays of any length."""
+    rng = np.random.default_rng(9)
+    gets, get = [], ngramtrie._get
+    monkeypatch.setattr(ngramtrie, "_get", lambda *args: gets.append(args) or get(*args))
+    for n, u in ((1, 5), (70, 4000), (2000, 1 << 40)):
+        a, b = np.unique(rng.integers(0, u, n, dtype=np.uint64)), np.sort(rng.integers(0, n + 1, n)).astype(np.uint64)
+        low = ngramtrie._put_sequences(tmp_path.as_uri(), f"{n}", (a, u), (b, n + 1))
+        first, second = ngramtrie._get_sequences(tmp_path.as_uri(), f"{n}", (len(a), low[0]), (len(b), low[1]))
+        assert np.array_equal(first.access(np.arange(len(a))), a) and np.array_equal(second.access(np.arange(len(b))), b)
+        assert np.array_equal(first.find(a), np.arange(len(a)))
+    assert len(gets) == 3
+
+
 @pytest.mark.parametrize("contexts, words", [(40, 30), (1 << 31, 1 << 31), (1 << 40, 1 << 30), (1, 1 << 62)])
 def test_order_of_pairs(contexts, words):
     """As one number where it fits in 63 bits, by both else."""

@@ -27,6 +27,7 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from math import log10
 
 import numpy as np
@@ -213,11 +214,17 @@ class Sequence:
 # --- files -----------------------------------------------------------------------------------------------------------
 
 
-def _put(folder: str, name: str, array: np.ndarray) -> None:
-    """A flat file in the shared folder; a repeated task writes the same bytes, and the last step is a rename."""
+@lru_cache(maxsize=16)
+def _place(folder: str) -> tuple:
+    """(the folder's file system, its path there), which takes longer to find out than a file takes to open."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(folder)
+
+
+def _put(folder: str, name: str, array: np.ndarray) -> None:
+    """A flat file in the shared folder; a repeated task writes the same bytes, and the last step is a rename."""
+    system, path = _place(folder)
     system.create_dir(path, recursive=True)
     part = f"{path}/{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(part) as f:
@@ -229,7 +236,7 @@ def _get(folder: str, name: str, kind: type) -> np.ndarray:
     """The file's array: mapped into memory where the shared folder is a file system, else read."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(folder)
+    system, path = _place(folder)
     if isinstance(system, fs.LocalFileSystem):
         if not os.path.getsize(f"{path}/{name}"):
             return np.zeros(0, kind)
@@ -238,16 +245,27 @@ def _get(folder: str, name: str, kind: type) -> np.ndarray:
         return np.frombuffer(f.read(), kind)
 
 
-def _put_sequence(folder: str, name: str, keys: np.ndarray, universe: int) -> int:
-    low, *arrays = encode(keys, universe)
-    for part, array in zip(("low", "high", "zeros", "ones"), arrays, strict=True):
-        _put(folder, f"{name}.{part}", array)
-    return low
+def _put_sequences(folder: str, name: str, *sequences: tuple[np.ndarray, int]) -> list[int]:
+    """Sequences of (keys, universe) in one file, as opening one costs as much as many lookups: the lengths of their arrays, then
+    these, in 64-bit words. Gives the sequences' low bits."""
+    lows, arrays = [], []
+    for keys, universe in sequences:
+        low, *own = encode(keys, universe)
+        lows.append(low)
+        arrays += [np.append(x, np.zeros(-len(x) % (8 // x.itemsize), x.dtype)).view(np.uint64) for x in own]
+    _put(folder, name, np.concatenate([np.array([len(x) for x in arrays], np.uint64), *arrays]))
+    return lows
 
 
-def _get_sequence(folder: str, name: str, n: int, low: int) -> Sequence:
-    kinds = {"low": np.uint64, "high": np.uint64, "zeros": np.int32, "ones": np.int32}
-    return Sequence(n, low, *[np.asarray(_get(folder, f"{name}.{part}", kind)) for part, kind in kinds.items()])
+def _get_sequences(folder: str, name: str, *sizes: tuple[int, int]) -> list[Sequence]:
+    """The file's sequences, whose n and low bits are given."""
+    data = np.asarray(_get(folder, name, np.uint64))
+    ends = np.cumsum(np.append(4 * len(sizes), data[: 4 * len(sizes)].astype(np.int64))).tolist()
+    out = []
+    for i, (n, low) in enumerate(sizes):
+        parts, words, zeros, ones = (data[ends[j] : ends[j + 1]] for j in range(4 * i, 4 * i + 4))
+        out.append(Sequence(n, low, parts, words, zeros.view(np.int32)[: len(words)], ones.view(np.int32)[: len(words)]))
+    return out
 
 
 class Shards:
@@ -284,7 +302,7 @@ class Words(Shards):
         return int(self.offsets[-1])
 
     def load(self, s: int) -> tuple[Sequence, np.ndarray]:
-        return _get_sequence(self.folder, f"{s}", *self.metas[s]), _get(self.folder, f"{s}.counts", np.int64)
+        return *_get_sequences(self.folder, f"{s}", self.metas[s]), _get(self.folder, f"{s}.counts", np.int64)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count) of each of some hashes in order."""
@@ -330,7 +348,7 @@ class Grams(Shards):
     def load(self, s: int) -> tuple:
         m = self.metas[s]
         codes = [np.asarray(_get(self.folder, f"{s}.{name}", np.uint8)) for name in (("p", "rest") if self.inner else ("p",))]
-        return _get_sequence(self.folder, f"{s}.words", m["n"], m["low"]), _get_sequence(self.folder, f"{s}.pointers", m["contexts"] + 1, m["pointer_low"]), *codes
+        return *_get_sequences(self.folder, f"{s}", (m["n"], m["low"]), (m["contexts"] + 1, m["pointer_low"])), *codes
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
         """(index or -1, rank in the context, codes) of each of some pairs of a context and a word, which are in order."""
@@ -565,7 +583,7 @@ def words_level(tokens: DataFrame, folder: str, n_tokens: int) -> tuple[Words, i
         order = np.argsort(keys, kind="stable")  # as unsigned numbers
         keys, counts = keys[order], counts[order]
         end = bounds[shard + 1] if shard + 1 < len(bounds) else universe
-        low = _put_sequence(folder, f"{shard}", keys, end - bounds[shard])
+        (low,) = _put_sequences(folder, f"{shard}", (keys, end - bounds[shard]))
         _put(folder, f"{shard}.counts", counts)
         at, sums = _marks(np.arange(len(keys)), counts, least)
         return {"shard": shard, "n": len(keys), "low": low, "tokens": int(counts.sum()), "texts": int(counts[0]) if bounds[shard] + int(keys[0]) == END else 0, "at": at, "sums": sums}
@@ -595,9 +613,8 @@ def grams_level(counted: DataFrame, folder: str, bounds: list[tuple[int, int]],
         ends = np.append(starts[1:], len(context))
         added = np.append(0, np.cumsum(word[ends - 1] + 1))
         keys = (np.repeat(added[:-1], ends - starts) + word).astype(np.uint64)
-        low = _put_sequence(folder, f"{shard}.words", keys, int(added[-1]) + 1)
         pointers = np.cumsum(np.bincount(context[starts] - first + 1, weights=ends - starts, minlength=n_contexts + 1)).astype(np.uint64)
-        pointer_low = _put_sequence(folder, f"{shard}.pointers", pointers, len(keys) + 1)
+        low, pointer_low = _put_sequences(folder, f"{shard}", (keys, int(added[-1]) + 1), (pointers, len(keys) + 1))
         total, p = totals(context, counts), p_lower(word, lower)
         _put(f"{folder}/raw", f"{shard}.counts", np.frombuffer(_packed(counts), np.uint8))
         _put(f"{folder}/raw", f"{shard}.total", np.frombuffer(_packed(total), np.uint8))
